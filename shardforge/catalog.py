@@ -147,6 +147,102 @@ def q_step_cost(spark, sf):
     return step_cost(step_plan(e, 250))
 
 
+def _coef_sql(t: str, path: str):
+    if path == "linear":
+        return f"(({t} - 1.0) / {t})", f"(-1.0 / {t})"
+    h = S.d(math.pi / 2)
+    alpha, sigma = f"cos({t} * {h})", f"sin({t} * {h})"
+    d_alpha, d_sigma = f"(-{h} * sin({t} * {h}))", f"({h} * cos({t} * {h}))"
+    ratio = f"({alpha} / {d_alpha})"
+    var = f"({sigma} * {sigma} - {ratio} * {d_sigma} * {sigma})"
+    return f"({ratio} / {var})", f"(-1.0 / {var})"
+
+
+def _drift_sql(v: str, x: str, t: str, path: str = "linear") -> str:
+    a, b = _coef_sql(t, path)
+    return f"({v} - {t} * ({a} * {v} + {b} * {x}))"
+
+
+_T_ROW = "(0.05 + CAST(vec_id % 19 AS DOUBLE) * 0.05)"
+_VC = "((0.1 * CAST(label AS DOUBLE)) * x + 0.05)"
+_VU = "(0.5 * x)"
+
+
+def _score_sql():
+    al, bl = _coef_sql("t", "linear")
+    ac, bc = _coef_sql("t", "cosine")
+    return f"""
+SELECT vec_id, j, round({al} * v + {bl} * x, 6) AS score_linear, round({ac} * v + {bc} * x, 6) AS score_cosine
+FROM (SELECT vec_id, CAST(j AS INTEGER) AS j, x, {_T_ROW} AS t, {_VC} AS v
+      FROM (SELECT vec_id, label, j, CAST(embedding[j + 1] AS DOUBLE) AS x FROM embeddings, range(64) r(j)))"""
+
+
+def _t_row_col():
+    return F.lit(0.05) + (F.col("vec_id") % 19).cast("double") * F.lit(0.05)
+
+
+@register("score_from_velocity", _score_sql())
+def q_score_from_velocity(spark, sf):
+    from shardforge.operators.trajectory import affine_velocity, score_from_velocity
+    e = table(spark, sf, "embeddings")
+    x = F.col("embedding").cast("array<double>")
+    t = _t_row_col()
+    v = affine_velocity()(x, t, F.col("label"))
+    s = e.select("vec_id", score_from_velocity(v, x, t, "linear").alias("sl"),
+                 score_from_velocity(v, x, t, "cosine").alias("sc"))
+    return (s.select("vec_id", F.posexplode(F.arrays_zip("sl", "sc")).alias("j", "z"))
+            .select("vec_id", "j", r6(F.col("z.sl")).alias("score_linear"), r6(F.col("z.sc")).alias("score_cosine")))
+
+
+@register("guidance_combine", f"""
+SELECT vec_id, j, round(du + 1.8 * (dc - du), 6) AS d
+FROM (SELECT vec_id, CAST(j AS INTEGER) AS j, {_drift_sql(_VC, 'x', 't')} AS dc, {_drift_sql(_VU, 'x', 't')} AS du
+      FROM (SELECT vec_id, label, j, CAST(embedding[j + 1] AS DOUBLE) AS x, {_T_ROW} AS t
+            FROM embeddings, range(64) r(j)))""")
+def q_guidance_combine(spark, sf):
+    from shardforge.operators.trajectory import (affine_velocity, drift, guidance_combine,
+                                                 stack_guidance)
+    e = table(spark, sf, "embeddings")
+    x = F.col("embedding").cast("array<double>")
+    t = _t_row_col()
+    vel = affine_velocity()
+    ds = F.transform(stack_guidance(F.col("label")), lambda lbl: drift(vel(x, t, lbl), x, t))
+    d = e.select("vec_id", guidance_combine(ds[0], ds[1], 1.8).alias("d"))
+    return d.select("vec_id", F.posexplode("d").alias("j", "d")).select("vec_id", "j", r6(F.col("d")).alias("d"))
+
+
+def _sample_batch_sql(n: int = 20, dim: int = 8, cfg: float = 1.8) -> str:
+    t = _t_sql("step", n)
+    tn = _t_sql("step + 1", n)
+    guided = f"(round({t}, 9) >= 0.0 AND round({t}, 9) <= {S.d(0.7)})"
+    dc = _drift_sql(_VC, "x", t)
+    du = _drift_sql(_VU, "x", t)
+    d = f"(CASE WHEN {guided} THEN {du} + {cfg} * ({dc} - {du}) ELSE {dc} END)"
+    eps = S.normal(SEED, "noise", "sample_id", f"(step * {dim} + e)")
+    step_sql = f"x + {d} * ({tn} - {t}) + sqrt(2.0 * {t}) * sqrt(abs({tn} - {t})) * {eps}"
+    tf = S.d(0.04)
+    dcf = _drift_sql(_VC, "x", tf)
+    duf = _drift_sql(_VU, "x", tf)
+    final = f"x + (0.0 - {tf}) * ({duf} + {cfg} * ({dcf} - {duf}))"
+    return f"""
+WITH RECURSIVE traj(sample_id, label, e, step, x) AS (
+  SELECT vec_id, label, CAST(e AS INTEGER), 0, CAST(embedding[e + 1] AS DOUBLE) FROM embeddings, range({dim}) r(e)
+  UNION ALL
+  SELECT sample_id, label, e, step + 1, {step_sql} FROM traj WHERE step < {n - 1}
+)
+SELECT sample_id, e, round({final}, 6) AS x FROM traj WHERE step = {n - 1}"""
+
+
+@register("sample_batch", _sample_batch_sql())
+def q_sample_batch(spark, sf):
+    from shardforge.operators.trajectory import affine_velocity, sample_batch
+    e = table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("sample_id"), "label", F.slice("embedding", 1, 8).alias("latent"))
+    s = sample_batch(e, affine_velocity(), num_steps=20, seed=SEED)
+    return (s.select("sample_id", F.posexplode("sample").alias("e", "x"))
+            .select("sample_id", "e", r6(F.col("x")).alias("x")))
+
+
 # --------------------------------------------------------------------------
 # F8. resume
 # --------------------------------------------------------------------------
