@@ -1,3 +1,185 @@
-"""Registered queries (continued)."""
+"""Registered queries: key-table migration and parity (E1-E5)."""
 
-from shardforge.catalog import register  # noqa: F401
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shardforge import sqltwins as S
+from shardforge.catalog import register
+from shardforge.session import table
+
+# The parameter-name parts and the rename rules of the
+# self-supervised encoder checkpoint fix-up (a prefix keep, prefix strip,
+# four misnamed norm/fc keys in blocks 13 and 14, head and fc drops) and
+# the legacy decoder-block shift.
+PART_BY_EVENT = {"click": "attn.qkv", "view": "mlp.fc1", "signup": "norm1",
+                 "error": "mlp.fc2", "purchase": "norm2"}
+ODD_PARTS = {(13, "norm1"): "norm13", (13, "mlp.fc1"): "mlp.fc13",
+             (14, "norm2"): "norm14", (14, "mlp.fc2"): "mlp.fc14"}
+ENCODER_DEPTH = 15
+REWRITE_RULES = [
+    {"ord": 0, "kind": "keep_prefix", "pattern": "module.base_encoder"},
+    {"ord": 1, "kind": "strip_prefix", "pattern": "module.base_encoder."},
+    {"ord": 2, "kind": "replace_if", "cond": "blocks.13.norm13", "pattern": "norm13", "replacement": "norm1"},
+    {"ord": 3, "kind": "replace_if", "cond": "blocks.13.mlp.fc13", "pattern": "fc13", "replacement": "fc1"},
+    {"ord": 4, "kind": "replace_if", "cond": "blocks.14.norm14", "pattern": "norm14", "replacement": "norm2"},
+    {"ord": 5, "kind": "replace_if", "cond": "blocks.14.mlp.fc14", "pattern": "fc14", "replacement": "fc2"},
+    {"ord": 6, "kind": "drop_contains", "pattern": "head"},
+    {"ord": 7, "kind": "drop_first_segment", "pattern": "fc"},
+    {"ord": 8, "kind": "shift_segment", "pattern": "decoder_blocks", "replacement": "blocks",
+     "amount": ENCODER_DEPTH},
+]
+
+
+def key_table(spark, sf):
+    """(snapshot, key, pos, value) built from events: one stored value per
+    event, dotted parameter names with a few odd names so that every rule
+    fires."""
+    ev = table(spark, sf, "events")
+    b = (F.col("user_id") % 15).cast("int")
+    et = F.col("event_type")
+    part = None
+    for (blk, p), odd in ODD_PARTS.items():
+        ev_type = [k for k, v in PART_BY_EVENT.items() if v == p][0]
+        cond = (b == blk) & (et == ev_type)
+        part = F.when(cond, F.lit(odd)) if part is None else part.when(cond, F.lit(odd))
+    for ev_type, p in PART_BY_EVENT.items():
+        part = part.when(et == ev_type, F.lit(p))
+    part = part.otherwise(et)
+    bs = b.cast("string")
+    uid = F.col("user_id")
+    key = (F.when(uid % 11 == 0, F.concat(F.lit("module.base_encoder.head."), part, F.lit(".weight")))
+           .when(uid % 13 == 0, F.concat(F.lit("module.base_encoder.fc."), bs, F.lit(".bias")))
+           .when(uid % 17 == 0, F.concat(F.lit("module.momentum_encoder.blocks."), bs, F.lit("."), part,
+                                         F.lit(".weight")))
+           .when(uid % 19 == 0, F.concat(F.lit("module.base_encoder.decoder_blocks."), bs, F.lit("."),
+                                         part, F.lit(".weight")))
+           .otherwise(F.concat(F.lit("module.base_encoder.blocks."), bs, F.lit("."), part, F.lit(".weight"))))
+    return ev.select((F.col("event_id") % 3).cast("int").alias("snapshot"), key.alias("key"),
+                     F.col("event_id").alias("pos"), "value")
+
+
+def _part_sql():
+    cases = " ".join(f"WHEN event_type = '{et}' THEN '{p}'" for et, p in PART_BY_EVENT.items())
+    base = f"(CASE {cases} ELSE event_type END)"
+    odd = " ".join(f"WHEN user_id % 15 = {blk} AND {base} = '{p}' THEN '{o}'" for (blk, p), o in ODD_PARTS.items())
+    return f"(CASE {odd} ELSE {base} END)"
+
+
+KEYS_SQL = f"""SELECT CAST(event_id % 3 AS INTEGER) AS snapshot,
+  CASE WHEN user_id % 11 = 0 THEN 'module.base_encoder.head.' || {_part_sql()} || '.weight'
+       WHEN user_id % 13 = 0 THEN 'module.base_encoder.fc.' || CAST(user_id % 15 AS VARCHAR) || '.bias'
+       WHEN user_id % 17 = 0 THEN 'module.momentum_encoder.blocks.' || CAST(user_id % 15 AS VARCHAR) || '.' || {_part_sql()} || '.weight'
+       WHEN user_id % 19 = 0 THEN 'module.base_encoder.decoder_blocks.' || CAST(user_id % 15 AS VARCHAR) || '.' || {_part_sql()} || '.weight'
+       ELSE 'module.base_encoder.blocks.' || CAST(user_id % 15 AS VARCHAR) || '.' || {_part_sql()} || '.weight' END AS key,
+  event_id AS pos, value
+FROM events"""
+
+
+@register("flatten_keys", f"""
+SELECT snapshot, key, count(*) AS n_values,
+       CAST(len(string_split(key, '.')) AS INTEGER) AS depth,
+       string_split(key, '.')[-1] AS leaf,
+       regexp_replace(key, '\\.[^.]*$', '') AS parent,
+       string_split(key, '.')[1] AS level_0, string_split(key, '.')[3] AS level_2
+FROM ({KEYS_SQL}) GROUP BY snapshot, key""")
+def q_flatten_keys(spark, sf):
+    from shardforge.operators.keytable import key_inventory
+    inv = key_inventory(key_table(spark, sf), ["snapshot"], "key")
+    inv = inv.withColumn("_p", F.split("key", "\\.")).withColumn("level_0", F.col("_p")[0]) \
+        .withColumn("level_2", F.col("_p")[2]).drop("_p")
+    return inv.select("snapshot", "key", "n_values", "depth", "leaf", "parent", "level_0", "level_2")
+
+
+def _rewrite_sql():
+    """Kept (snapshot, key, new_key) rows, one subquery per rule step."""
+    q = (f"SELECT snapshot, key, CASE WHEN starts_with(key, 'module.base_encoder.') "
+         f"THEN substr(key, {len('module.base_encoder.') + 1}) ELSE key END AS k "
+         f"FROM ({KEYS_SQL}) WHERE starts_with(key, 'module.base_encoder')")
+    for r in REWRITE_RULES[2:6]:
+        q = (f"SELECT snapshot, key, CASE WHEN contains(k, '{r['cond']}') THEN "
+             f"replace(k, '{r['pattern']}', '{r['replacement']}') ELSE k END AS k FROM ({q})")
+    q = f"SELECT snapshot, key, k FROM ({q}) WHERE NOT contains(k, 'head') AND split_part(k, '.', 1) <> 'fc'"
+    parts = "string_split(k, '.')"
+    shifted = (f"('blocks.' || CAST(CAST({parts}[2] AS INTEGER) + {ENCODER_DEPTH} AS VARCHAR) || '.' || "
+               f"array_to_string({parts}[3:], '.'))")
+    return (f"SELECT snapshot, key, CASE WHEN contains(k, 'decoder_blocks') THEN {shifted} ELSE k END AS new_key "
+            f"FROM ({q})")
+
+
+@register("rewrite_keys", f"""
+WITH m AS (
+  SELECT snapshot, key, new_key, count(*) AS n_values
+  FROM ({_rewrite_sql()}) GROUP BY snapshot, key, new_key)
+SELECT m.snapshot, m.key, m.new_key, m.n_values, c.n_src > 1 AS collision
+FROM m JOIN (SELECT snapshot, new_key, count(*) AS n_src FROM m GROUP BY 1, 2) c
+  ON m.snapshot = c.snapshot AND m.new_key = c.new_key""")
+def q_rewrite_keys(spark, sf):
+    from shardforge.operators.keytable import rewrite_keys
+    kt = key_table(spark, sf)
+    rw = rewrite_keys(kt, REWRITE_RULES, "key", "new_key")
+    m = rw.groupBy("snapshot", "key", "new_key").agg(F.count(F.lit(1)).alias("n_values"))
+    c = m.groupBy("snapshot", "new_key").agg(F.count(F.lit(1)).alias("n_src"))
+    return m.join(c, ["snapshot", "new_key"]).select(
+        "snapshot", "key", "new_key", "n_values", (F.col("n_src") > 1).alias("collision"))
+
+
+_PFX = "module.base_encoder.blocks."
+
+
+@register("profile_keys", f"""
+SELECT snapshot, count(*) AS n_keys,
+       count(DISTINCT CASE WHEN starts_with(key, '{_PFX}') THEN split_part(key, '.', 3) END) AS n_layers,
+       count(CASE WHEN starts_with(key, '{_PFX}') AND ends_with(key, '.attn.qkv.weight') THEN 1 END) AS n_attn,
+       max(contains(key, 'decoder_blocks')) AS has_decoder,
+       max(contains(key, 'head')) AS has_head,
+       CAST(max(CASE WHEN key = '{_PFX}0.norm1.weight' THEN n END) AS BIGINT) AS width
+FROM (SELECT snapshot, key, count(*) AS n FROM ({KEYS_SQL}) GROUP BY 1, 2) GROUP BY snapshot""")
+def q_profile_keys(spark, sf):
+    from shardforge.operators.keytable import profile_keys
+    return profile_keys(key_table(spark, sf), "snapshot", "key",
+                        segment_counts={"n_layers": (_PFX, 2)},
+                        suffix_counts={"n_attn": (_PFX, ".attn.qkv.weight")},
+                        presence={"has_decoder": "decoder_blocks", "has_head": "head"},
+                        sizes={"width": f"{_PFX}0.norm1.weight"})
+
+
+@register("strict_match", """
+SELECT doc_id, 'missing' AS kind FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)
+UNION ALL
+SELECT doc_id, 'unexpected' AS kind FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)""")
+def q_strict_match(spark, sf):
+    from shardforge.operators.keytable import strict_match
+    return strict_match(table(spark, sf, "documents"), table(spark, sf, "labels"), ["doc_id"]).select(
+        "doc_id", "kind")
+
+
+def perturbed_orders(spark, sf):
+    """Copy of orders: +1e-4 on o_totalprice where key % 97 = 0, rows with
+    key % 101 = 0 removed, key shifted by 10,000,000 where key % 103 = 0."""
+    o = table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    return (o.filter(k % 101 != 0)
+            .select(F.when(k % 103 == 0, k + F.lit(10_000_000)).otherwise(k).alias("o_orderkey"),
+                    F.when(k % 97 == 0, F.col("o_totalprice") + F.lit(1e-4)).otherwise(F.col("o_totalprice"))
+                    .alias("o_totalprice")))
+
+
+@register("parity", f"""
+WITH b AS (
+  SELECT CASE WHEN o_orderkey % 103 = 0 THEN o_orderkey + 10000000 ELSE o_orderkey END AS o_orderkey,
+         CASE WHEN o_orderkey % 97 = 0 THEN o_totalprice + {S.d(1e-4)} ELSE o_totalprice END AS o_totalprice
+  FROM orders WHERE o_orderkey % 101 <> 0),
+j AS (SELECT coalesce(a.o_orderkey, b.o_orderkey) AS k, a.o_totalprice AS va, b.o_totalprice AS vb
+      FROM orders a FULL OUTER JOIN b ON a.o_orderkey = b.o_orderkey)
+SELECT count(CASE WHEN va IS NOT NULL AND vb IS NOT NULL THEN 1 END) AS n_common,
+       count(CASE WHEN vb IS NULL THEN 1 END) AS n_only_a,
+       count(CASE WHEN va IS NULL THEN 1 END) AS n_only_b,
+       round(max(CASE WHEN va IS NOT NULL AND vb IS NOT NULL THEN abs(va - vb) END), 9) AS max_abs_diff,
+       count(CASE WHEN va IS NOT NULL AND vb IS NOT NULL AND abs(va - vb) >= {S.d(1.5e-6)} THEN 1 END) AS n_beyond,
+       -max(CASE WHEN va IS NOT NULL AND vb IS NOT NULL THEN {{'d': abs(va - vb), 'nk': -k}} END)['nk'] AS worst_key
+FROM j""")
+def q_parity(spark, sf):
+    from shardforge.operators.keytable import parity
+    p = parity(table(spark, sf, "orders"), perturbed_orders(spark, sf), ["o_orderkey"], "o_totalprice", 6)
+    return p.withColumn("max_abs_diff", F.round("max_abs_diff", 9))
