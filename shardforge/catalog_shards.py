@@ -1,3 +1,112 @@
-"""Registered queries (continued)."""
+"""Registered queries: shards, packs and publication (F1-F7) and the
+flagship sample-to-shard job."""
 
-from shardforge.catalog import register  # noqa: F401
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import functions as F
+
+from shardforge import sqltwins as S
+from shardforge.catalog import register
+from shardforge.session import scratch_path, table
+
+_PIXEL = f"CAST(trunc(least(greatest((CAST(embedding[i + 1] AS DOUBLE) / {S.d(0.18215)} + 1.0) / 2.0 * 255.0, 0.0), 255.0)) AS INTEGER)"
+_HEX = f"array_to_string(list_transform(range(64), lambda i: lpad(hex({_PIXEL}), 2, '0')), '')"
+
+
+def _quantised(spark, sf):
+    from shardforge.functions.arrays import pixels_to_binary, quantise
+    return table(spark, sf, "embeddings").select(
+        "vec_id", "label", pixels_to_binary(quantise("embedding")).alias("img"))
+
+
+@register("tarshards_roundtrip", f"""
+SELECT CAST(floor(floor(vec_id / 64) / 2) * 4 + floor((vec_id % 64) / 16) AS BIGINT) AS shard,
+       lpad(CAST(vec_id AS VARCHAR), 10, '0') AS key, label AS cls,
+       {_HEX} AS img_hex
+FROM embeddings""")
+def q_tarshards_roundtrip(spark, sf):
+    from shardforge.plans.plan import assign_plan
+    from shardforge.sources.tarshards import read_shards, write_shards
+    q = assign_plan(_quantised(spark, sf), "vec_id", batch=16, workers=4, per_shard=32)
+    path = scratch_path(spark, "tarshards")
+    write_shards(q.select("shard", F.format_string("%010d", "vec_id").alias("key"), "img",
+                          F.col("label").alias("cls")), path)
+    back = read_shards(spark, path, "shard bigint, key string, img binary, cls int")
+    return back.select("shard", "key", "cls", F.hex("img").alias("img_hex"))
+
+
+@register("assign_shards_count", """
+SELECT doc_id, CAST(doc_id % 4 AS BIGINT) AS worker, CAST(p AS BIGINT) AS pos_in_worker,
+       CAST(doc_id % 4 + (p // 100) * 4 AS BIGINT) AS shard
+FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id % 4 ORDER BY doc_id) - 1 AS p FROM documents)""")
+def q_assign_shards_count(spark, sf):
+    from shardforge.operators.shards import assign_shards_count
+    d = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 4).alias("worker"))
+    return assign_shards_count(d, "worker", ["doc_id"], 100, 4).select("doc_id", "worker", "pos_in_worker", "shard")
+
+
+@register("image_folder_roundtrip", f"""
+SELECT vec_id AS "index", 8 AS h, 8 AS w, 1 AS c, {_HEX} AS pixels_hex FROM embeddings""")
+def q_image_folder_roundtrip(spark, sf):
+    from shardforge.sources.imagefolder import read_image_folder, write_image_folder
+    q = _quantised(spark, sf).select(F.col("vec_id").alias("index"), F.lit(8).alias("h"), F.lit(8).alias("w"),
+                                     F.lit(1).alias("c"), F.col("img").alias("pixels"))
+    path = scratch_path(spark, "pngs")
+    write_image_folder(q, path)
+    back = read_image_folder(spark, path)
+    return back.select("index", "h", "w", "c", F.hex("pixels").alias("pixels_hex"))
+
+
+@register("pack_tensor", f"""
+SELECT vec_id AS "index", 8 AS h, 8 AS w, 1 AS c, {_HEX} AS pixels_hex FROM embeddings""")
+def q_pack_tensor(spark, sf):
+    from shardforge.operators.pack import pack_tensor, read_pack
+    q = _quantised(spark, sf).select(F.col("vec_id").alias("index"), F.lit(8).alias("h"), F.lit(8).alias("w"),
+                                     F.lit(1).alias("c"), F.col("img").alias("pixels"))
+    num = q.count()
+    manifest = pack_tensor(q, num, scratch_path(spark, "pack"), rows_per_part=128)
+    back = read_pack(spark, manifest)
+    return back.select("index", "h", "w", "c", F.hex("pixels").alias("pixels_hex"))
+
+
+@register("pack_completeness", """
+SELECT CAST(count(*) + 3 AS BIGINT) AS n_expected, count(*) AS n_present, CAST(3 AS BIGINT) AS n_missing,
+       CAST(0 AS BIGINT) AS n_duplicate, CAST(0 AS BIGINT) AS n_out_of_range, CAST(1 AS BIGINT) AS n_shapes
+FROM embeddings""")
+def q_pack_completeness(spark, sf):
+    from shardforge.operators.pack import pack_report
+    q = table(spark, sf, "embeddings").select(F.col("vec_id").alias("index"), F.lit(8).alias("h"),
+                                                F.lit(8).alias("w"), F.lit(1).alias("c"))
+    num = q.count() + 3
+    return pack_report(q, num)
+
+
+@register("retention_split", """
+SELECT lpad(CAST(event_id AS VARCHAR), 10, '0') AS path, user_id AS worker,
+       CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, lpad(CAST(event_id AS VARCHAR), 10, '0') DESC) <= 3
+            THEN 'keep' ELSE 'ship' END AS action
+FROM events""")
+def q_retention_split(spark, sf):
+    from shardforge.operators.publish import retention_split
+    ev = table(spark, sf, "events").select(F.format_string("%010d", "event_id").alias("path"),
+                                           F.col("user_id").alias("worker"), F.col("ts").alias("created"))
+    return retention_split(ev, 3).select("path", "worker", "action")
+
+
+@register("stream_shards", """
+SELECT lpad(CAST(event_id AS VARCHAR), 10, '0') AS key, event_type AS type, value FROM events""")
+def q_stream_shards(spark, sf):
+    from shardforge.sources.tarshards import read_shards
+    from shardforge.streaming.stream_shards import stream_shards
+    schema = table(spark, sf, "events").schema
+    stream = spark.readStream.schema(schema).parquet(os.path.join(sf, "events*.parquet"))
+    out = scratch_path(spark, "stream-shards")
+    keyed = stream.withColumn("key", F.format_string("%010d", "event_id"))
+    q = stream_shards(keyed, out, out + "-checkpoint", per_shard=1000, key_col="key",
+                      member_cols={"type": "event_type", "value": F.col("value").cast("string")},
+                      order_cols=["event_id"])
+    q.awaitTermination()
+    back = read_shards(spark, out, "shard bigint, key string, type string, value double")
+    return back.select("key", "type", "value")
