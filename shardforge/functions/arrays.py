@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shardforge.functions.vectors import let
+
 
 def _c(x) -> Column:
     return x if isinstance(x, Column) else F.col(x)
@@ -33,10 +35,11 @@ def pixels_to_binary(pixels) -> Column:
 
 def binary_to_pixels(b) -> Column:
     """BINARY -> ARRAY<INT> of unsigned byte values."""
-    h = F.hex(_c(b))
-    n = F.length(h) / 2
-    return F.transform(F.sequence(F.lit(0), (n - 1).cast("int")),
-                       lambda i: F.conv(F.substring(h, i * 2 + 1, 2), 16, 10).cast("int"))
+    def body(h):
+        n = F.length(h) / 2
+        return F.transform(F.sequence(F.lit(0), (n - 1).cast("int")),
+                           lambda i: F.conv(F.substring(h, i * 2 + 1, 2), 16, 10).cast("int"))
+    return let(F.hex(_c(b)), body)
 
 
 def permutation_index(shape, order) -> list[int]:
@@ -51,9 +54,8 @@ def permutation_index(shape, order) -> list[int]:
 
 def gather(arr, index: list[int]) -> Column:
     """arr[index[0]], arr[index[1]], ... as a new array (0-based)."""
-    arr = _c(arr)
     lit = F.array(*[F.lit(int(i)) for i in index])
-    return F.transform(lit, lambda i: arr[i])
+    return let(_c(arr), lambda a: F.transform(lit, lambda i: a[i]))
 
 
 def permute_axes(arr, shape, order) -> Column:
@@ -89,15 +91,14 @@ def permute_by_rule(arr, rule: Column, rules: dict[str, tuple]) -> Column:
 
 def gather_reduce_mean(arr, groups: list[list[int]]) -> Column:
     """For each index group, the mean of arr over the group's indices."""
-    arr = _c(arr)
     lit = F.array(*[F.array(*[F.lit(int(i)) for i in g]) for g in groups])
-    return F.transform(lit, lambda g: F.aggregate(g, F.lit(0.0), lambda acc, i: acc + arr[i]) / F.size(g))
+    return let(_c(arr), lambda a: F.transform(
+        lit, lambda g: F.aggregate(g, F.lit(0.0), lambda acc, i: acc + a[i]) / F.size(g)))
 
 
 def gather_weighted_sum(arr, taps: list[list[tuple[int, float]]]) -> Column:
     """For each output, sum of weight * arr[index] over its taps."""
-    arr = _c(arr)
     idx = F.array(*[F.array(*[F.lit(int(i)) for i, _ in t]) for t in taps])
     wts = F.array(*[F.array(*[F.lit(float(w)) for _, w in t]) for t in taps])
-    return F.transform(F.sequence(F.lit(0), F.lit(len(taps) - 1)), lambda o: F.aggregate(
-        F.zip_with(idx[o], wts[o], lambda i, w: w * arr[i]), F.lit(0.0), lambda acc, v: acc + v))
+    return let(_c(arr), lambda a: F.transform(F.sequence(F.lit(0), F.lit(len(taps) - 1)), lambda o: F.aggregate(
+        F.zip_with(idx[o], wts[o], lambda i, w: w * a[i]), F.lit(0.0), lambda acc, v: acc + v)))

@@ -13,6 +13,13 @@ def _c(x) -> Column:
     return x if isinstance(x, Column) else F.col(x)
 
 
+def let(value: Column, fn) -> Column:
+    """Evaluate ``value`` once per row and pass it to ``fn`` (a one-element
+    ``transform``). Lambdas that refer to an outer expression re-evaluate
+    it for every element; binding it first keeps per-element work O(1)."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def vec_add(a, b) -> Column:
     return F.zip_with(_c(a), _c(b), lambda x, y: x + y)
 
@@ -40,11 +47,12 @@ def l2norm(a) -> Column:
 
 
 def l2_normalize(a, eps: float = 0.0) -> Column:
-    a = _c(a)
-    n = l2norm(a)
-    if eps:
-        n = F.greatest(n, F.lit(eps))
-    return F.transform(a, lambda x: x / n)
+    def body(arr):
+        n = l2norm(arr)
+        if eps:
+            n = F.greatest(n, F.lit(eps))
+        return let(n, lambda nv: F.transform(arr, lambda x: x / nv))
+    return let(_c(a), body)
 
 
 def vec_mean(a) -> Column:
@@ -55,17 +63,19 @@ def vec_mean(a) -> Column:
 def layer_norm(a, eps: float = 1e-6) -> Column:
     """(x - mean) / sqrt(var + eps), no affine part; var is the biased
     variance computed around the mean."""
-    a = _c(a)
-    mean = vec_mean(a)
-    var = F.aggregate(a, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean)) / F.size(a)
-    return F.transform(a, lambda x: (x - mean) / F.sqrt(var + F.lit(eps)))
+    def body(arr):
+        return let(vec_mean(arr), lambda mean: let(
+            F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean)) / F.size(arr),
+            lambda var: F.transform(arr, lambda x: (x - mean) / F.sqrt(var + F.lit(eps)))))
+    return let(_c(a), body)
 
 
 def softmax(a) -> Column:
-    a = _c(a)
-    m = F.array_max(a)
-    s = F.aggregate(a, F.lit(0.0), lambda acc, x: acc + F.exp(x - m))
-    return F.transform(a, lambda x: F.exp(x - m) / s)
+    def body(arr):
+        return let(F.array_max(arr), lambda m: let(
+            F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + F.exp(x - m)),
+            lambda s: F.transform(arr, lambda x: F.exp(x - m) / s)))
+    return let(_c(a), body)
 
 
 def sigmoid(x: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from shardforge.functions.arrays import gather, gather_reduce_mean, gather_weighted_sum
 from shardforge.functions.rng import seeded_uniform
-from shardforge.functions.vectors import position_features, vec_add
+from shardforge.functions.vectors import let, position_features, vec_add
 from shardforge.operators.positions import global_positions
 
 
@@ -81,16 +81,15 @@ def patchify(arr, shape, p: int) -> Column:
     """(C, H, W) -> tokens: ARRAY<ARRAY<DOUBLE>> of (H/p)(W/p) tokens, each
     p*p*C values."""
     c, h, w = shape
-    flat = gather(arr, patch_index(shape, p))
     k = p * p * c
     n_tok = (h // p) * (w // p)
-    return F.transform(F.sequence(F.lit(0), F.lit(n_tok - 1)), lambda t: F.slice(flat, t * k + 1, k))
+    return let(gather(arr, patch_index(shape, p)), lambda flat: F.transform(
+        F.sequence(F.lit(0), F.lit(n_tok - 1)), lambda t: F.slice(flat, t * k + 1, k)))
 
 
 def unpatchify(tokens, channels: int, p: int) -> Column:
     """Tokens -> flat (C, H, W) grid; the token count must be a square."""
     tokens = _c(tokens)
-    flat = F.flatten(tokens)
     # the token count is data; check it per row and fail loudly
     n_tok = F.size(tokens)
     side = F.sqrt(n_tok).cast("int")
@@ -109,7 +108,8 @@ def unpatchify(tokens, channels: int, p: int) -> Column:
         feat = (F.pmod(y, F.lit(p)) * p + F.pmod(x, F.lit(p))) * channels + ci
         return (tok * k + feat).cast("int")
 
-    body = F.transform(F.sequence(F.lit(0), (npix - 1).cast("int")), lambda i: flat[src(i)])
+    body = let(F.flatten(tokens), lambda flat: F.transform(
+        F.sequence(F.lit(0), (npix - 1).cast("int")), lambda i: flat[src(i)]))
     return F.when(ok, body).otherwise(F.raise_error(F.lit("token count is not a square")))
 
 
@@ -133,8 +133,7 @@ def random_masks(samples: DataFrame, id_col: str, n_tokens: int, n_masks: int,
 
 def gather_tokens(tokens, positions) -> Column:
     """Keep the listed token positions of one sample, in list order."""
-    tokens = _c(tokens)
-    return F.transform(_c(positions), lambda q: tokens[q])
+    return let(_c(tokens), lambda toks: F.transform(_c(positions), lambda q: toks[q]))
 
 
 def gather_tokens_long(tokens: DataFrame, masks: DataFrame, id_col: str = "sample_id") -> DataFrame:

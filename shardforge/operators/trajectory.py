@@ -245,5 +245,6 @@ def sample_batch_arrow(df: DataFrame, velocity_np, latent_col: str = "latent",
             out = batch.append_column(out_col, pa.array(list(x), type=pa.list_(pa.float64())))
             yield out
 
-    schema = df.schema.add(out_col, "array<double>")
+    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+    schema = StructType(list(df.schema.fields) + [StructField(out_col, ArrayType(DoubleType()))])
     return df.mapInArrow(run, schema)
