@@ -6,7 +6,9 @@ retry after a lost executor. The contract:
 
 * ``h`` = the first 13 hex digits (52 bits) of ``md5("seed:stream:key:i")``;
 * ``u`` = (h + 0.5) / 2^52, strictly inside (0, 1) and exact in a double;
-* normal element ``j`` = sqrt(-2 ln u(2j)) * cos(2 pi u(2j+1)) (Box-Muller).
+* normals come in Box-Muller pairs: pair m uses one md5 of
+  ``seed:stream:key:m``, u1 from hex digits 1-13 and u2 from digits 17-29;
+  element 2m = sqrt(-2 ln u1) cos(2 pi u2), element 2m+1 the same with sin.
 
 Everything stays a built-in expression (md5, conv, log, cos) inside whole
 stage codegen; no Python runs per row.
@@ -49,18 +51,48 @@ def seeded_randint(seed, stream: str, key, lo: int, hi: int, i=0) -> Column:
     return F.floor(F.lit(float(lo)) + u * F.lit(float(hi - lo))).cast("int")
 
 
+def _uniform_pair(seed, stream: str, key, m) -> Column:
+    """Two uniforms from one md5: hex digits 1-13 and 17-29 of the digest of
+    ``seed:stream:key:m``, each (h + 0.5) / 2^52."""
+    text = F.concat_ws(":", _c(seed).cast("string"), F.lit(stream),
+                       _c(key).cast("string"), _c(m).cast("string"))
+
+    def halves(h):
+        a = F.conv(F.substring(h, 1, 13), 16, 10).cast("bigint").cast("double")
+        b = F.conv(F.substring(h, 17, 13), 16, 10).cast("bigint").cast("double")
+        return F.array((a + F.lit(0.5)) / F.lit(TWO_POW_52), (b + F.lit(0.5)) / F.lit(TWO_POW_52))
+    return F.element_at(F.transform(F.array(F.md5(text)), halves), 1)
+
+
+def normal_pair(seed, stream: str, key, m) -> Column:
+    """Box-Muller pair m: [r cos(2 pi u2), r sin(2 pi u2)], r = sqrt(-2 ln u1),
+    elements 2m and 2m+1 of the (seed, stream, key) normal sequence."""
+    def bm(uu):
+        r = F.sqrt(F.lit(-2.0) * F.log(uu[0]))
+        th = F.lit(2.0 * math.pi) * uu[1]
+        return F.array(r * F.cos(th), r * F.sin(th))
+    return F.element_at(F.transform(F.array(_uniform_pair(seed, stream, key, m)), bm), 1)
+
+
 def normal_at(seed, stream: str, key, j) -> Column:
     """Standard normal element ``j`` of the (seed, stream, key) sequence."""
     j = _c(j)
-    u1 = seeded_uniform(seed, stream, key, j * 2)
-    u2 = seeded_uniform(seed, stream, key, j * 2 + 1)
-    return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
+    return normal_pair(seed, stream, key, F.floor(j / 2).cast("bigint"))[F.pmod(j, F.lit(2)).cast("int")]
+
+
+def normal_block(seed, stream: str, key, start, dim: int) -> Column:
+    """Elements start .. start+dim-1 of the normal sequence as an array, one
+    md5 per pair of elements."""
+    start = _c(start).cast("bigint")
+    first = F.floor(start / 2)
+    last = F.floor((start + F.lit(dim - 1)) / 2)
+    pairs = F.transform(F.sequence(first, last), lambda m: normal_pair(seed, stream, key, m))
+    return F.slice(F.flatten(pairs), (F.pmod(start, F.lit(2)) + F.lit(1)).cast("int"), dim)
 
 
 def seeded_normal(seed, stream: str, key, dim: int) -> Column:
     """ARRAY<DOUBLE> of ``dim`` standard normals per row."""
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                       lambda j: normal_at(seed, stream, key, j))
+    return normal_block(seed, stream, key, F.lit(0), dim)
 
 
 # Coefficients of Acklam's rational approximation of the
@@ -133,6 +165,8 @@ def py_uniform(seed, stream: str, key, i=0) -> float:
 
 
 def py_normal(seed, stream: str, key, j: int) -> float:
-    u1 = py_uniform(seed, stream, key, 2 * j)
-    u2 = py_uniform(seed, stream, key, 2 * j + 1)
-    return math.sqrt(-2.0 * math.log(u1)) * math.cos(2.0 * math.pi * u2)
+    h = hashlib.md5(f"{seed}:{stream}:{key}:{j // 2}".encode()).hexdigest()
+    u1 = (int(h[:13], 16) + 0.5) / TWO_POW_52
+    u2 = (int(h[16:29], 16) + 0.5) / TWO_POW_52
+    r = math.sqrt(-2.0 * math.log(u1))
+    return r * (math.cos(2.0 * math.pi * u2) if j % 2 == 0 else math.sin(2.0 * math.pi * u2))

@@ -263,9 +263,11 @@ def cosine_topk(a: DataFrame, b: DataFrame, a_id: str, b_id: str, vec_col: str,
     ``b`` (the class / prompt side) is broadcast in chunks of at most
     ``max_broadcast_rows`` (counted first, so the broadcast size is checked);
     a larger ``b`` runs as several chunks — still exact — and each chunk is
-    one pass over ``a`` with a NumPy matmul per Arrow batch, keeping only the
-    per-batch top k in each direction. The final top k is a row_number
-    window whose partial limit runs before the shuffle."""
+    one pass over ``a`` with a NumPy matmul per Arrow batch: each ``a`` row
+    keeps its top k, and each ``b`` row keeps a running top k over the whole
+    partition, so the shuffle carries k rows per ``b`` row per partition.
+    The final top k is a row_number window whose partial limit runs before
+    the shuffle."""
     import pyarrow as pa
 
     from shardforge.session import ship_package
@@ -289,6 +291,10 @@ def cosine_topk(a: DataFrame, b: DataFrame, a_id: str, b_id: str, vec_col: str,
 
         def run(batches, bc=bc):
             bids, bm = bc.value
+            nbc = len(bids)
+            # running top k per b row over the whole partition (b -> a)
+            best_l = np.full((k, nbc), -np.inf)
+            best_i = np.full((k, nbc), np.iinfo(np.int64).max, dtype=np.int64)
             for batch in batches:
                 if batch.num_rows == 0:
                     continue
@@ -296,23 +302,28 @@ def cosine_topk(a: DataFrame, b: DataFrame, a_id: str, b_id: str, vec_col: str,
                 av = np.asarray(batch.column("vec").to_pylist(), dtype=np.float64)
                 av = av / np.linalg.norm(av, axis=1, keepdims=True)
                 logits = scale * (av @ bm.T)
-                kk = min(k, logits.shape[1])
+                kk = min(k, nbc)
                 # a -> b: top k of each row (ties: smaller id first)
                 order = np.lexsort((np.broadcast_to(bids, logits.shape), -logits), axis=1)[:, :kk]
-                d1, r1, o1, l1 = [], [], [], []
-                for r in range(len(aid)):
-                    for j in order[r]:
-                        d1.append("a2b"); r1.append(int(aid[r])); o1.append(int(bids[j])); l1.append(float(logits[r, j]))
-                # b -> a: top k of each column within this batch
-                ka = min(k, logits.shape[0])
-                ordc = np.lexsort((np.broadcast_to(aid[:, None], logits.shape), -logits), axis=0)[:ka, :]
-                for jcol in range(len(bids)):
-                    for r in ordc[:, jcol]:
-                        d1.append("b2a"); r1.append(int(bids[jcol])); o1.append(int(aid[r]))
-                        l1.append(float(logits[r, jcol]))
+                rows = np.repeat(np.arange(len(aid)), kk)
+                cols = order.ravel()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(d1, pa.string()), pa.array(r1, pa.int64()), pa.array(o1, pa.int64()),
-                     pa.array(l1, pa.float64())], names=["direction", "row_id", "other_id", "logit"])
+                    [pa.array(["a2b"] * len(rows), pa.string()), pa.array(aid[rows], pa.int64()),
+                     pa.array(bids[cols], pa.int64()), pa.array(logits[rows, cols], pa.float64())],
+                    names=["direction", "row_id", "other_id", "logit"])
+                # b -> a: merge this batch into the running top k
+                cand_l = np.vstack([best_l, logits])
+                cand_i = np.vstack([best_i, np.broadcast_to(aid[:, None], logits.shape)])
+                o = np.lexsort((cand_i, -cand_l), axis=0)[:k, :]
+                best_l = np.take_along_axis(cand_l, o, axis=0)
+                best_i = np.take_along_axis(cand_i, o, axis=0)
+            valid = np.isfinite(best_l)
+            r_idx, c_idx = np.nonzero(valid)
+            if len(r_idx):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(["b2a"] * len(r_idx), pa.string()), pa.array(bids[c_idx], pa.int64()),
+                     pa.array(best_i[r_idx, c_idx], pa.int64()), pa.array(best_l[r_idx, c_idx], pa.float64())],
+                    names=["direction", "row_id", "other_id", "logit"])
 
         results.append(asel.mapInArrow(run, "direction string, row_id bigint, other_id bigint, logit double"))
     cand = results[0]

@@ -26,7 +26,9 @@ def global_positions(df: DataFrame, order_cols: list[str], out_col: str = "posit
                      num_partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
     checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # as many ranges as the input has splits (each split is sized by
+    # spark.sql.files.maxPartitionBytes), and at least the shuffle width
+    n = num_partitions or max(df.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     tagged = (df.repartitionByRange(n, *order_cols)
               .sortWithinPartitions(*order_cols)
               .withColumn("_pid", F.spark_partition_id())

@@ -141,16 +141,13 @@ def assign_shards_bytes(df: DataFrame, worker_col: str, order_cols: list[str], s
         off = int(pdf["_off"].iloc[0])
         nxt_local = _next_starts(pdf["_s"].to_numpy(), M, max_bytes)
         in_chunk = int((~pdf["_halo"].to_numpy()).sum())
-        idx = np.empty(in_chunk, dtype=np.int64)
-        k = entry - p[0]
-        idx[:k] = off - 1  # tail of the previous chunk's last shard
-        cur = off - 1
-        nxt_start = k
-        for r in range(k, in_chunk):
-            if r == nxt_start:
-                cur += 1
-                nxt_start = nxt_local[r]
-            idx[r] = cur
+        # walk shard starts only (one step per shard), then a cumulative sum
+        starts = np.zeros(in_chunk, dtype=np.int64)
+        r = entry - p[0]
+        while r < in_chunk:
+            starts[r] = 1
+            r = int(nxt_local[r])
+        idx = off - 1 + np.cumsum(starts)
         return pd.DataFrame({"_w": pdf["_w"].iloc[0], "_pos": p[:in_chunk], "_idx": idx})
 
     labelled = grouped.drop("_n").join(entries, ["_w", "_c"]).groupBy("_w", "_c").applyInPandas(

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardforge.functions.rng import normal_at
+from shardforge.functions.rng import normal_block
 from shardforge.plans.schedule import guided_flag, schedule_array, t_at
 
 VelocityFn = Callable[[Column, Column, Column], Column]
@@ -93,7 +93,7 @@ def sample_batch(df: DataFrame, velocity: VelocityFn, latent_col: str = "latent"
                  cfg: float = 1.8, low: float = 0.0, high: float = 0.7, path: str = "linear",
                  final_guidance: str = "always", seed: int = 0, null_class: int = 1000,
                  t0: float = 1.0, t1: float = 0.04, precision: str = "double",
-                 out_col: str = "sample") -> DataFrame:
+                 out_col: str = "sample", latent_dim: int | None = None) -> DataFrame:
     """Euler-Maruyama with classifier-free guidance over an array column.
 
     Steps 0..n-2 are noisy (x + d dt + sqrt(g) eps sqrt|dt|), guided when
@@ -105,6 +105,7 @@ def sample_batch(df: DataFrame, velocity: VelocityFn, latent_col: str = "latent"
         raise ValueError("need at least 2 steps")
     y = F.col(label_col)
     sid = F.col(id_col)
+    dim = latent_dim or len(df.select(latent_col).first()[0])
 
     def to_prec(arr: Column) -> Column:
         if precision == "float":
@@ -119,11 +120,10 @@ def sample_batch(df: DataFrame, velocity: VelocityFn, latent_col: str = "latent"
         d = F.when(guided_flag(t, cfg, low, high),
                    _guided_drift(velocity, x, t, y, cfg, null_class, path)
                    ).otherwise(drift(velocity(x, t, y), x, t, path))
-        dim = F.size(x)
         noise_scale = F.sqrt(g) * F.sqrt(F.abs(dt))
         moved = F.zip_with(x, d, lambda xe, de: xe + de * dt)
-        return to_prec(F.transform(
-            moved, lambda me, e: me + noise_scale * normal_at(seed, "noise", sid, i * dim + e)))
+        eps = normal_block(seed, "noise", sid, i.cast("bigint") * F.lit(dim), dim)
+        return to_prec(F.zip_with(moved, eps, lambda me, ee: me + noise_scale * ee))
 
     x0 = to_prec(F.col(latent_col).cast("array<double>"))
     x_last = F.aggregate(F.sequence(F.lit(0), F.lit(n - 2)), x0, step)
@@ -149,18 +149,14 @@ def sample_batch(df: DataFrame, velocity: VelocityFn, latent_col: str = "latent"
 # --------------------------------------------------------------------------
 
 def np_hashed_normals(seed, stream: str, keys: np.ndarray, idx: np.ndarray) -> np.ndarray:
-    """The same seeded normal stream as ``normal_at``, computed in Python:
-    result[r, k] = normal(seed, stream, keys[r], idx[k])."""
-    import hashlib
+    """The same seeded normal stream as ``normal_block``, computed in
+    Python: result[r, k] = normal(seed, stream, keys[r], idx[k])."""
+    from shardforge.functions.rng import py_normal
 
     out = np.empty((len(keys), len(idx)), dtype=np.float64)
     for r, key in enumerate(keys):
         for c, j in enumerate(idx):
-            h1 = int(hashlib.md5(f"{seed}:{stream}:{key}:{2 * j}".encode()).hexdigest()[:13], 16)
-            h2 = int(hashlib.md5(f"{seed}:{stream}:{key}:{2 * j + 1}".encode()).hexdigest()[:13], 16)
-            u1 = (h1 + 0.5) / 4503599627370496.0
-            u2 = (h2 + 0.5) / 4503599627370496.0
-            out[r, c] = math.sqrt(-2.0 * math.log(u1)) * math.cos(2.0 * math.pi * u2)
+            out[r, c] = py_normal(seed, stream, int(key), int(j))
     return out
 
 

@@ -25,9 +25,13 @@ def randint(seed, stream: str, key: str, lo: int, hi: int, i: str = "0") -> str:
 
 
 def normal(seed, stream: str, key: str, j: str) -> str:
-    u1 = u(seed, stream, key, f"(({j}) * 2)")
-    u2 = u(seed, stream, key, f"(({j}) * 2 + 1)")
-    return f"(sqrt(-2.0 * ln({u1})) * cos({d(2 * math.pi)} * {u2}))"
+    m = f"((({j})) // 2)"
+    text = (f"concat_ws(':', '{seed}', '{stream}', CAST({key} AS VARCHAR), CAST({m} AS VARCHAR))")
+    h = f"md5({text})"
+    u1 = f"((('0x' || substr({h}, 1, 13))::BIGINT + 0.5) / {TWO_POW_52!r})"
+    u2 = f"((('0x' || substr({h}, 17, 13))::BIGINT + 0.5) / {TWO_POW_52!r})"
+    th = f"({d(2 * math.pi)} * {u2})"
+    return f"(sqrt(-2.0 * ln({u1})) * CASE WHEN (({j})) % 2 = 0 THEN cos({th}) ELSE sin({th}) END)"
 
 
 def _horner(coeffs, x: str, tail_one: bool = False) -> str:
