@@ -128,19 +128,18 @@ def dense_score(df: DataFrame, vec_col: str, layers: list[tuple[np.ndarray, np.n
     ship_package(spark)
     bc = spark.sparkContext.broadcast([(np.asarray(w, np.float64), np.asarray(b, np.float64)) for w, b in layers])
     f_act = _NP_ACTS[activation]
-    out_type = pa.list_(pa.float64())
-
     def run(batches):
         ws = bc.value
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            x = np.asarray(batch.column(vec_col).to_pylist(), dtype=np.float64)
+            from shardforge.functions.arrowbatch import from_matrix, to_matrix
+            x = to_matrix(batch.column(vec_col))
             for li, (w, b) in enumerate(ws):
                 x = x @ w + b
                 if li < len(ws) - 1:
                     x = f_act(x)
-            yield batch.append_column(out_col, pa.array(list(x), type=out_type))
+            yield batch.append_column(out_col, from_matrix(x))
 
     from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
     schema = StructType(list(df.schema.fields) + [StructField(out_col, ArrayType(DoubleType()))])
@@ -298,8 +297,9 @@ def cosine_topk(a: DataFrame, b: DataFrame, a_id: str, b_id: str, vec_col: str,
             for batch in batches:
                 if batch.num_rows == 0:
                     continue
-                aid = np.asarray(batch.column("id").to_pylist(), dtype=np.int64)
-                av = np.asarray(batch.column("vec").to_pylist(), dtype=np.float64)
+                from shardforge.functions.arrowbatch import to_matrix
+                aid = batch.column("id").to_numpy()
+                av = to_matrix(batch.column("vec"))
                 av = av / np.linalg.norm(av, axis=1, keepdims=True)
                 logits = scale * (av @ bm.T)
                 kk = min(k, nbc)

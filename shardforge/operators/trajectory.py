@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shardforge.functions.rng import normal_block
+from shardforge.functions.vectors import let
 from shardforge.plans.schedule import guided_flag, schedule_array, t_at
 
 VelocityFn = Callable[[Column, Column, Column], Column]
@@ -117,9 +118,11 @@ def sample_batch(df: DataFrame, velocity: VelocityFn, latent_col: str = "latent"
         t_next = t_at(i + 1, n, t0, t1)
         dt = t_next - t
         g = F.lit(2.0) * t
-        d = F.when(guided_flag(t, cfg, low, high),
-                   _guided_drift(velocity, x, t, y, cfg, null_class, path)
-                   ).otherwise(drift(velocity(x, t, y), x, t, path))
+        # the conditioned drift is computed once and reused by the guided branch
+        d = let(drift(velocity(x, t, y), x, t, path), lambda d_c: F.when(
+            guided_flag(t, cfg, low, high),
+            guidance_combine(d_c, drift(velocity(x, t, F.lit(null_class)), x, t, path), cfg)
+        ).otherwise(d_c))
         noise_scale = F.sqrt(g) * F.sqrt(F.abs(dt))
         moved = F.zip_with(x, d, lambda xe, de: xe + de * dt)
         eps = normal_block(seed, "noise", sid, i.cast("bigint") * F.lit(dim), dim)
@@ -206,10 +209,10 @@ def sample_batch_arrow(df: DataFrame, velocity_np, latent_col: str = "latent",
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            cols = batch.to_pydict()
-            keys = np.asarray(cols[id_col], dtype=np.int64)
-            ys = np.asarray(cols[label_col], dtype=np.int64)
-            x = np.asarray(cols[latent_col], dtype=np.float64)
+            from shardforge.functions.arrowbatch import from_matrix, to_matrix
+            keys = batch.column(id_col).to_numpy().astype(np.int64)
+            ys = batch.column(label_col).to_numpy().astype(np.int64)
+            x = to_matrix(batch.column(latent_col))
             dim = x.shape[1]
             rngs = None
             if noise == "philox":
@@ -238,8 +241,7 @@ def sample_batch_arrow(df: DataFrame, velocity_np, latent_col: str = "latent",
             else:
                 d = np_drift(velocity_np(x, t, ys), x, t, path)
             x = x + dt * d
-            out = batch.append_column(out_col, pa.array(list(x), type=pa.list_(pa.float64())))
-            yield out
+            yield batch.append_column(out_col, from_matrix(x))
 
     from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
     schema = StructType(list(df.schema.fields) + [StructField(out_col, ArrayType(DoubleType()))])
