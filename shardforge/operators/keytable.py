@@ -130,7 +130,8 @@ def key_collisions(rewritten: DataFrame, by: list[str], old_col: str = "key",
     """New keys that two or more distinct old keys map to."""
     return (rewritten.select(*by, old_col, new_col).dropDuplicates()
             .groupBy(*by, new_col).agg(F.count(F.lit(1)).alias("n_sources"),
-                                       F.sort_array(F.collect_set(old_col)).alias("sources"))
+                                       F.min(old_col).alias("first_source"),
+                                       F.max(old_col).alias("last_source"))
             .filter(F.col("n_sources") > 1))
 
 
@@ -189,10 +190,12 @@ def strict_match(expected: DataFrame, actual: DataFrame, keys: list[str], fail:
 # -- E5 ---------------------------------------------------------------------
 
 def parity(a: DataFrame, b: DataFrame, keys: list[str], value_col: str, decimals: int = 6,
-           b_value_col: str | None = None) -> DataFrame:
+           b_value_col: str | None = None, shape_col: str | None = None) -> DataFrame:
     """One summary row: common / one-sided key counts, max absolute
-    difference, how many differ by 1.5 * 10^-decimals or more, and the worst
-    key (largest difference, smallest key on ties)."""
+    difference, how many differ by 1.5 * 10^-decimals or more (the
+    almost-equal criterion), the worst key (largest difference, smallest key
+    on ties) and, with ``shape_col``, how many common keys differ in shape.
+    One full outer join on the key and one aggregation."""
     if len(keys) != 1:
         a = a.withColumn("_k", F.struct(*keys))
         b = b.withColumn("_k", F.struct(*keys))
@@ -200,17 +203,22 @@ def parity(a: DataFrame, b: DataFrame, keys: list[str], value_col: str, decimals
     else:
         key = keys[0]
     bv = b_value_col or value_col
-    j = (a.select(key, F.col(value_col).alias("_va"))
-         .join(b.select(key, F.col(bv).alias("_vb")), key, "full_outer"))
+    extra_a = [F.col(shape_col).alias("_sa")] if shape_col else []
+    extra_b = [F.col(shape_col).alias("_sb")] if shape_col else []
+    j = (a.select(key, F.col(value_col).alias("_va"), *extra_a)
+         .join(b.select(key, F.col(bv).alias("_vb"), *extra_b), key, "full_outer"))
     diff = F.abs(F.col("_va") - F.col("_vb"))
     thr = 1.5 * 10 ** (-decimals)
     both = F.col("_va").isNotNull() & F.col("_vb").isNotNull()
     worst = F.max(F.when(both, F.struct(diff.alias("d"), (-F.col(key)).alias("nk"))))
-    return j.agg(
+    aggs = [
         F.count(F.when(both, F.lit(1))).alias("n_common"),
         F.count(F.when(F.col("_vb").isNull(), F.lit(1))).alias("n_only_a"),
         F.count(F.when(F.col("_va").isNull(), F.lit(1))).alias("n_only_b"),
         F.max(F.when(both, diff)).alias("max_abs_diff"),
         F.count(F.when(both & (diff >= F.lit(thr)), F.lit(1))).alias("n_beyond"),
         worst.alias("_worst"),
-    ).withColumn("worst_key", -F.col("_worst.nk")).drop("_worst")
+    ]
+    if shape_col:
+        aggs.append(F.count(F.when(both & ~F.col("_sa").eqNullSafe(F.col("_sb")), F.lit(1))).alias("n_shape_mismatch"))
+    return j.agg(*aggs).withColumn("worst_key", -F.col("_worst.nk")).drop("_worst")

@@ -47,10 +47,13 @@ def check_pack(df: DataFrame, num: int, index_col: str = "index") -> None:
         raise ValueError(f"pack is not complete and uniform: {r.asDict()}")
 
 
-def pack_tensor(df: DataFrame, num: int, path: str, rows_per_part: int = 65536,
-                index_col: str = "index", check: bool = True) -> DataFrame:
+def pack_tensor(df: DataFrame, num: int, path: str, rows_per_part: int | None = None,
+                index_col: str = "index", check: bool = True,
+                target_part_bytes: int = 256 << 20) -> DataFrame:
     """Write parts and return the manifest. ``df`` has index, h, w, c and
-    pixels (BINARY, H*W*C bytes in HWC order)."""
+    pixels (BINARY, H*W*C bytes in HWC order). Without ``rows_per_part``
+    a part holds about ``target_part_bytes`` of pixels (a task stacks its
+    part in memory)."""
     import pyarrow as pa
 
     from shardforge.session import ship_package
@@ -58,6 +61,10 @@ def pack_tensor(df: DataFrame, num: int, path: str, rows_per_part: int = 65536,
     ship_package(spark)
     if check:
         check_pack(df, num, index_col)
+    if rows_per_part is None:
+        first = df.select("h", "w", "c").first()
+        per_row = max(1, int(first["h"]) * int(first["w"]) * int(first["c"])) if first else 1
+        rows_per_part = max(1, target_part_bytes // per_row)
     n_parts = max(1, -(-num // rows_per_part))
     os.makedirs(path, exist_ok=True)
     src = df.select(F.col(index_col).alias("index"), "h", "w", "c", "pixels")

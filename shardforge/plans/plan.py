@@ -67,3 +67,14 @@ def resume_plan(plan: DataFrame, progress: DataFrame, on: str | list[str] = "sha
     keys = [on] if isinstance(on, str) else list(on)
     done = progress.select(*keys).dropDuplicates(keys)
     return plan.join(done, on=keys, how="left_anti")
+
+
+def resume_from_shards(plan: DataFrame, spark: SparkSession, shard_path: str, run_id: str | None = None,
+                       on: str = "shard") -> DataFrame:
+    """Remaining plan rows after a stop: the progress records that the
+    ``tarshards`` writer commits with every shard are the completed work."""
+    from shardforge.sources.tarshards import read_progress
+    progress = read_progress(spark, shard_path)
+    if run_id is not None:
+        progress = progress.filter(F.col("run_id") == run_id)
+    return resume_plan(plan, progress.select(F.col("shard").alias(on)), on)

@@ -77,3 +77,25 @@ def test_pack_merge(spark, tmp_path):
     arr = np.load(path)["arr_0"]
     assert arr.shape == (200, 1, 2, 1)
     assert int(arr[199, 0, 1, 0]) == 199
+
+
+def test_resume_from_committed_progress(spark, tmp_path):
+    from shardforge.plans.plan import resume_from_shards, sample_plan
+    from shardforge.sources.tarshards import write_shards
+    plan = sample_plan(spark, 256, batch=8, workers=2, per_shard=32)
+    out = str(tmp_path / "run")
+    first_half = plan.filter(F.col("shard") < 4).select(
+        "shard", F.format_string("%010d", "sample_id").alias("key"), F.col("worker").alias("cls"))
+    write_shards(first_half, out, run_id="r")
+    rest = resume_from_shards(plan, spark, out, run_id="r")
+    assert rest.count() == 256 - first_half.count()
+    assert rest.filter(F.col("shard") < 4).count() == 0
+
+
+def test_parity_counts_shape_mismatch(spark):
+    from shardforge.operators.keytable import parity
+    a = spark.createDataFrame([(1, 1.0, "2x2"), (2, 2.0, "3"), (3, 3.0, "1")], "k long, v double, s string")
+    b = spark.createDataFrame([(1, 1.0, "2x2"), (2, 2.5, "4"), (4, 0.0, "1")], "k long, v double, s string")
+    r = parity(a, b, ["k"], "v", 6, shape_col="s").collect()[0]
+    assert (r["n_common"], r["n_only_a"], r["n_only_b"], r["n_beyond"], r["worst_key"], r["n_shape_mismatch"]) == \
+        (2, 1, 1, 1, 2, 1)
