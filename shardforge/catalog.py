@@ -243,6 +243,18 @@ def q_sample_batch(spark, sf):
             .select("sample_id", "e", r6(F.col("x")).alias("x")))
 
 
+@register("sample_batch_arrow", _sample_batch_sql())
+def q_sample_batch_arrow(spark, sf):
+    """B4 through the model path: a NumPy velocity callable over Arrow
+    batches, same hashed noise stream, so the same oracle applies."""
+    from shardforge.operators.trajectory import np_affine_velocity, sample_batch_arrow
+    e = table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("sample_id"), "label", F.slice("embedding", 1, 8).cast("array<double>").alias("latent"))
+    s = sample_batch_arrow(e, np_affine_velocity(), num_steps=20, seed=SEED)
+    return (s.select("sample_id", F.posexplode("sample").alias("e", "x"))
+            .select("sample_id", "e", r6(F.col("x")).alias("x")))
+
+
 # --------------------------------------------------------------------------
 # F8. resume
 # --------------------------------------------------------------------------

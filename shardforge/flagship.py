@@ -1,5 +1,6 @@
 """The flagship job: plan -> seeded labels and latents -> guided sampling
--> quantise -> tar shards (write, commit, read back) -> per-shard report.
+(model path, Arrow batches) -> quantise -> tar shards (write, commit, read
+back) -> per-shard report.
 
 One lazy plan up to the write; the only shuffle before it is the shard
 repartition. Reads the ``embeddings`` table for the sample ids, so the
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shardforge.functions.arrays import binary_to_pixels, pixels_to_binary, quantise
 from shardforge.functions.rng import seeded_normal, seeded_randint
-from shardforge.operators.trajectory import affine_velocity, sample_batch
+from shardforge.operators.trajectory import np_affine_velocity, sample_batch_arrow
 from shardforge.plans.plan import assign_plan
 from shardforge.session import scratch_path, table
 from shardforge.sources.tarshards import read_shards, write_shards
@@ -26,7 +27,9 @@ def generate_samples(spark: SparkSession, sf_dir: str, seed: int = 0, num_steps:
     sid = F.col("sample_id")
     samples = plan.withColumn("label", seeded_randint(seed, "label", sid, 0, num_classes)) \
         .withColumn("latent", seeded_normal(seed, "latent", sid, 64))
-    out = sample_batch(samples, affine_velocity(), num_steps=num_steps, seed=seed)
+    # the model path: a NumPy velocity over Arrow batches (a real model would
+    # sit here); same hashed noise stream as the Column path
+    out = sample_batch_arrow(samples, np_affine_velocity(), num_steps=num_steps, seed=seed)
     return out.select("shard", F.format_string("%010d", "sample_id").alias("key"),
                       pixels_to_binary(quantise("sample")).alias("img"), F.col("label").alias("cls"))
 

@@ -152,14 +152,26 @@ def sample_batch(df: DataFrame, velocity: VelocityFn, latent_col: str = "latent"
 # --------------------------------------------------------------------------
 
 def np_hashed_normals(seed, stream: str, keys: np.ndarray, idx: np.ndarray) -> np.ndarray:
-    """The same seeded normal stream as ``normal_block``, computed in
-    Python: result[r, k] = normal(seed, stream, keys[r], idx[k])."""
-    from shardforge.functions.rng import py_normal
-
+    """The same seeded normal stream as ``normal_block``, computed in the
+    Python task: result[r, k] = normal(seed, stream, keys[r], idx[k]) with
+    one md5 per Box-Muller pair."""
+    import hashlib
+
+    idx = np.asarray(idx, dtype=np.int64)
+    pairs = np.unique(idx // 2)
+    pos = np.searchsorted(pairs, idx // 2)
+    cos_side = (idx % 2) == 0
+    prefix = f"{seed}:{stream}:"
     out = np.empty((len(keys), len(idx)), dtype=np.float64)
+    md5 = hashlib.md5
     for r, key in enumerate(keys):
-        for c, j in enumerate(idx):
-            out[r, c] = py_normal(seed, stream, int(key), int(j))
+        base = f"{prefix}{int(key)}:"
+        digests = [md5(f"{base}{m}".encode()).hexdigest() for m in pairs.tolist()]
+        u1 = (np.array([int(h[:13], 16) for h in digests], dtype=np.float64) + 0.5) / 4503599627370496.0
+        u2 = (np.array([int(h[16:29], 16) for h in digests], dtype=np.float64) + 0.5) / 4503599627370496.0
+        rad = np.sqrt(-2.0 * np.log(u1))[pos]
+        th = (2.0 * math.pi * u2)[pos]
+        out[r] = np.where(cos_side, rad * np.cos(th), rad * np.sin(th))
     return out
 
 
