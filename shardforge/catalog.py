@@ -70,9 +70,10 @@ SELECT o_orderkey, CAST(j AS INTEGER) AS j, round({S.normal(SEED, 'latent', 'o_o
 FROM orders, range(8) t(j)""")
 def q_seeded_normal(spark, sf):
     from shardforge.functions.rng import seeded_normal
-    o = table(spark, sf, "orders").select("o_orderkey")
+    from shardforge.session import ensure_parallelism
+    o = ensure_parallelism(table(spark, sf, "orders").select("o_orderkey"))
     z = o.select("o_orderkey", seeded_normal(SEED, "latent", F.col("o_orderkey"), 8).alias("z"))
-    return z.select("o_orderkey", F.posexplode("z").alias("j", "z")).select("o_orderkey", "j", r6(F.col("z")).alias("z"))
+    return z.select("o_orderkey", F.posexplode_outer("z").alias("j", "z")).select("o_orderkey", "j", r6(F.col("z")).alias("z"))
 
 
 @register("seeded_trunc_normal", f"""
@@ -190,7 +191,7 @@ def q_score_from_velocity(spark, sf):
     v = affine_velocity()(x, t, F.col("label"))
     s = e.select("vec_id", score_from_velocity(v, x, t, "linear").alias("sl"),
                  score_from_velocity(v, x, t, "cosine").alias("sc"))
-    return (s.select("vec_id", F.posexplode(F.arrays_zip("sl", "sc")).alias("j", "z"))
+    return (s.select("vec_id", F.posexplode_outer(F.arrays_zip("sl", "sc")).alias("j", "z"))
             .select("vec_id", "j", r6(F.col("z.sl")).alias("score_linear"), r6(F.col("z.sc")).alias("score_cosine")))
 
 
@@ -208,7 +209,7 @@ def q_guidance_combine(spark, sf):
     vel = affine_velocity()
     ds = F.transform(stack_guidance(F.col("label")), lambda lbl: drift(vel(x, t, lbl), x, t))
     d = e.select("vec_id", guidance_combine(ds[0], ds[1], 1.8).alias("d"))
-    return d.select("vec_id", F.posexplode("d").alias("j", "d")).select("vec_id", "j", r6(F.col("d")).alias("d"))
+    return d.select("vec_id", F.posexplode_outer("d").alias("j", "d")).select("vec_id", "j", r6(F.col("d")).alias("d"))
 
 
 def _sample_batch_sql(n: int = 20, dim: int = 8, cfg: float = 1.8) -> str:
@@ -239,7 +240,7 @@ def q_sample_batch(spark, sf):
     e = table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("sample_id"), "label", F.slice("embedding", 1, 8).alias("latent"))
     s = sample_batch(e, affine_velocity(), num_steps=20, seed=SEED)
-    return (s.select("sample_id", F.posexplode("sample").alias("e", "x"))
+    return (s.select("sample_id", F.posexplode_outer("sample").alias("e", "x"))
             .select("sample_id", "e", r6(F.col("x")).alias("x")))
 
 
@@ -251,7 +252,7 @@ def q_sample_batch_arrow(spark, sf):
     e = table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("sample_id"), "label", F.slice("embedding", 1, 8).cast("array<double>").alias("latent"))
     s = sample_batch_arrow(e, np_affine_velocity(), num_steps=20, seed=SEED)
-    return (s.select("sample_id", F.posexplode("sample").alias("e", "x"))
+    return (s.select("sample_id", F.posexplode_outer("sample").alias("e", "x"))
             .select("sample_id", "e", r6(F.col("x")).alias("x")))
 
 

@@ -52,7 +52,7 @@ FROM embeddings, range(64) r(i)""")
 def q_quantise(spark, sf):
     from shardforge.functions.arrays import quantise
     q = _emb(spark, sf).select("vec_id", quantise("embedding").alias("px"))
-    return q.select("vec_id", F.posexplode("px").alias("i", "pixel"))
+    return q.select("vec_id", F.posexplode_outer("px").alias("i", "pixel"))
 
 
 @register("permute_axes", """
@@ -70,7 +70,7 @@ def q_permute_axes(spark, sf):
              2: ("oihw_to_hwio", (2, 2, 4, 4)), 3: ("copy", (64,))}
     e = _emb(spark, sf).select("vec_id", (F.col("label") % 4).alias("rule"), _x().alias("x"))
     p = e.select("vec_id", "rule", permute_by_rule(F.col("x"), F.col("rule"), rules).alias("y"))
-    return p.select("vec_id", "rule", F.posexplode("y").alias("j", "value")).select(
+    return p.select("vec_id", "rule", F.posexplode_outer("y").alias("j", "value")).select(
         "vec_id", "rule", "j", r6(F.col("value")).alias("value"))
 
 
@@ -82,7 +82,7 @@ GROUP BY vec_id, tile""")
 def q_tile_mean(spark, sf):
     from shardforge.operators.grids import tile_mean
     t = _emb(spark, sf).select("vec_id", tile_mean(_x(), (1, 8, 8), 2).alias("m"))
-    return t.select("vec_id", F.posexplode("m").alias("tile", "mean")).select(
+    return t.select("vec_id", F.posexplode_outer("m").alias("tile", "mean")).select(
         "vec_id", "tile", F.lit(0).alias("c"), r6(F.col("mean")).alias("mean"))
 
 
@@ -96,8 +96,8 @@ def q_patchify(spark, sf):
     e = _emb(spark, sf).select("vec_id", _x().alias("x"))
     p = e.select("vec_id", "x", patchify(F.col("x"), (4, 4, 4), 2).alias("tok"))
     p = p.withColumn("roundtrip_ok", unpatchify(F.col("tok"), 4, 2) == F.col("x"))
-    return (p.select("vec_id", "roundtrip_ok", F.posexplode("tok").alias("token", "vec"))
-            .select("vec_id", "token", "roundtrip_ok", F.posexplode("vec").alias("f", "value"))
+    return (p.select("vec_id", "roundtrip_ok", F.posexplode_outer("tok").alias("token", "vec"))
+            .select("vec_id", "token", "roundtrip_ok", F.posexplode_outer("vec").alias("f", "value"))
             .select("vec_id", "token", "f", r6(F.col("value")).alias("value"), "roundtrip_ok"))
 
 
@@ -130,8 +130,9 @@ def q_gather_tokens(spark, sf):
     g = (e.select("vec_id", "tokens", F.explode(masks).alias("mk"))
          .select(F.col("mk.mask_id").alias("mask_id"), "vec_id",
                  gather_tokens(F.col("tokens"), F.col("mk.positions")).alias("kept")))
+    # a mask may keep no position: inner explode (no row for an empty list)
     return (g.select("mask_id", "vec_id", F.posexplode("kept").alias("ord", "vec"))
-            .select("mask_id", "vec_id", "ord", F.posexplode("vec").alias("j", "value"))
+            .select("mask_id", "vec_id", "ord", F.posexplode_outer("vec").alias("j", "value"))
             .select("mask_id", "vec_id", "ord", "j", r6(F.col("value")).alias("value")))
 
 
@@ -176,8 +177,8 @@ def q_concat_tokens(spark, sf):
     e = _emb(spark, sf).select("vec_id", _rows8(_x()).alias("tokens"))
     seq = concat_tokens(F.col("tokens"), prefix=[CLS], suffix=[MASK_TOK, MASK_TOK], pos_dim=8, pos_variant="1d")
     t = e.select("vec_id", seq.alias("seq"))
-    return (t.select("vec_id", F.posexplode("seq").alias("pos", "vec"))
-            .select("vec_id", "pos", F.posexplode("vec").alias("j", "value"))
+    return (t.select("vec_id", F.posexplode_outer("seq").alias("pos", "vec"))
+            .select("vec_id", "pos", F.posexplode_outer("vec").alias("j", "value"))
             .select("vec_id", "pos", "j", r6(F.col("value")).alias("value")))
 
 
@@ -201,5 +202,5 @@ GROUP BY e.vec_id, wy.o, wx.o""")
 def q_grid_resample(spark, sf):
     from shardforge.operators.grids import grid_resample
     g = _emb(spark, sf).select("vec_id", grid_resample(_x(), 1, 8, 8, 4, 4).alias("g"))
-    return g.select("vec_id", F.posexplode("g").alias("k", "value")).select(
+    return g.select("vec_id", F.posexplode_outer("g").alias("k", "value")).select(
         "vec_id", "k", r6(F.col("value")).alias("value"))

@@ -26,7 +26,7 @@ def _rows8(x):
 
 
 def _long(df, keys, arr, idx="j", val="value", digits=6):
-    return (df.select(*keys, F.posexplode(arr).alias(idx, val))
+    return (df.select(*keys, F.posexplode_outer(arr).alias(idx, val))
             .select(*keys, idx, F.round(F.col(val), digits).alias(val)))
 
 
@@ -77,8 +77,8 @@ def q_position_features(spark, sf):
             t, position_features(q, 8, 4, variant, n_extra=1), lambda a, b: a + b))
 
     t = e.select("vec_id", F.arrays_zip(add("half").alias("h"), add("quarter").alias("q")).alias("z"))
-    t = t.select("vec_id", F.posexplode("z").alias("pos", "zz"))
-    t = t.select("vec_id", "pos", F.posexplode(F.arrays_zip(F.col("zz.h").alias("h"), F.col("zz.q").alias("q")))
+    t = t.select("vec_id", F.posexplode_outer("z").alias("pos", "zz"))
+    t = t.select("vec_id", "pos", F.posexplode_outer(F.arrays_zip(F.col("zz.h").alias("h"), F.col("zz.q").alias("q")))
                  .alias("j", "e"))
     return t.select("vec_id", "pos", "j", r6(F.col("e.h")).alias("v_half"), r6(F.col("e.q")).alias("v_quarter"))
 
@@ -130,9 +130,9 @@ def q_modulate(spark, sf):
               .select("label", F.transform(seeded_normal(SEED, "adaln", F.col("label"), 48),
                                            lambda v: v * F.lit(0.1)).alias("params")))
     m = modulate_tokens(e, params, "label", "tokens", "params", 8)
-    t = m.select("vec_id", F.posexplode(F.arrays_zip(F.col("modulated").alias("m"), F.col("gated").alias("g")))
+    t = m.select("vec_id", F.posexplode_outer(F.arrays_zip(F.col("modulated").alias("m"), F.col("gated").alias("g")))
                  .alias("pos", "z"))
-    t = t.select("vec_id", "pos", F.posexplode(F.arrays_zip(F.col("z.m").alias("m"), F.col("z.g").alias("g")))
+    t = t.select("vec_id", "pos", F.posexplode_outer(F.arrays_zip(F.col("z.m").alias("m"), F.col("z.g").alias("g")))
                  .alias("j", "e"))
     return t.select("vec_id", "pos", "j", r6(F.col("e.m")).alias("modulated"), r6(F.col("e.g")).alias("gated"))
 
@@ -161,7 +161,7 @@ def q_vector_functions(spark, sf):
             "silu": V.vec_act("silu", "x"), "gelu_tanh": V.vec_act("gelu_tanh", "x"),
             "quick_gelu": V.vec_act("quick_gelu", "x"), "relu": V.vec_act("relu", "x")}
     z = e.select("vec_id", V.dot("x", "x").alias("self_dot"), F.arrays_zip(*[c.alias(n) for n, c in cols.items()]).alias("z"))
-    t = z.select("vec_id", "self_dot", F.posexplode("z").alias("j", "e"))
+    t = z.select("vec_id", "self_dot", F.posexplode_outer("z").alias("j", "e"))
     return t.select("vec_id", "j", *[r6(F.col(f"e.{n}")).alias(n) for n in cols], r6(F.col("self_dot")).alias("self_dot"))
 
 
@@ -297,7 +297,8 @@ SELECT doc_id, CAST(len(ids) AS INTEGER) AS n_tokens, CAST(list_position(ids, li
 FROM (SELECT doc_id, list_transform(string_split(text, ' '), lambda w: {_bucket_sql('w', 49408)}) AS ids FROM documents)""")
 def q_argmax_pick(spark, sf):
     from shardforge.operators.features import argmax_pick, word_bucket
-    d = table(spark, sf, "documents").select("doc_id", F.transform(F.split("text", " "), lambda w: word_bucket(w, 49408))
-                                               .alias("ids"))
+    from shardforge.session import ensure_parallelism
+    d = ensure_parallelism(table(spark, sf, "documents")).select(
+        "doc_id", F.transform(F.split("text", " "), lambda w: word_bucket(w, 49408)).alias("ids"))
     return d.select("doc_id", F.size("ids").alias("n_tokens"), argmax_pick("ids").alias("argmax_pos"),
                     F.array_max("ids").alias("max_id"))

@@ -36,7 +36,7 @@ def generate_samples(spark: SparkSession, sf_dir: str, seed: int = 0, num_steps:
 
 def shard_report(spark: SparkSession, path: str) -> DataFrame:
     back = read_shards(spark, path, "shard bigint, key string, img binary, cls int")
-    px = back.select("shard", "key", F.explode(binary_to_pixels("img")).alias("p"))
+    px = back.select("shard", "key", F.explode_outer(binary_to_pixels("img")).alias("p"))
     rows = back.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"),
                                      F.count_distinct("key").alias("distinct_keys"))
     mean = px.groupBy("shard").agg(F.round(F.avg("p"), 6).alias("mean_pixel"))

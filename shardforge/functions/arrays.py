@@ -11,13 +11,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shardforge.functions.vectors import let
+from shardforge import constants as K
 
 
 def _c(x) -> Column:
     return x if isinstance(x, Column) else F.col(x)
 
 
-def quantise(x, scale: float = 0.18215, decode=None) -> Column:
+def quantise(x, scale: float = K.LATENT_SCALE, decode=None) -> Column:
     """Latent -> uint8 pixel values as ARRAY<INT>: x / scale, then the
     (pluggable, default identity) decoder, then (img + 1) / 2 * 255 clipped
     to [0, 255] and truncated toward zero (not rounded)."""

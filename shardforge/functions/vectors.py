@@ -7,6 +7,7 @@ import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from shardforge import constants as K
 
 
 def _c(x) -> Column:
@@ -60,7 +61,7 @@ def vec_mean(a) -> Column:
     return vec_sum(a) / F.size(a)
 
 
-def layer_norm(a, eps: float = 1e-6) -> Column:
+def layer_norm(a, eps: float = K.LAYER_NORM_EPS) -> Column:
     """(x - mean) / sqrt(var + eps), no affine part; var is the biased
     variance computed around the mean."""
     def body(arr):
@@ -90,9 +91,9 @@ def act(name: str, x: Column) -> Column:
         return x * sigmoid(x)
     if name in ("gelu_tanh", "gelu"):
         k = math.sqrt(2.0 / math.pi)
-        return F.lit(0.5) * x * (F.lit(1.0) + F.tanh(F.lit(k) * (x + F.lit(0.044715) * x * x * x)))
+        return F.lit(0.5) * x * (F.lit(1.0) + F.tanh(F.lit(k) * (x + F.lit(K.GELU_TANH_C) * x * x * x)))
     if name == "quick_gelu":
-        return x * sigmoid(F.lit(1.702) * x)
+        return x * sigmoid(F.lit(K.QUICK_GELU_C) * x)
     if name == "tanh":
         return F.tanh(x)
     if name in ("identity", "none", None):
@@ -104,7 +105,7 @@ def vec_act(name: str, a) -> Column:
     return F.transform(_c(a), lambda x: act(name, x))
 
 
-def sinusoid_features(t, dim: int, max_period: float = 10000.0) -> Column:
+def sinusoid_features(t, dim: int, max_period: float = K.MAX_PERIOD) -> Column:
     """Timestep features: cos(t*f_k) for k < half, then sin(t*f_k), then a
     zero when dim is odd; f_k = exp(-ln(max_period) * k / half)."""
     t = _c(t).cast("double")
@@ -122,7 +123,7 @@ def sinusoid_features(t, dim: int, max_period: float = 10000.0) -> Column:
     return F.concat(*parts)
 
 
-def sincos_1d(pos: Column, dim: int, temperature: float = 10000.0) -> list[Column]:
+def sincos_1d(pos: Column, dim: int, temperature: float = K.SINCOS_TEMPERATURE) -> list[Column]:
     """[sin(pos*w_k), cos(pos*w_k)] parts with w_k = temperature^(-k/(dim/2)),
     k < dim/2 (MAE convention); returns the two arrays."""
     half = dim // 2
@@ -137,7 +138,7 @@ def sincos_1d(pos: Column, dim: int, temperature: float = 10000.0) -> list[Colum
 
 
 def position_features(pos: Column, dim: int, grid_w: int, variant: str = "half",
-                      n_extra: int = 0, temperature: float = 10000.0) -> Column:
+                      n_extra: int = 0, temperature: float = K.SINCOS_TEMPERATURE) -> Column:
     """Fixed 2-D sin-cos position vector for token ``pos`` of a grid of width
     ``grid_w``. ``n_extra`` leading tokens (class tokens) get a zero vector.
 

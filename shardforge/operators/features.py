@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardforge.functions.vectors import act, let, vec_add
+from shardforge import constants as K
 
 
 def _c(x) -> Column:
@@ -24,7 +25,7 @@ def _c(x) -> Column:
 
 def explode_vector(df: DataFrame, vec_col: str, idx: str = "j", val: str = "v") -> DataFrame:
     keep = [c for c in df.columns if c != vec_col]
-    return df.select(*keep, F.posexplode(vec_col).alias(idx, val))
+    return df.select(*keep, F.posexplode_outer(vec_col).alias(idx, val))
 
 
 def collect_vector(df: DataFrame, keys: list[str], idx: str = "j", val: str = "v",
@@ -110,8 +111,8 @@ _NP_ACTS = {
     "identity": lambda v: v,
     "relu": lambda v: np.maximum(v, 0.0),
     "silu": lambda v: v / (1.0 + np.exp(-v)),
-    "gelu_tanh": lambda v: 0.5 * v * (1.0 + np.tanh(math.sqrt(2.0 / math.pi) * (v + 0.044715 * v ** 3))),
-    "quick_gelu": lambda v: v / (1.0 + np.exp(-1.702 * v)),
+    "gelu_tanh": lambda v: 0.5 * v * (1.0 + np.tanh(math.sqrt(2.0 / math.pi) * (v + K.GELU_TANH_C * v ** 3))),
+    "quick_gelu": lambda v: v / (1.0 + np.exp(-K.QUICK_GELU_C * v)),
     "tanh": np.tanh,
 }
 
@@ -123,9 +124,10 @@ def dense_score(df: DataFrame, vec_col: str, layers: list[tuple[np.ndarray, np.n
     deserialised once per Python worker."""
     import pyarrow as pa
 
-    from shardforge.session import ship_package
+    from shardforge.session import ensure_parallelism, ship_package
     spark = df.sparkSession
     ship_package(spark)
+    df = ensure_parallelism(df)
     bc = spark.sparkContext.broadcast([(np.asarray(w, np.float64), np.asarray(b, np.float64)) for w, b in layers])
     f_act = _NP_ACTS[activation]
     def run(batches):
@@ -184,7 +186,8 @@ def _block_partials(pairs: DataFrame, d: int, causal: bool) -> DataFrame:
 
 
 def group_attention(df: DataFrame, group_cols: list[str], id_col: str, pos_col: str, vec_col: str,
-                    causal: bool = False, block_rows: int = 1024, out_col: str = "attn") -> DataFrame:
+                    causal: bool = False, block_rows: int = 1024, out_col: str = "attn",
+                    dim: int | None = None) -> DataFrame:
     """softmax(q.k / sqrt(d)) weighted sum of the group's vectors for every
     row (query = key = value = the row vector; learned projections are
     dense layers before and after). ``causal`` keeps keys with pos <= the
@@ -201,7 +204,7 @@ def group_attention(df: DataFrame, group_cols: list[str], id_col: str, pos_col:
     from shardforge.session import ship_package
     spark = df.sparkSession
     ship_package(spark)
-    d = len(df.select(vec_col).first()[0])
+    d = dim or len(df.select(vec_col).first()[0])
     base = df.select(*group_cols, F.struct(*group_cols).alias("_g"), F.col(id_col).cast("bigint").alias("id"),
                      F.col(pos_col).cast("bigint").alias("pos"), F.col(vec_col).cast("array<double>").alias("vec"))
     sizes = base.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
@@ -220,7 +223,7 @@ def group_attention(df: DataFrame, group_cols: list[str], id_col: str, pos_col:
     parts = _block_partials(pairs, d, causal)
     mx = parts.groupBy("q_id").agg(F.max("m").alias("_M"))
     weighted = parts.join(mx, "q_id").withColumn("_w", F.exp(F.col("m") - F.col("_M")))
-    sums = (weighted.select("q_id", "_w", F.posexplode("acc").alias("j", "a"))
+    sums = (weighted.select("q_id", "_w", F.posexplode_outer("acc").alias("j", "a"))
             .groupBy("q_id", "j").agg(F.sum(F.col("a") * F.col("_w")).alias("a")))
     norm = sums.filter(F.col("j") == d).select("q_id", F.col("a").alias("_L"))
     vals = sums.filter(F.col("j") < d).join(norm, "q_id").select("q_id", "j", (F.col("a") / F.col("_L")).alias("v"))
@@ -228,14 +231,15 @@ def group_attention(df: DataFrame, group_cols: list[str], id_col: str, pos_col:
     return df.join(out.withColumnRenamed("q_id", id_col), id_col)
 
 
-def attention_pool(df: DataFrame, group_cols: list[str], vec_col: str, out_col: str = "pooled") -> DataFrame:
+def attention_pool(df: DataFrame, group_cols: list[str], vec_col: str, out_col: str = "pooled",
+                   dim: int | None = None) -> DataFrame:
     """Attention pooling per group: the query is the group's mean vector,
     the tokens are the mean itself and the group's rows; output is the
     softmax(q.k / sqrt(d))-weighted sum of the tokens. Linear in the group
     size: two partial aggregations and a max pass, no pairs."""
     vec = F.col(vec_col).cast("array<double>")
     base = df.select(*group_cols, vec.alias("vec"))
-    d = len(base.select("vec").first()[0])
+    d = dim or len(base.select("vec").first()[0])
     mean = mean_vectors(base, group_cols, "vec", out="q")
     tokens = base.unionByName(mean.withColumnRenamed("q", "vec"))
     scored = tokens.join(mean, group_cols).withColumn(
@@ -243,7 +247,7 @@ def attention_pool(df: DataFrame, group_cols: list[str], vec_col: str, out_col:
         / F.lit(math.sqrt(d)))
     mx = scored.groupBy(*group_cols).agg(F.max("s").alias("_M"))
     w = scored.join(mx, group_cols).withColumn("_w", F.exp(F.col("s") - F.col("_M")))
-    long = w.select(*group_cols, "_w", F.posexplode("vec").alias("j", "v"))
+    long = w.select(*group_cols, "_w", F.posexplode_outer("vec").alias("j", "v"))
     sums = long.groupBy(*group_cols, "j").agg(F.sum(F.col("v") * F.col("_w")).alias("a"))
     norm = w.groupBy(*group_cols).agg(F.sum("_w").alias("_L"))
     vals = sums.join(norm, group_cols).select(*group_cols, "j", (F.col("a") / F.col("_L")).alias("v"))
@@ -276,7 +280,9 @@ def cosine_topk(a: DataFrame, b: DataFrame, a_id: str, b_id: str, vec_col: str,
     nb = b.count()
     n_chunks = max(1, -(-nb // max_broadcast_rows))
     bsel = b.select(F.col(b_id).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    asel = a.select(F.col(a_id).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    from shardforge.session import ensure_parallelism
+    asel = ensure_parallelism(
+        a.select(F.col(a_id).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")))
     results = []
     for c in range(n_chunks):
         chunk = bsel if n_chunks == 1 else bsel.filter(F.pmod(F.xxhash64("id"), F.lit(n_chunks)) == c)
@@ -361,7 +367,10 @@ def _hash_bow(df: DataFrame, id_col: str, text_col: str, dim: int, bigram: bool)
     if bigram:
         words = let(words, lambda ws: F.transform(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))),
                                                   lambda w, i: F.concat_ws(" ", w, ws[i + 1])))
-    long = df.select(id_col, F.explode(words).alias("_w"))
+    # explode_outer: a plain explode lets Spark infer size(words) > 0 and
+    # push that filter below the projection, splitting every text twice
+    long = (df.filter(F.col(text_col).isNotNull()).select(id_col, F.explode_outer(words).alias("_w"))
+            .filter(F.col("_w").isNotNull()))  # a one-word text has no bigram
     return (long.groupBy(id_col, word_bucket(F.col("_w"), dim).alias("bucket"))
             .agg(F.count(F.lit(1)).cast("double").alias("value")))
 
@@ -377,7 +386,9 @@ def extract_features(df: DataFrame, id_col: str, text_col: str, spec: str,
     other encoders come from ``registry`` ("type-arch" -> callable(list of
     texts, size) -> 2-D array) and all of them run in one ``mapInArrow``
     pass, emitting dense vectors in long form."""
+    from shardforge.session import ensure_parallelism
     encs = parse_encoder_spec(spec)
+    df = ensure_parallelism(df)
     outs = []
     custom = []
     for t, a, s in encs:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from shardforge import constants as K
 
 
 def _c(x) -> Column:
@@ -189,7 +190,7 @@ def strict_match(expected: DataFrame, actual: DataFrame, keys: list[str], fail:
 
 # -- E5 ---------------------------------------------------------------------
 
-def parity(a: DataFrame, b: DataFrame, keys: list[str], value_col: str, decimals: int = 6,
+def parity(a: DataFrame, b: DataFrame, keys: list[str], value_col: str, decimals: int = K.PARITY_DECIMALS,
            b_value_col: str | None = None, shape_col: str | None = None) -> DataFrame:
     """One summary row: common / one-sided key counts, max absolute
     difference, how many differ by 1.5 * 10^-decimals or more (the
@@ -208,7 +209,7 @@ def parity(a: DataFrame, b: DataFrame, keys: list[str], value_col: str, decimals
     j = (a.select(key, F.col(value_col).alias("_va"), *extra_a)
          .join(b.select(key, F.col(bv).alias("_vb"), *extra_b), key, "full_outer"))
     diff = F.abs(F.col("_va") - F.col("_vb"))
-    thr = 1.5 * 10 ** (-decimals)
+    thr = K.PARITY_FACTOR * 10 ** (-decimals)
     both = F.col("_va").isNotNull() & F.col("_vb").isNotNull()
     worst = F.max(F.when(both, F.struct(diff.alias("d"), (-F.col(key)).alias("nk"))))
     aggs = [

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from shardforge.functions.rng import seeded_uniform
 from shardforge.functions.vectors import vec_add
+from shardforge import constants as K
 
 
-def label_dropout(label: Column, key: Column, p: float, null_class: int = 1000,
+def label_dropout(label: Column, key: Column, p: float = K.CLASS_DROPOUT, null_class: int = K.NULL_CLASS,
                   seed: int = 0, force: Column | None = None) -> Column:
     """Replace the label by the null class with probability ``p`` (seeded by
     key), or, when a force column is given, exactly where force == 1."""

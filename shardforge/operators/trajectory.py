@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from shardforge.functions.rng import normal_block
 from shardforge.functions.vectors import let
 from shardforge.plans.schedule import guided_flag, schedule_array, t_at
+from shardforge import constants as K
 
 VelocityFn = Callable[[Column, Column, Column], Column]
 
@@ -59,7 +60,7 @@ def drift(v: Column, x: Column, t: Column, path: str = "linear") -> Column:
     return F.zip_with(v, x, lambda ve, xe: ve - half_g * (a * ve + b * xe))
 
 
-def stack_guidance(label: Column, null_class: int = 1000) -> Column:
+def stack_guidance(label: Column, null_class: int = K.NULL_CLASS) -> Column:
     """The doubled batch of a guided step, as a 2-element label array
     [y, null]; the model is applied to both entries of the same row."""
     return F.array(label.cast("int"), F.lit(null_class))
@@ -71,7 +72,7 @@ def guidance_combine(d_cond: Column, d_uncond: Column, scale: float) -> Column:
     return F.zip_with(d_cond, d_uncond, lambda c, u: u + s * (c - u))
 
 
-def affine_velocity(null_class: int = 1000, cond_slope: float = 0.1, cond_shift: float = 0.05,
+def affine_velocity(null_class: int = K.NULL_CLASS, cond_slope: float = 0.1, cond_shift: float = 0.05,
                     null_slope: float = 0.5) -> VelocityFn:
     """A small stand-in model: v = (cond_slope * y) * x + cond_shift for a
     class y, v = null_slope * x for the null class."""
@@ -91,9 +92,9 @@ def _guided_drift(velocity: VelocityFn, x: Column, t: Column, y: Column, cfg: fl
 
 def sample_batch(df: DataFrame, velocity: VelocityFn, latent_col: str = "latent",
                  label_col: str = "label", id_col: str = "sample_id", num_steps: int = 20,
-                 cfg: float = 1.8, low: float = 0.0, high: float = 0.7, path: str = "linear",
-                 final_guidance: str = "always", seed: int = 0, null_class: int = 1000,
-                 t0: float = 1.0, t1: float = 0.04, precision: str = "double",
+                 cfg: float = K.CFG_SCALE, low: float = K.GUIDANCE_LOW, high: float = K.GUIDANCE_HIGH,
+                 path: str = "linear", final_guidance: str = "always", seed: int = 0,
+                 null_class: int = K.NULL_CLASS, t0: float = K.T_START, t1: float = K.T_END, precision: str = "double",
                  out_col: str = "sample", latent_dim: int | None = None) -> DataFrame:
     """Euler-Maruyama with classifier-free guidance over an array column.
 
@@ -143,8 +144,9 @@ def sample_batch(df: DataFrame, velocity: VelocityFn, latent_col: str = "latent"
         return to_prec(F.zip_with(x, d, lambda xe, de: xe + dt * de))
 
     # the loop result is bound once, then the final step reads it
+    from shardforge.session import ensure_parallelism
     tmp = "_x_loop"
-    return df.withColumn(tmp, x_last).withColumn(out_col, final(F.col(tmp))).drop(tmp)
+    return ensure_parallelism(df).withColumn(tmp, x_last).withColumn(out_col, final(F.col(tmp))).drop(tmp)
 
 
 # --------------------------------------------------------------------------
@@ -187,7 +189,7 @@ def np_drift(v: np.ndarray, x: np.ndarray, t: float, path: str) -> np.ndarray:
     return v - t * (a * v + b * x)
 
 
-def np_affine_velocity(null_class: int = 1000, cond_slope=0.1, cond_shift=0.05, null_slope=0.5):
+def np_affine_velocity(null_class: int = K.NULL_CLASS, cond_slope=0.1, cond_shift=0.05, null_slope=0.5):
     def v(x: np.ndarray, t: float, y: np.ndarray) -> np.ndarray:
         is_null = (y == null_class)[:, None]
         cond = (cond_slope * y.astype(np.float64))[:, None] * x + cond_shift
@@ -197,9 +199,10 @@ def np_affine_velocity(null_class: int = 1000, cond_slope=0.1, cond_shift=0.05,
 
 def sample_batch_arrow(df: DataFrame, velocity_np, latent_col: str = "latent",
                        label_col: str = "label", id_col: str = "sample_id", num_steps: int = 20,
-                       cfg: float = 1.8, low: float = 0.0, high: float = 0.7, path: str = "linear",
-                       final_guidance: str = "always", seed: int = 0, null_class: int = 1000,
-                       t0: float = 1.0, t1: float = 0.04, noise: str = "hashed",
+                       cfg: float = K.CFG_SCALE, low: float = K.GUIDANCE_LOW,
+                       high: float = K.GUIDANCE_HIGH, path: str = "linear",
+                       final_guidance: str = "always", seed: int = 0, null_class: int = K.NULL_CLASS,
+                       t0: float = K.T_START, t1: float = K.T_END, noise: str = "hashed",
                        out_col: str = "sample") -> DataFrame:
     """Same trajectory with a NumPy velocity callable ``velocity_np(x, t, y)``
     (x: (rows, dim) float64, y: (rows,) int) applied per Arrow batch.
@@ -209,8 +212,9 @@ def sample_batch_arrow(df: DataFrame, velocity_np, latent_col: str = "latent",
     by (seed, sample_id) — a different stream, much faster for large latents."""
     import pyarrow as pa
 
-    from shardforge.session import ship_package
+    from shardforge.session import ensure_parallelism, ship_package
     ship_package(df.sparkSession)
+    df = ensure_parallelism(df)
     grid = schedule_array(num_steps, t0, t1)
     n = num_steps
 

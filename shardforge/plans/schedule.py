@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from shardforge import constants as K
 
 
-def t_at(i: Column, n: int, t0: float = 1.0, t1: float = 0.04) -> Column:
+def t_at(i: Column, n: int, t0: float = K.T_START, t1: float = K.T_END) -> Column:
     """Grid value for step index ``i`` (0..n); index n is the final 0."""
     delta = (t1 - t0) / (n - 1)
     return (F.when(i >= F.lit(n), F.lit(0.0))
@@ -25,8 +26,9 @@ def guided_flag(t_cur: Column, cfg: float, low: float, high: float) -> Column:
     return F.lit(cfg > 1.0) & (t >= F.lit(float(low))) & (t <= F.lit(float(high)))
 
 
-def step_plan(samples: DataFrame, n: int, id_col: str = "sample_id", t0: float = 1.0,
-              t1: float = 0.04, cfg: float = 1.8, low: float = 0.0, high: float = 0.7,
+def step_plan(samples: DataFrame, n: int, id_col: str = "sample_id", t0: float = K.T_START,
+              t1: float = K.T_END, cfg: float = K.CFG_SCALE, low: float = K.GUIDANCE_LOW,
+              high: float = K.GUIDANCE_HIGH,
               final_guidance: str = "always") -> DataFrame:
     if n < 2:
         raise ValueError("need at least 2 steps")
@@ -61,7 +63,7 @@ def step_cost(steps: DataFrame) -> DataFrame:
                  F.sum("model_rows").cast("bigint").alias("model_rows")))
 
 
-def schedule_array(n: int, t0: float = 1.0, t1: float = 0.04) -> list[float]:
+def schedule_array(n: int, t0: float = K.T_START, t1: float = K.T_END) -> list[float]:
     """The grid as a driver list (n + 1 values); a tiny constant."""
     delta = (t1 - t0) / (n - 1)
     return [t0 + i * delta for i in range(n - 1)] + [t1, 0.0]

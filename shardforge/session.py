@@ -105,3 +105,15 @@ def register_sources(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread rows over at least one partition per core before CPU-bound
+    per-row work (hashing, trajectories, matrix products). A table read from
+    few large row groups arrives in very few partitions; on a cluster reading
+    many splits this is a no-op, so it never adds a shuffle where the input
+    is already parallel."""
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df

@@ -21,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
+from shardforge import constants as K
 
 _SIG = b"\x89PNG\r\n\x1a\n"
 _COLOR = {1: 0, 3: 2, 4: 6}  # channels -> PNG colour type
@@ -102,7 +103,7 @@ class ImageFolderWriter(DataSourceWriter):
 
     def __init__(self, options, schema: StructType, overwrite: bool):
         self.path = options.get("path")
-        self.digits = int(options.get("digits", "6"))
+        self.digits = int(options.get("digits", str(K.IMAGE_DIGITS)))
         os.makedirs(self.path, exist_ok=True)
 
     def write(self, iterator):

@@ -34,9 +34,10 @@ from dataclasses import dataclass
 from pyspark.sql.datasource import (DataSource, DataSourceReader, DataSourceWriter,
                                     InputPartition, WriterCommitMessage)
 from pyspark.sql.types import BinaryType, StringType, StructType
+from shardforge import constants as K
 
 LONG_SCHEMA = "shard bigint, key string, ext string, payload binary"
-NAME_PATTERN = "shards-%05d.tar"
+NAME_PATTERN = K.SHARD_NAME
 _FILE_RE = re.compile(r"^shards-(\d+)\.tar$")
 
 

@@ -99,3 +99,14 @@ def test_parity_counts_shape_mismatch(spark):
     r = parity(a, b, ["k"], "v", 6, shape_col="s").collect()[0]
     assert (r["n_common"], r["n_only_a"], r["n_only_b"], r["n_beyond"], r["worst_key"], r["n_shape_mismatch"]) == \
         (2, 1, 1, 1, 2, 1)
+
+
+def test_run_counters_filled_by_the_write(spark, tmp_path):
+    from shardforge.operators.metrics import observe_run
+    from shardforge.sources.tarshards import write_shards
+    recs = _records(spark).withColumn("size", F.length("img"))
+    observed, obs = observe_run(recs, "size")
+    write_shards(observed.drop("size"), str(tmp_path / "o"))
+    got = obs.get
+    n = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").count()
+    assert got["rows"] == n and got["bytes"] == 64 * n and got["max_record_bytes"] == 64
