@@ -105,8 +105,7 @@ def q_stream_shards(spark, sf):
     out = scratch_path(spark, "stream-shards")
     keyed = stream.withColumn("key", F.format_string("%010d", "event_id"))
     q = stream_shards(keyed, out, out + "-checkpoint", per_shard=1000, key_col="key",
-                      member_cols={"type": "event_type", "value": F.col("value").cast("string")},
-                      order_cols=["event_id"])
+                      member_cols={"type": "event_type", "value": F.col("value").cast("string")})
     q.awaitTermination()
     back = read_shards(spark, out, "shard bigint, key string, type string, value double")
     return back.select("key", "type", "value")

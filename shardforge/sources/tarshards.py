@@ -244,16 +244,19 @@ class TarShardsDataSource(DataSource):
 
 
 def write_shards(df, path: str, run_id: str = "run", mode: str = "append",
-                 num_partitions: int | None = None) -> None:
+                 num_partitions: int | None = None, grouped: bool = False) -> None:
     """Partition by shard (so each shard is one task's output), sort by key
-    inside partitions and write through the data source."""
+    inside partitions and write through the data source. ``grouped=True``
+    says every shard's rows already sit together in one partition (shards
+    numbered per partition), so no shuffle is needed."""
     from pyspark.sql import functions as F
 
     from shardforge.session import register_sources
     register_sources(df.sparkSession)
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (df.repartition(n, F.col("shard")).sortWithinPartitions("shard", "key")
-     .write.format("tarshards").mode(mode).option("run_id", run_id).save(path))
+    if not grouped:
+        n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        df = df.repartition(n, F.col("shard")).sortWithinPartitions("shard", "key")
+    df.write.format("tarshards").mode(mode).option("run_id", run_id).save(path)
 
 
 def read_shards(spark, path: str, schema: str | None = None, shards=None, exts=None):

@@ -1,9 +1,9 @@
 """Continuous shard production (F7): a Structured Streaming query whose
 ``foreachBatch`` turns every micro-batch into full shards plus one final
-partial shard (the flush), written through the ``tarshards`` commit
-protocol.
+partial shard per writer (the flush), written through the ``tarshards``
+commit protocol.
 
-Shard numbers come from (epoch, position in the batch), not from a driver
+Shard numbers come from (epoch, partition, position), not from a driver
 counter, so a replayed epoch rewrites the same shard names instead of
 adding new ones; the stream's own checkpoint tracks which input was done."""
 
@@ -12,33 +12,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardforge.operators.positions import global_positions
 from shardforge.sources.tarshards import write_shards
 
 EPOCH_STRIDE = 1_000_000  # shard numbers per epoch
 
 
-def shard_batch(batch: DataFrame, epoch: int, per_shard: int, order_cols: list[str]) -> DataFrame:
-    pos = global_positions(batch, order_cols, "_pos")
-    return pos.withColumn("shard", (F.lit(epoch * EPOCH_STRIDE) + F.floor(F.col("_pos") / per_shard))
-                          .cast("bigint")).drop("_pos")
+def shard_batch(batch: DataFrame, epoch: int, per_shard: int) -> DataFrame:
+    """Shard numbers inside one micro-batch: every input partition acts as
+    a writer (as every worker does in the reference) — its rows fill shards
+    of ``per_shard`` in arrival order, the last one partial (the flush), and
+    partition p of P writes shards p, p + P, p + 2P, ... after the epoch's
+    base. A replayed epoch reads the same files into the same partitions,
+    so it rewrites the same names. No shuffle, no global numbering."""
+    n_parts = batch.rdd.getNumPartitions()
+    pid = F.spark_partition_id().cast("bigint")
+    local = F.monotonically_increasing_id() - F.shiftleft(pid, 33)
+    return batch.withColumn("shard", (F.lit(epoch * EPOCH_STRIDE) + pid
+                                      + F.floor(local / F.lit(per_shard)) * F.lit(n_parts)).cast("bigint"))
 
 
 def stream_shards(stream: DataFrame, out_path: str, checkpoint: str, per_shard: int,
-                  key_col: str, member_cols: dict[str, object], order_cols: list[str] | None = None,
-                  available_now: bool = True, run_id: str = "stream"):
+                  key_col: str, member_cols: dict[str, object], available_now: bool = True,
+                  run_id: str = "stream"):
     """Start the query. ``member_cols`` maps tar extensions to columns or
     expressions. Returns the StreamingQuery."""
-    order_cols = order_cols or [key_col]
 
     def each(batch: DataFrame, epoch: int):
         if batch.isEmpty():
             return
-        rows = batch.select(*order_cols, F.col(key_col).alias("_key"),
+        rows = batch.select(F.col(key_col).alias("key"),
                             *[(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in member_cols.items()])
-        sharded = shard_batch(rows, epoch, per_shard, order_cols)
-        write_shards(sharded.select("shard", F.col("_key").alias("key"), *member_cols.keys()),
-                     out_path, run_id=f"{run_id}-{epoch}")
+        sharded = shard_batch(rows, epoch, per_shard)
+        write_shards(sharded.select("shard", "key", *member_cols.keys()), out_path,
+                     run_id=f"{run_id}-{epoch}", grouped=True)
 
     w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")

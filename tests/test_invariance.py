@@ -158,7 +158,7 @@ def test_stream_replay_rewrites_same_shards(spark, tmp_path):
         stream = spark.readStream.schema(ev.schema).parquet(src).withColumn(
             "key", F.format_string("%010d", "event_id"))
         q = stream_shards(stream, out, ckpt, per_shard=100, key_col="key",
-                          member_cols={"type": "event_type"}, order_cols=["event_id"])
+                          member_cols={"type": "event_type"})
         q.awaitTermination()
 
     run(str(tmp_path / "ck1"))
