@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardforge.session import checkpoint_dir
+from shardforge.session import checkpoint_dir, reliable_checkpoint
 
 
 def global_positions(df: DataFrame, order_cols: list[str], out_col: str = "position",
@@ -32,8 +32,8 @@ def global_positions(df: DataFrame, order_cols: list[str], out_col: str = "posit
     tagged = (df.repartitionByRange(n, *order_cols)
               .sortWithinPartitions(*order_cols)
               .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .checkpoint(eager=True))
+              .withColumn("_mid", F.monotonically_increasing_id()))
+    tagged = reliable_checkpoint(tagged)
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))

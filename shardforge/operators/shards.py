@@ -59,22 +59,12 @@ def _next_starts(sizes, max_count: int, max_bytes: float):
     return np.minimum(jb, r + max_count)  # local index, may be == n or beyond
 
 
-def _materialize(df: DataFrame) -> DataFrame:
-    """Keep a small per-round table (one row per chunk entry) in memory for
-    the next round. Its lineage only reaches back to the checkpointed chunk
-    table, so recomputing it after a lost executor is cheap and exact."""
-    from pyspark import StorageLevel
-    out = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out.count()
-    return out
-
-
 def assign_shards_bytes(df: DataFrame, worker_col: str, order_cols: list[str], size_col: str,
                         max_count: int, max_bytes: float, n_workers: int, start: int | None = None,
                         chunk_rows: int = 1 << 20, out_col: str = "shard") -> DataFrame:
     import pandas as pd
 
-    from shardforge.session import ship_package
+    from shardforge.session import reliable_checkpoint, ship_package
     spark = df.sparkSession
     ship_package(spark)
     C = max(int(chunk_rows), int(max_count))
@@ -111,8 +101,8 @@ def assign_shards_bytes(df: DataFrame, worker_col: str, order_cols: list[str], s
         first = np.arange(min(M, in_chunk)) if c > 0 else np.array([0])
         return pd.DataFrame({"_w": w, "_c": c, "e": p[first], "x": exit_[first], "k": cnt[first]})
 
-    cand = grouped.groupBy("_w", "_c").applyInPandas(
-        phase_a, "_w long, _c long, e long, x long, k long").checkpoint(eager=True)
+    cand = reliable_checkpoint(grouped.groupBy("_w", "_c").applyInPandas(
+        phase_a, "_w long, _c long, e long, x long, k long"))
 
     # ---- phase B: pointer doubling from (chunk 0, entry 0). ``jump`` maps
     # (chunk c, entry e) to the entry x of chunk c + step (-1 once the
@@ -127,7 +117,7 @@ def assign_shards_bytes(df: DataFrame, worker_col: str, order_cols: list[str], s
         reached = (known.join(jump, ["_w", "_c", "e"]).filter(F.col("x") >= 0)
                    .select("_w", (F.col("_c") + step).alias("_c"), F.col("x").alias("e"),
                            (F.col("off") + F.col("k")).alias("off")))
-        known = _materialize(known.unionByName(reached))
+        known = reliable_checkpoint(known.unionByName(reached), persist_first=False)
         if step * 2 < n_chunks:
             a = jump.filter(F.col("x") >= 0).select(
                 "_w", "_c", "e", F.col("x").alias("_x"), F.col("k").alias("_k0"),
@@ -137,7 +127,7 @@ def assign_shards_bytes(df: DataFrame, worker_col: str, order_cols: list[str], s
             composed = a.join(b, ["_w", "_cn", "_x"], "left").select(
                 "_w", "_c", "e", F.coalesce(F.col("_x2"), F.lit(-1)).cast("bigint").alias("x"),
                 (F.col("_k0") + F.coalesce(F.col("_k1"), F.lit(0))).cast("bigint").alias("k"))
-            jump = _materialize(composed.unionByName(jump.filter(F.col("x") < 0)))
+            jump = reliable_checkpoint(composed.unionByName(jump.filter(F.col("x") < 0)), persist_first=False)
         step *= 2
 
     # ---- phase C: label every record from its chunk's known entry

@@ -117,3 +117,22 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
     if df.rdd.getNumPartitions() < want:
         return df.repartition(want)
     return df
+
+
+def reliable_checkpoint(df: DataFrame, persist_first: bool = True) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in ``spark.checkpoint.dir``.
+
+    With ``persist_first`` the data is cached while the checkpoint is
+    written: writing a reliable checkpoint runs its own job over the plan,
+    which would otherwise compute everything a second time (sorts, shuffles,
+    Python stages). The cache is dropped once the checkpoint files exist.
+    For small tables computed from already-checkpointed inputs the cache
+    costs more than the recomputation; pass ``persist_first=False``."""
+    from pyspark import StorageLevel
+    checkpoint_dir(df.sparkSession)
+    if not persist_first:
+        return df.checkpoint(eager=True)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shardforge.session import ensure_parallelism
 from shardforge.sources.tarshards import write_shards
 
 EPOCH_STRIDE = 1_000_000  # shard numbers per epoch
@@ -40,7 +41,10 @@ def stream_shards(stream: DataFrame, out_path: str, checkpoint: str, per_shard:
     def each(batch: DataFrame, epoch: int):
         if batch.isEmpty():
             return
-        rows = batch.select(F.col(key_col).alias("key"),
+        # one writer per partition; a batch read from one split is spread
+        # over the cores first (round-robin repartition sorts before it
+        # deals rows out, so a replay deals them out the same way)
+        rows = ensure_parallelism(batch).select(F.col(key_col).alias("key"),
                             *[(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in member_cols.items()])
         sharded = shard_batch(rows, epoch, per_shard)
         write_shards(sharded.select("shard", "key", *member_cols.keys()), out_path,
