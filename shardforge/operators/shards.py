@@ -108,7 +108,7 @@ def assign_shards_bytes(df: DataFrame, worker_col: str, order_cols: list[str], s
     # (chunk c, entry e) to the entry x of chunk c + step (-1 once the
     # worker's records end) and the shards k started on the way; ``known``
     # holds the true entry and shard offset of chunks [0, step).
-    n_chunks = light.agg(F.max("_c")).first()[0]
+    n_chunks = cand.agg(F.max("_c")).first()[0]
     n_chunks = 0 if n_chunks is None else int(n_chunks) + 1
     known = cand.filter(F.col("_c") == 0).select("_w", "_c", "e", F.lit(0).cast("bigint").alias("off"))
     jump = cand
@@ -117,7 +117,7 @@ def assign_shards_bytes(df: DataFrame, worker_col: str, order_cols: list[str], s
         reached = (known.join(jump, ["_w", "_c", "e"]).filter(F.col("x") >= 0)
                    .select("_w", (F.col("_c") + step).alias("_c"), F.col("x").alias("e"),
                            (F.col("off") + F.col("k")).alias("off")))
-        known = reliable_checkpoint(known.unionByName(reached), persist_first=False)
+        new_known = known.unionByName(reached)
         if step * 2 < n_chunks:
             a = jump.filter(F.col("x") >= 0).select(
                 "_w", "_c", "e", F.col("x").alias("_x"), F.col("k").alias("_k0"),
@@ -127,7 +127,16 @@ def assign_shards_bytes(df: DataFrame, worker_col: str, order_cols: list[str], s
             composed = a.join(b, ["_w", "_cn", "_x"], "left").select(
                 "_w", "_c", "e", F.coalesce(F.col("_x2"), F.lit(-1)).cast("bigint").alias("x"),
                 (F.col("_k0") + F.coalesce(F.col("_k1"), F.lit(0))).cast("bigint").alias("k"))
-            jump = reliable_checkpoint(composed.unionByName(jump.filter(F.col("x") < 0)), persist_first=False)
+            new_jump = composed.unionByName(jump.filter(F.col("x") < 0))
+            # both small tables of the round in one checkpoint (one job)
+            both = reliable_checkpoint(
+                new_known.withColumn("_t", F.lit("k")).unionByName(new_jump.withColumn("_t", F.lit("j")),
+                                                                   allowMissingColumns=True),
+                persist_first=False)
+            known = both.filter(F.col("_t") == "k").select("_w", "_c", "e", "off")
+            jump = both.filter(F.col("_t") == "j").select("_w", "_c", "e", "x", "k")
+        else:
+            known = reliable_checkpoint(new_known, persist_first=False)
         step *= 2
 
     # ---- phase C: label every record from its chunk's known entry
