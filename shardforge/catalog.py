@@ -234,23 +234,24 @@ WITH RECURSIVE traj(sample_id, label, e, step, x) AS (
 SELECT sample_id, e, round({final}, 6) AS x FROM traj WHERE step = {n - 1}"""
 
 
-@register("sample_batch", _sample_batch_sql())
+@register("sample_batch", _sample_batch_sql(dim=64))
 def q_sample_batch(spark, sf):
     from shardforge.operators.trajectory import affine_velocity, sample_batch
+    # the whole 64-value embedding is the 4x4x4 latent
     e = table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("sample_id"), "label", F.slice("embedding", 1, 8).alias("latent"))
-    s = sample_batch(e, affine_velocity(), num_steps=20, seed=SEED)
+        F.col("vec_id").alias("sample_id"), "label", F.col("embedding").alias("latent"))
+    s = sample_batch(e, affine_velocity(), num_steps=20, seed=SEED, latent_dim=64)
     return (s.select("sample_id", F.posexplode_outer("sample").alias("e", "x"))
             .select("sample_id", "e", r6(F.col("x")).alias("x")))
 
 
-@register("sample_batch_arrow", _sample_batch_sql())
+@register("sample_batch_arrow", _sample_batch_sql(dim=64))
 def q_sample_batch_arrow(spark, sf):
     """B4 through the model path: a NumPy velocity callable over Arrow
     batches, same hashed noise stream, so the same oracle applies."""
     from shardforge.operators.trajectory import np_affine_velocity, sample_batch_arrow
     e = table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("sample_id"), "label", F.slice("embedding", 1, 8).cast("array<double>").alias("latent"))
+        F.col("vec_id").alias("sample_id"), "label", F.col("embedding").cast("array<double>").alias("latent"))
     s = sample_batch_arrow(e, np_affine_velocity(), num_steps=20, seed=SEED)
     return (s.select("sample_id", F.posexplode_outer("sample").alias("e", "x"))
             .select("sample_id", "e", r6(F.col("x")).alias("x")))
