@@ -130,8 +130,11 @@ def q_gather_tokens(spark, sf):
     g = (e.select("vec_id", "tokens", F.explode(masks).alias("mk"))
          .select(F.col("mk.mask_id").alias("mask_id"), "vec_id",
                  gather_tokens(F.col("tokens"), F.col("mk.positions")).alias("kept")))
-    # a mask may keep no position: inner explode (no row for an empty list)
-    return (g.select("mask_id", "vec_id", F.posexplode("kept").alias("ord", "vec"))
+    # a mask may keep no position: outer explode, then drop the empty-list
+    # row (an inner explode would push a size filter, and the mask draw,
+    # below the scan)
+    return (g.select("mask_id", "vec_id", F.posexplode_outer("kept").alias("ord", "vec"))
+            .filter(F.col("vec").isNotNull())
             .select("mask_id", "vec_id", "ord", F.posexplode_outer("vec").alias("j", "value"))
             .select("mask_id", "vec_id", "ord", "j", r6(F.col("value")).alias("value")))
 

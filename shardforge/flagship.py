@@ -35,12 +35,15 @@ def generate_samples(spark: SparkSession, sf_dir: str, seed: int = 0, num_steps:
 
 
 def shard_report(spark: SparkSession, path: str) -> DataFrame:
+    """Rows, distinct keys and mean pixel per shard, in one pass over the
+    shard files (per-record pixel sums first, then one aggregation)."""
     back = read_shards(spark, path, "shard bigint, key string, img binary, cls int")
-    px = back.select("shard", "key", F.explode_outer(binary_to_pixels("img")).alias("p"))
-    rows = back.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"),
-                                     F.count_distinct("key").alias("distinct_keys"))
-    mean = px.groupBy("shard").agg(F.round(F.avg("p"), 6).alias("mean_pixel"))
-    return rows.join(mean, "shard")
+    per = back.select("shard", "key", F.aggregate(binary_to_pixels("img"), F.lit(0).cast("bigint"),
+                                                  lambda acc, p: acc + p).alias("psum"),
+                      F.length("img").alias("pn"))
+    return per.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"),
+                                    F.count_distinct("key").alias("distinct_keys"),
+                                    F.round(F.sum("psum") / F.sum("pn"), 6).alias("mean_pixel"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

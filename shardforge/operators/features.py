@@ -220,7 +220,10 @@ def group_attention(df: DataFrame, group_cols: list[str], id_col: str, pos_col:
                           F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("qb"),
                           F.col("items").alias("k_items"))
     pairs = qside.join(kside, ["_g", "qb", "kb"]).select("q_items", "k_items")
-    parts = _block_partials(pairs, d, causal)
+    # the partial states feed both the max pass and the weighted sums: write
+    # them once instead of running the NumPy stage twice
+    from shardforge.session import reliable_checkpoint
+    parts = reliable_checkpoint(_block_partials(pairs, d, causal))
     mx = parts.groupBy("q_id").agg(F.max("m").alias("_M"))
     weighted = parts.join(mx, "q_id").withColumn("_w", F.exp(F.col("m") - F.col("_M")))
     sums = (weighted.select("q_id", "_w", F.posexplode_outer("acc").alias("j", "a"))
