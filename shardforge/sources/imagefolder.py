@@ -179,3 +179,24 @@ def read_image_folder(spark, path: str):
                 names=["index", "h", "w", "c", "pixels"])
 
     return files.mapInArrow(decode, "index bigint, h int, w int, c int, pixels binary")
+
+
+def with_png(df, pixels_col: str, h: int, w: int, c: int, out_col: str = "png"):
+    """Add a PNG-encoded copy of a raw pixel column (H*W*C bytes, HWC), for
+    shard members such as ``<key>.png``; encoded per Arrow batch."""
+    import pyarrow as pa
+    from pyspark.sql.types import BinaryType, StructField, StructType
+
+    from shardforge.session import ship_package
+    ship_package(df.sparkSession)
+
+    def enc(batches):
+        from shardforge.sources.imagefolder import encode_png
+        for b in batches:
+            raw = b.column(pixels_col).to_pylist()
+            pngs = [None if r is None else encode_png(np.frombuffer(r, dtype=np.uint8).reshape(h, w, c))
+                    for r in raw]
+            yield b.append_column(out_col, pa.array(pngs, pa.binary()))
+
+    schema = StructType(list(df.schema.fields) + [StructField(out_col, BinaryType())])
+    return df.mapInArrow(enc, schema)

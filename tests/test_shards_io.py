@@ -110,3 +110,19 @@ def test_run_counters_filled_by_the_write(spark, tmp_path):
     got = obs.get
     n = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").count()
     assert got["rows"] == n and got["bytes"] == 64 * n and got["max_record_bytes"] == 64
+
+
+def test_png_members_round_trip(spark, tmp_path):
+    import numpy as np
+
+    from shardforge.sources.imagefolder import decode_png, with_png
+    from shardforge.sources.tarshards import read_shards, write_shards
+    recs = with_png(_records(spark), "img", 8, 8, 1, "png")
+    out = str(tmp_path / "png")
+    write_shards(recs.select("shard", "key", "png", "cls"), out)
+    back = {r["key"]: r["png"] for r in read_shards(spark, out, "shard bigint, key string, png binary, cls int").collect()}
+    raw = {r["key"]: r["img"] for r in _records(spark).collect()}
+    assert back.keys() == raw.keys()
+    for k in list(raw)[:50]:
+        assert decode_png(back[k]).tobytes() == bytes(raw[k])
+    _ = np
