@@ -132,3 +132,19 @@ def q_assign_shards_bytes(spark, sf):
     # resolution across chunks both run on this small table
     return assign_shards_bytes(d, "worker", ["doc_id"], "n_chars", 100, 50000, 4, chunk_rows=128).select(
         "doc_id", "worker", "pos_in_worker", "shard")
+
+
+@register("shard_job", f"""
+SELECT CAST(floor(floor(vec_id / 64) / 2) * 4 + floor((vec_id % 64) / 16) AS BIGINT) AS shard,
+       count(*) AS rows,
+       CAST(sum(64 + length(CAST({S.randint(0, 'label', 'vec_id', 0, 999)} AS VARCHAR))) AS BIGINT) AS bytes
+FROM embeddings GROUP BY 1""")
+def q_shard_job(spark, sf):
+    """The restartable job end to end (plan, seeded labels and latents,
+    model-path sampling, quantise, committed tar shards); the committed
+    progress records are the result."""
+    from shardforge.jobs import generate_shards
+    ids = table(spark, sf, "embeddings").select(F.col("vec_id").alias("sample_id"))
+    prog = generate_shards(spark, ids, scratch_path(spark, "shard-job"), batch=16, workers=4, per_shard=32,
+                           latent_dim=64, num_steps=20, run_id="job")
+    return prog.select("shard", "rows", "bytes")
