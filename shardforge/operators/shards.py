@@ -136,7 +136,7 @@ def assign_shards_bytes(df: DataFrame, worker_col: str, order_cols: list[str], s
             known = both.filter(F.col("_t") == "k").select("_w", "_c", "e", "off")
             jump = both.filter(F.col("_t") == "j").select("_w", "_c", "e", "x", "k")
         else:
-            known = reliable_checkpoint(new_known, persist_first=False)
+            known = reliable_checkpoint(new_known)
         step *= 2
 
     # ---- phase C: label every record from its chunk's known entry
