@@ -203,7 +203,7 @@ def sample_batch_arrow(df: DataFrame, velocity_np, latent_col: str = "latent",
                        high: float = K.GUIDANCE_HIGH, path: str = "linear",
                        final_guidance: str = "always", seed: int = 0, null_class: int = K.NULL_CLASS,
                        t0: float = K.T_START, t1: float = K.T_END, noise: str = "hashed",
-                       out_col: str = "sample") -> DataFrame:
+                       out_col: str = "sample", batch_rows: int = 1024) -> DataFrame:
     """Same trajectory with a NumPy velocity callable ``velocity_np(x, t, y)``
     (x: (rows, dim) float64, y: (rows,) int) applied per Arrow batch.
 
@@ -222,42 +222,48 @@ def sample_batch_arrow(df: DataFrame, velocity_np, latent_col: str = "latent",
         return cfg > 1.0 and low <= round(t, 9) <= high
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            from shardforge.functions.arrowbatch import from_matrix, to_matrix
-            keys = batch.column(id_col).to_numpy().astype(np.int64)
-            ys = batch.column(label_col).to_numpy().astype(np.int64)
-            x = to_matrix(batch.column(latent_col))
-            dim = x.shape[1]
-            rngs = None
-            if noise == "philox":
-                rngs = [np.random.Generator(np.random.Philox(key=[seed, int(k)])) for k in keys]
-            null = np.full_like(ys, null_class)
-            for i in range(n - 1):
-                t, tn = grid[i], grid[i + 1]
-                dt = tn - t
-                if guided(t):
-                    dc = np_drift(velocity_np(x, t, ys), x, t, path)
-                    du = np_drift(velocity_np(x, t, null), x, t, path)
-                    d = du + cfg * (dc - du)
-                else:
-                    d = np_drift(velocity_np(x, t, ys), x, t, path)
-                if noise == "philox":
-                    eps = np.stack([g.standard_normal(dim) for g in rngs])
-                else:
-                    eps = np_hashed_normals(seed, "noise", keys, np.arange(dim) + i * dim)
-                x = x + d * dt + math.sqrt(2.0 * t) * eps * math.sqrt(abs(dt))
-            t = grid[n - 1]
-            dt = grid[n] - t
-            if final_guidance == "always" or guided(t):
+        for whole in batches:
+            # bounded working memory: the step loop runs on slices of at most
+            # ``batch_rows`` rows (the device batch of the reference)
+            for off in range(0, whole.num_rows, batch_rows):
+                yield from run_slice(whole.slice(off, batch_rows))
+
+    def run_slice(batch):
+        if batch.num_rows == 0:
+            return
+        from shardforge.functions.arrowbatch import from_matrix, to_matrix
+        keys = batch.column(id_col).to_numpy().astype(np.int64)
+        ys = batch.column(label_col).to_numpy().astype(np.int64)
+        x = to_matrix(batch.column(latent_col))
+        dim = x.shape[1]
+        rngs = None
+        if noise == "philox":
+            rngs = [np.random.Generator(np.random.Philox(key=[seed, int(k)])) for k in keys]
+        null = np.full_like(ys, null_class)
+        for i in range(n - 1):
+            t, tn = grid[i], grid[i + 1]
+            dt = tn - t
+            if guided(t):
                 dc = np_drift(velocity_np(x, t, ys), x, t, path)
                 du = np_drift(velocity_np(x, t, null), x, t, path)
                 d = du + cfg * (dc - du)
             else:
                 d = np_drift(velocity_np(x, t, ys), x, t, path)
-            x = x + dt * d
-            yield batch.append_column(out_col, from_matrix(x))
+            if noise == "philox":
+                eps = np.stack([g.standard_normal(dim) for g in rngs])
+            else:
+                eps = np_hashed_normals(seed, "noise", keys, np.arange(dim) + i * dim)
+            x = x + d * dt + math.sqrt(2.0 * t) * eps * math.sqrt(abs(dt))
+        t = grid[n - 1]
+        dt = grid[n] - t
+        if final_guidance == "always" or guided(t):
+            dc = np_drift(velocity_np(x, t, ys), x, t, path)
+            du = np_drift(velocity_np(x, t, null), x, t, path)
+            d = du + cfg * (dc - du)
+        else:
+            d = np_drift(velocity_np(x, t, ys), x, t, path)
+        x = x + dt * d
+        yield batch.append_column(out_col, from_matrix(x))
 
     from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
     schema = StructType(list(df.schema.fields) + [StructField(out_col, ArrayType(DoubleType()))])

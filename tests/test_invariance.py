@@ -72,7 +72,8 @@ def test_sample_batch_column_path_equals_arrow_path(spark):
         F.col("vec_id").alias("sample_id"), "label",
         F.slice("embedding", 1, 6).cast("array<double>").alias("latent"))
     a = {r["sample_id"]: r["sample"] for r in sample_batch(e, affine_velocity(), num_steps=12).collect()}
-    b = {r["sample_id"]: r["sample"] for r in sample_batch_arrow(e, np_affine_velocity(), num_steps=12).collect()}
+    b = {r["sample_id"]: r["sample"]
+         for r in sample_batch_arrow(e, np_affine_velocity(), num_steps=12, batch_rows=7).collect()}
     assert a.keys() == b.keys()
     for k in a:
         np.testing.assert_allclose(a[k], b[k], atol=1e-9)
