@@ -8,8 +8,8 @@ third of the rows) into one task. Instead:
 1. range-partition on the order key (hot keys are split because the full
    order key, not just the group, drives the ranges) and sort each part;
 2. number rows inside each part (``monotonically_increasing_id`` minus the
-   partition offset it encodes) and cut lineage with a reliable checkpoint,
-   so a retried task or a second pass sees exactly the same parts;
+   partition offset it encodes); the counting pass and the numbering pass
+   read the same, reused range exchange, so they see identical parts;
 3. count rows per part — one small row per part — take prefix sums over that
    bounded table and broadcast it (size = number of parts, a proven bound).
 """
@@ -23,9 +23,18 @@ from shardforge.session import checkpoint_dir, reliable_checkpoint
 
 
 def global_positions(df: DataFrame, order_cols: list[str], out_col: str = "position",
-                     num_partitions: int | None = None) -> DataFrame:
+                     num_partitions: int | None = None, checkpoint: bool = False) -> DataFrame:
+    """0-based position of every row in the order of ``order_cols`` (which
+    should be unique, a total order).
+
+    The per-part counts and the numbering read the same range exchange,
+    which Spark plans once and reuses, so the data is shuffled once and
+    both see identical parts. A recomputation after a lost executor is
+    exact for a deterministic input (a table scan and column expressions).
+    For an input that is not (random columns, a micro-batch source), pass
+    ``checkpoint=True``: the numbered rows are then written once to
+    ``spark.checkpoint.dir`` and read from there."""
     spark = df.sparkSession
-    checkpoint_dir(spark)
     # as many ranges as the input has splits (each split is sized by
     # spark.sql.files.maxPartitionBytes), and at least the shuffle width
     n = num_partitions or max(df.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -33,7 +42,9 @@ def global_positions(df: DataFrame, order_cols: list[str], out_col: str = "posit
               .sortWithinPartitions(*order_cols)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
-    tagged = reliable_checkpoint(tagged)
+    if checkpoint:
+        checkpoint_dir(spark)
+        tagged = reliable_checkpoint(tagged)
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
@@ -44,10 +55,11 @@ def global_positions(df: DataFrame, order_cols: list[str], out_col: str = "posit
 
 
 def positions_in_group(df: DataFrame, group_cols: list[str], order_cols: list[str],
-                       out_col: str = "pos_in_group", num_partitions: int | None = None) -> DataFrame:
+                       out_col: str = "pos_in_group", num_partitions: int | None = None,
+                       checkpoint: bool = False) -> DataFrame:
     """0-based position inside each group in the given order; skew-safe
     (the group offset is one aggregate row per group)."""
-    g = global_positions(df, group_cols + order_cols, "_gpos", num_partitions)
+    g = global_positions(df, group_cols + order_cols, "_gpos", num_partitions, checkpoint)
     first = g.groupBy(*group_cols).agg(F.min("_gpos").alias("_gfirst"))
     return (g.join(first, group_cols)
             .withColumn(out_col, F.col("_gpos") - F.col("_gfirst"))

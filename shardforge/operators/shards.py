@@ -69,7 +69,9 @@ def assign_shards_bytes(df: DataFrame, worker_col: str, order_cols: list[str], s
     ship_package(spark)
     C = max(int(chunk_rows), int(max_count))
     M = int(max_count)
-    pos = positions_in_group(df, [worker_col], order_cols, "_pos")
+    # positions feed several jobs below (chunk table, rounds, labelling):
+    # write them once rather than re-sorting the data for each job
+    pos = positions_in_group(df, [worker_col], order_cols, "_pos", checkpoint=True)
     light = pos.select(F.col(worker_col).alias("_w"), "_pos", F.col(size_col).cast("double").alias("_s"))
     light = light.withColumn("_c", F.floor(F.col("_pos") / F.lit(C)).cast("bigint"))
     sizes_per_worker = light.groupBy("_w").agg(F.count(F.lit(1)).alias("_n"))
