@@ -265,7 +265,9 @@ SELECT direction, row_id, CAST(rank AS INTEGER) AS rank, other_id, round(logit,
 def q_cosine_topk(spark, sf):
     from shardforge.operators.features import cosine_topk
     e = _emb(spark, sf)
-    r = cosine_topk(e, e, "vec_id", "vec_id", "embedding", LOGIT_SCALE, 5, max_broadcast_rows=200)
+    # the broadcast side is counted and sent in chunks of at most 1,000 rows
+    # (two passes at sf0.1); tests check that any chunk size gives the same top k
+    r = cosine_topk(e, e, "vec_id", "vec_id", "embedding", LOGIT_SCALE, 5, max_broadcast_rows=1000)
     return r.select("direction", "row_id", "rank", "other_id", F.round("logit", 4).alias("logit"))
 
 
