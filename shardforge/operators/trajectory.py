@@ -95,18 +95,25 @@ def sample_batch(df: DataFrame, velocity: VelocityFn, latent_col: str = "latent"
                  cfg: float = K.CFG_SCALE, low: float = K.GUIDANCE_LOW, high: float = K.GUIDANCE_HIGH,
                  path: str = "linear", final_guidance: str = "always", seed: int = 0,
                  null_class: int = K.NULL_CLASS, t0: float = K.T_START, t1: float = K.T_END, precision: str = "double",
-                 out_col: str = "sample", latent_dim: int | None = None) -> DataFrame:
+                 out_col: str = "sample", latent_dim: int | None = None,
+                 noise_key: str = "sample") -> DataFrame:
     """Euler-Maruyama with classifier-free guidance over an array column.
 
     Steps 0..n-2 are noisy (x + d dt + sqrt(g) eps sqrt|dt|), guided when
     t_cur lies in [low, high] (and cfg > 1); the last step is the
     deterministic x + dt d, guided always ("always", as in the reference's
-    production sampler) or by the same interval test ("interval")."""
+    production sampler) or by the same interval test ("interval").
+    ``precision="float"`` rounds the state to float32 after every step;
+    ``noise_key="shared"`` gives every sample the same noise per step."""
     n = num_steps
     if n < 2:
         raise ValueError("need at least 2 steps")
     y = F.col(label_col)
-    sid = F.col(id_col)
+    if noise_key not in ("sample", "shared"):
+        raise ValueError("noise_key must be 'sample' or 'shared'")
+    # "shared": every sample sees the same noise at a step (the earlier
+    # sampler variants), "sample": noise keyed by the sample id
+    sid = F.col(id_col) if noise_key == "sample" else F.lit(0).cast("bigint")
     dim = latent_dim or len(df.select(latent_col).first()[0])
 
     def to_prec(arr: Column) -> Column:
@@ -203,7 +210,8 @@ def sample_batch_arrow(df: DataFrame, velocity_np, latent_col: str = "latent",
                        high: float = K.GUIDANCE_HIGH, path: str = "linear",
                        final_guidance: str = "always", seed: int = 0, null_class: int = K.NULL_CLASS,
                        t0: float = K.T_START, t1: float = K.T_END, noise: str = "hashed",
-                       out_col: str = "sample", batch_rows: int = 1024) -> DataFrame:
+                       out_col: str = "sample", batch_rows: int = 1024,
+                       noise_key: str = "sample") -> DataFrame:
     """Same trajectory with a NumPy velocity callable ``velocity_np(x, t, y)``
     (x: (rows, dim) float64, y: (rows,) int) applied per Arrow batch.
 
@@ -233,6 +241,8 @@ def sample_batch_arrow(df: DataFrame, velocity_np, latent_col: str = "latent",
             return
         from shardforge.functions.arrowbatch import from_matrix, to_matrix
         keys = batch.column(id_col).to_numpy().astype(np.int64)
+        if noise_key == "shared":
+            keys = np.zeros_like(keys)
         ys = batch.column(label_col).to_numpy().astype(np.int64)
         x = to_matrix(batch.column(latent_col))
         dim = x.shape[1]
