@@ -228,12 +228,18 @@ def group_attention(df: DataFrame, group_cols: list[str], id_col: str, pos_col:
     weighted = parts.join(mx, "q_id").withColumn("_w", F.exp(F.col("m") - F.col("_M")))
     sums = (weighted.select("q_id", "_w", F.posexplode_outer("acc").alias("j", "a"))
             .groupBy("q_id", "j").agg(F.sum(F.col("a") * F.col("_w")).alias("a")))
-    norm = sums.filter(F.col("j") == d).select("q_id", F.col("a").alias("_L"))
-    vals = sums.filter(F.col("j") < d).join(norm, "q_id").select("q_id", "j", (F.col("a") / F.col("_L")).alias("v"))
-    out = collect_vector(vals, ["q_id"], out=out_col)
+    out = _normalised_vectors(sums, ["q_id"], d, out_col)
     return df.join(out.withColumnRenamed("q_id", id_col), id_col)
 
 
+def _normalised_vectors(sums: DataFrame, keys: list[str], d: int, out_col: str) -> DataFrame:
+    """(keys, j, a) with j = 0..d, where element d holds the softmax
+    normaliser: one aggregation gives the vector a[0..d-1] / a[d]."""
+    s = sums.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("j", "a"))).alias("_s"))
+    return s.select(*keys, let(F.element_at("_s", d + 1)["a"], lambda norm: F.transform(
+        F.slice("_s", 1, d), lambda e: e["a"] / norm)).alias(out_col))
+
+
 def attention_pool(df: DataFrame, group_cols: list[str], vec_col: str, out_col: str = "pooled",
                    dim: int | None = None) -> DataFrame:
     """Attention pooling per group: the query is the group's mean vector,
@@ -250,11 +256,10 @@ def attention_pool(df: DataFrame, group_cols: list[str], vec_col: str, out_col:
         / F.lit(math.sqrt(d)))
     mx = scored.groupBy(*group_cols).agg(F.max("s").alias("_M"))
     w = scored.join(mx, group_cols).withColumn("_w", F.exp(F.col("s") - F.col("_M")))
-    long = w.select(*group_cols, "_w", F.posexplode_outer("vec").alias("j", "v"))
+    # element d of every token is 1, so its weighted sum is the normaliser
+    long = w.select(*group_cols, "_w", F.posexplode_outer(F.concat("vec", F.array(F.lit(1.0)))).alias("j", "v"))
     sums = long.groupBy(*group_cols, "j").agg(F.sum(F.col("v") * F.col("_w")).alias("a"))
-    norm = w.groupBy(*group_cols).agg(F.sum("_w").alias("_L"))
-    vals = sums.join(norm, group_cols).select(*group_cols, "j", (F.col("a") / F.col("_L")).alias("v"))
-    return collect_vector(vals, group_cols, out=out_col)
+    return _normalised_vectors(sums, group_cols, d, out_col)
 
 
 # -- D8 cosine logits ---------------------------------------------------------------
