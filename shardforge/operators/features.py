@@ -193,9 +193,9 @@ def group_attention(df: DataFrame, group_cols: list[str], id_col: str, pos_col:
     dense layers before and after). ``causal`` keeps keys with pos <= the
     query's pos.
 
-    Exact and skew-safe without materialising row pairs: rows are hashed
-    into blocks of about ``block_rows`` inside their group (block count from
-    a partial-aggregated group size), each (query block, key block) pair of
+    Exact and skew-safe without materialising row pairs: rows are cut into
+    blocks of at most ``block_rows`` consecutive positions inside their
+    group (skew-safe numbering; block count from the group size), each (query block, key block) pair of
     a group meets once through an equi-join on (group, qblock, kblock), a
     NumPy task computes the partial softmax state per query, and the parts
     are merged per query with the log-sum-exp rule in two partial
@@ -207,10 +207,14 @@ def group_attention(df: DataFrame, group_cols: list[str], id_col: str, pos_col:
     d = dim or len(df.select(vec_col).first()[0])
     base = df.select(*group_cols, F.struct(*group_cols).alias("_g"), F.col(id_col).cast("bigint").alias("id"),
                      F.col(pos_col).cast("bigint").alias("pos"), F.col(vec_col).cast("array<double>").alias("vec"))
-    sizes = base.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    # exact block bound: consecutive positions inside the group (skew-safe
+    # numbering), block = position div block_rows
+    from shardforge.operators.positions import positions_in_group
+    numbered = positions_in_group(base, group_cols, ["id"], "_p")
+    sizes = numbered.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
     nb = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(block_rows))).cast("int")
-    blocked = (base.join(sizes, "_g").withColumn("_nb", nb)
-               .withColumn("_blk", F.pmod(F.xxhash64("id"), F.col("_nb")).cast("int")))
+    blocked = (numbered.join(sizes, "_g").withColumn("_nb", nb)
+               .withColumn("_blk", F.floor(F.col("_p") / F.lit(block_rows)).cast("int")))
     blocks = blocked.groupBy("_g", "_blk", "_nb").agg(
         F.collect_list(F.struct("id", "pos", "vec")).alias("items"))
     qside = blocks.select("_g", F.col("_blk").alias("qb"),
@@ -292,8 +296,14 @@ def cosine_topk(a: DataFrame, b: DataFrame, a_id: str, b_id: str, vec_col: str,
     asel = ensure_parallelism(
         a.select(F.col(a_id).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")))
     results = []
+    if n_chunks > 1:
+        # exact chunk bound: consecutive positions of b, written once since
+        # every chunk pass reads them
+        from shardforge.operators.positions import global_positions
+        bsel = global_positions(bsel, ["id"], "_bp", checkpoint=True)
     for c in range(n_chunks):
-        chunk = bsel if n_chunks == 1 else bsel.filter(F.pmod(F.xxhash64("id"), F.lit(n_chunks)) == c)
+        chunk = bsel if n_chunks == 1 else bsel.filter(
+            F.floor(F.col("_bp") / F.lit(max_broadcast_rows)) == c).select("id", "vec")
         rows = chunk.collect()  # at most max_broadcast_rows rows
         if not rows:
             continue
