@@ -285,5 +285,3 @@ def oracle_sql() -> dict[str, str]:
     _import_all()
     return dict(ORACLES)
 
-
-_ = math

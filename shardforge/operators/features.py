@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardforge.functions.vectors import act, let, vec_add
+from shardforge.functions.vectors import act, let
 from shardforge import constants as K
 
 
@@ -452,5 +452,3 @@ def argmax_pick(ids) -> Column:
     end-of-text token pick)."""
     return let(_c(ids), lambda a: (F.array_position(a, F.array_max(a)) - F.lit(1)).cast("int"))
 
-
-_ = vec_add

@@ -218,8 +218,6 @@ def sample_batch_arrow(df: DataFrame, velocity_np, latent_col: str = "latent",
     ``noise="hashed"`` reproduces the Column path exactly (md5 per element,
     fine for small latents); ``noise="philox"`` draws from NumPy Philox keyed
     by (seed, sample_id) — a different stream, much faster for large latents."""
-    import pyarrow as pa
-
     from shardforge.session import ensure_parallelism, ship_package
     ship_package(df.sparkSession)
     df = ensure_parallelism(df)

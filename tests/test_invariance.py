@@ -198,7 +198,7 @@ def test_group_attention_block_size_is_exact(spark, causal):
         np.testing.assert_allclose(a[k], b[k], atol=1e-12)
 
 
-def test_feature_dimension_checks():
+def test_feature_dimension_checks(spark):
     from shardforge.functions.vectors import position_features
     with pytest.raises(ValueError):
         position_features(F.col("p"), 6, 4, "half")

@@ -1,6 +1,5 @@
 """Invalid inputs fail loudly."""
 
-import os
 import tempfile
 
 import pytest
@@ -9,7 +8,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SF_SMALL
 
 
-def test_tile_not_divisible():
+def test_tile_not_divisible(spark):
     from shardforge.operators.grids import tile_mean
     with pytest.raises(ValueError):
         tile_mean(F.col("x"), (1, 8, 8), 3)
@@ -43,7 +42,7 @@ def test_empty_listing_raises(spark):
         retention_split(empty, 3)
 
 
-def test_unknown_path_type():
+def test_unknown_path_type(spark):
     from shardforge.operators.trajectory import score_from_velocity
     with pytest.raises(ValueError):
         score_from_velocity(F.col("v"), F.col("x"), F.col("t"), "sigmoid")
@@ -61,4 +60,3 @@ def test_non_square_token_count_fails(spark):
     df = spark.createDataFrame([([[1.0] * 4] * 3,)], "t array<array<double>>")
     with pytest.raises(Exception):
         df.select(unpatchify("t", 1, 2)).collect()
-    _ = os

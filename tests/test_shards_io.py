@@ -113,8 +113,6 @@ def test_run_counters_filled_by_the_write(spark, tmp_path):
 
 
 def test_png_members_round_trip(spark, tmp_path):
-    import numpy as np
-
     from shardforge.sources.imagefolder import decode_png, with_png
     from shardforge.sources.tarshards import read_shards, write_shards
     recs = with_png(_records(spark), "img", 8, 8, 1, "png")
@@ -125,7 +123,6 @@ def test_png_members_round_trip(spark, tmp_path):
     assert back.keys() == raw.keys()
     for k in list(raw)[:50]:
         assert decode_png(back[k]).tobytes() == bytes(raw[k])
-    _ = np
 
 
 def test_resumed_job_writes_the_same_shards(spark, tmp_path):
