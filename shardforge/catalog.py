@@ -281,7 +281,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
 
+def positive_zero_rounding(sql: str) -> str:
+    """Wrap every ``round(...)`` as ``(round(...) + 0.0)``. DuckDB rounds a
+    tiny negative value to -0.0 where Spark gives 0.0; adding +0.0 turns
+    -0.0 into 0.0 and changes nothing else."""
+    out, i, low = [], 0, sql.lower()
+    while True:
+        j = low.find("round(", i)
+        if j < 0 or (j > 0 and (low[j - 1].isalnum() or low[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                return "".join(out)
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k = 0, j + 5
+        while True:
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        inner = positive_zero_rounding(sql[j + 6:k])
+        out.append(sql[i:j] + "(round(" + inner + ") + 0.0)")
+        i = k + 1
+
+
 def oracle_sql() -> dict[str, str]:
     _import_all()
-    return dict(ORACLES)
+    return {name: positive_zero_rounding(sql) for name, sql in ORACLES.items()}
 
