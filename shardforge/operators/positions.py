@@ -35,9 +35,15 @@ def global_positions(df: DataFrame, order_cols: list[str], out_col: str = "posit
     ``checkpoint=True``: the numbered rows are then written once to
     ``spark.checkpoint.dir`` and read from there."""
     spark = df.sparkSession
-    # as many ranges as the input has splits (each split is sized by
-    # spark.sql.files.maxPartitionBytes), and at least the shuffle width
-    n = num_partitions or max(df.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # one range per input split (sized by spark.sql.files.maxPartitionBytes),
+    # capped at 4 per core: a 100 TB input has ~800k splits, and that many
+    # reducers would bloat the shuffle metadata; parts of a few GB sort with
+    # spills. Never fewer than the shuffle width.
+    if num_partitions is None:
+        cores = spark.sparkContext.defaultParallelism
+        num_partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                             min(df.rdd.getNumPartitions(), 4 * cores))
+    n = num_partitions
     tagged = (df.repartitionByRange(n, *order_cols)
               .sortWithinPartitions(*order_cols)
               .withColumn("_pid", F.spark_partition_id())
