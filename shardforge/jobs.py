@@ -24,11 +24,11 @@ def generate_shards(spark: SparkSession, ids: DataFrame, out_path: str, *, seed:
                     batch: int = K.BATCH_PER_DEVICE, workers: int = 4, per_shard: int = K.ROWS_PER_SHARD,
                     latent_dim: int = 64, num_classes: int = K.LABEL_HIGH, num_steps: int = 20,
                     velocity_np=None, decode=None, run_id: str = "run", resume: bool = True,
-                    shard_filter=None) -> DataFrame:
+                    shard_filter=None, noise: str = "philox") -> DataFrame:
     """Write the shards of the samples in ``ids`` (column ``sample_id``) and
     return the committed progress records of this run. ``shard_filter``
     restricts the plan (for example to the shards of one stage of a larger
-    run)."""
+    run); ``noise`` is "philox" (default) or "hashed"."""
     from shardforge.sources.tarshards import read_progress, write_shards
 
     plan = assign_plan(ids.select("sample_id"), "sample_id", batch, workers, per_shard)
@@ -43,7 +43,10 @@ def generate_shards(spark: SparkSession, ids: DataFrame, out_path: str, *, seed:
     sid = F.col("sample_id")
     samples = (plan.withColumn("label", seeded_randint(seed, "label", sid, 0, num_classes))
                .withColumn("latent", seeded_normal(seed, "latent", sid, latent_dim)))
-    out = sample_batch_arrow(samples, velocity_np or np_affine_velocity(), num_steps=num_steps, seed=seed)
+    # Philox noise keyed by (seed, sample id): reproducible and partition-free,
+    # and fast for large latents ("hashed" reproduces the Column path exactly)
+    out = sample_batch_arrow(samples, velocity_np or np_affine_velocity(), num_steps=num_steps, seed=seed,
+                             noise=noise)
     records = out.select("shard", F.format_string(K.KEY_FORMAT, "sample_id").alias("key"),
                          pixels_to_binary(quantise("sample", decode=decode)).alias("img"),
                          F.col("label").alias("cls"))
