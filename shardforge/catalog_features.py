@@ -277,6 +277,14 @@ def _bucket_sql(w: str, dim: int) -> str:
     return f"((('0x' || substr(md5({w}), 1, 8))::BIGINT) % {dim})"
 
 
+def _punct_sql(k: int) -> str:
+    chars = ["' '", "chr(10)", "'.'", "','"]
+    return "\nUNION ALL\n".join(
+        f"SELECT doc_id, 'punct-count-{k}' AS encoder, CAST({i} AS BIGINT) AS bucket, "
+        f"CAST(length(text) - length(replace(text, {ch}, '')) AS DOUBLE) AS value FROM documents"
+        for i, ch in enumerate(chars[:k]))
+
+
 @register("extract_features", f"""
 WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS i
            FROM documents),
@@ -285,12 +293,16 @@ SELECT doc_id, 'hash-bow-32' AS encoder, {_bucket_sql('word', 32)} AS bucket, CA
 FROM w GROUP BY doc_id, bucket
 UNION ALL
 SELECT doc_id, 'hash-bigram-16' AS encoder, {_bucket_sql('word', 16)} AS bucket, CAST(count(*) AS DOUBLE) AS value
-FROM bg GROUP BY doc_id, bucket""")
+FROM bg GROUP BY doc_id, bucket
+UNION ALL
+{_punct_sql(4)}""")
 def q_extract_features(spark, sf):
-    from shardforge.operators.features import extract_features
+    """Built-in hashing encoders (Spark expressions) and a registry encoder
+    (NumPy callable, one mapInArrow pass) from one spec string."""
+    from shardforge.operators.features import extract_features, punct_counts
     d = table(spark, sf, "documents").select("doc_id", "text")
-    return extract_features(d, "doc_id", "text", "hash-bow-32,hash-bigram-16").select(
-        "doc_id", "encoder", "bucket", "value")
+    return extract_features(d, "doc_id", "text", "hash-bow-32,hash-bigram-16,punct-count-4",
+                            registry={"punct-count": punct_counts}).select("doc_id", "encoder", "bucket", "value")
 
 
 @register("argmax_pick", f"""

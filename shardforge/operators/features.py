@@ -447,6 +447,16 @@ def extract_features(df: DataFrame, id_col: str, text_col: str, spec: str,
     return res
 
 
+PUNCT_CHARS = (" ", "\n", ".", ",")  # Fixed values: the characters counted by punct-count
+
+
+def punct_counts(texts: list, size: str) -> np.ndarray:
+    """A small NumPy-side encoder for the registry: counts of space,
+    newline, period and comma per text (the first ``size`` of them)."""
+    k = int(size)
+    return np.array([[0.0 if t is None else float(t.count(c)) for c in PUNCT_CHARS[:k]] for t in texts])
+
+
 def argmax_pick(ids) -> Column:
     """0-based position of the first maximum of an integer array (the
     end-of-text token pick)."""
