@@ -207,3 +207,39 @@ def q_grid_resample(spark, sf):
     g = _emb(spark, sf).select("vec_id", grid_resample(_x(), 1, 8, 8, 4, 4).alias("g"))
     return g.select("vec_id", F.posexplode_outer("g").alias("k", "value")).select(
         "vec_id", "k", r6(F.col("value")).alias("value"))
+
+
+@register("token_slices", """
+SELECT vec_id, 'drop_first' AS part, CAST(pos - 1 AS INTEGER) AS pos, CAST(j AS INTEGER) AS j,
+       round(CAST(embedding[pos * 8 + j + 1] AS DOUBLE), 6) AS value
+FROM embeddings, range(1, 8) a(pos), range(8) b(j)
+UNION ALL
+SELECT vec_id, 'tail3' AS part, CAST(pos - 5 AS INTEGER) AS pos, CAST(j AS INTEGER) AS j,
+       round(CAST(embedding[pos * 8 + j + 1] AS DOUBLE), 6) AS value
+FROM embeddings, range(5, 8) a(pos), range(8) b(j)""")
+def q_token_slices(spark, sf):
+    """C5's fixed-range forms: drop the first (class) token, keep the last k."""
+    from shardforge.operators.grids import drop_first, tail
+    e = _emb(spark, sf).select("vec_id", _rows8(_x()).alias("tokens"))
+    parts = e.select("vec_id", F.array(
+        F.struct(F.lit("drop_first").alias("part"), drop_first("tokens").alias("toks")),
+        F.struct(F.lit("tail3").alias("part"), tail("tokens", 3).alias("toks"))).alias("p"))
+    t = parts.select("vec_id", F.explode_outer("p").alias("p")).select("vec_id", "p.part", "p.toks")
+    t = t.select("vec_id", "part", F.posexplode_outer("toks").alias("pos", "vec"))
+    return (t.select("vec_id", "part", "pos", F.posexplode_outer("vec").alias("j", "value"))
+            .select("vec_id", "part", "pos", "j", r6(F.col("value")).alias("value")))
+
+
+@register("repeat_tile", """
+SELECT conv_id, turn, CAST(r AS INTEGER) AS "repeat", CAST(p AS BIGINT) AS in_position,
+       CAST(r * n + p AS BIGINT) AS out_position
+FROM (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS p, count(*) OVER () AS n
+      FROM conversations), range(3) t(r)""")
+def q_repeat_tile(spark, sf):
+    """C6's plain tile option: the whole sequence repeated k times."""
+    from shardforge.operators.grids import repeat_interleave
+    from shardforge.operators.positions import global_positions
+    c = table(spark, sf, "conversations").select("conv_id", "turn")
+    pos = global_positions(c, ["conv_id", "turn"], "in_position")
+    return repeat_interleave(pos, "in_position", 4, 3, tile=True).select(
+        "conv_id", "turn", "repeat", "in_position", "out_position")
