@@ -243,3 +243,43 @@ def q_repeat_tile(spark, sf):
     pos = global_positions(c, ["conv_id", "turn"], "in_position")
     return repeat_interleave(pos, "in_position", 4, 3, tile=True).select(
         "conv_id", "turn", "repeat", "in_position", "out_position")
+
+
+
+def _sql_of(name: str) -> str:
+    from shardforge.catalog import ORACLES
+    return ORACLES[name]
+
+
+@register("tile_mean_long", _sql_of("tile_mean"))
+def q_tile_mean_long(spark, sf):
+    """C3 long form: one row per element, group by (sample, tile, channel)."""
+    from shardforge.operators.grids import tile_mean_long
+    e = _emb(spark, sf).select("vec_id", F.posexplode_outer(_x()).alias("i", "value"))
+    long = e.select("vec_id", F.lit(0).alias("c"), F.floor(F.col("i") / 8).alias("y"), (F.col("i") % 8).alias("x"),
+                    "value")
+    t = tile_mean_long(long, "vec_id", "c", "y", "x", "value", 2, 8, 8)
+    return t.select("vec_id", "tile", "c", r6(F.col("mean")).alias("mean"))
+
+
+@register("gather_tokens_long", _sql_of("gather_tokens"))
+def q_gather_tokens_long(spark, sf):
+    """C5 long form: token rows joined with mask rows on (sample, pos)."""
+    from shardforge.functions.rng import seeded_uniform
+    from shardforge.operators.grids import gather_tokens_long
+    e = _emb(spark, sf)
+    tokens = (e.select("vec_id", F.posexplode_outer(_rows8(_x())).alias("pos", "vec")))
+    pos = F.sequence(F.lit(0), F.lit(7))
+    key = F.col("vec_id") * 8
+
+    def kept(m):
+        return F.filter(pos, lambda q: seeded_uniform(SEED, f"mask{m}", key + q) < F.lit(0.5))
+
+    masks = None
+    for m in range(2):
+        part = (e.select(F.lit(m).alias("mask_id"), "vec_id", kept(m).alias("positions"))
+                .select("mask_id", "vec_id", F.posexplode("positions").alias("ord", "pos")))
+        masks = part if masks is None else masks.unionByName(part)
+    g = gather_tokens_long(tokens, masks, "vec_id")
+    return (g.select("mask_id", "vec_id", "ord", F.posexplode_outer("vec").alias("j", "value"))
+            .select("mask_id", "vec_id", "ord", "j", r6(F.col("value")).alias("value")))
