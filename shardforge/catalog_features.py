@@ -316,3 +316,14 @@ def q_argmax_pick(spark, sf):
         "doc_id", F.transform(F.split("text", " "), lambda w: word_bucket(w, 49408)).alias("ids"))
     return d.select("doc_id", F.size("ids").alias("n_tokens"), argmax_pick("ids").alias("argmax_pos"),
                     F.array_max("ids").alias("max_id"))
+
+
+@register("dense_score_expr", _mlp_sql())
+def q_dense_score_expr(spark, sf):
+    """D6 as a Column expression (weights as literals, no Python): the path
+    for small layers; same numbers as the Arrow path."""
+    from shardforge.operators.features import dense_layer
+    (w1, b1), (w2, b2) = mlp_weights()
+    e = _emb(spark, sf).select("vec_id", _x().alias("x"))
+    s = e.select("vec_id", dense_layer(dense_layer("x", w1, b1, "gelu_tanh"), w2, b2).alias("score"))
+    return _long(s, ["vec_id"], "score", idx="o", val="score")

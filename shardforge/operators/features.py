@@ -97,12 +97,16 @@ def modulate_tokens(df: DataFrame, params: DataFrame, key: str, tokens_col: str,
 def dense_layer(x, w: np.ndarray, b: np.ndarray, activation: str | None = None) -> Column:
     """y = x W + b (W: in x out) as an expression with W as a literal —
     for small layers; ``dense_score`` is the Arrow path for large ones."""
-    x = _c(x)
     n_in, n_out = w.shape
-    wl = F.array(*[F.lit(float(v)) for v in w.ravel()])
+    # one weight column per output, bound once per row with the input
+    cols = F.array(*[F.array(*[F.lit(float(v)) for v in w[:, o]]) for o in range(n_out)])
     bl = F.array(*[F.lit(float(v)) for v in b])
-    y = F.transform(F.sequence(F.lit(0), F.lit(n_out - 1)), lambda o: F.aggregate(
-        F.sequence(F.lit(0), F.lit(n_in - 1)), bl[o], lambda acc, i: acc + x[i] * wl[i * n_out + o]))
+
+    def body(args):
+        xs, wc = args["x"], args["w"]
+        return F.zip_with(wc, bl, lambda col, bias: F.aggregate(
+            F.zip_with(xs, col, lambda a, c: a * c), bias, lambda acc, v: acc + v))
+    y = let(F.struct(_c(x).alias("x"), cols.alias("w")), body)
     return F.transform(y, lambda v: act(activation, v)) if activation else y
 
 
