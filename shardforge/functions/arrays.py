@@ -101,5 +101,6 @@ def gather_weighted_sum(arr, taps: list[list[tuple[int, float]]]) -> Column:
     """For each output, sum of weight * arr[index] over its taps."""
     idx = F.array(*[F.array(*[F.lit(int(i)) for i, _ in t]) for t in taps])
     wts = F.array(*[F.array(*[F.lit(float(w)) for _, w in t]) for t in taps])
-    return let(_c(arr), lambda a: F.transform(F.sequence(F.lit(0), F.lit(len(taps) - 1)), lambda o: F.aggregate(
-        F.zip_with(idx[o], wts[o], lambda i, w: w * a[i]), F.lit(0.0), lambda acc, v: acc + v)))
+    # iterate the literal tables (zip_with) rather than index them per output
+    return let(_c(arr), lambda a: F.zip_with(idx, wts, lambda ii, ww: F.aggregate(
+        F.zip_with(ii, ww, lambda i, w: w * a[i]), F.lit(0.0), lambda acc, v: acc + v)))
