@@ -283,3 +283,20 @@ def q_gather_tokens_long(spark, sf):
     g = gather_tokens_long(tokens, masks, "vec_id")
     return (g.select("mask_id", "vec_id", "ord", F.posexplode_outer("vec").alias("j", "value"))
             .select("mask_id", "vec_id", "ord", "j", r6(F.col("value")).alias("value")))
+
+
+@register("concat_tokens_long", _sql_of("concat_tokens"))
+def q_concat_tokens_long(spark, sf):
+    """C7 long form: token rows, a class-token row in front and mask-token
+    rows after, unioned with shifted positions, then position vectors."""
+    from shardforge.functions.vectors import position_features, vec_add
+    from shardforge.operators.grids import concat_token_rows
+    e = _emb(spark, sf)
+    toks = e.select("vec_id", F.posexplode_outer(_rows8(_x())).alias("pos", "vec"))
+    cls = e.select("vec_id", F.lit(0).alias("pos"), F.array(*[F.lit(v) for v in CLS]).alias("vec"))
+    masks = e.select("vec_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("pos"),
+                     F.array(*[F.lit(v) for v in MASK_TOK]).alias("vec"))
+    seq = concat_token_rows(concat_token_rows(cls, toks, 1), masks, 9)
+    seq = seq.withColumn("vec", vec_add("vec", position_features(F.col("pos"), 8, 1, "1d", n_extra=1)))
+    return (seq.select("vec_id", "pos", F.posexplode_outer("vec").alias("j", "value"))
+            .select("vec_id", "pos", "j", r6(F.col("value")).alias("value")))

@@ -85,9 +85,9 @@ SELECT snapshot, key, count(*) AS n_values,
 FROM ({KEYS_SQL}) GROUP BY snapshot, key""")
 def q_flatten_keys(spark, sf):
     from shardforge.operators.keytable import key_inventory
+    from shardforge.operators.keytable import unflatten_keys
     inv = key_inventory(key_table(spark, sf), ["snapshot"], "key")
-    inv = inv.withColumn("_p", F.split("key", "\\.")).withColumn("level_0", F.col("_p")[0]) \
-        .withColumn("level_2", F.col("_p")[2]).drop("_p")
+    inv = unflatten_keys(inv.drop("depth", "leaf", "parent"), "key", max_levels=3)
     return inv.select("snapshot", "key", "n_values", "depth", "leaf", "parent", "level_0", "level_2")
 
 
