@@ -60,3 +60,23 @@ def test_non_square_token_count_fails(spark):
     df = spark.createDataFrame([([[1.0] * 4] * 3,)], "t array<array<double>>")
     with pytest.raises(Exception):
         df.select(unpatchify("t", 1, 2)).collect()
+
+
+def test_strict_match_fails_on_request(spark):
+    from shardforge.operators.keytable import strict_match
+    a = spark.createDataFrame([(1,), (2,)], "k long")
+    b = spark.createDataFrame([(2,), (3,)], "k long")
+    got = {(r["k"], r["kind"]) for r in strict_match(a, b, ["k"]).collect()}
+    assert got == {(1, "missing"), (3, "unexpected")}
+    with pytest.raises(ValueError):
+        strict_match(a, b, ["k"], fail=True)
+    assert strict_match(a, a, ["k"], fail=True).count() == 0
+
+
+def test_shard_numbers_start_after_an_offset(spark):
+    from shardforge.operators.shards import assign_shards_count
+    d = spark.createDataFrame([(i, i % 2) for i in range(10)], "k long, worker int")
+    got = {r["k"]: r["shard"] for r in assign_shards_count(d, "worker", ["k"], 2, 2, start=100).collect()}
+    # worker 0 holds 0,2,4,6,8 -> shards 100,100,102,102,104; worker 1 -> 101,...
+    assert [got[k] for k in (0, 2, 4, 6, 8)] == [100, 100, 102, 102, 104]
+    assert [got[k] for k in (1, 3, 5, 7, 9)] == [101, 101, 103, 103, 105]
