@@ -10,6 +10,8 @@ run writes byte-for-byte the shards an uninterrupted run would have."""
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,12 +36,9 @@ def generate_shards(spark: SparkSession, ids: DataFrame, out_path: str, *, seed:
     plan = assign_plan(ids.select("sample_id"), "sample_id", batch, workers, per_shard)
     if shard_filter is not None:
         plan = plan.filter(shard_filter)
-    if resume:
-        try:
-            done = read_progress(spark, out_path).select("shard")
-            plan = resume_plan(plan, done, "shard")
-        except Exception:  # noqa: BLE001 - no progress folder yet: nothing done
-            pass
+    if resume and os.path.isdir(os.path.join(out_path, "_progress")):
+        done = read_progress(spark, out_path).select("shard")
+        plan = resume_plan(plan, done, "shard")
     sid = F.col("sample_id")
     samples = (plan.withColumn("label", seeded_randint(seed, "label", sid, 0, num_classes))
                .withColumn("latent", seeded_normal(seed, "latent", sid, latent_dim)))
