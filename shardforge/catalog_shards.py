@@ -148,3 +148,29 @@ def q_shard_job(spark, sf):
     prog = generate_shards(spark, ids, scratch_path(spark, "shard-job"), batch=16, workers=4, per_shard=32,
                            latent_dim=64, num_steps=20, run_id="job")
     return prog.select("shard", "rows", "bytes")
+
+
+@register("publish_shards", """
+SELECT 'shards-' || lpad(CAST(shard AS VARCHAR), 5, '0') || '.tar' AS file, TRUE AS ok
+FROM (SELECT shard, row_number() OVER (PARTITION BY shard % 4 ORDER BY shard DESC) AS rn
+      FROM (SELECT DISTINCT event_id // 100 AS shard FROM events))
+WHERE rn > 3""")
+def q_publish_shards(spark, sf):
+    """F6 end to end: shards written from events, listed from the folder
+    (creation order = shard number, so the result is deterministic), all
+    but the newest 3 of every worker (shard mod 4) shipped and removed."""
+    from shardforge.operators.publish import publish, shard_listing
+    from shardforge.session import reliable_checkpoint
+    from shardforge.sources.tarshards import write_shards
+    ev = table(spark, sf, "events")
+    src, dst = scratch_path(spark, "publish-src"), scratch_path(spark, "publish-dst")
+    write_shards(ev.select(F.floor(F.col("event_id") / 100).cast("bigint").alias("shard"),
+                           F.format_string("%010d", "event_id").alias("key"),
+                           F.col("event_type").alias("type")), src)
+    listing = shard_listing(spark, src, workers=4)
+    listing = listing.withColumn("created", F.regexp_extract("path", r"(\d+)\.tar$", 1).cast("bigint"))
+    shipped = publish(listing, dst, keep=3)
+    rows = shipped.select(F.regexp_extract("dst", r"([^/]+)$", 1).alias("file"), "ok")
+    # publishing moves files: run it once and keep its report (a second
+    # evaluation would list the already-shipped folder)
+    return reliable_checkpoint(rows)
