@@ -75,17 +75,33 @@ def set_id(s: np.ndarray) -> np.int64:
 
 
 class Classes:
-    """Size classes: class j holds sizes from bounds[j] up to the next bound."""
+    """Size classes: class j holds sizes from bounds[j] up to the next bound.
+    A document is listed in its own class and, if it can link to a larger one
+    there, in the next."""
 
     def __init__(self, percent: int, largest: int):
+        if not 75 <= percent <= 100:
+            raise ValueError(f"percent must lie between 75 and 100, not {percent}")
         self.percent, b = percent, [1]
-        while b[-1] <= largest + 1:
-            b.append(max(b[-1] + 1, -(-b[-1] * 8 // 5)))
-        self.bounds = np.array([*b, b[-1] * 2])
+        grow = 8 if percent >= 85 else 7
+        while b[-1] <= 2 * largest + 1:
+            b.append(max(b[-1] + 1, -(-b[-1] * grow // 5)))
+        self.bounds = np.array(b)
         top = self.bounds[1:] - 1
         # symmetric difference of a linked pair no larger than top
         self.differ = 2 * (100 - percent) * top // (100 + percent)
-        self.groups = self.differ + 2 + self.differ // 8
+        self.groups = np.array([self._enough(int(e), -(-percent * int(lo) // 100)) for e, lo in zip(self.differ, self.bounds)])
+
+    @staticmethod
+    def _enough(differ: int, least: int) -> int:
+        """Groups so that a set of the least size nearly always fills more
+        than ``differ`` of them."""
+        b = differ + 2
+        while True:
+            empty = b * (1.0 - 1.0 / b) ** least
+            if b - empty - 2.0 * empty ** 0.5 >= differ + 1 or b > 4 * least + 8:
+                return b
+            b += 1 + b // 64
 
     def of(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.bounds, n, "right") - 1
