@@ -12,12 +12,14 @@ failure arcs until there is one, and log10 weights add up.
 The model grows with the corpus, so it is never broadcast or collected. Rows
 are dealt into blocks of about ``block_chars`` characters by a hash of the id.
 
-1. Each block counts its distinct n-grams and sends (hash, block, count).
-2. Sorted by hash, each n-gram's counts are added; where several blocks hold
-   it, each gets the total back (a block that alone holds an n-gram knows its
-   count already).
-3. Each block meets its totals, builds the automaton of just the n-grams its
-   texts hold, which is all they can reach, and scores its texts.
+1. Each block counts its distinct n-grams. Sorted by hash they fall into as
+   many hash ranges as there are blocks, and go there as packed arrays (hash
+   differences and counts, byte by byte, which compresses well).
+2. Each range adds up the counts and answers every block with an array in the
+   block's own order: the total where several blocks hold the n-gram, else 0
+   (a block that alone holds an n-gram knows its count already).
+3. Each block counts again, takes the totals, builds the automaton of just the
+   n-grams its texts hold, which is all they can reach, and scores its texts.
 
 No text or count is left out; a frequent word is one row per block. N and V
 come from one aggregation over the training words. N-grams are told apart by
@@ -42,7 +44,10 @@ from shardforge.llm.common import bucket_of, prepared, text_or_empty
 from shardforge.llm.textarrays import U, mix, string_array, slices, word_hashes
 
 START, END = U(0x5D1C0DE5A11CE001), U(0x5D1C0DE5A11CE002)
-COUNTS = pa.schema([("key", pa.int64()), ("block", pa.int32()), ("n", pa.int64())])
+PACKED = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+PACKED_SQL = "part int, block int, keys binary, counts binary"
+TOTALS = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("totals", pa.binary())])
+TOTALS_SQL = "block int, part int, totals binary"
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                     ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
@@ -89,37 +94,52 @@ class Grams:
             n = int(ids.max()) + 1 if len(ids) else 0
             self.count.append(np.rint(np.bincount(ids[ok], weights=self.counted[ok], minlength=n)).astype(np.int64))
 
-    def keys(self) -> np.ndarray:
-        return np.concatenate([mix(h + U(k)) for k, h in enumerate(self.hash)]).view(np.int64)
+    def sorted_keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all n-grams in ascending order, and that order."""
+        keys = np.concatenate([mix(h + U(k)) for k, h in enumerate(self.hash)])
+        order = np.argsort(keys)
+        return keys[order], order
 
 
-def count_block(key, t: pa.Table, order: int) -> pa.Table:
-    g = Grams(string_array(t["text"]), t["train"].to_numpy(), order)
-    keys = g.keys()
-    return pa.table([pa.array(keys), pa.array(np.full(len(keys), key[0].as_py(), np.int32)), pa.array(np.concatenate(g.count))], schema=COUNTS)
+def planes(x: np.ndarray) -> bytes:
+    """64-bit numbers, all first bytes, then all second bytes, and so on."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unplanes(b: bytes, dtype) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(dtype).ravel()
 
 
-def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key: for keys held by several blocks, the total."""
-    rest = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)]
+def range_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((keys >> U(32)) * U(parts) >> U(32)).astype(np.int64)
+
+
+def count_block(key, t: pa.Table, order: int, parts: int) -> pa.Table:
+    g = Grams(string_array(t["text"]), t["train"].to_numpy(), order)
+    keys, at = g.sorted_keys()
+    counts = np.concatenate(g.count)[at]
+    part = range_of(keys, parts)
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    ends = np.append(first[1:], len(keys))
+    steps = [np.concatenate([keys[i:i + 1], np.diff(keys[i:j])]) for i, j in zip(first, ends)]
+    return pa.table([pa.array(part[first], pa.int32()), pa.array(np.full(len(first), key[0].as_py(), np.int32)),
+                     pa.array([planes(x) for x in steps], pa.binary()),
+                     pa.array([planes(counts[i:j]) for i, j in zip(first, ends)], pa.binary())], schema=PACKED)
 
-    def totals(key, block, n):
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        times = np.diff(np.append(first, len(key)))
-        total = np.repeat(np.add.reduceat(n, first), times)
-        shared = np.repeat(times > 1, times)
-        return pa.RecordBatch.from_arrays([pa.array(key[shared]), pa.array(block[shared]), pa.array(total[shared])], schema=COUNTS)
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, batch.columns)]
-        cut = int(np.searchsorted(cols[0], cols[0][-1]))   # the last key may go on
-        rest = [c[cut:] for c in cols]
-        if cut:
-            yield totals(*[c[:cut] for c in cols])
-    if len(rest[0]):
-        yield totals(*rest)
+def add_up(t: pa.Table) -> pa.Table:
+    """The totals of one hash range, for each block in the block's order."""
+    keys = [np.cumsum(unplanes(x, U), dtype=U) for x in t["keys"].to_pylist()]
+    sizes = np.cumsum([len(x) for x in keys])[:-1]
+    keys, counts = np.concatenate(keys), np.concatenate([unplanes(x, np.int64) for x in t["counts"].to_pylist()])
+    at = np.argsort(keys, kind="stable")
+    ranked = keys[at]
+    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    times = np.diff(np.append(first, len(ranked)))
+    total = np.empty(len(keys), np.int64)
+    total[at] = np.repeat(np.where(times > 1, np.add.reduceat(counts[at], first), 0), times)
+    return pa.table([t["block"].combine_chunks(), t["part"].combine_chunks(),
+                     pa.array([planes(x) for x in np.split(total, sizes)], pa.binary())], schema=TOTALS)
 
 
 class Automaton:
@@ -194,11 +214,11 @@ class Automaton:
 def score_block(texts: pa.Table, replies: pa.Table, order: int, mu: float, words: int, types: int) -> pa.Table:
     train = texts["train"].to_numpy()
     g = Grams(string_array(texts["text"]), train, order)
-    keys, counts = g.keys(), np.concatenate(g.count)
-    if replies.num_rows and len(keys):
-        at = np.argsort(keys)
-        found = at[np.searchsorted(keys[at], replies["key"].to_numpy())]
-        counts[found] = replies["n"].to_numpy()
+    _, at = g.sorted_keys()
+    counts = np.concatenate(g.count)
+    if replies.num_rows:
+        totals = np.concatenate([unplanes(x, np.int64) for x in replies.sort_by("part")["totals"].to_pylist()])
+        counts[at] = np.where(totals > 0, totals, counts[at])
     cut = np.cumsum([len(h) for h in g.hash])[:-1]
     counts = np.split(counts, cut)
     known = counts[0] > 0
@@ -241,8 +261,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
-    counts = dealt.groupBy("block").applyInArrow(lambda key, t: count_block(key, t, order), "key bigint, block int, n bigint")
-    replies = counts.repartition("key").sortWithinPartitions("key").mapInArrow(add_up, "key bigint, block int, n bigint")
+    packed = dealt.groupBy("block").applyInArrow(lambda key, t: count_block(key, t, order, blocks), PACKED_SQL)
+    replies = packed.groupBy("part").applyInArrow(lambda key, t: add_up(t), TOTALS_SQL)
     return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(
         lambda a, b: score_block(a, b, order, mu, words, types),
         "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
