@@ -97,9 +97,12 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
               .agg(F.collect_set(F.struct("s", "e", "ch")).alias("chunks")))
     texts = held(keyed.select("_id", "_th", "_text").join(listed, ["_id", "_th"]).dropDuplicates(["_id", "_th"]),
                  "u", units_of(F.col("_text")))
-    found = (texts.select("_id", "_th", "u", F.explode("chunks").alias("x"))
-             .select("_id", "_th", "x.s", "x.e", "x.ch",
-                     F.array_join(F.transform(_span(F.col("u"), F.col("x.s"), F.col("x.e")), _bare), "\n").alias("chunk"))
+    # the chunk texts are cut out before the rows are multiplied, so that no
+    # row carries its whole document along
+    cut = F.transform("chunks", lambda x: F.struct(
+        x["s"].alias("s"), x["e"].alias("e"), x["ch"].alias("ch"),
+        F.array_join(F.transform(_span(F.col("u"), x["s"], x["e"]), _bare), "\n").alias("chunk")))
+    found = (texts.select("_id", "_th", F.explode_outer(cut).alias("x")).select("_id", "_th", "x.s", "x.e", "x.ch", "x.chunk")
              .where(F.length("chunk") >= min_chars))
     found = stored(found, "chunk-texts")
     first = (found.groupBy("ch", "chunk").agg(F.min(F.struct("_id", "_th", "s")).alias("w"), F.count(F.lit(1)).alias("n"))
