@@ -185,7 +185,9 @@ def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: st
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chars // part_chars + 1)
     order = [F.col("doc_id").desc_nulls_last(), F.col("text").desc()]
-    done = written(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_stream, OPEN))
+    # ranges are drawn from ids alone: the sample that goes to the driver holds
+    # the sort key, which must not be whole texts
+    done = written(rows.repartitionByRange(n, order[0]).sortWithinPartitions(*order).mapInArrow(_stream, OPEN))
     closed = done.where("part is null").select(*ARROW.names)
     # one first and one last row for each partition: the last is paired with
     # the first of the next partition, the last of all with the first of all
