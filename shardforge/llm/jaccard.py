@@ -18,8 +18,8 @@ trees are therefore grown inside cells that an exact argument provides:
   the group's content), and a document with too few groups also under another
   dealing, until it has enough. Every linked pair shares a cell; cells with one
   set are dropped; cells with equal members count once.
-* Stars. One member of each cell (by hash order) is verified against the
-  others; links found so far are contracted to components.
+* Stars. One member of each cell (by hash order) is compared with the others,
+  by counts first and then by full sets; links found so far are contracted to components.
 * Trees. Cells whose members still lie in several components are searched with
   an R-tree of count vectors each: leaves whose boxes can't reach the overlap
   are skipped, then point pairs, then pairs that are connected already. Cells
@@ -50,7 +50,8 @@ from shardforge.llm.common import prepared, stored, text_or_empty, written
 from shardforge.llm.components import connected_components
 from shardforge.llm.textarrays import U, chain, mix, salt, slices, string_array, word_hashes
 
-GROUPS, LEAF, TILE = 64, 32, 1024
+GROUPS, LEAF, TILE = 512, 32, 1024
+FULL = 255   # a count of 255 stands for any larger one
 GOLD = U(0x9E3779B97F4A7C15)
 
 
@@ -200,7 +201,8 @@ def _sets(width: int) -> Callable:
             for lo, part in slices(string_array(batch.column(1))):
                 rows = [(set_id(s), s) for s in shingle_sets(part, width)]
                 rows = [(i, s) for k, (i, s) in enumerate(rows) if i == want[lo + k]]
-                vec = [np.bincount((mix(s ^ U(77)) >> U(58)).astype(np.int64), minlength=GROUPS).astype(np.uint32).tobytes() for _, s in rows]
+                vec = [np.minimum(np.bincount((mix(s ^ U(77)) % U(GROUPS)).astype(np.int64), minlength=GROUPS), FULL).astype(np.uint8).tobytes()
+                       for _, s in rows]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([int(i) for i, _ in rows], pa.int64()), pa.array([len(s) for _, s in rows], pa.int64()),
                      pa.array([s.tobytes() for _, s in rows], pa.binary()), pa.array(vec, pa.binary())], names=["sid", "n", "tokens", "vec"])
@@ -223,6 +225,28 @@ def _verify(percent: int) -> Callable:
     return run
 
 
+def overlap_bound(x: np.ndarray, y: np.ndarray, size) -> np.ndarray:
+    """Summed coordinate minima; no more than ``size`` shingles where both
+    counts are too large to be stored."""
+    low = np.minimum(x, y)
+    out = low.sum(axis=-1, dtype=np.int64)
+    full = low == FULL
+    return out + size * full.any(axis=-1) if full.any() else out
+
+
+def _within(percent: int) -> Callable:
+    """Pairs whose summed coordinate minima allow a link."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, GROUPS) for c in ("va", "vb"))
+            keep = pa.array((100 + percent) * overlap_bound(x, y, np.minimum(na, nb)) >= percent * (na + nb))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+    return run
+
+
 def close_pairs(n: np.ndarray, vec: np.ndarray, comp: np.ndarray, tile: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of one cell (or tile pair) whose summed coordinate minima
     allow a link and that aren't connected yet. Points are packed into leaves
@@ -236,12 +260,12 @@ def close_pairs(n: np.ndarray, vec: np.ndarray, comp: np.ndarray, tile: np.ndarr
     top = np.array([vec[x].max(axis=0) for x in leaves])
     least, most = np.array([n[x].min() for x in leaves]), np.array([n[x].max() for x in leaves])
     for i, a in enumerate(leaves):
-        reach = np.minimum(top[i:], top[i]).sum(axis=1)
+        reach = overlap_bound(top[i:], top[i], most[i])
         may = ((100 + percent) * reach >= percent * (least[i:] + least[i])) & \
               (100 * most[i:] >= percent * least[i]) & (100 * most[i] >= percent * least[i:])
         for k in np.flatnonzero(may) + i:
             b = leaves[k]
-            bound = np.minimum(vec[a][:, None, :], vec[b][None, :, :]).sum(axis=2)
+            bound = overlap_bound(vec[a][:, None, :], vec[b][None, :, :], most[i])
             ok = (100 + percent) * bound >= percent * (n[a][:, None] + n[b][None, :])
             ok &= comp[a][:, None] != comp[b][None, :]
             if tile.any():   # two tiles: only pairs across
@@ -262,7 +286,7 @@ def _search(percent: int) -> Callable:
             key = np.stack([t[c].to_numpy() for c in ("cell", "lo", "hi")])
             first = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
             sid, n, comp, tile = (t[c].to_numpy() for c in ("sid", "n", "comp", "side"))
-            vec = np.frombuffer(b"".join(t["vec"].to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int64)
+            vec = np.frombuffer(b"".join(t["vec"].to_pylist()), np.uint8).reshape(-1, GROUPS)
             got_a, got_b = [], []
             for lo, hi in zip(first, np.append(first[1:], len(sid))):
                 for x, y in close_pairs(n[lo:hi], vec[lo:hi], comp[lo:hi], tile[lo:hi], percent):
@@ -299,6 +323,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").mapInArrow(_verify(percent), "a bigint, b bigint")
 
 
+def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    x = points.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va"))
+    y = points.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("vec").alias("vb"))
+    return pairs.join(x, "a").join(y, "b").mapInArrow(_within(percent), "a bigint, b bigint")
+
+
 def links(docs: DataFrame, measured: DataFrame, percent: int, width: int) -> DataFrame:
     """(node, comp) over set ids with a link to another set."""
     texts = docs.select(text_or_empty(F.col("_text")).alias("text"))
@@ -309,17 +339,18 @@ def links(docs: DataFrame, measured: DataFrame, percent: int, width: int) -> Dat
         F.min_by("sid", F.xxhash64(F.col("sid"), F.col("cell") % 4)).alias("lead"))
     # cells with the same members count once
     cells = per_cell.groupBy("m", "x", "y").agg(F.min("cell").alias("cell"), F.min_by("lead", "cell").alias("lead"))
-    cells = written(cells.select("cell", "m", "lead"))
-    members = written(members.join(cells, "cell"))
+    cells = stored(cells.select("cell", "m", "lead"), "cells-once")
+    members = stored(members.join(cells, "cell"), "members")
     wanted = members.select("sid").distinct()
     reps = measured.groupBy("sid").agg(F.min("doc_id").alias("rep")).join(wanted, "sid").select("sid", "rep")
     sets = stored(docs.join(reps, docs["doc_id"].eqNullSafe(F.col("rep"))).select("sid", text_or_empty(F.col("_text")).alias("text"))
                   .mapInArrow(_sets(width), "sid bigint, n bigint, tokens binary, vec binary"), "sets")
     stars = (members.where("sid <> lead").select(F.least("sid", "lead").alias("a"), F.greatest("sid", "lead").alias("b")).distinct())
-    first = written(connected_components(_verified(stars, sets, percent)))
+    points = stored(sets.select("sid", "n", "vec").dropDuplicates(["sid"]), "points")
+    near = stored(_bounded(stars, points, percent), "stars")
+    first = written(connected_components(_verified(near, sets, percent)))
     placed = members.join(first.withColumnRenamed("node", "sid"), "sid", "left").select("cell", "m", "sid", F.coalesce("comp", "sid").alias("comp"))
     open_cells = placed.groupBy("cell").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q").select("cell")
-    points = sets.select("sid", "n", "vec").dropDuplicates(["sid"])
     tiled = (placed.join(open_cells, "cell").join(points, "sid")
              .withColumn("tiles", F.ceil(F.col("m") / TILE).cast("int"))
              .withColumn("t", F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("int"))
