@@ -107,6 +107,9 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = stored(found, "chunk-texts")
     first = (found.groupBy("ch", "chunk").agg(F.min(F.struct("_id", "_th", "s")).alias("w"), F.count(F.lit(1)).alias("n"))
              .where("n > 1").select(F.col("ch").alias("w_ch"), F.col("chunk").alias("w_chunk"), "w"))
+    # written first: with a plain exchange on either side of the join, a hot
+    # chunk's occurrences can be split over tasks
+    first = stored(first, "first-chunks")
     return (found.join(first, (F.col("ch") == F.col("w_ch")) & (F.col("chunk") == F.col("w_chunk")))
             .where(F.struct("_id", "_th", "s") != F.col("w")).select("_id", "_th", "s", "e"))
 
