@@ -2,7 +2,7 @@
 
 Four kinds of evidence are multiplied into one posterior over languages:
 
-* text: character trigrams (UTF-8 bytes, letters lower-cased for A-Z) hashed
+* text: trigrams around every letter (UTF-8 bytes, A-Z lower-cased) hashed
   into ``buckets``, one smoothed multinomial per language, learned from a
   bounded labelled sample (``per_lang`` texts of each language with the
   smallest text hash). The log-likelihood is averaged and counted as at most
@@ -40,24 +40,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shardforge.llm.common import ROW, boxed, field, prepared, text_or_empty, written
-from shardforge.llm.textarrays import LOWER, SPACE, U, mix, raw_bytes, slices, string_array
+from shardforge.llm.textarrays import LOWER, U, mix, raw_bytes, slices, string_array
 
 BUCKETS = 1 << 14
 
 
 def trigrams(arr: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of the byte trigrams that lie inside one text and hold
-    no digit or ASCII sign; separators count as one sign."""
+    """(row, bucket) of the byte trigrams around each letter byte. Anything
+    that is no letter, and the start and end of a text, is one separator, so
+    every text with a letter has a trigram."""
     data, offs = raw_bytes(arr)
-    if len(data) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    b = LOWER[data]
-    letter = ((b >= 97) & (b <= 122)) | (b >= 128)
-    b = np.where(SPACE[b], 32, b)
-    ok = (letter[:-2] | (b[:-2] == 32)) & letter[1:-1] & (letter[2:] | (b[2:] == 32))
-    owner = np.repeat(np.arange(len(arr)), np.diff(offs))
-    at = np.flatnonzero(ok & (owner[:-2] == owner[2:]))
-    w = b.astype(U)
+    n = len(arr)
+    low = LOWER[data]
+    pad = np.full(len(data) + n + 1, 32, np.uint8)
+    pad[np.arange(len(data)) + np.repeat(np.arange(n) + 1, np.diff(offs))] = np.where((low >= 97) & (low <= 122) | (low >= 128), low, 32)
+    owner = np.repeat(np.arange(n), np.diff(offs) + 1)
+    at = np.flatnonzero(pad[1:-1] != 32)
+    w = pad.astype(U)
     gram = w[at] | w[at + 1] << U(8) | w[at + 2] << U(16)
     return owner[at], (mix(gram) % U(buckets)).astype(np.int64)
 

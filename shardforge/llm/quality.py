@@ -2,7 +2,8 @@
 
 Every document becomes the average of learned vectors of its features: its
 words, its character n-grams of 3 and 4 bytes (inside words, the neighbouring
-separator included) and one end feature, all hashed into ``buckets`` vectors
+separator included), its pairs of a word with itself (one feature, whatever
+the word) and one end feature, all hashed into ``buckets`` vectors
 of ``dim`` numbers. A softmax over the two labels follows. Both layers are
 trained by plain stochastic gradient descent in NumPy.
 
@@ -33,6 +34,7 @@ from shardforge.llm.common import prepared, text_or_empty
 from shardforge.llm.textarrays import SPACE, U, find_words, hash_words, mix, raw_bytes, slices, string_array
 
 NGRAMS = (3, 4)
+REPEAT = U(1)   # any word pair of a word with itself
 
 
 def features(arr: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,7 +43,10 @@ def features(arr: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(arr)
     lens = np.diff(offs)
     starts, ends, woff = find_words(data, offs)
-    rows, ids = [np.arange(n), np.repeat(np.arange(n), np.diff(woff))], [np.zeros(n, U), hash_words(data, starts, ends)]
+    words, word_row = hash_words(data, starts, ends), np.repeat(np.arange(n), np.diff(woff))
+    again = np.flatnonzero((words[1:] == words[:-1]) & (word_row[1:] == word_row[:-1]))
+    rows = [np.arange(n), word_row, word_row[again]]
+    ids = [np.zeros(n, U), words, np.full(len(again), REPEAT, U)]
     # one separator before each text, one at the end, every separator a space
     pad = np.full(len(data) + n + 1, 32, np.uint8)
     pad[np.arange(len(data)) + np.repeat(np.arange(n) + 1, lens)] = data
@@ -135,8 +140,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int, id_col:
     for y in (0, 1):
         part = clean.where(F.col("label") == y).orderBy(*order).limit(per_label).select("l_id", "label")
         ids = part if ids is None else ids.unionByName(part)
-    return (docs.join(F.broadcast(ids), docs[id_col] == F.col("l_id"))
-            .select("label", text_or_empty(F.col(text_col)).alias("text"), F.col("l_id")))
+    slim = docs.select(F.col(id_col).alias("d_id"), text_or_empty(F.col(text_col)).alias("text"))
+    return slim.join(F.broadcast(ids), F.col("d_id") == F.col("l_id")).select("label", "text")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality",
@@ -146,7 +151,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", l
     learned from."""
     prepared(docs.sparkSession)
     sample = labelled_sample(docs, labels, per_label, id_col, label_col, text_col)
-    rows = sample.select("label", "text").mapInArrow(_bags(buckets), "label int, bucket array<int>, times array<int>").toArrow()
+    rows = sample.mapInArrow(_bags(buckets), "label int, bucket array<int>, times array<int>").toArrow()
     bags = [(y, np.asarray(b, np.int64), np.asarray(t, np.float64)) for y, b, t in
             zip(rows["label"].to_pylist(), rows["bucket"].to_numpy(zero_copy_only=False), rows["times"].to_numpy(zero_copy_only=False))]
     bags.sort(key=lambda x: (x[0], len(x[1]), x[1].tobytes(), x[2].tobytes()))
