@@ -23,13 +23,13 @@ def _x():
 
 @register("worker_merge", """
 SELECT event_id, CAST(user_id % 4 AS INTEGER) AS worker,
-       CAST(row_number() OVER (ORDER BY user_id % 4, event_id) - 1 AS BIGINT) AS "index"
+       CAST(row_number() OVER (ORDER BY user_id % 4, event_id) - 1 AS BIGINT) AS "index", event_type
 FROM events""")
 def q_worker_merge(spark, sf):
     from shardforge.operators.positions import worker_merge
-    ev = table(spark, sf, "events").select("event_id", "user_id")
-    parts = [ev.filter(F.col("user_id") % 4 == w).select("event_id") for w in range(4)]
-    return worker_merge(parts, ["event_id"], "index").select("event_id", "worker", "index")
+    ev = table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    parts = [ev.filter(F.col("user_id") % 4 == w).select("event_id", "event_type") for w in range(4)]
+    return worker_merge(parts, ["event_id"], "index").select("event_id", "worker", "index", "event_type")
 
 
 @register("run_metrics", """

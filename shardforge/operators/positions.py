@@ -8,8 +8,9 @@ third of the rows) into one task. Instead:
 1. range-partition on the order key (hot keys are split because the full
    order key, not just the group, drives the ranges) and sort each part;
 2. number rows inside each part (``monotonically_increasing_id`` minus the
-   partition offset it encodes); the counting pass and the numbering pass
-   read the same, reused range exchange, so they see identical parts;
+   partition offset it encodes) and write the numbered rows once to the
+   checkpoint folder. Two evaluations of a range exchange may sample other
+   bounds, so counts and numbers must come from the same written rows;
 3. count rows per part — one small row per part — take prefix sums over that
    bounded table and broadcast it (size = number of parts, a proven bound).
 """
@@ -19,38 +20,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardforge.session import checkpoint_dir, reliable_checkpoint
+from shardforge.session import estimated_bytes, reliable_checkpoint
 
 
 def global_positions(df: DataFrame, order_cols: list[str], out_col: str = "position",
-                     num_partitions: int | None = None, checkpoint: bool = False) -> DataFrame:
+                     num_partitions: int | None = None) -> DataFrame:
     """0-based position of every row in the order of ``order_cols`` (which
-    should be unique, a total order).
-
-    The per-part counts and the numbering read the same range exchange,
-    which Spark plans once and reuses, so the data is shuffled once and
-    both see identical parts. A recomputation after a lost executor is
-    exact for a deterministic input (a table scan and column expressions).
-    For an input that is not (random columns, a micro-batch source), pass
-    ``checkpoint=True``: the numbered rows are then written once to
-    ``spark.checkpoint.dir`` and read from there."""
+    should be unique, a total order). The numbered rows are written once to
+    ``spark.checkpoint.dir``; counts and positions both read them there."""
     spark = df.sparkSession
-    # one range per input split (sized by spark.sql.files.maxPartitionBytes),
-    # capped at 4 per core: a 100 TB input has ~800k splits, and that many
-    # reducers would bloat the shuffle metadata; parts of a few GB sort with
-    # spills. Never fewer than the shuffle width.
-    if num_partitions is None:
-        cores = spark.sparkContext.defaultParallelism
-        num_partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                             min(df.rdd.getNumPartitions(), 4 * cores))
-    n = num_partitions
+    # parts of about 256 MB by the optimiser's size estimate, and never fewer
+    # than the shuffle width; independent of the cluster at hand
+    n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                              estimated_bytes(df) // (256 << 20))
     tagged = (df.repartitionByRange(n, *order_cols)
               .sortWithinPartitions(*order_cols)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
-    if checkpoint:
-        checkpoint_dir(spark)
-        tagged = reliable_checkpoint(tagged)
+    tagged = reliable_checkpoint(tagged)
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
@@ -61,15 +48,16 @@ def global_positions(df: DataFrame, order_cols: list[str], out_col: str = "posit
 
 
 def positions_in_group(df: DataFrame, group_cols: list[str], order_cols: list[str],
-                       out_col: str = "pos_in_group", num_partitions: int | None = None,
-                       checkpoint: bool = False) -> DataFrame:
+                       out_col: str = "pos_in_group", num_partitions: int | None = None) -> DataFrame:
     """0-based position inside each group in the given order; skew-safe
-    (the group offset is one aggregate row per group)."""
-    g = global_positions(df, group_cols + order_cols, "_gpos", num_partitions, checkpoint)
-    first = g.groupBy(*group_cols).agg(F.min("_gpos").alias("_gfirst"))
-    return (g.join(first, group_cols)
+    (the group offset is one aggregate row per group). Null groups count as
+    a group."""
+    g = global_positions(df, group_cols + order_cols, "_gpos", num_partitions)
+    g = g.withColumn("_gkey", F.struct(*group_cols))
+    first = g.groupBy("_gkey").agg(F.min("_gpos").alias("_gfirst"))
+    return (g.join(first, "_gkey")
             .withColumn(out_col, F.col("_gpos") - F.col("_gfirst"))
-            .drop("_gpos", "_gfirst"))
+            .drop("_gpos", "_gfirst", "_gkey"))
 
 
 def worker_merge(parts: list[DataFrame], order_cols: list[str], out_col: str = "index",

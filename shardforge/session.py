@@ -55,6 +55,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="shardforge-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
@@ -110,15 +112,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Spread rows over at least one partition per core before CPU-bound
     per-row work (hashing, trajectories, matrix products). A table read from
-    few large row groups arrives in very few partitions; on a cluster reading
-    many splits this is a no-op, so it never adds a shuffle where the input
-    is already parallel."""
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
+    few large row groups arrives in very few partitions; where the estimated
+    size gives as many splits as cores this is a no-op. Only the speed
+    depends on it, no result does."""
+    spark = df.sparkSession
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    if estimated_bytes(df) // split < want:
         return df.repartition(want)
     return df
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimiser's size estimate of ``df``, without running anything;
+    0 when it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
 def reliable_checkpoint(df: DataFrame, persist_first: bool = False) -> DataFrame:
     """Cut lineage with a reliable checkpoint in ``spark.checkpoint.dir``.
 
