@@ -228,6 +228,48 @@ register("group_attention", _attn_sql(False))(_attn_query(False))
 register("group_attention_causal", _attn_sql(True))(_attn_query(True))
 
 
+def _positions_sql(causal: bool) -> str:
+    """Tokens named by their position in the sequence, as models do: the same
+    ids come back in every group."""
+    cond = "AND k.pos <= q.pos" if causal else ""
+    return f"""
+WITH t AS (SELECT vec_id // 10 AS seq, vec_id % 10 AS pos, embedding FROM embeddings),
+s AS (SELECT q.seq, q.pos, k.pos AS kpos, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(k.embedding AS DOUBLE[])) / 8.0 AS sc
+      FROM t q JOIN t k ON q.seq = k.seq {cond}),
+w AS (SELECT seq, pos, kpos, exp(sc - max(sc) OVER (PARTITION BY seq, pos)) AS e FROM s),
+n AS (SELECT seq, pos, kpos, e / sum(e) OVER (PARTITION BY seq, pos) AS p FROM w)
+SELECT n.seq, n.pos, CAST(j AS INTEGER) AS j, round(sum(n.p * CAST(t.embedding[j + 1] AS DOUBLE)), 6) AS value
+FROM n JOIN t ON t.seq = n.seq AND t.pos = n.kpos, range(64) r(j)
+GROUP BY n.seq, n.pos, j"""
+
+
+def _sequences(spark, sf):
+    return _emb(spark, sf).select((F.col("vec_id") / 10).cast("bigint").alias("seq"),
+                                  (F.col("vec_id") % 10).alias("pos"), "embedding")
+
+
+@register("group_attention_positions", _positions_sql(False))
+def q_group_attention_positions(spark, sf):
+    from shardforge.operators.features import group_attention
+    a = group_attention(_sequences(spark, sf), ["seq"], "pos", "pos", "embedding", block_rows=4)
+    return _long(a.select("seq", "pos", "attn"), ["seq", "pos"], "attn")
+
+
+def _sequence_query(causal: bool):
+    def q(spark, sf):
+        from shardforge.operators.features import sequence_attention
+        s = (_sequences(spark, sf).groupBy("seq").agg(F.sort_array(F.collect_list(F.struct("pos", F.col("embedding").cast("array<double>").alias("v")))).alias("t"))
+             .select("seq", F.col("t.pos").alias("at"), F.col("t.v").alias("vecs")))
+        a = sequence_attention(s, "vecs", causal=causal, block=4)
+        rows = a.select("seq", F.explode(F.arrays_zip("at", "attn")).alias("z")).select("seq", F.col("z.at").alias("pos"), F.col("z.attn").alias("attn"))
+        return _long(rows, ["seq", "pos"], "attn")
+    return q
+
+
+register("sequence_attention", _positions_sql(False))(_sequence_query(False))
+register("sequence_attention_causal", _positions_sql(True))(_sequence_query(True))
+
+
 @register("attention_pool", """
 WITH t AS (SELECT label, vec_id // 50 AS grp, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 ex AS (SELECT label, grp, j, v[j + 1] AS x FROM t, range(64) r(j)),

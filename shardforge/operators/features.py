@@ -162,9 +162,9 @@ def _block_partials(pairs: DataFrame, d: int, causal: bool) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            cols = batch.to_pydict()
-            out_q, out_m, out_acc = [], [], []
-            for q_items, k_items in zip(cols["q_items"], cols["k_items"]):
+            cols = batch.select(["q_items", "k_items"]).to_pydict()
+            out_g, out_q, out_m, out_acc = [], [], [], []
+            for row, (q_items, k_items) in enumerate(zip(cols["q_items"], cols["k_items"])):
                 qid = np.array([it["id"] for it in q_items], dtype=np.int64)
                 qpos = np.array([it["pos"] for it in q_items], dtype=np.int64)
                 qv = np.array([it["vec"] for it in q_items], dtype=np.float64)
@@ -179,14 +179,15 @@ def _block_partials(pairs: DataFrame, d: int, causal: bool) -> DataFrame:
                 l = e.sum(axis=1)
                 acc = e @ kv
                 for r in np.nonzero(has)[0]:
+                    out_g.append(row)
                     out_q.append(int(qid[r]))
                     out_m.append(float(m[r]))
                     out_acc.append(list(acc[r]) + [float(l[r])])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out_q, pa.int64()), pa.array(out_m, pa.float64()),
-                 pa.array(out_acc, pa.list_(pa.float64()))], names=["q_id", "m", "acc"])
+                [batch.column("_g").take(pa.array(out_g, pa.int64())), pa.array(out_q, pa.int64()), pa.array(out_m, pa.float64()),
+                 pa.array(out_acc, pa.list_(pa.float64()))], names=["_g", "q_id", "m", "acc"])
 
-    return pairs.mapInArrow(run, "q_id bigint, m double, acc array<double>")
+    return pairs.mapInArrow(run, f"_g {pairs.schema['_g'].dataType.simpleString()}, q_id bigint, m double, acc array<double>")
 
 
 def group_attention(df: DataFrame, group_cols: list[str], id_col: str, pos_col: str, vec_col: str,
@@ -227,17 +228,62 @@ def group_attention(df: DataFrame, group_cols: list[str], id_col: str, pos_col:
     kside = blocks.select("_g", F.col("_blk").alias("kb"),
                           F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("qb"),
                           F.col("items").alias("k_items"))
-    pairs = qside.join(kside, ["_g", "qb", "kb"]).select("q_items", "k_items")
+    pairs = qside.join(kside, ["_g", "qb", "kb"]).select("_g", "q_items", "k_items")
     # the partial states feed both the max pass and the weighted sums: write
     # them once instead of running the NumPy stage twice
     from shardforge.session import reliable_checkpoint
     parts = reliable_checkpoint(_block_partials(pairs, d, causal))
-    mx = parts.groupBy("q_id").agg(F.max("m").alias("_M"))
-    weighted = parts.join(mx, "q_id").withColumn("_w", F.exp(F.col("m") - F.col("_M")))
-    sums = (weighted.select("q_id", "_w", F.posexplode_outer("acc").alias("j", "a"))
-            .groupBy("q_id", "j").agg(F.sum(F.col("a") * F.col("_w")).alias("a")))
-    out = _normalised_vectors(sums, ["q_id"], d, out_col)
-    return df.join(out.withColumnRenamed("q_id", id_col), id_col)
+    # an id is a position inside its group, so the group is part of every key
+    mx = parts.groupBy("_g", "q_id").agg(F.max("m").alias("_M"))
+    weighted = parts.join(mx, ["_g", "q_id"]).withColumn("_w", F.exp(F.col("m") - F.col("_M")))
+    sums = (weighted.select("_g", "q_id", "_w", F.posexplode_outer("acc").alias("j", "a"))
+            .groupBy("_g", "q_id", "j").agg(F.sum(F.col("a") * F.col("_w")).alias("a")))
+    out = _normalised_vectors(sums, ["_g", "q_id"], d, out_col)
+    keyed = df.withColumn("_g", F.struct(*group_cols)).withColumn("q_id", F.col(id_col).cast("bigint"))
+    return keyed.join(out, ["_g", "q_id"]).drop("_g", "q_id")
+
+
+def sequence_attention(df: DataFrame, vec_list_col: str, out_col: str = "attn", causal: bool = False,
+                       block: int = 512) -> DataFrame:
+    """The array form: one row holds a whole sequence as ARRAY<ARRAY<DOUBLE>>
+    and gets the attended sequence in ``out_col`` (same length). No shuffle
+    and no pair rows; scores are computed ``block`` queries at a time, and in
+    causal mode against the keys up to the block's end only. Null and empty
+    sequences give null and empty."""
+    import pyarrow as pa
+    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+    from shardforge.session import ship_package
+    ship_package(df.sparkSession)
+
+    def attend(x):
+        out = np.empty_like(x)
+        n, scale = len(x), 1.0 / math.sqrt(x.shape[1])
+        for lo in range(0, n, block):
+            hi = min(n, lo + block)
+            keys = x[:hi] if causal else x
+            s = (x[lo:hi] @ keys.T) * scale
+            if causal:
+                s = np.where(np.arange(hi)[None, :] <= np.arange(lo, hi)[:, None], s, -np.inf)
+            e = np.exp(s - s.max(axis=1, keepdims=True))
+            out[lo:hi] = (e / e.sum(axis=1, keepdims=True)) @ keys
+        return out
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for seq in batch.column(vec_list_col):
+                v = seq.values
+                if v is None or not len(v):
+                    rows.append(None if v is None else [])
+                    continue
+                x = np.asarray(v.flatten().cast(pa.float64())).reshape(len(v), -1)
+                rows.append(list(attend(x)))
+            yield pa.RecordBatch.from_arrays(list(batch.columns) + [pa.array(rows, pa.list_(pa.list_(pa.float64())))],
+                                             names=batch.schema.names + [out_col])
+
+    schema = StructType(list(df.schema.fields) + [StructField(out_col, ArrayType(ArrayType(DoubleType())))])
+    return df.mapInArrow(run, schema)
 
 
 def _normalised_vectors(sums: DataFrame, keys: list[str], d: int, out_col: str) -> DataFrame:
@@ -304,7 +350,7 @@ def cosine_topk(a: DataFrame, b: DataFrame, a_id: str, b_id: str, vec_col: str,
         # exact chunk bound: consecutive positions of b, written once since
         # every chunk pass reads them
         from shardforge.operators.positions import global_positions
-        bsel = global_positions(bsel, ["id"], "_bp", checkpoint=True)
+        bsel = global_positions(bsel, ["id"], "_bp")
     for c in range(n_chunks):
         chunk = bsel if n_chunks == 1 else bsel.filter(
             F.floor(F.col("_bp") / F.lit(max_broadcast_rows)) == c).select("id", "vec")
