@@ -37,7 +37,13 @@ def generate_shards(spark: SparkSession, ids: DataFrame, out_path: str, *, seed:
     if shard_filter is not None:
         plan = plan.filter(shard_filter)
     if resume and os.path.isdir(os.path.join(out_path, "_progress")):
-        done = read_progress(spark, out_path).select("shard")
+        # done: the shard's file is there and holds as many rows as planned
+        from shardforge.operators.publish import shard_listing
+        planned = plan.groupBy("shard").agg(F.count(F.lit(1)).alias("planned"))
+        there = shard_listing(spark, out_path).select(
+            F.regexp_extract("path", r"(\d+)\.[^/.]+$", 1).cast("bigint").alias("shard")).distinct()
+        done = (read_progress(spark, out_path).groupBy("shard").agg(F.max_by("rows", "committed_at").alias("rows"))
+                .join(planned, "shard").filter("rows = planned").join(there, "shard").select("shard"))
         plan = resume_plan(plan, done, "shard")
     sid = F.col("sample_id")
     samples = (plan.withColumn("label", seeded_randint(seed, "label", sid, 0, num_classes))

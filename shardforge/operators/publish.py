@@ -7,6 +7,7 @@ source. keep = 0 ships everything. An empty listing is an error."""
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,10 +48,19 @@ def retention_split(listing: DataFrame, keep: int, worker_col: str = "worker",
 
 
 def publish(listing: DataFrame, dest: str, keep: int) -> DataFrame:
-    """Copy every 'ship' file to ``dest`` (temp name, then rename), check the
-    copied length, then delete the source. Runs in the executors, one task
-    per group of files; returns (src, dst, bytes, ok) per file."""
+    """Copy every 'ship' file to ``dest`` and return the report (src, dst,
+    bytes, ok) per file. The copy runs now, once, in the executors; the report
+    is written to the checkpoint folder.
+
+    Each attempt copies under a name of its own, checks the length of the
+    renamed file and only then deletes the source, so two attempts of a task
+    can't harm each other's copy. Two sources with the same base name are an
+    error before anything is copied."""
     split = retention_split(listing, keep)
+    base = F.regexp_extract("path", r"([^/]+)$", 1)
+    same = split.filter(F.col("action") == "ship").groupBy(base.alias("file")).count().filter("count > 1").limit(5).collect()
+    if same:
+        raise ValueError(f"several sources would be published under one name: {[r['file'] for r in same]}")
     ships = split.filter(F.col("action") == "ship").select("path", "length")
 
     def copy(batches):
@@ -61,7 +71,7 @@ def publish(listing: DataFrame, dest: str, keep: int) -> DataFrame:
             for src, length in zip(pdf["path"], pdf["length"]):
                 local = src[len("file:"):] if src.startswith("file:") else src
                 dst = os.path.join(dest, os.path.basename(local))
-                tmp = dst + ".part"
+                tmp = f"{dst}.{uuid.uuid4().hex}.part"
                 ok = False
                 n = 0
                 try:
@@ -74,8 +84,11 @@ def publish(listing: DataFrame, dest: str, keep: int) -> DataFrame:
                             n += len(buf)
                     if n == int(length):
                         os.replace(tmp, dst)
-                        os.remove(local)
-                        ok = True
+                        if os.path.getsize(dst) == int(length):
+                            os.remove(local)
+                            ok = True
+                    else:
+                        os.remove(tmp)
                 except FileNotFoundError:
                     # already shipped by an earlier attempt of this task
                     ok = os.path.exists(dst) and os.path.getsize(dst) == int(length)
@@ -83,6 +96,6 @@ def publish(listing: DataFrame, dest: str, keep: int) -> DataFrame:
                 out.append((src, dst, n, ok))
             yield pd.DataFrame(out, columns=["src", "dst", "bytes", "ok"])
 
-    from shardforge.session import ship_package
+    from shardforge.session import reliable_checkpoint, ship_package
     ship_package(listing.sparkSession)
-    return ships.mapInPandas(copy, "src string, dst string, bytes long, ok boolean")
+    return reliable_checkpoint(ships.mapInPandas(copy, "src string, dst string, bytes long, ok boolean"))

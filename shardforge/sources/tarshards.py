@@ -38,7 +38,25 @@ from shardforge import constants as K
 
 LONG_SCHEMA = "shard bigint, key string, ext string, payload binary"
 NAME_PATTERN = K.SHARD_NAME
-_FILE_RE = re.compile(r"^shards-(\d+)\.tar$")
+ROW_MARK = "__row__"   # member of a row whose columns are all null
+
+
+def name_regex(pattern: str) -> re.Pattern:
+    """Matches the file names that ``pattern`` makes; group 1 is the shard."""
+    m = re.fullmatch(r"(.*)%0?\d*d(.*)", pattern)
+    if not m:
+        raise ValueError(f"tarshards: pattern {pattern!r} needs one %d field")
+    return re.compile(f"^{re.escape(m[1])}(\\d+){re.escape(m[2])}$")
+
+
+def escape_key(key: str) -> str:
+    """A member name splits at its first dot and at slashes, so those are
+    written as percent codes inside keys."""
+    return key.replace("%", "%25").replace(".", "%2E").replace("/", "%2F")
+
+
+def unescape_key(key: str) -> str:
+    return key.replace("%2F", "/").replace("%2E", ".").replace("%25", "%")
 
 
 def shard_file_name(shard: int, pattern: str = NAME_PATTERN) -> str:
@@ -71,6 +89,8 @@ class TarShardsWriter(DataSourceWriter):
             if need not in self.columns:
                 raise ValueError(f"tarshards: input needs a '{need}' column")
         self.members = [c for c in self.columns if c not in ("shard", "key")]
+        self.job = uuid.uuid4().hex   # marks this job's temp files
+        name_regex(self.pattern)
         os.makedirs(self.path, exist_ok=True)
 
     def write(self, iterator):
@@ -94,12 +114,14 @@ class TarShardsWriter(DataSourceWriter):
                                      "partition by shard and sort by key first")
                 seen.add(shard)
                 cur_shard, rows, nbytes = shard, 0, 0
-                tmp = os.path.join(self.path, f".tmp-{shard_file_name(shard, self.pattern)}-{attempt}")
+                tmp = os.path.join(self.path, f".tmp-{self.job}-{shard_file_name(shard, self.pattern)}-{attempt}")
                 fh = open(tmp, "wb")
                 tar = tarfile.open(fileobj=fh, mode="w", format=tarfile.USTAR_FORMAT)
-            key = str(row["key"])
-            for m in self.members:
-                data = _to_bytes(row[m])
+            key = escape_key(str(row["key"]))
+            # a null is an absent member; a row without members keeps a mark
+            given = [m for m in self.members if row[m] is not None] or [ROW_MARK]
+            for m in given:
+                data = b"" if m == ROW_MARK else _to_bytes(row[m])
                 info = tarfile.TarInfo(name=f"{key}.{m}")
                 info.size = len(data)
                 info.mtime = 0
@@ -115,12 +137,16 @@ class TarShardsWriter(DataSourceWriter):
         if len(shards) != len(set(shards)):
             self.abort(messages)
             raise ValueError("tarshards: a shard was written by more than one task")
-        if self.overwrite:
-            for name in os.listdir(self.path):
-                if _FILE_RE.match(name):
-                    os.remove(os.path.join(self.path, name))
         prog_dir = os.path.join(self.path, "_progress")
         os.makedirs(prog_dir, exist_ok=True)
+        stale = []
+        if self.overwrite:
+            # progress goes first: a stop in between leaves shards that a
+            # resume writes again, never records of shards that are gone
+            for name in os.listdir(prog_dir):
+                os.remove(os.path.join(prog_dir, name))
+            mine, new = name_regex(self.pattern), {shard_file_name(s, self.pattern) for s in shards}
+            stale = [x for x in os.listdir(self.path) if mine.match(x) and x not in new]
         now = time.strftime("%Y-%m-%d %H:%M:%S", time.gmtime())
         records = []
         for shard, tmp, rows, nbytes in files:
@@ -132,9 +158,10 @@ class TarShardsWriter(DataSourceWriter):
             with open(name + ".tmp", "w") as out:
                 out.write("\n".join(json.dumps(r) for r in records) + "\n")
             os.replace(name + ".tmp", name)
-        live = {os.path.basename(f[1]) for f in files}
+        for name in stale:
+            os.remove(os.path.join(self.path, name))
         for name in os.listdir(self.path):
-            if name.startswith(".tmp-") and name not in live:
+            if name.startswith(f".tmp-{self.job}-"):   # left by this job's failed attempts
                 try:
                     os.remove(os.path.join(self.path, name))
                 except FileNotFoundError:
@@ -166,23 +193,27 @@ class TarShardsReader(DataSourceReader):
         self.wanted = None if not wanted else {int(s) for s in wanted.split(",") if s.strip()}
         self.exts = options.get("exts")
         self.exts = None if not self.exts else set(self.exts.split(","))
+        self.file_re = name_regex(options.get("pattern", NAME_PATTERN))
 
     def partitions(self):
         out = []
         for name in sorted(os.listdir(self.path)):
-            m = _FILE_RE.match(name)
+            m = self.file_re.match(name)
             if not m:
                 continue
             shard = int(m.group(1))
             if self.wanted is not None and shard not in self.wanted:
                 continue
             out.append(ShardFile(shard, os.path.join(self.path, name)))
-        return out
+        # without any shard Spark would call read(None)
+        return out or [ShardFile(-1, "")]
 
     def read(self, partition: ShardFile):
         names = [f.name for f in self.schema.fields]
         long_form = names == ["shard", "key", "ext", "payload"]
         types = {f.name: f.dataType for f in self.schema.fields}
+        if not partition.path:
+            return
         with tarfile.open(partition.path, mode="r") as tar:
             current_key, record = None, {}
             for info in tar:
@@ -192,7 +223,11 @@ class TarShardsReader(DataSourceReader):
                 if "." not in base:
                     continue
                 key, ext = base.split(".", 1)
-                if self.exts is not None and ext not in self.exts:
+                key = unescape_key(key)
+                if ext == ROW_MARK:
+                    if long_form:
+                        continue
+                elif self.exts is not None and ext not in self.exts:
                     continue
                 data = tar.extractfile(info).read()
                 if long_form:
@@ -202,7 +237,8 @@ class TarShardsReader(DataSourceReader):
                     yield self._row(partition.shard, current_key, record, names, types)
                     record = {}
                 current_key = key
-                record[ext] = data
+                if ext != ROW_MARK:
+                    record[ext] = data
             if not long_form and current_key is not None:
                 yield self._row(partition.shard, current_key, record, names, types)
 
@@ -244,7 +280,7 @@ class TarShardsDataSource(DataSource):
 
 
 def write_shards(df, path: str, run_id: str = "run", mode: str = "append",
-                 num_partitions: int | None = None, grouped: bool = False) -> None:
+                 num_partitions: int | None = None, grouped: bool = False, pattern: str = NAME_PATTERN) -> None:
     """Partition by shard (so each shard is one task's output), sort by key
     inside partitions and write through the data source. ``grouped=True``
     says every shard's rows already sit together in one partition (shards
@@ -256,13 +292,13 @@ def write_shards(df, path: str, run_id: str = "run", mode: str = "append",
     if not grouped:
         n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         df = df.repartition(n, F.col("shard")).sortWithinPartitions("shard", "key")
-    df.write.format("tarshards").mode(mode).option("run_id", run_id).save(path)
+    df.write.format("tarshards").mode(mode).option("run_id", run_id).option("pattern", pattern).save(path)
 
 
-def read_shards(spark, path: str, schema: str | None = None, shards=None, exts=None):
+def read_shards(spark, path: str, schema: str | None = None, shards=None, exts=None, pattern: str = NAME_PATTERN):
     from shardforge.session import register_sources
     register_sources(spark)
-    r = spark.read.format("tarshards")
+    r = spark.read.format("tarshards").option("pattern", pattern)
     if schema:
         r = r.schema(schema)
     if shards is not None:
