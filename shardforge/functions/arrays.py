@@ -36,11 +36,10 @@ def pixels_to_binary(pixels) -> Column:
 
 def binary_to_pixels(b) -> Column:
     """BINARY -> ARRAY<INT> of unsigned byte values."""
-    def body(h):
-        n = F.length(h) / 2
-        return F.transform(F.sequence(F.lit(0), (n - 1).cast("int")),
-                           lambda i: F.conv(F.substring(h, i * 2 + 1, 2), 16, 10).cast("int"))
-    return let(F.hex(_c(b)), body)
+    # one pass over the hex text; cutting it by position would rescan it for
+    # every byte
+    return F.transform(F.regexp_extract_all(F.hex(_c(b)), F.lit("(..)"), F.lit(1)),
+                       lambda h: F.conv(h, 16, 10).cast("int"))
 
 
 def permutation_index(shape, order) -> list[int]:

@@ -32,7 +32,7 @@ def tile_groups(shape, p: int) -> list[list[int]]:
         raise ValueError("tile_mean needs a (C, H, W) shape")
     c, h, w = shape
     if h % p or w % p:
-        raise ValueError("Input tensor dimensions must be divisible by patch_size")
+        raise ValueError(f"grid of {h} x {w} cannot be cut into {p} x {p} tiles")
     th, tw = h // p, w // p
     groups = []
     for ty in range(th):
@@ -53,7 +53,7 @@ def tile_mean_long(df: DataFrame, sample_col: str, c_col: str, y_col: str, x_col
                    value_col: str, p: int, width: int, height: int) -> DataFrame:
     """Long-form twin: group by (sample, tile, channel) and average."""
     if height % p or width % p:
-        raise ValueError("Input tensor dimensions must be divisible by patch_size")
+        raise ValueError(f"grid of {height} x {width} cannot be cut into {p} x {p} tiles")
     tile = F.floor(F.col(y_col) / p) * (width // p) + F.floor(F.col(x_col) / p)
     return (df.groupBy(F.col(sample_col), tile.cast("int").alias("tile"), F.col(c_col))
             .agg(F.avg(value_col).alias("mean")))

@@ -206,20 +206,21 @@ def parity(a: DataFrame, b: DataFrame, keys: list[str], value_col: str, decimals
     bv = b_value_col or value_col
     extra_a = [F.col(shape_col).alias("_sa")] if shape_col else []
     extra_b = [F.col(shape_col).alias("_sb")] if shape_col else []
-    j = (a.select(key, F.col(value_col).alias("_va"), *extra_a)
-         .join(b.select(key, F.col(bv).alias("_vb"), *extra_b), key, "full_outer"))
+    j = (a.select(key, F.col(value_col).alias("_va"), F.lit(True).alias("_pa"), *extra_a)
+         .join(b.select(key, F.col(bv).alias("_vb"), F.lit(True).alias("_pb"), *extra_b), key, "full_outer"))
     diff = F.abs(F.col("_va") - F.col("_vb"))
     thr = K.PARITY_FACTOR * 10 ** (-decimals)
-    both = F.col("_va").isNotNull() & F.col("_vb").isNotNull()
-    worst = F.max(F.when(both, F.struct(diff.alias("d"), (-F.col(key)).alias("nk"))))
+    both = F.col("_pa").isNotNull() & F.col("_pb").isNotNull()
+    # the least (-difference, key): works for keys of any orderable type
+    worst = F.min(F.when(both & diff.isNotNull(), F.struct((-diff).alias("nd"), F.col(key).alias("k"))))
     aggs = [
         F.count(F.when(both, F.lit(1))).alias("n_common"),
-        F.count(F.when(F.col("_vb").isNull(), F.lit(1))).alias("n_only_a"),
-        F.count(F.when(F.col("_va").isNull(), F.lit(1))).alias("n_only_b"),
+        F.count(F.when(F.col("_pb").isNull(), F.lit(1))).alias("n_only_a"),
+        F.count(F.when(F.col("_pa").isNull(), F.lit(1))).alias("n_only_b"),
         F.max(F.when(both, diff)).alias("max_abs_diff"),
         F.count(F.when(both & (diff >= F.lit(thr)), F.lit(1))).alias("n_beyond"),
         worst.alias("_worst"),
     ]
     if shape_col:
         aggs.append(F.count(F.when(both & ~F.col("_sa").eqNullSafe(F.col("_sb")), F.lit(1))).alias("n_shape_mismatch"))
-    return j.agg(*aggs).withColumn("worst_key", -F.col("_worst.nk")).drop("_worst")
+    return j.agg(*aggs).withColumn("worst_key", F.col("_worst.k")).drop("_worst")

@@ -3,52 +3,49 @@
 partial shard per writer (the flush), written through the ``tarshards``
 commit protocol.
 
-Shard numbers come from (epoch, partition, position), not from a driver
+Shard numbers come from (epoch, writer, position), not from a driver
 counter, so a replayed epoch rewrites the same shard names instead of
 adding new ones; the stream's own checkpoint tracks which input was done."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardforge.session import ensure_parallelism
 from shardforge.sources.tarshards import write_shards
 
-EPOCH_STRIDE = 1_000_000  # shard numbers per epoch
+EPOCH_BITS = 32  # shard numbers of an epoch: its number above 32 bits of its own
 
 
-def shard_batch(batch: DataFrame, epoch: int, per_shard: int) -> DataFrame:
-    """Shard numbers inside one micro-batch: every input partition acts as
-    a writer (as every worker does in the reference) — its rows fill shards
-    of ``per_shard`` in arrival order, the last one partial (the flush), and
-    partition p of P writes shards p, p + P, p + 2P, ... after the epoch's
-    base. A replayed epoch reads the same files into the same partitions,
-    so it rewrites the same names. No shuffle, no global numbering."""
-    n_parts = batch.rdd.getNumPartitions()
-    pid = F.spark_partition_id().cast("bigint")
-    local = F.monotonically_increasing_id() - F.shiftleft(pid, 33)
-    return batch.withColumn("shard", (F.lit(epoch * EPOCH_STRIDE) + pid
-                                      + F.floor(local / F.lit(per_shard)) * F.lit(n_parts)).cast("bigint"))
+def shard_batch(batch: DataFrame, epoch: int, per_shard: int, writers: int) -> DataFrame:
+    """Shard numbers inside one micro-batch. Rows go to ``writers`` by a hash
+    of their key (as the reference deals them to its workers); each fills
+    shards of ``per_shard`` in key order, the last one partial (the flush),
+    and writer w of W writes shards w, w + W, w + 2W, ... of the epoch. The
+    numbers depend on the rows and ``writers`` only, so a replay on a cluster
+    of any size rewrites the same names."""
+    writer = F.pmod(F.xxhash64("key"), F.lit(writers))
+    tagged = batch.withColumn("_writer", writer)
+    pos = F.row_number().over(Window.partitionBy("_writer").orderBy("key")) - 1
+    shard = F.lit(epoch << EPOCH_BITS) + F.col("_writer") + F.floor(pos / F.lit(per_shard)) * F.lit(writers)
+    return tagged.withColumn("shard", shard.cast("bigint")).drop("_writer")
 
 
 def stream_shards(stream: DataFrame, out_path: str, checkpoint: str, per_shard: int,
                   key_col: str, member_cols: dict[str, object], available_now: bool = True,
-                  run_id: str = "stream"):
+                  run_id: str = "stream", writers: int = 8):
     """Start the query. ``member_cols`` maps tar extensions to columns or
-    expressions. Returns the StreamingQuery."""
+    expressions; ``writers`` is part of the shard numbering and must stay the
+    same for one stream. Returns the StreamingQuery."""
 
     def each(batch: DataFrame, epoch: int):
         if batch.isEmpty():
             return
-        # one writer per partition; a batch read from one split is spread
-        # over the cores first (round-robin repartition sorts before it
-        # deals rows out, so a replay deals them out the same way)
-        rows = ensure_parallelism(batch).select(F.col(key_col).alias("key"),
+        rows = batch.select(F.col(key_col).alias("key"),
                             *[(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in member_cols.items()])
-        sharded = shard_batch(rows, epoch, per_shard)
+        sharded = shard_batch(rows, epoch, per_shard, writers)
         write_shards(sharded.select("shard", "key", *member_cols.keys()), out_path,
-                     run_id=f"{run_id}-{epoch}", grouped=True)
+                     run_id=f"{run_id}-{epoch}")
 
     w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
