@@ -249,7 +249,7 @@ def _word_counts() -> Callable:
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, order: int = 2,
-                mu: float = 20.0, block_chars: int = 8 << 20) -> DataFrame:
+                mu: float = 20.0, block_chars: int = 5 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     prepared(spark)
