@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardforge.llm.common import ROW, boxed, field, prepared, text_or_empty, written
+from shardforge.llm.common import ROW, boxed, field, held, prepared, text_or_empty, written
 from shardforge.llm.textarrays import LOWER, U, mix, raw_bytes, slices, string_array
 
 BUCKETS = 1 << 14
@@ -143,8 +143,8 @@ def identify(rows: DataFrame, labelled: DataFrame, per_lang: int = 500, buckets:
     schema = f"{ROW} {slim.schema[ROW].dataType.simpleString()}, ll array<double>, grams bigint"
     weighed = slim.mapInArrow(_loglik(model), schema)
     scale = F.least(F.col("grams").cast("double"), F.lit(text_weight)) / F.greatest(F.col("grams"), F.lit(1))
-    base = weighed.select(ROW, "grams", F.transform("ll", lambda x: x * scale).alias("text_ll"),
-                          *[field(c).cast("string").alias(c) for c in ("declared", "suffix", "host", "domain")])
+    base = held(weighed.select(ROW, "grams", "ll", *[field(c).cast("string").alias(c) for c in ("declared", "suffix", "host", "domain")]),
+                "text_ll", F.transform("ll", lambda x: x * scale)).drop("ll")
     base = written(base.withColumn("post", _softmax(F.col("text_ll"))))
     seen = base.where("grams > 0")
     evidence = {c: _confusion(seen, c, langs) for c in ("declared", "suffix")}
@@ -176,7 +176,8 @@ def identify(rows: DataFrame, labelled: DataFrame, per_lang: int = 500, buckets:
         F.when(F.col("hn").isNull(), F.lit(prior[i])).otherwise(
             (F.greatest(F.col("hs")[i] - own * F.col("post")[i], F.lit(0.0)) + strength * F.col("dp")[i])
             / (F.greatest(F.col("hn") - own, F.lit(0.0)) + strength))) for i in range(n)]
-    fused = joined.select(ROW, "grams", _softmax(F.array(*score)).alias("posteriors"))
+    fused = held(joined.select(ROW, "grams", F.array(*score).alias("score")), "s", F.col("score"))
+    fused = held(fused.select(ROW, "grams", "s"), "posteriors", _softmax(F.col("s")))
     best = F.array_max("posteriors")
     lang = F.element_at(F.array(*[F.lit(x) for x in langs]), F.array_position("posteriors", best).cast("int"))
     return (fused.withColumn("kept", (F.col("grams") > 0) & (best >= min_posterior))

@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardforge.llm.common import ROW, field, stored, text_or_empty
+from shardforge.llm.common import ROW, field, held, stored, text_or_empty
 
 CUTS = r"(?<=\n)|(?<=[.!?] )"
 BLANK = " \n\t\r"
@@ -44,12 +44,6 @@ def units_of(text: Column) -> Column:
     return F.filter(F.split(text, CUTS, -1), lambda u: u != "")
 
 
-def held(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """``value`` as a column that is computed once: without this the
-    optimiser copies the expression into every lambda call that reads it."""
-    return df.select("*", F.explode_outer(F.array(value)).alias(name))
-
-
 def _bare(u: Column) -> Column:
     return F.btrim(u, F.lit(BLANK))
 
