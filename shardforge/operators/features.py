@@ -319,7 +319,7 @@ def attention_pool(df: DataFrame, group_cols: list[str], vec_col: str, out_col:
 # -- D8 cosine logits ---------------------------------------------------------------
 
 def cosine_topk(a: DataFrame, b: DataFrame, a_id: str, b_id: str, vec_col: str, logit_scale: float,
-                k: int, max_broadcast_rows: int = 100_000) -> DataFrame:
+                k: int, max_broadcast_rows: int = 100_000, tile_values: int = 1 << 22) -> DataFrame:
     """Scaled cosine similarity exp(logit_scale) * a.b / (|a||b|) between
     every row of ``a`` and every row of ``b``, reduced to the top ``k`` per
     row in both directions: rows (direction, row_id, rank, other_id, logit),
@@ -332,9 +332,13 @@ def cosine_topk(a: DataFrame, b: DataFrame, a_id: str, b_id: str, vec_col: str,
     keeps its top k, and each ``b`` row keeps a running top k over the whole
     partition, so the shuffle carries k rows per ``b`` row per partition.
     The final top k is a row_number window whose partial limit runs before
-    the shuffle."""
+    the shuffle. A zero vector has cosine 0 with every other."""
     import pyarrow as pa
 
+    def unit(x):
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        return x / np.where(norm == 0.0, 1.0, norm)
+
     from shardforge.session import ship_package
     spark = a.sparkSession
     ship_package(spark)
@@ -359,7 +363,7 @@ def cosine_topk(a: DataFrame, b: DataFrame, a_id: str, b_id: str, vec_col: str,
             continue
         ids = np.array([r["id"] for r in rows], dtype=np.int64)
         mat = np.array([r["vec"] for r in rows], dtype=np.float64)
-        mat = mat / np.linalg.norm(mat, axis=1, keepdims=True)
+        mat = unit(mat)
         bc = spark.sparkContext.broadcast((ids, mat))
 
         def run(batches, bc=bc):
@@ -368,14 +372,13 @@ def cosine_topk(a: DataFrame, b: DataFrame, a_id: str, b_id: str, vec_col: str,
             # running top k per b row over the whole partition (b -> a)
             best_l = np.full((k, nbc), -np.inf)
             best_i = np.full((k, nbc), np.iinfo(np.int64).max, dtype=np.int64)
-            for batch in batches:
-                if batch.num_rows == 0:
-                    continue
+            # a few rows at a time, so that a tile holds at most tile_values
+            # logits whatever the sizes of the batch and the chunk
+            step = max(1, tile_values // max(nbc, 1))
+            for batch in (whole.slice(lo, step) for whole in batches for lo in range(0, whole.num_rows, step)):
                 from shardforge.functions.arrowbatch import to_matrix
                 aid = batch.column("id").to_numpy()
-                av = to_matrix(batch.column("vec"))
-                av = av / np.linalg.norm(av, axis=1, keepdims=True)
-                logits = scale * (av @ bm.T)
+                logits = scale * (unit(to_matrix(batch.column("vec"))) @ bm.T)
                 kk = min(k, nbc)
                 # a -> b: top k of each row (ties: smaller id first)
                 order = np.lexsort((np.broadcast_to(bids, logits.shape), -logits), axis=1)[:, :kk]
