@@ -433,71 +433,83 @@ def word_bucket(word: Column, dim: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint"), F.lit(dim))
 
 
-def _hash_bow(df: DataFrame, id_col: str, text_col: str, dim: int, bigram: bool) -> DataFrame:
-    words = F.split(F.col(text_col), " ")
-    if bigram:
-        words = let(words, lambda ws: F.transform(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))),
-                                                  lambda w, i: F.concat_ws(" ", w, ws[i + 1])))
-    # explode_outer: a plain explode lets Spark infer size(words) > 0 and
-    # push that filter below the projection, splitting every text twice
-    long = (df.filter(F.col(text_col).isNotNull()).select(id_col, F.explode_outer(words).alias("_w"))
-            .filter(F.col("_w").isNotNull()))  # a one-word text has no bigram
-    return (long.groupBy(id_col, word_bucket(F.col("_w"), dim).alias("bucket"))
-            .agg(F.count(F.lit(1)).cast("double").alias("value")))
+def _hash_counts(text: Column, dim: int, bigram: bool) -> Column:
+    """(bucket, value) of one text's words or word pairs: the buckets are
+    sorted and the lengths of their runs are the counts, all inside the row."""
+    def buckets(words):
+        if bigram:
+            words = let(words, lambda ws: F.transform(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))),
+                                                      lambda w, i: F.concat_ws(" ", w, ws[i + 1])))
+        return F.sort_array(F.transform(words, lambda w: word_bucket(w, dim)))
+
+    def runs(b):
+        first = F.filter(F.transform(b, lambda v, i: F.when((i == 0) | (v != F.get(b, i - 1)), i)), lambda i: i.isNotNull())
+        return let(first, lambda f: F.transform(f, lambda s, k: F.struct(
+            F.get(b, s).alias("bucket"), (F.coalesce(F.get(f, k + 1), F.size(b)) - s).cast("double").alias("value"))))
+
+    return F.when(text.isNotNull(), let(buckets(F.split(text, " ")), runs))
 
 
 BUILTIN_ENCODERS = ("hash-bow", "hash-bigram")
 
 
+def _custom_vectors(df: DataFrame, text_col: str, custom: list, registry: dict) -> DataFrame:
+    """``df`` and the column _custom: one dense vector for each registry encoder."""
+    import pyarrow as pa
+    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+    from shardforge.session import ship_package
+    ship_package(df.sparkSession)
+    fns = [(registry[key], size) for _name, key, size in custom]
+
+    def run(batches):
+        from shardforge.functions.arrowbatch import from_matrix
+        for batch in batches:
+            texts = batch.column(text_col).to_pylist()
+            n = len(texts)
+            mats = [from_matrix(np.asarray(fn(texts, size), dtype=np.float64).reshape(n, -1)) for fn, size in fns]
+            # encoder-major vectors, taken row by row
+            order = np.arange(n * len(mats)).reshape(len(mats), n).T.ravel()
+            vectors = pa.concat_arrays(mats).take(pa.array(order))
+            offsets = pa.array(np.arange(n + 1, dtype=np.int32) * len(mats))
+            yield batch.append_column("_custom", pa.ListArray.from_arrays(offsets, vectors))
+
+    return df.mapInArrow(run, StructType(
+        [*df.schema.fields, StructField("_custom", ArrayType(ArrayType(DoubleType())))]))
+
+
 def extract_features(df: DataFrame, id_col: str, text_col: str, spec: str,
                      registry: dict | None = None) -> DataFrame:
     """Long features (id, encoder, bucket, value) for every encoder of the
-    spec. Built-in hashing encoders ("hash-bow-<dim>", "hash-bigram-<dim>")
-    are Spark expressions + a partial aggregation (whole texts, no cap);
-    other encoders come from ``registry`` ("type-arch" -> callable(list of
-    texts, size) -> 2-D array) and all of them run in one ``mapInArrow``
-    pass, emitting dense vectors in long form."""
+    spec, from one scan and without a shuffle: all words of a text are in its
+    row. Built-in hashing encoders ("hash-bow-<dim>", "hash-bigram-<dim>")
+    are Spark expressions over whole texts (null text: no rows); other
+    encoders come from ``registry`` ("type-arch" -> callable(list of texts,
+    size) -> 2-D array), run in one Arrow pass and give dense vectors. The id
+    may have any type; a row that occurs twice gives its features twice."""
     from shardforge.session import ensure_parallelism
-    encs = parse_encoder_spec(spec)
-    df = ensure_parallelism(df)
-    outs = []
-    custom = []
-    for t, a, s in encs:
+    builtin, custom = [], []
+    for t, a, s in parse_encoder_spec(spec):
         name = f"{t}-{a}-{s}"
         if f"{t}-{a}" in BUILTIN_ENCODERS:
-            f = _hash_bow(df, id_col, text_col, int(s), a == "bigram")
-            outs.append(f.select(F.col(id_col), F.lit(name).alias("encoder"), "bucket", "value"))
+            builtin.append((name, int(s), a == "bigram"))
         elif registry and f"{t}-{a}" in registry:
             custom.append((name, f"{t}-{a}", s))
         else:
             raise ValueError(f"unknown encoder {name!r}")
+    df = ensure_parallelism(df.select(id_col, text_col))
     if custom:
-        import pyarrow as pa
-
-        from shardforge.session import ship_package
-        ship_package(df.sparkSession)
-        fns = {key: registry[key] for _n, key, _s in custom}
-
-        def run(batches):
-            for batch in batches:
-                ids = batch.column(id_col).to_pylist()
-                texts = batch.column(text_col).to_pylist()
-                o_id, o_enc, o_b, o_v = [], [], [], []
-                for name, key, size in custom:
-                    mat = np.asarray(fns[key](texts, size), dtype=np.float64)
-                    for r, i in enumerate(ids):
-                        for j, v in enumerate(mat[r]):
-                            o_id.append(i); o_enc.append(name); o_b.append(j); o_v.append(float(v))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(o_id, pa.int64()), pa.array(o_enc, pa.string()), pa.array(o_b, pa.int64()),
-                     pa.array(o_v, pa.float64())], names=[id_col, "encoder", "bucket", "value"])
-
-        outs.append(df.select(id_col, text_col).mapInArrow(
-            run, f"{id_col} bigint, encoder string, bucket bigint, value double"))
-    res = outs[0]
-    for o in outs[1:]:
-        res = res.unionByName(o)
-    return res
+        df = _custom_vectors(df, text_col, custom, registry)
+    parts = [F.struct(F.lit(name).alias("encoder"), _hash_counts(F.col(text_col), dim, bigram).alias("counts"))
+             for name, dim, bigram in builtin]
+    parts += [F.struct(F.lit(name).alias("encoder"), F.transform(
+        F.get("_custom", k), lambda v, j: F.struct(j.cast("bigint").alias("bucket"), v.alias("value"))).alias("counts"))
+        for k, (name, _key, _s) in enumerate(custom)]
+    # explode_outer: a plain explode lets Spark infer size(counts) > 0 and
+    # push that filter below the projection, hashing every text twice
+    return (df.select(id_col, F.explode_outer(F.array(*parts)).alias("_e"))
+            .select(id_col, "_e.encoder", F.explode_outer("_e.counts").alias("_c"))
+            .where(F.col("_c").isNotNull()).select(id_col, "encoder", "_c.bucket", "_c.value"))
 
 
 PUNCT_CHARS = (" ", "\n", ".", ",")  # Fixed values: the characters counted by punct-count
@@ -506,8 +518,8 @@ PUNCT_CHARS = (" ", "\n", ".", ",")  # Fixed values: the characters counted by p
 def punct_counts(texts: list, size: str) -> np.ndarray:
     """A small NumPy-side encoder for the registry: counts of space,
     newline, period and comma per text (the first ``size`` of them)."""
-    k = int(size)
-    return np.array([[0.0 if t is None else float(t.count(c)) for c in PUNCT_CHARS[:k]] for t in texts])
+    chars = PUNCT_CHARS[:int(size)]
+    return np.array([[0.0 if t is None else float(t.count(c)) for c in chars] for t in texts]).reshape(len(texts), len(chars))
 
 
 def argmax_pick(ids) -> Column:

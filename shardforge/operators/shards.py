@@ -92,14 +92,16 @@ def assign_shards_bytes(df: DataFrame, worker_col: str, order_cols: list[str], s
         nxt = np.where(nxt >= n_total, -1, nxt)  # -1: past the worker's last record
         chunk_end = (c + 1) * C
         in_chunk = int((~pdf["_halo"].to_numpy()).sum())
-        exit_, cnt = np.empty(in_chunk, dtype=np.int64), np.empty(in_chunk, dtype=np.int64)
-        for k in range(in_chunk - 1, -1, -1):
-            j = nxt[k]
-            if j == -1 or j >= chunk_end:
-                exit_[k], cnt[k] = j, 1
-            else:
-                jl = j - p[0]
-                exit_[k], cnt[k] = exit_[jl], cnt[jl] + 1
+        # follow all chains at once by pointer doubling; a record whose next
+        # start lies outside the chunk points to itself and ends its chain
+        local = np.arange(in_chunk)
+        inside = (nxt[:in_chunk] >= 0) & (nxt[:in_chunk] < chunk_end)
+        to = np.where(inside, nxt_local[:in_chunk], local)
+        steps = inside.astype(np.int64)
+        while inside[to].any():
+            steps += steps[to]
+            to = to[to]
+        exit_, cnt = nxt[to], steps + 1
         first = np.arange(min(M, in_chunk)) if c > 0 else np.array([0])
         return pd.DataFrame({"_w": w, "_c": c, "e": p[first], "x": exit_[first], "k": cnt[first]})
 
