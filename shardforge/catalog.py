@@ -273,7 +273,7 @@ def q_resume_plan(spark, sf):
 
 def _import_all():
     # further query groups register themselves on import
-    from shardforge import catalog_arrays, catalog_features, catalog_keys, catalog_shards  # noqa: F401
+    from shardforge import catalog_arrays, catalog_features, catalog_keys, catalog_large, catalog_shards  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

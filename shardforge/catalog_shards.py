@@ -65,7 +65,7 @@ def q_pack_tensor(spark, sf):
     from shardforge.operators.pack import pack_tensor, read_pack
     q = _quantised(spark, sf).select(F.col("vec_id").alias("index"), F.lit(8).alias("h"), F.lit(8).alias("w"),
                                      F.lit(1).alias("c"), F.col("img").alias("pixels"))
-    num = q.count()
+    num = table(spark, sf, "embeddings").count()
     manifest = pack_tensor(q, num, scratch_path(spark, "pack"), rows_per_part=128)
     back = read_pack(spark, manifest)
     return back.select("index", "h", "w", "c", F.hex("pixels").alias("pixels_hex"))
@@ -111,6 +111,39 @@ def q_stream_shards(spark, sf):
     return back.select("key", "type", "value")
 
 
+@register("stream_shards_open", """
+SELECT key, type, CAST(w + 4 * (p // 150) AS BIGINT) AS shard
+FROM (SELECT lpad(CAST(event_id AS VARCHAR), 10, '0') AS key, event_type AS type, event_id % 4 AS w,
+             row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) - 1 AS p FROM events)""")
+def q_stream_shards_open(spark, sf):
+    """Two epochs with unfinished shards carried over: the lower half of the
+    events first, then the rest, so shards fill in key order across epochs."""
+    from shardforge.sources.tarshards import read_shards
+    from shardforge.streaming.stream_shards import flush_open_shards, stream_shards
+    ev = table(spark, sf, "events").select("event_id", "event_type")
+    mid = ev.agg(F.avg("event_id")).first()[0]
+    src, out, ckpt = (scratch_path(spark, n) for n in ("open-in", "open-out", "open-checkpoint"))
+    for part in (ev.where(F.col("event_id") <= mid), ev.where(F.col("event_id") > mid)):
+        part.write.mode("append").parquet(src)
+        stream = spark.readStream.schema(ev.schema).parquet(src)
+        stream_shards(stream.withColumn("key", F.format_string("%010d", "event_id")), out, ckpt, per_shard=150,
+                      key_col="key", member_cols={"type": "event_type"}, writers=4, keep_open=True,
+                      writer=F.pmod(F.col("key").cast("bigint"), F.lit(4))).awaitTermination()
+    flush_open_shards(spark, out, ckpt, writers=4)
+    return read_shards(spark, out, "shard bigint, key string, type string").select("key", "type", "shard")
+
+
+@register("pack_job", """
+SELECT vec_id AS "index", 8 AS h, 8 AS w, 1 AS c, 64 AS n_bytes FROM embeddings""")
+def q_pack_job(spark, sf):
+    """Plan, sample, quantise and pack in one job, read back from the parts."""
+    from shardforge.jobs import generate_pack
+    from shardforge.operators.pack import read_pack
+    ids = table(spark, sf, "embeddings").select(F.col("vec_id").alias("sample_id"))
+    manifest = generate_pack(spark, ids, ids.count(), scratch_path(spark, "pack-job"), (8, 8, 1), rows_per_part=128)
+    return read_pack(spark, manifest).select("index", "h", "w", "c", F.length("pixels").alias("n_bytes"))
+
+
 @register("assign_shards_bytes", """
 WITH RECURSIVE d AS (
   SELECT doc_id, doc_id % 4 AS worker, CAST(n_chars AS DOUBLE) AS size,

@@ -22,6 +22,18 @@ from shardforge.operators.trajectory import np_affine_velocity, sample_batch_arr
 from shardforge.plans.plan import assign_plan, resume_plan
 
 
+def _sampled(ids: DataFrame, seed: int, latent_dim: int, num_classes: int, num_steps: int, velocity_np,
+             noise: str) -> DataFrame:
+    """Labels, latents and samples of every ``sample_id``. Philox noise is
+    keyed by (seed, sample id): reproducible, partition-free and fast for large
+    latents ("hashed" reproduces the Column path exactly)."""
+    sid = F.col("sample_id")
+    samples = (ids.withColumn("label", seeded_randint(seed, "label", sid, 0, num_classes))
+               .withColumn("latent", seeded_normal(seed, "latent", sid, latent_dim)))
+    return sample_batch_arrow(samples, velocity_np or np_affine_velocity(), num_steps=num_steps, seed=seed,
+                              noise=noise)
+
+
 def generate_shards(spark: SparkSession, ids: DataFrame, out_path: str, *, seed: int = 0,
                     batch: int = K.BATCH_PER_DEVICE, workers: int = 4, per_shard: int = K.ROWS_PER_SHARD,
                     latent_dim: int = 64, num_classes: int = K.LABEL_HIGH, num_steps: int = 20,
@@ -45,13 +57,7 @@ def generate_shards(spark: SparkSession, ids: DataFrame, out_path: str, *, seed:
         done = (read_progress(spark, out_path).groupBy("shard").agg(F.max_by("rows", "committed_at").alias("rows"))
                 .join(planned, "shard").filter("rows = planned").join(there, "shard").select("shard"))
         plan = resume_plan(plan, done, "shard")
-    sid = F.col("sample_id")
-    samples = (plan.withColumn("label", seeded_randint(seed, "label", sid, 0, num_classes))
-               .withColumn("latent", seeded_normal(seed, "latent", sid, latent_dim)))
-    # Philox noise keyed by (seed, sample id): reproducible and partition-free,
-    # and fast for large latents ("hashed" reproduces the Column path exactly)
-    out = sample_batch_arrow(samples, velocity_np or np_affine_velocity(), num_steps=num_steps, seed=seed,
-                             noise=noise)
+    out = _sampled(plan, seed, latent_dim, num_classes, num_steps, velocity_np, noise)
     records = out.select("shard", F.format_string(K.KEY_FORMAT, "sample_id").alias("key"),
                          pixels_to_binary(quantise("sample", decode=decode)).alias("img"),
                          F.col("label").alias("cls"))
@@ -59,6 +65,21 @@ def generate_shards(spark: SparkSession, ids: DataFrame, out_path: str, *, seed:
     return read_progress(spark, out_path).filter(F.col("run_id") == run_id)
 
 
+def generate_pack(spark: SparkSession, ids: DataFrame, num: int, path: str, shape: tuple, *, seed: int = 0,
+                  num_classes: int = K.LABEL_HIGH, num_steps: int = 20, velocity_np=None, decode=None,
+                  noise: str = "philox", rows_per_part: int | None = None) -> DataFrame:
+    """The samples ``sample_id`` = 0..num-1 as one ordered uint8 pack of
+    ``shape`` (H, W, C): plan, sample, quantise and pack, each sample computed
+    once. Returns the manifest; incomplete packs are an error."""
+    from shardforge.operators.pack import pack_tensor
+
+    h, w, c = shape
+    out = _sampled(ids.select("sample_id"), seed, h * w * c, num_classes, num_steps, velocity_np, noise)
+    rows = out.select(F.col("sample_id").alias("index"), F.lit(h).alias("h"), F.lit(w).alias("w"), F.lit(c).alias("c"),
+                      pixels_to_binary(quantise("sample", decode=decode)).alias("pixels"))
+    return pack_tensor(rows, num, path, rows_per_part=rows_per_part, shape=shape)
+
+
 def publish_shards(spark: SparkSession, out_path: str, dest: str, workers: int,
                    keep: int = K.KEEP_FILES_RUNNING) -> DataFrame:
     """Ship all but the newest ``keep`` shards of every worker (the worker

@@ -1,15 +1,18 @@
 """Ordered dense packs (F5): samples 0..num-1 into uint8 tensors
 (num, H, W, C), written as contiguous ``.npy`` parts with a manifest.
 
-No gather to one process: the pack is range-partitioned on the index, each
-task writes the part holding its contiguous index range, and the manifest
-(one row per part) says where each range lives. Completeness — no missing
-index, no duplicate, one shape — is checked with an anti join against
-``range(num)`` and two aggregations before anything is written."""
+No gather to one process: the indexes are dense, so the part of a row is its
+index div rows_per_part, and one shuffle brings each part to one task. The
+input runs once. Tasks write under temporary names and report one row per run
+of consecutive indexes of one shape; the pack is complete when these runs are
+exactly the parts. Only then are the files renamed and the manifest (one row
+per part) returned."""
 
 from __future__ import annotations
 
 import os
+import shutil
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,66 +44,93 @@ def missing_indexes(df: DataFrame, num: int, index_col: str = "index") -> DataFr
     return expected.join(df.select(F.col(index_col).alias("index")), "index", "left_anti")
 
 
-def check_pack(df: DataFrame, num: int, index_col: str = "index") -> None:
-    r = pack_report(df, num, index_col).collect()[0]
-    if r["n_missing"] or r["n_duplicate"] or r["n_out_of_range"] or r["n_shapes"] != 1:
-        raise ValueError(f"pack is not complete and uniform: {r.asDict()}")
+RUN_SCHEMA = "first_index bigint, rows bigint, h int, w int, c int, path string"
+DEFAULT_PART_ROWS = 1024
+
+
+def _write_runs(batches, folder: str, rows_per_part: int):
+    """Arrow batches sorted by (part, index) -> one .npy file and one row per
+    run of consecutive indexes inside a part with one shape."""
+    import numpy as np
+    import pyarrow as pa
+    blocks, start, shape, nxt = [], None, None, None
+
+    def flush():
+        arr = np.concatenate(blocks)
+        name = os.path.join(folder, f"{start:020d}-{uuid.uuid4().hex}.npy")
+        with open(name, "wb") as fh:
+            np.save(fh, arr)
+        h, w, c = shape
+        return pa.RecordBatch.from_pydict({
+            "first_index": pa.array([start], pa.int64()), "rows": pa.array([len(arr)], pa.int64()), "h": pa.array([h], pa.int32()),
+            "w": pa.array([w], pa.int32()), "c": pa.array([c], pa.int32()), "path": pa.array([name], pa.string())})
+
+    for b in batches:
+        if any(b.column(k).null_count for k in ("index", "h", "w", "c", "pixels")):
+            raise ValueError("pack: null index, shape or pixels")
+        if not len(b):
+            continue
+        idx = b.column("index").to_numpy()
+        hwc = np.stack([b.column(k).to_numpy() for k in ("h", "w", "c")], axis=1)
+        breaks = (np.diff(idx) != 1) | (idx[1:] % rows_per_part == 0) | (np.diff(hwc, axis=0) != 0).any(axis=1)
+        edges = [0, *(np.flatnonzero(breaks) + 1).tolist(), len(idx)]
+        for s, e in zip(edges, edges[1:]):
+            now = tuple(int(v) for v in hwc[s])
+            joins = blocks and idx[s] == nxt and idx[s] % rows_per_part and now == shape
+            if blocks and not joins:
+                yield flush()
+                blocks = []
+            if not blocks:
+                start, shape = int(idx[s]), now
+            px = b.column("pixels").slice(s, e - s)
+            raw = b"".join(px.to_pylist())
+            if len(raw) != (e - s) * shape[0] * shape[1] * shape[2]:
+                raise ValueError(f"pack: indexes from {int(idx[s])} have {len(raw)} bytes for {e - s} x {shape}")
+            blocks.append(np.frombuffer(raw, dtype=np.uint8).reshape(e - s, *shape))
+            nxt = int(idx[e - 1]) + 1
+    if blocks:
+        yield flush()
 
 
 def pack_tensor(df: DataFrame, num: int, path: str, rows_per_part: int | None = None,
                 index_col: str = "index", check: bool = True,
-                target_part_bytes: int = 256 << 20) -> DataFrame:
+                target_part_bytes: int = 256 << 20, shape: tuple | None = None) -> DataFrame:
     """Write parts and return the manifest. ``df`` has index, h, w, c and
-    pixels (BINARY, H*W*C bytes in HWC order). Without ``rows_per_part``
-    a part holds about ``target_part_bytes`` of pixels (a task stacks its
-    part in memory)."""
-    import pyarrow as pa
-
+    pixels (BINARY, H*W*C bytes in HWC order); it is computed once. A part
+    holds ``rows_per_part`` rows, or about ``target_part_bytes`` when the
+    image ``shape`` is given, or 1024 rows (a task holds one part in memory).
+
+    An index that occurs twice or lies outside 0..num-1 is an error. With
+    ``check`` so is a missing index or a second shape; without it a hole or a
+    change of shape only ends a part early. After an error nothing of the
+    pack is visible."""
     from shardforge.session import ship_package
     spark = df.sparkSession
     ship_package(spark)
-    if check:
-        check_pack(df, num, index_col)
     if rows_per_part is None:
-        first = df.select("h", "w", "c").first()
-        per_row = max(1, int(first["h"]) * int(first["w"]) * int(first["c"])) if first else 1
-        rows_per_part = max(1, target_part_bytes // per_row)
+        rows_per_part = max(1, target_part_bytes // max(1, shape[0] * shape[1] * shape[2])) if shape else DEFAULT_PART_ROWS
     n_parts = max(1, -(-num // rows_per_part))
-    os.makedirs(path, exist_ok=True)
-    src = df.select(F.col(index_col).alias("index"), "h", "w", "c", "pixels")
-
-    def write(batches):
-        import uuid
-
-        import numpy as np
-        rows, first = [], None
-        shape = None
-        for b in batches:
-            d = b.to_pydict()
-            for i, h, w, c, px in zip(d["index"], d["h"], d["w"], d["c"], d["pixels"]):
-                shape = (h, w, c)
-                first = i if first is None else first
-                rows.append(np.frombuffer(px, dtype=np.uint8).reshape(h, w, c))
-        if not rows:
-            return
-        arr = np.stack(rows)
-        name = os.path.join(path, f"part-{first:012d}.npy")
-        tmp = f"{name}.tmp-{uuid.uuid4().hex[:8]}"
-        with open(tmp, "wb") as fh:
-            np.save(fh, arr)
-        os.replace(tmp, name)
-        yield pa.RecordBatch.from_pylist([{"first_index": first, "rows": len(rows), "h": shape[0],
-                                           "w": shape[1], "c": shape[2], "path": name}],
-                                         schema=pa.schema([("first_index", pa.int64()), ("rows", pa.int64()),
-                                                           ("h", pa.int32()), ("w", pa.int32()),
-                                                           ("c", pa.int32()), ("path", pa.string())]))
-
-    parts = (src.repartitionByRange(n_parts, "index").sortWithinPartitions("index")
-             .mapInArrow(write, "first_index bigint, rows bigint, h int, w int, c int, path string"))
-    manifest = parts.collect()  # one small row per part
-    rows = sorted((r.asDict() for r in manifest), key=lambda r: r["first_index"])
-    out = [dict(part=i, **r) for i, r in enumerate(rows)]
-    return spark.createDataFrame(out, MANIFEST_SCHEMA) if out else spark.createDataFrame([], MANIFEST_SCHEMA)
+    folder = os.path.join(path, f".tmp-{uuid.uuid4().hex}")
+    os.makedirs(folder, exist_ok=True)
+    part = F.floor(F.col("index") / F.lit(rows_per_part)).cast("int")
+    src = df.select(F.col(index_col).cast("bigint").alias("index"), *[F.col(k).cast("int").alias(k) for k in ("h", "w", "c")], "pixels")
+    runs = (src.repartitionById(n_parts, F.coalesce(part, F.lit(0))).sortWithinPartitions("index")
+            .mapInArrow(lambda batches: _write_runs(batches, folder, rows_per_part), RUN_SCHEMA))
+    try:
+        rows = sorted((r.asDict() for r in runs.collect()), key=lambda r: r["first_index"])  # one small row per part
+        twice = sum(a["first_index"] + a["rows"] > b["first_index"] for a, b in zip(rows, rows[1:]))
+        outside = sum(r["first_index"] < 0 or r["first_index"] + r["rows"] > num for r in rows)
+        found = {"expected": num, "rows": sum(r["rows"] for r in rows), "runs": len(rows), "runs_with_repeats": twice,
+                 "runs_out_of_range": outside, "shapes": len({(r["h"], r["w"], r["c"]) for r in rows})}
+        if twice or outside or (check and (found["rows"] != num or found["shapes"] > 1)):
+            raise ValueError(f"pack is not complete and uniform: {found}")
+        for r in rows:
+            final = os.path.join(path, f"part-{r['first_index']:012d}.npy")
+            os.replace(r["path"], final)
+            r["path"] = final
+    finally:
+        shutil.rmtree(folder, ignore_errors=True)
+    return spark.createDataFrame([dict(part=i, **r) for i, r in enumerate(rows)], MANIFEST_SCHEMA)
 
 
 def read_pack(spark: SparkSession, manifest: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 """``imagefolder``: numbered PNG files ``{index:06d}.png`` (F4).
 
-Sink: a Python DataSource writer; each task writes its rows' PNG files
-under temp names and the driver's commit renames them, so a failed task
-leaves no visible image. Source: Spark's ``binaryFile`` reader with a glob,
+Sink: a Python DataSource writer; each task writes its rows' PNG files into
+the job's temporary folder and renames them itself once all are written, so
+a failed task leaves no visible image and the driver handles no file names.
+A failed job leaves the images of its finished tasks; a rerun writes them
+again under the same names. ``_SUCCESS`` marks a finished write. Source: Spark's ``binaryFile`` reader with a glob,
 the index parsed from the file name by ``regexp_extract``, and the PNG
 decoded per Arrow batch.
 
@@ -13,6 +15,7 @@ and for ordinary encoder output."""
 from __future__ import annotations
 
 import os
+import shutil
 import struct
 import uuid
 import zlib
@@ -94,7 +97,7 @@ def decode_png(data: bytes) -> np.ndarray:
 
 @dataclass
 class ImageCommit(WriterCommitMessage):
-    files: list  # (temp path, final path)
+    files: int
 
 
 class ImageFolderWriter(DataSourceWriter):
@@ -104,35 +107,33 @@ class ImageFolderWriter(DataSourceWriter):
     def __init__(self, options, schema: StructType, overwrite: bool):
         self.path = options.get("path")
         self.digits = int(options.get("digits", str(K.IMAGE_DIGITS)))
-        os.makedirs(self.path, exist_ok=True)
+        self.temp = os.path.join(self.path, f".tmp-{uuid.uuid4().hex}")
+        os.makedirs(self.temp, exist_ok=True)
 
     def write(self, iterator):
-        attempt = uuid.uuid4().hex[:12]
-        files = []
+        attempt = os.path.join(self.temp, uuid.uuid4().hex)
+        os.makedirs(attempt)
         for row in iterator:
             h, w, c = int(row["h"]), int(row["w"]), int(row["c"])
             px = np.frombuffer(bytes(row["pixels"]), dtype=np.uint8)
             if px.size != h * w * c:
                 raise ValueError(f"index {row['index']}: {px.size} bytes for shape {(h, w, c)}")
             name = f"{int(row['index']):0{self.digits}d}.png"
-            tmp = os.path.join(self.path, f".tmp-{attempt}-{name}")
-            with open(tmp, "wb") as fh:
+            with open(os.path.join(attempt, name), "wb") as fh:
                 fh.write(encode_png(px.reshape(h, w, c)))
-            files.append((tmp, os.path.join(self.path, name)))
-        return ImageCommit(files=files)
+        names = os.listdir(attempt)
+        for name in names:
+            os.replace(os.path.join(attempt, name), os.path.join(self.path, name))
+        return ImageCommit(files=len(names))
 
     def commit(self, messages):
-        for m in messages:
-            for tmp, final in (m.files if m else []):
-                os.replace(tmp, final)
+        # what is left here comes from attempts that were lost
+        shutil.rmtree(self.temp, ignore_errors=True)
+        with open(os.path.join(self.path, "_SUCCESS"), "w") as fh:
+            fh.write(str(sum(m.files for m in messages if m)))
 
     def abort(self, messages):
-        for m in messages or []:
-            for tmp, _final in (m.files if m else []):
-                try:
-                    os.remove(tmp)
-                except FileNotFoundError:
-                    pass
+        shutil.rmtree(self.temp, ignore_errors=True)
 
 
 class ImageFolderDataSource(DataSource):

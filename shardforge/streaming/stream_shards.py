@@ -1,17 +1,19 @@
 """Continuous shard production (F7): a Structured Streaming query whose
-``foreachBatch`` turns every micro-batch into full shards plus one final
-partial shard per writer (the flush), written through the ``tarshards``
-commit protocol.
+``foreachBatch`` writes shards through the ``tarshards`` commit protocol.
 
-Shard numbers come from (epoch, writer, position), not from a driver
-counter, so a replayed epoch rewrites the same shard names instead of
-adding new ones; the stream's own checkpoint tracks which input was done."""
+Shard numbers come from the rows and the stream's own state, not from a
+driver counter, so a replayed epoch rewrites the same shard names instead of
+adding new ones. Either every micro-batch ends with a partial shard per
+writer, or (``keep_open``) a writer's unfinished shard is carried over to the
+next micro-batch and only ``flush_open_shards`` writes it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shardforge.operators.positions import positions_in_group
+from shardforge.session import reliable_checkpoint
 from shardforge.sources.tarshards import write_shards
 
 EPOCH_BITS = 32  # shard numbers of an epoch: its number above 32 bits of its own
@@ -31,21 +33,88 @@ def shard_batch(batch: DataFrame, epoch: int, per_shard: int, writers: int) -> D
     return tagged.withColumn("shard", shard.cast("bigint")).drop("_writer")
 
 
+def _open_folder(checkpoint: str) -> str:
+    return checkpoint.rstrip("/") + "/open-shards"
+
+
+def _hadoop_folder(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _fill_open(spark: SparkSession, rows: DataFrame, epoch: int, folder: str, per_shard: int,
+               writers: int, writer: Column) -> DataFrame:
+    """The rows of this epoch's full shards. Rows carried from the epoch
+    before come first in their writer; what fills no shard is stored as
+    folder/epoch/rows, the writers' counts of full shards as
+    folder/epoch/writers. Both depend on the rows and the epoch before only,
+    which stays untouched, so a replay stores the same again."""
+    members = [c for c in rows.columns if c != "key"]
+    now = rows.withColumn("_writer", writer.cast("bigint")).withColumn("_new", F.lit(1))
+    done = None
+    if epoch > 0:
+        now = now.unionByName(spark.read.parquet(f"{folder}/{epoch - 1}/rows").withColumn("_new", F.lit(0)))
+        done = spark.read.parquet(f"{folder}/{epoch - 1}/writers")
+    now = now.withColumn("_tie", F.xxhash64(*members))
+    pos = positions_in_group(now, ["_writer"], ["_new", "key", "_tie"], "_pos").drop("_new", "_tie")
+    counts = pos.groupBy("_writer").agg(F.floor(F.count(F.lit(1)) / F.lit(per_shard)).cast("bigint").alias("_full"))
+    if done is None:
+        state = counts.select("_writer", F.lit(0).cast("bigint").alias("_done"), "_full")
+    else:  # one row per writer
+        state = done.join(counts, "_writer", "full").select(
+            "_writer", F.coalesce("_done", F.lit(0)).alias("_done"), F.coalesce("_full", F.lit(0)).alias("_full"))
+    state = reliable_checkpoint(state)
+    placed = pos.join(state, "_writer").withColumn("_k", F.floor(F.col("_pos") / F.lit(per_shard)).cast("bigint"))
+    (placed.where("_k >= _full").select("_writer", "key", *members)
+     .write.mode("overwrite").parquet(f"{folder}/{epoch}/rows"))
+    state.select("_writer", (F.col("_done") + F.col("_full")).alias("_done")).write.mode("overwrite").parquet(
+        f"{folder}/{epoch}/writers")
+    return placed.where("_k < _full").select(
+        (F.col("_writer") + (F.col("_done") + F.col("_k")) * F.lit(writers)).alias("shard"), "key", *members)
+
+
+def flush_open_shards(spark: SparkSession, out_path: str, checkpoint: str, writers: int = 8,
+                      run_id: str = "stream") -> None:
+    """Write the unfinished shard of every writer, after the query stopped.
+    When the stream goes on later, the shard is filled up and written again
+    under the same number."""
+    folder = _open_folder(checkpoint)
+    fs, p = _hadoop_folder(spark, folder)
+    if not fs.exists(p):
+        return
+    last = max(int(f.getPath().getName()) for f in fs.listStatus(p))
+    rows = spark.read.parquet(f"{folder}/{last}/rows").join(spark.read.parquet(f"{folder}/{last}/writers"), "_writer")
+    shard = F.col("_writer") + F.col("_done") * F.lit(writers)
+    write_shards(rows.withColumn("shard", shard).drop("_writer", "_done"), out_path, run_id=f"{run_id}-flush")
+
+
 def stream_shards(stream: DataFrame, out_path: str, checkpoint: str, per_shard: int,
                   key_col: str, member_cols: dict[str, object], available_now: bool = True,
-                  run_id: str = "stream", writers: int = 8):
+                  run_id: str = "stream", writers: int = 8, keep_open: bool = False,
+                  writer: Column | None = None):
     """Start the query. ``member_cols`` maps tar extensions to columns or
     expressions; ``writers`` is part of the shard numbering and must stay the
-    same for one stream. Returns the StreamingQuery."""
+    same for one stream. With ``keep_open`` all shards are full until
+    ``flush_open_shards``; ``writer`` (an expression over key and members,
+    0..writers-1) then chooses the writer, by default a hash of the key.
+    Returns the StreamingQuery."""
+    folder = _open_folder(checkpoint)
+    writer = F.pmod(F.xxhash64("key"), F.lit(writers)) if writer is None else writer
 
     def each(batch: DataFrame, epoch: int):
-        if batch.isEmpty():
-            return
         rows = batch.select(F.col(key_col).alias("key"),
                             *[(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in member_cols.items()])
-        sharded = shard_batch(rows, epoch, per_shard, writers)
+        if keep_open:
+            sharded = _fill_open(batch.sparkSession, rows, epoch, folder, per_shard, writers, writer)
+        elif batch.isEmpty():
+            return
+        else:
+            sharded = shard_batch(rows, epoch, per_shard, writers)
         write_shards(sharded.select("shard", "key", *member_cols.keys()), out_path,
                      run_id=f"{run_id}-{epoch}")
+        if keep_open and epoch > 1:  # only the last epoch can be replayed, from the one before it
+            fs, p = _hadoop_folder(batch.sparkSession, f"{folder}/{epoch - 2}")
+            fs.delete(p, True)
 
     w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
