@@ -122,3 +122,70 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = j.select(*cols, F.size("u").cast("bigint").alias("_n_units"),
                    F.coalesce("removed", F.array().cast("array<int>")).alias("_removed"))
     return out.withColumnRenamed("_out", text_col)
+
+
+# --- passages --------------------------------------------------------------------
+
+
+def fine_units(text: Column) -> Column:
+    return units_of(text)
+
+
+def pair_table(keyed: DataFrame) -> DataFrame:
+    """_id, _th, n (units), g: a hash for each two neighbouring units."""
+    a = held(keyed.select("_id", "_th", "_text").where("_text is not null"), "h",
+             F.transform(fine_units(F.col("_text")), lambda u: F.xxhash64(_bare(u))))
+    n = F.size("h")
+    return a.select("_id", "_th", n.alias("n"),
+                    F.when(n > 1, F.zip_with(F.slice("h", 1, n - 1), F.slice("h", 2, n - 1), lambda x, y: F.xxhash64(x, y))).alias("g"))
+
+
+def later_pairs(keyed: DataFrame, per_doc: DataFrame) -> DataFrame:
+    """_id, _th, s: neighbouring units s and s + 1 that stand, byte for byte,
+    at an earlier place too."""
+    often = (per_doc.select(F.explode("g").alias("ch")).groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
+             .where("n > 1").select("ch"))
+    rows = per_doc.select("_id", "_th", F.posexplode("g").alias("s", "ch"))
+    listed = rows.join(often, "ch").groupBy("_id", "_th").agg(F.collect_set(F.struct("s", "ch")).alias("pairs"))
+    texts = held(keyed.select("_id", "_th", "_text").join(listed, ["_id", "_th"]).dropDuplicates(["_id", "_th"]),
+                 "u", fine_units(F.col("_text")))
+    # the pair texts are cut out before the rows are multiplied, as above
+    cut = F.transform("pairs", lambda x: F.struct(
+        x["s"].alias("s"), x["ch"].alias("ch"),
+        F.concat(_bare(F.get("u", x["s"])), F.lit("\n"), _bare(F.get("u", x["s"] + 1))).alias("pair")))
+    found = stored(texts.select("_id", "_th", F.explode_outer(cut).alias("x")).select("_id", "_th", "x.s", "x.ch", "x.pair"), "pair-texts")
+    first = (found.groupBy("ch", "pair").agg(F.min(F.struct("_id", "_th", "s")).alias("w"), F.count(F.lit(1)).alias("n"))
+             .where("n > 1").select(F.col("ch").alias("w_ch"), F.col("pair").alias("w_pair"), "w"))
+    first = stored(first, "first-pairs")  # written first, as above
+    return (found.join(first, (F.col("ch") == F.col("w_ch")) & (F.col("pair") == F.col("w_pair")))
+            .where(F.struct("_id", "_th", "s") != F.col("w")).select("_id", "_th", "s"))
+
+
+def _counts(u: Column, run: Column, min_chars: int) -> Column:
+    """Whether the run of units (s, e) is long enough to go."""
+    text = F.array_join(_span(u, run["s"], run["e"]), "")
+    return (run["e"] - run["s"] > 1) & (F.length(text) >= min_chars)
+
+
+def passage_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 50) -> DataFrame:
+    """Each row as given, its text without repeated runs of units, plus
+    n_units, n_removed and removed (unit positions)."""
+    keyed = _keyed(docs, id_col, text_col)
+    per_doc = stored(pair_table(keyed), "pairs")
+    later = later_pairs(keyed, per_doc).groupBy("_id", "_th").agg(F.collect_set("s").alias("at"))
+    info = per_doc.groupBy("_id", "_th").agg(F.max("n").alias("n")).join(later, ["_id", "_th"], "left")
+    j = keyed.join(info, ["_id", "_th"], "left")
+    j = held(j, "u", F.when(F.col("at").isNotNull(), fine_units(F.col("_text"))))
+    j = held(j, "cover", F.array_sort(F.array_union("at", F.transform("at", lambda s: s + 1))))
+    begins = F.filter("cover", lambda x, i: F.coalesce(F.get("cover", i - 1), F.lit(-9)) != x - 1)
+    ends = F.filter("cover", lambda x, i: F.coalesce(F.get("cover", i + 1), F.lit(-9)) != x + 1)
+    runs = F.zip_with(begins, ends, lambda s, e: F.struct(s.alias("s"), (e + 1).alias("e")))
+    runs = F.filter(runs, lambda r: _counts(F.col("u"), r, min_chars))
+    j = held(j, "removed", F.flatten(F.transform(runs, lambda r: F.sequence(r["s"], r["e"] - 1))))
+    rest = F.array_except(F.sequence(F.lit(0), F.size("u") - 1), F.col("removed"))
+    text = F.when(F.coalesce(F.size("removed"), F.lit(0)) <= 0, F.col("_text")).otherwise(
+        F.array_join(F.transform(rest, lambda i: F.get("u", i)), ""))
+    cols = [text.alias("_out") if c == text_col else field(c).alias(c) for c in docs.columns]
+    out = j.select(*cols, F.coalesce("n", F.lit(0)).cast("bigint").alias("_n_units"),
+                   F.coalesce("removed", F.array().cast("array<int>")).alias("_removed"))
+    return out.withColumnRenamed("_out", text_col)

@@ -102,7 +102,7 @@ def q_fingerprints(spark, sf):
 
 @register("op6_line_dedup")
 def q_lines(spark, sf):
-    out = linededup.line_dedup(documents(spark, sf).select("doc_id", "text"))
+    out = linededup.passage_dedup(documents(spark, sf).select("doc_id", "text"))
     return out.select("doc_id", F.col("_n_units").alias("n_units"), F.size("_removed").cast("bigint").alias("n_removed"),
                       F.col("_removed").alias("removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
