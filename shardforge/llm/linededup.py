@@ -9,6 +9,10 @@ moved or embedded elsewhere gets the same boundaries again, wherever it
 starts. Two complementary choices are used (even and odd rolling hashes): a
 unit that stands alone in one chunking lies inside a longer chunk of the other.
 
+This is ``line_dedup``. A chunk beside foreign text hangs on that text, so
+parts of an embedded passage stay, and a passage of one unit stays whole;
+``passage_dedup`` has no such gaps.
+
 Chunks of at least two units are compared over the whole table:
 
 1. chunk hashes that occur once are dropped (partial aggregation, no texts);
@@ -34,10 +38,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shardforge.functions.vectors import let
 from shardforge.llm.common import ROW, field, held, stored, text_or_empty
 
 CUTS = r"(?<=\n)|(?<=[.!?] )"
 BLANK = " \n\t\r"
+# a token ends after blanks, or is one character of a script without blanks
+TOKENS = r"(?<=[ \t]|[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\uFFFF\x{10000}-\x{10FFFF}])(?=\S)"
+LONG = 8
 
 
 def units_of(text: Column) -> Column:
@@ -127,8 +135,28 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 # --- passages --------------------------------------------------------------------
 
 
+def _pieces(unit: Column) -> Column:
+    """A unit of more than LONG tokens, cut at the gaps whose hash of the
+    tokens beside them is the least of five in a row. The smallest hash of a
+    stretch always cuts, so periodic text is cut too; pieces have about five
+    tokens."""
+    def cut(t):
+        n = F.size(t)
+        top = F.lit((1 << 63) - 1)
+
+        def by_hash(g):
+            least = [lambda i, d=d: F.get(g, i) <= F.coalesce(F.get(g, i + d), top) for d in (-1, 1, -2, 2)]
+            low = F.filter(F.sequence(F.lit(0), n - 2), lambda i: least[0](i) & least[1](i) & least[2](i) & least[3](i))
+            return let(F.concat(F.array(F.lit(0)), F.transform(low, lambda i: i + 1)), lambda b: F.zip_with(
+                b, F.concat(F.slice(b, 2, F.size(b)), F.array(n)), lambda s, e: F.array_join(_span(t, s, e), "")))
+        gaps = F.zip_with(F.slice(t, 1, n - 1), F.slice(t, 2, n - 1), lambda x, y: F.xxhash64(_bare(x), _bare(y)))
+        return F.when(n <= LONG, F.array(unit)).otherwise(let(gaps, by_hash))
+    return F.when(F.length(unit) <= LONG, F.array(unit)).otherwise(let(F.split(unit, TOKENS, -1), cut))
+
+
 def fine_units(text: Column) -> Column:
-    return units_of(text)
+    """Units, the long ones cut further between words."""
+    return F.flatten(F.transform(units_of(text), _pieces))
 
 
 def pair_table(keyed: DataFrame) -> DataFrame:
@@ -161,15 +189,27 @@ def later_pairs(keyed: DataFrame, per_doc: DataFrame) -> DataFrame:
             .where(F.struct("_id", "_th", "s") != F.col("w")).select("_id", "_th", "s"))
 
 
-def _counts(u: Column, run: Column, min_chars: int) -> Column:
-    """Whether the run of units (s, e) is long enough to go."""
+def _counts(u: Column, run: Column, min_chars: int, min_tokens: int) -> Column:
+    """Whether the run of units (s, e) is long enough to go: two whole lines
+    or sentences, or min_tokens words."""
     text = F.array_join(_span(u, run["s"], run["e"]), "")
-    return (run["e"] - run["s"] > 1) & (F.length(text) >= min_chars)
-
-
-def passage_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 50) -> DataFrame:
-    """Each row as given, its text without repeated runs of units, plus
-    n_units, n_removed and removed (unit positions)."""
+    edges = F.size(F.filter(F.sequence(run["s"], run["e"]), lambda i: (i == 0) | (i == F.size(u)) | F.get(u, i - 1).rlike(r"(\n|[.!?] )\z")))
+    return (F.length(text) >= min_chars) & ((edges > 2) | (F.size(F.split(text, TOKENS, -1)) >= min_tokens))
+
+
+def passage_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 50,
+                  min_tokens: int = 25) -> DataFrame:
+    """Each row as given, its text without repeated passages, plus _n_units
+    and _removed (positions in fine_units).
+
+    Every two neighbouring fine units are an anchor. Anchors that occur more
+    than once are compared byte by byte; those with an earlier place, by (id,
+    text hash, position), cover their two units, and each run of covered units
+    goes as a whole if it has ``min_chars`` characters and holds two whole
+    lines or sentences, or ``min_tokens`` tokens. A passage of over 50 words
+    that was put inside a foreign line so keeps only its outermost pieces.
+    Each removed unit stands at an earlier place too. Null ids, null texts
+    and repeated rows as above."""
     keyed = _keyed(docs, id_col, text_col)
     per_doc = stored(pair_table(keyed), "pairs")
     later = later_pairs(keyed, per_doc).groupBy("_id", "_th").agg(F.collect_set("s").alias("at"))
@@ -180,7 +220,7 @@ def passage_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     begins = F.filter("cover", lambda x, i: F.coalesce(F.get("cover", i - 1), F.lit(-9)) != x - 1)
     ends = F.filter("cover", lambda x, i: F.coalesce(F.get("cover", i + 1), F.lit(-9)) != x + 1)
     runs = F.zip_with(begins, ends, lambda s, e: F.struct(s.alias("s"), (e + 1).alias("e")))
-    runs = F.filter(runs, lambda r: _counts(F.col("u"), r, min_chars))
+    runs = F.filter(runs, lambda r: _counts(F.col("u"), r, min_chars, min_tokens))
     j = held(j, "removed", F.flatten(F.transform(runs, lambda r: F.sequence(r["s"], r["e"] - 1))))
     rest = F.array_except(F.sequence(F.lit(0), F.size("u") - 1), F.col("removed"))
     text = F.when(F.coalesce(F.size("removed"), F.lit(0)) <= 0, F.col("_text")).otherwise(

@@ -1,6 +1,7 @@
 """Repeated passages inside foreign text (op6)."""
 
 import random
+import re
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from shardforge.llm import linededup
 from tests.llm.util import VOCAB, corpus, empty, frame, sentence
 
 BLANK = " \n\t\r"
+TOKENS = re.compile(r"(?<=[ \t\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\U0010FFFF])(?=\S)")
 
 
 def brute_passages(spark, rows, min_chars, counts):
@@ -84,6 +86,38 @@ def test_short_lines_count_as_one_run(spark):
     assert out[0] == rows[0][1] and all(x not in out[i] for i in (1, 2) for x in lines)
 
 
+def test_one_unit_passages(spark):
+    """Words without punctuation: a line of their own, inside a foreign line,
+    few different words, and a script without blanks."""
+    rng = random.Random(5)
+    def some(n):
+        return [f"{rng.choice(VOCAB)}{rng.randint(0, 99)}" for _ in range(n)]
+    rows, words, lines = [], [], []
+    for k in range(20):
+        words.append(some(60))
+        lines.append(" ".join(some(60)))
+        rows += [(2 * k + c, " ".join(some(20) + words[k] + some(20)) + "\n" + " ".join(some(9)) + "\n" + lines[k] + "\n" + " ".join(some(9)), "en", "s", None) for c in (0, 1)]
+    han = "".join(chr(0x4E00 + rng.randint(0, 3000)) for _ in range(120))
+    rows += [(100 + c, " ".join(some(9)) + "\n" + han + "\n" + " ".join(some(9)), "zh", "s", None) for c in (0, 1)]
+    beat = " ".join(["la", "di", "da"] * 20)
+    rows += [(200 + c, " ".join(some(9)) + "\n" + beat + "\n" + " ".join(some(9)), "en", "s", None) for c in (0, 1)]
+    common = " ".join(some(12))
+    rows += [(300 + c, " ".join(some(9) + [common] + some(9)), "en", "s", None) for c in (0, 1)]
+    out = cleaned(spark, rows)
+    left = []
+    for k in range(20):
+        assert out[2 * k] == rows[2 * k][1] and lines[k] not in out[2 * k + 1]
+        got = out[2 * k + 1].split()
+        assert len(got) >= 58
+        left.append(sum(a + " " + b in out[2 * k + 1] for a, b in zip(words[k], words[k][1:])))
+        assert set(lines[k].split()) - set(got) != set()
+    assert max(left) <= 30 and sum(left) / 20 <= 14
+    assert han in out[100] and han not in out[101] and len(out[101]) < len(out[100]) - 110
+    # the beat repeats inside itself, so its first beats stay
+    assert "la di da" in out[200] and "la di" not in out[201]
+    assert all(out[300 + c] == rows[-2 + c][1] for c in (0, 1))
+
+
 def test_by_brute_force(spark):
     rows = corpus()
     df = frame(spark, rows)
@@ -91,7 +125,11 @@ def test_by_brute_force(spark):
     assert out.columns == df.columns + ["_n_units", "_removed"]
     got = out.select("doc_id", "text", "_n_units", "_removed").collect()
     assert len(got) == len(rows)
-    want = brute_passages(spark, rows, 50, lambda us, s, e: True)
+
+    def counts(us, s, e):
+        whole = sum(k in (0, len(us)) or re.search(r"(\n|[.!?] )\Z", us[k - 1]) is not None for k in range(s, e + 1)) > 2
+        return whole or len(TOKENS.split("".join(us[s:e]))) >= 25
+    want = brute_passages(spark, rows, 50, counts)
     assert sorted(((r[0] or -1, r[1] or "") for r in got)) == sorted((i or -1, want[i, t] if t is not None else "") for i, t, *_ in rows)
     assert [r for r in got if r["text"] is None and r["doc_id"] != 3000] == []
     assert 10 < sum(want[i, t] != t for i, t, *_ in rows if t is not None) < len(rows) // 2
