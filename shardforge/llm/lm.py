@@ -49,7 +49,8 @@ PACKED_SQL = "part int, block int, keys binary, counts binary"
 TOTALS = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("totals", pa.binary())])
 TOTALS_SQL = "block int, part int, totals binary"
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-                    ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+                    ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()),
+                    ("copies", pa.int64())])
 
 
 class Grams:
@@ -115,7 +116,7 @@ def range_of(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 def count_block(key, t: pa.Table, order: int, parts: int) -> pa.Table:
-    g = Grams(string_array(t["text"]), t["train"].to_numpy(), order)
+    g = Grams(string_array(t["text"]), t["train"].to_numpy() * t["copies"].to_numpy(), order)
     keys, at = g.sorted_keys()
     counts = np.concatenate(g.count)[at]
     part = range_of(keys, parts)
@@ -213,7 +214,7 @@ class Automaton:
 
 def score_block(texts: pa.Table, replies: pa.Table, order: int, mu: float, words: int, types: int) -> pa.Table:
     train = texts["train"].to_numpy()
-    g = Grams(string_array(texts["text"]), train, order)
+    g = Grams(string_array(texts["text"]), train * texts["copies"].to_numpy(), order)
     _, at = g.sorted_keys()
     counts = np.concatenate(g.count)
     if replies.num_rows:
@@ -232,7 +233,7 @@ def score_block(texts: pa.Table, replies: pa.Table, order: int, mu: float, words
     known_n = np.rint(np.bincount(owner, weights=emitted * known[g.tok], minlength=n)).astype(np.int64)
     base = np.bincount(owner, weights=emitted * auto.base[g.tok], minlength=n)
     return pa.table([texts["doc_id"].combine_chunks(), pa.array(~train), pa.array(g.size - 1), pa.array(known_n),
-                     pa.array(np.full(n, words, np.int64)), pa.array(base), pa.array(score)], schema=SCORES)
+                     pa.array(np.full(n, words, np.int64)), pa.array(base), pa.array(score), texts["copies"].combine_chunks()], schema=SCORES)
 
 
 def _word_counts() -> Callable:
@@ -248,6 +249,21 @@ def _word_counts() -> Callable:
     return run
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Equal rows of a batch as one row with their number."""
+    for batch in batches:
+        t = pa.Table.from_batches([batch]).group_by(batch.schema.names).aggregate([([], "count_all")])
+        t = t.rename_columns({"count_all": "copies"}).select([*batch.schema.names, "copies"])
+        yield from t.combine_chunks().to_batches()
+
+
+def deal(rows: DataFrame, blocks: int) -> DataFrame:
+    """doc_id, train, text, copies, block. Rows of one id (or none) are dealt
+    by their texts; equal ones meet in one block, as one row for each batch."""
+    merged = rows.select("doc_id", "train", "text").mapInArrow(_merged, "doc_id bigint, train boolean, text string, copies bigint")
+    return merged.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+
+
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, order: int = 2,
                 mu: float = 20.0, block_chars: int = 5 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
@@ -260,9 +276,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words, types = int(counted[0] or 0), int(counted[1] or 0)
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    dealt = deal(rows, blocks)
     packed = dealt.groupBy("block").applyInArrow(lambda key, t: count_block(key, t, order, blocks), PACKED_SQL)
     replies = packed.groupBy("part").applyInArrow(lambda key, t: add_up(t), TOTALS_SQL)
-    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(
+    scored = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(
         lambda a, b: score_block(a, b, order, mu, words, types),
-        "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+        "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, copies bigint")
+    return scored.select(*SCORES.names[:-1], F.explode_outer(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("copy")).drop("copy")
