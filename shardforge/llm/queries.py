@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardforge.llm import chat, exact_dedup, fingerprints, jaccard, langid, linededup, lm, mixing, packing, quality
+from shardforge.llm import chat, exact_dedup, filter_audit, fingerprints, jaccard, langid, linededup, lm, mixing, packing, quality
 from shardforge.llm.common import ROW, bucket_of, documents, word_count
 from shardforge.session import table
 
@@ -158,3 +158,34 @@ def q_langid(spark, sf):
     out = langid.identify(d.unionByName(p), docs.select("lang", "text"))
     return out.select(F.col(f"{ROW}.doc_id").alias("doc_id"), F.col(f"{ROW}.page_id").alias("page_id"),
                       F.col(f"{ROW}.declared").alias("declared"), "lang", "posterior", "kept")
+
+
+@register("op13_filter_audit", rf"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x FROM documents),
+e AS (SELECT x, min(doc_id) AS first FROM t GROUP BY x),
+g AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+w AS (SELECT t.*, first, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, {SQL_WORDS.format("t.x")} AS ws
+      FROM t JOIN e USING (x) LEFT JOIN g USING (doc_id)),
+f AS (SELECT part, good, toxic,
+        CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * length(regexp_replace(x, '[^A-Z]+', '', 'g')) > 3 * length(x) THEN 'C' ELSE '' END
+        || CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > first THEN 'E' ELSE '' END AS fails
+      FROM w),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, fails),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+o AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM l a, l b, l c, l d, l e
+      WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, substr(filter_order, 1, step - 1) AS before, substr(filter_order, step, 1) AS own
+      FROM o, range(1, 6) r(step)),
+r AS (SELECT part, filter_order, step, own, n, c.good, c.toxic, fails, contains(fails, own) AS hit,
+        len(list_intersect(string_split(before, ''), string_split(fails, ''))) > 0 AND before <> '' AND fails <> '' AS gone FROM s, c),
+z AS (SELECT part, filter_order, step, own, CAST(sum(n) FILTER (NOT gone AND NOT hit) AS BIGINT) AS kept,
+        CAST(sum(n) FILTER (NOT gone AND hit) AS BIGINT) AS removed, CAST(sum(n) FILTER (gone AND hit) AS BIGINT) AS redundant,
+        CAST(sum(n) FILTER (fails = own) AS BIGINT) AS unique_fails, CAST(sum(good) FILTER (NOT gone AND hit) AS BIGINT) AS good_lost,
+        CAST(sum(toxic) FILTER (NOT gone AND hit) AS BIGINT) AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0) AS kept, coalesce(removed, 0) AS removed, coalesce(redundant, 0) AS redundant,
+       coalesce(unique_fails, 0) AS unique_fails, coalesce(good_lost, 0) AS good_lost, coalesce(toxic_lost, 0) AS toxic_lost,
+       CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) AS shapley
+FROM z""")
+def q_filter_audit(spark, sf):
+    return filter_audit.audit_filters(documents(spark, sf), table(spark, sf, "labels"))
