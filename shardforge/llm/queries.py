@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardforge.llm import chat, exact_dedup, filter_audit, fingerprints, jaccard, langid, linededup, lm, mixing, packing, quality
+from shardforge.llm import chat, exact_dedup, filter_audit, fingerprints, jaccard, langid, linededup, lm, merkle, mixing, packing, quality
 from shardforge.llm.common import ROW, bucket_of, documents, word_count
 from shardforge.session import table
 
@@ -160,6 +160,50 @@ def q_langid(spark, sf):
                       F.col(f"{ROW}.declared").alias("declared"), "lang", "posterior", "kept")
 
 
+def _merkle_sql(levels: int = 8, part_levels: int = 4) -> str:
+    """Both trees level by level; a tree that has arrived at one node stays."""
+    def tree(name: str, first: str, height: int) -> str:
+        out = [f"{name}0 AS MATERIALIZED ({first})"]
+        for k in range(height):
+            out.append(f"{name}r{k} AS MATERIALIZED (SELECT part, pos // 8 AS run, list(d ORDER BY pos) AS ds, any_value(c) AS c FROM {name}{k} GROUP BY part, pos // 8)")
+            out.append(f"{name}{k + 1} AS MATERIALIZED (SELECT part, run AS pos, CASE WHEN c = 1 THEN ds[1] ELSE sha256(array_to_string(ds, '')) END AS d, "
+                       f"count(*) OVER (PARTITION BY part) AS c FROM {name}r{k})")
+        return ",\n".join(out)
+
+    def walk(name: str, runs: str, first: str, height: int) -> str:
+        out = [f"{name}0 AS MATERIALIZED ({first})"]
+        for k in range(height):
+            rest = "list_concat({0}ds[p.pos % 8 + 2:])"
+            out.append(f"""{name}{k + 1} AS MATERIALIZED (SELECT p.* EXCLUDE (pos, cur, proof), p.pos // 8 AS pos,
+                CASE WHEN c = 1 THEN cur ELSE sha256(array_to_string({rest.format("list_append(ds[1:p.pos % 8], cur), ")}, '')) END AS cur,
+                CASE WHEN c = 1 THEN proof ELSE proof || array_to_string({rest.format("ds[1:p.pos % 8], ")}, '') END AS proof
+                FROM {name}{k} p JOIN {runs}r{k} r ON r.part = p.part AND r.run = p.pos // 8)""")
+        return ",\n".join(out)
+
+    def leaf(text: str) -> str:
+        enc = " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END" for c in ("doc_id", "source", "lang", "n_chars", text))
+        return f"sha256({enc})"
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH t AS MATERIALIZED (SELECT doc_id, lang, coalesce('=' || lang, '-') AS part, {leaf("text")} AS leaf,
+       CASE WHEN {crc32_sql("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN {leaf(lower)} ELSE {leaf("text")} END AS cand,
+       row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS pos FROM documents),
+{tree("a", "SELECT part, pos, leaf AS d, count(*) OVER (PARTITION BY part) AS c FROM t", levels)},
+{tree("b", f"SELECT '' AS part, row_number() OVER (ORDER BY part) - 1 AS pos, d, count(*) OVER () AS c, part AS name FROM a{levels}", part_levels)},
+{walk("p", "a", "SELECT doc_id, part, leaf, pos, cand AS cur, '' AS proof FROM t", levels)},
+{walk("q", "b", f"SELECT doc_id, '' AS part, leaf, b.d AS subroot, b.pos, cur, proof FROM p{levels} p JOIN b0 b ON b.name = p.part", part_levels)}
+SELECT doc_id, leaf, subroot, b.d AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = b.d AS verified
+FROM q{part_levels} q JOIN b{part_levels} b ON b.part = q.part"""
+
+
+@register("op11_merkle_manifest", _merkle_sql())
+def q_merkle(spark, sf):
+    out = merkle.proofs(merkle.build_manifest(documents(spark, sf), candidate=merkle.tampered_leaf()))
+    return out.select(F.col("row").alias("doc_id"), "leaf", "subroot", "root", F.sha2(F.col("proof").cast("binary"), 256).alias("proof_sha256"),
+                      F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
 @register("op13_filter_audit", rf"""
 WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x FROM documents),
 e AS (SELECT x, min(doc_id) AS first FROM t GROUP BY x),
