@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardforge.llm import chat, exact_dedup, filter_audit, fingerprints, jaccard, langid, linededup, lm, merkle, mixing, packing, quality
+from shardforge.llm import chat, exact_dedup, filter_audit, fingerprints, jaccard, langid, linededup, lm, merkle, mixing, packing, quality, token_files
 from shardforge.llm.common import ROW, bucket_of, documents, word_count
-from shardforge.session import table
+from shardforge.session import scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -204,6 +204,15 @@ def q_merkle(spark, sf):
                       F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
 
 
+@register("op12_token_files")
+def q_token_files(spark, sf):
+    import public_tokenizers
+    docs = documents(spark, sf)
+    files = token_files.write_token_files(docs, scratch_path(spark, "token-files"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    out = token_files.read_by_key(files, docs)
+    return out.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @register("op13_filter_audit", rf"""
 WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x FROM documents),
 e AS (SELECT x, min(doc_id) AS first FROM t GROUP BY x),
