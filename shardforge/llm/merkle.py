@@ -253,14 +253,17 @@ def build_manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, part_col:
                          leaf.alias("digest"), candidate.alias("candidate") if candidate is not None else F.lit(None).cast("binary").alias("candidate"))
     leaves = written(leaves.withColumns({"candidate": F.coalesce("candidate", "digest"), "loc": F.monotonically_increasing_id()}))
     placed = global_positions(leaves, ["part", "row", "digest", "loc"], "at")
-    sizes = placed.groupBy("part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
-    nodes = placed.join(sizes, "part").select(
+    # joined by part and slice of the positions, so that a hot part's rows are
+    # not dealt to one task
+    span = ARITY ** EVERY
+    sizes = placed.groupBy("part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).withColumn(
+        "slice", F.explode(F.sequence(F.expr(f"first div {span}"), F.expr(f"(first + n - 1) div {span}"))))
+    nodes = placed.withColumn("slice", F.expr(f"at div {span}")).join(sizes, ["part", "slice"]).select(
         "part", "n", (F.col("at") - F.col("first")).alias("pos"), F.lit(None).cast("string").alias("name"), "digest", "row", "candidate")
     rows = raise_tree(nodes, every)
     subroots = global_positions(written(rows.tops()), ["part"], "pos")
-    total = subroots.groupBy(F.lit("").alias("all")).agg(F.count(F.lit(1)).alias("total"))
-    named = subroots.select(F.lit("").alias("all"), F.col("part").alias("name"), "pos", "digest").join(total, "all").select(
-        F.col("all").alias("part"), F.col("total").alias("n"), "pos", "name", "digest")
+    named = subroots.select(F.lit("").alias("part"), F.lit(subroots.count()).cast("bigint").alias("n"), "pos",
+                            F.col("part").alias("name"), "digest")
     return Manifest(rows, raise_tree(named, every))
 
 
