@@ -208,7 +208,8 @@ def q_merkle(spark, sf):
 def q_token_files(spark, sf):
     import public_tokenizers
     docs = documents(spark, sf)
-    files = token_files.write_token_files(docs, scratch_path(spark, "token-files"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    files = token_files.write_token_files(docs, scratch_path(spark, "token-files"), public_tokenizers.path("word_bpe_49k.json"), end_id=2,
+                                          marks=".,;:!?", fold_case=True)
     out = token_files.read_by_key(files, docs)
     return out.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 

@@ -20,11 +20,12 @@ a repeated key is split over shards like any other rows. Each task encodes its
 rows and writes one shard as it goes. Only small rows (key, shard, place,
 offset, length) go on, for the index.
 
-Encoding: the tokenizer of the ``tokenizers`` library that is used here never
-joins anything across white space, so it is given each distinct word of a batch
-once (and words that it met before in the task not at all); the ids of a text
-are those of its words in order. ``across_spaces=True`` is for tokenizers that
-don't work like this: whole texts are encoded. The end id follows each document.
+Encoding: a tokenizer that never joins anything across white space is given
+each distinct word of a batch once (and words that the worker still remembers
+not at all); the ids of a text are those of its words in order. What else may be
+told apart is a parameter (``WordEncoder``). ``across_spaces=True`` is for
+tokenizers that don't work like this: whole texts are encoded. The end id
+follows each document.
 
 Reading by key: keys are dealt to buckets, looked up in the bucket's index (a
 slot whose fingerprint differs means that the key isn't there), dealt to
@@ -41,6 +42,8 @@ from __future__ import annotations
 
 import json
 import os
+import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -68,27 +71,67 @@ SLOT = np.dtype([("fingerprint", "<u8"), ("shard", "<i4"), ("place", "<i8"), ("s
 
 
 class WordEncoder:
-    """Texts to ids, word by word, with a bounded memory of words."""
+    """Texts to ids, piece by piece, with a bounded memory of pieces.
 
-    def __init__(self, path: str, end_id: int, across_spaces: bool = False, remember: int = 1 << 18, longest: int = 48):
+    ``marks``: characters that the tokenizer always separates from an ASCII
+    letter before them; words are cut there, so that a word is the same piece
+    with and without a mark. ``fold_case``: the tokenizer lower-cases. Words
+    with combining marks or the first character of one of the tokenizer's
+    added tokens are left as they are."""
+
+    def __init__(self, path: str, end_id: int, across_spaces: bool = False, marks: str = "", fold_case: bool = False,
+                 remember: int = 1 << 19, joined: int = 4096):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"     # Spark has one task per core already
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.end, self.across = end_id, across_spaces
-        self.remember, self.longest = remember, longest
-        self.known: dict[str, list[int]] = {}
+        self.end, self.across, self.remember, self.joined = end_id, across_spaces, remember, joined
+        self.cut = re.escape(marks) and f"([A-Za-z])([{re.escape(marks)}])"
+        self.fold = fold_case
+        added = {t.content[0] for t in self.tokenizer.get_added_tokens_decoder().values() if t.content}
+        # left as they are; a letter with a combining mark may be composed
+        # before case is folded
+        self.raw = f"[\\p{{M}}{''.join(map(re.escape, sorted(added)))}]"
+        self._forget()
+
+    def _forget(self) -> None:
+        self.at: dict[str, int] = {}       # piece to its number
+        self.pool, self.ends = array("I"), array("q", [0])
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _word_ids(self, words: list[str]) -> list[list[int]]:
-        new = [w for w in words if w not in self.known]
-        fresh = dict(zip(new, self._ids(new)))
-        out = [self.known[w] if w in self.known else fresh[w] for w in words]
-        if len(self.known) + len(fresh) > self.remember:
-            self.known.clear()
-        self.known.update((w, v) for w, v in list(fresh.items())[:self.remember] if len(w) <= self.longest)
-        return out
+    def _learn(self, pieces: list[str], counts: np.ndarray, ids: list[int]) -> None:
+        n, first = len(self.at), self.ends[-1]
+        self.at.update(zip(pieces, range(n, n + len(pieces))))
+        self.pool.extend(ids)
+        self.ends.extend((first + np.cumsum(counts)).tolist())
+
+    def _learn_letters(self, pieces: list[str]) -> None:
+        """Many words of letters in one call: each is one unit of the
+        tokenizer, whose number each id carries."""
+        for k in range(0, len(pieces), self.joined):
+            part = pieces[k:k + self.joined]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            counts = np.bincount(np.array(e.word_ids, np.int64), minlength=len(part))
+            if len(counts) == len(part) and counts.all():
+                self._learn(part, counts, e.ids)
+            else:
+                self._learn_others(part)
+
+    def _learn_others(self, pieces: list[str]) -> None:
+        lists = self._ids(pieces)
+        self._learn(pieces, np.array([len(x) for x in lists], np.int64), [i for x in lists for i in x])
+
+    def _pieces(self, words: pa.Array) -> pa.ListArray:
+        """The pieces of each word."""
+        plain = words
+        if self.cut:
+            plain = pc.replace_substring_regex(plain, self.cut, r"\1 \2")
+        if self.fold:
+            plain = pc.ascii_lower(plain)
+        if self.cut or self.fold:
+            plain = pc.if_else(pc.match_substring_regex(words, self.raw), words, plain)
+        return pc.ascii_split_whitespace(plain)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each document followed by the end id, and the documents'
@@ -101,18 +144,44 @@ class WordEncoder:
             return ids, np.concatenate([[0], np.cumsum(counts)])
         split = pc.ascii_split_whitespace(texts)
         at = split.offsets.to_numpy()
-        flat = split.flatten().dictionary_encode()
-        lists = self._word_ids(flat.dictionary.to_pylist()) + [[self.end]]
-        sizes = np.array([len(x) for x in lists], np.int64)
-        firsts = np.cumsum(sizes) - sizes
-        pool = np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum()))
-        # the end id is one more word behind each document's words
-        word = np.insert(flat.indices.to_numpy().astype(np.int64), at[1:] - at[0], len(lists) - 1)
-        counts = sizes[word]
-        ends = np.cumsum(counts)
-        ids = pool[np.arange(int(counts.sum())) + np.repeat(firsts[word] - (ends - counts), counts)]
+        words = split.flatten().dictionary_encode()
+        cut = self._pieces(words.dictionary)
+        pieces = cut.flatten().dictionary_encode()
+        listed = pieces.dictionary
+        letters = pc.match_substring_regex(listed, r"^\p{L}+$").to_numpy(zero_copy_only=False)
+        names = listed.to_pylist()
+        if len(self.at) + len(names) > self.remember:
+            self._forget()
+        new = np.array([x not in self.at for x in names], bool)
+        self._learn_letters([names[i] for i in np.flatnonzero(new & letters)])
+        self._learn_others([names[i] for i in np.flatnonzero(new & ~letters)])
+        ends, pool = np.array(self.ends), np.append(np.array(self.pool, np.uint32), np.uint32(self.end))
+        number = np.fromiter(map(self.at.__getitem__, names), np.int64, len(names))
+        # first id and number of ids of each piece; the end id is one more
+        # word, of one more piece, behind each document's words
+        first, size = np.append(ends[number], len(pool) - 1), np.append(ends[number + 1] - ends[number], 1)
+        piece = np.append(pieces.indices.to_numpy().astype(np.int64), len(names))
+        piece_at = np.append(cut.offsets.to_numpy().astype(np.int64), len(piece))
+        word = np.insert(words.indices.to_numpy().astype(np.int64), at[1:] - at[0], len(piece_at) - 2)
+        order = piece[_runs(piece_at[word], piece_at[word + 1] - piece_at[word])]
+        tokens = np.concatenate([[0], np.cumsum(size[piece])])           # ids up to each piece of the words
+        per_word = tokens[piece_at[1:]] - tokens[piece_at[:-1]]
+        ids = pool[_runs(first[order], size[order])]
+        ends_of = np.cumsum(per_word[word])
         last = np.cumsum(np.diff(at) + 1) - 1                  # the end ids among the words
-        return ids, np.concatenate([[0], ends[last]]) if n else np.zeros(1, np.int64)
+        return ids, np.concatenate([[0], ends_of[last]]) if n else np.zeros(1, np.int64)
+
+
+def _runs(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each run, one run behind the other."""
+    stop = np.cumsum(count)
+    return np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(first - (stop - count), count)
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, end_id: int, options: tuple) -> WordEncoder:
+    """One for all tasks of a worker process."""
+    return WordEncoder(path, end_id, **dict(options))
 
 
 def width_of(vocabulary: int) -> int:
@@ -122,19 +191,18 @@ def width_of(vocabulary: int) -> int:
 # --- shards ------------------------------------------------------------------
 
 
-def shard_writer(store: Storage, tokenizer: str, end_id: int, width: int, across_spaces: bool):
+def shard_writer(store: Storage, tokenizer: str, end_id: int, width: int, options: tuple):
     """Task: one shard from the sorted rows of a partition."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId()
         stem = unique_name(f"ids-{number:05d}", "")
-        encoder, out, total, place, starts = None, None, 0, 0, []
+        out, total, place, starts = None, 0, 0, []
         for batch in batches:
             texts = string_array(batch["text"])
             for lo, part in slices(texts, 4 << 20):
                 if out is None:
-                    encoder = WordEncoder(tokenizer, end_id, across_spaces)
                     out = store.open_write(stem + ".bin")
-                ids, offs = encoder.encode(part)
+                ids, offs = encoder(tokenizer, end_id, options).encode(part)
                 if len(ids) and int(ids.max()) >= 1 << 8 * width:
                     raise ValueError(f"an id needs more than {width} bytes")
                 out.write(ids.astype(f"<u{width}").tobytes())
@@ -240,9 +308,9 @@ class TokenFiles:
 
 
 def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text",
-                      across_spaces: bool = False, shard_bytes: int = 64 << 20, bucket_keys: int = 20000) -> TokenFiles:
+                      shard_bytes: int = 64 << 20, bucket_keys: int = 20000, **options) -> TokenFiles:
     """Encode and write all rows; the data set. ``tokenizer`` is the path of a
-    tokenizer file that all executors have. ``shard_bytes``: input bytes of a
+    tokenizer file that all executors have, ``options`` go to WordEncoder. ``shard_bytes``: input bytes of a
     shard, by the optimiser's estimate."""
     from tokenizers import Tokenizer
     spark = docs.sparkSession
@@ -254,7 +322,7 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int, id
                        F.xxhash64(text).alias("tie"), F.monotonically_increasing_id().alias("row"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), estimated_bytes(docs) // shard_bytes)
     rows = rows.repartitionByRange(parts, "id", "tie", "row").sortWithinPartitions("id", "tie", "row").select("id", "text")
-    entries = written(rows.mapInArrow(shard_writer(store, tokenizer, end_id, width, across_spaces), ENTRY))
+    entries = written(rows.mapInArrow(shard_writer(store, tokenizer, end_id, width, tuple(sorted(options.items()))), ENTRY))
 
     # one small row per shard file and per index file
     shards = (entries.groupBy("shard", "stem").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("ids"))

@@ -16,7 +16,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 AWKWARD = ["", " ", "<|endoftext|>", "a<|endoftext|>b <|startoftext|>", "don't  DON'T 've\tit's", "é é ́x", " nbsp em \x85nel",
-           "ΣΑΣ Σ ΟΔΟΣ", "İstanbul ǅ ß ẞ", "漢字かな 한국어 한", "😀👨‍👩‍👧 x\x00y", "a\x0bb\x0cc\rd", "1234 5.6e7 #$%&*|", "x" * 5000, "̀́ ̣"]
+           "ΣΑΣ Σ ΟΔΟΣ", "İstanbul ǅ ß ẞ", "漢字かな 한국어 한", "😀👨‍👩‍👧 x\x00y", "a\x0bb\x0cc\rd", "1234 5.6e7 #$%&*|", "x" * 5000, "a.b,c!d", "A.́ Á. x̂.", "'t.s 's,'T!", "<|EndOfText|> <|endoftext|>. a<.B", "U.S.A. e.g. ...", "̀́ ̣"]
 
 
 def whole(texts, end=2):
@@ -26,12 +26,12 @@ def whole(texts, end=2):
 
 def test_words_equal_whole_texts(spark):
     rng = random.Random(1)
-    alphabet = "aB 'sé́̈ñΣσ漢‍ \n\t1٣!<|>İ하"
+    alphabet = "aBzT.,!?;: 'sé́̈ñΣσ漢‍ \n\t1٣!<|>İ하"
     texts = AWKWARD + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
     texts += [r["text"] for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("text").collect()]
     want = whole(texts)
-    for remember in (1 << 18, 50):
-        enc = token_files.WordEncoder(PATH, 2, remember=remember)
+    for kw in ({}, {"remember": 50}, {"marks": ".,;:!?", "fold_case": True}, {"marks": "!", "joined": 3}):
+        enc = token_files.WordEncoder(PATH, 2, **kw)
         for lo in range(0, len(texts), 1000):
             ids, offs = enc.encode(pa.array(texts[lo:lo + 1000], pa.large_string()).fill_null(""))
             assert [ids[a:b].tolist() for a, b in zip(offs, offs[1:])] == want[lo:lo + 1000]
