@@ -10,7 +10,8 @@ run writes byte-for-byte the shards an uninterrupted run would have."""
 
 from __future__ import annotations
 
-import os
+import hashlib
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,47 @@ def _sampled(ids: DataFrame, seed: int, latent_dim: int, num_classes: int, num_s
                               noise=noise)
 
 
+def run_params(**values) -> str:
+    """A digest of a run's parameters. A model or decoder counts by its name
+    and its ``version`` attribute, if it has one."""
+    def plain(v):
+        if callable(v):
+            return [getattr(v, "__module__", ""), getattr(v, "__qualname__", type(v).__name__), str(getattr(v, "version", ""))]
+        return v
+    return hashlib.sha256(json.dumps({k: plain(v) for k, v in values.items()}, sort_keys=True).encode()).hexdigest()
+
+
+def intact_shards(spark: SparkSession, out_path: str, params: str | None = None) -> DataFrame:
+    """(shard, rows) of the shards whose file has the size and SHA-256 of its
+    newest record, and whose record has these ``params`` (None: any). Files are
+    read in blocks, each by one task."""
+    from shardforge.session import ship_package
+    from shardforge.sources.storage import storage
+    from shardforge.sources.tarshards import read_progress
+    ship_package(spark)
+    store = storage(spark, out_path)
+    newest = (read_progress(spark, out_path).groupBy("shard")
+              .agg(F.max_by(F.struct("file", "size", "sha256", "params", "rows"), "seq").alias("r")).select("shard", "r.*"))
+    if params is not None:
+        newest = newest.where(F.col("params") == params)
+
+    def verify(batches):
+        import pyarrow as pa
+        for b in batches:
+            good = []
+            for name, size, sha in zip(b.column("file").to_pylist(), b.column("size").to_pylist(), b.column("sha256").to_pylist()):
+                ok = name is not None and store.size(name) == size
+                if ok:
+                    h = hashlib.sha256()
+                    for block in store.blocks(name):
+                        h.update(block)
+                    ok = h.hexdigest() == sha
+                good.append(ok)
+            yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("rows")], ["shard", "rows"]).filter(pa.array(good, pa.bool_()))
+
+    return newest.mapInArrow(verify, "shard bigint, rows bigint")
+
+
 def generate_shards(spark: SparkSession, ids: DataFrame, out_path: str, *, seed: int = 0,
                     batch: int = K.BATCH_PER_DEVICE, workers: int = 4, per_shard: int = K.ROWS_PER_SHARD,
                     latent_dim: int = 64, num_classes: int = K.LABEL_HIGH, num_steps: int = 20,
@@ -42,26 +84,29 @@ def generate_shards(spark: SparkSession, ids: DataFrame, out_path: str, *, seed:
     """Write the shards of the samples in ``ids`` (column ``sample_id``) and
     return the committed progress records of this run. ``shard_filter``
     restricts the plan (for example to the shards of one stage of a larger
-    run); ``noise`` is "philox" (default) or "hashed"."""
+    run); ``noise`` is "philox" (default) or "hashed".
+
+    The progress records carry a digest of what the shards were made with and
+    one of each file. A resumed run takes a shard as done only if its newest
+    record has the same parameters and as many rows as planned, and the file
+    still has the recorded digest: shards of another seed, damaged, missing and
+    partial ones are written again."""
     from shardforge.sources.tarshards import read_progress, write_shards
 
+    params = run_params(seed=seed, batch=batch, workers=workers, per_shard=per_shard, latent_dim=latent_dim,
+                        num_classes=num_classes, num_steps=num_steps, noise=noise, velocity=velocity_np, decode=decode)
     plan = assign_plan(ids.select("sample_id"), "sample_id", batch, workers, per_shard)
     if shard_filter is not None:
         plan = plan.filter(shard_filter)
-    if resume and os.path.isdir(os.path.join(out_path, "_progress")):
-        # done: the shard's file is there and holds as many rows as planned
-        from shardforge.operators.publish import shard_listing
+    if resume:
         planned = plan.groupBy("shard").agg(F.count(F.lit(1)).alias("planned"))
-        there = shard_listing(spark, out_path).select(
-            F.regexp_extract("path", r"(\d+)\.[^/.]+$", 1).cast("bigint").alias("shard")).distinct()
-        done = (read_progress(spark, out_path).groupBy("shard").agg(F.max_by("rows", "committed_at").alias("rows"))
-                .join(planned, "shard").filter("rows = planned").join(there, "shard").select("shard"))
+        done = intact_shards(spark, out_path, params).join(planned, "shard").filter("rows = planned").select("shard")
         plan = resume_plan(plan, done, "shard")
     out = _sampled(plan, seed, latent_dim, num_classes, num_steps, velocity_np, noise)
     records = out.select("shard", F.format_string(K.KEY_FORMAT, "sample_id").alias("key"),
                          pixels_to_binary(quantise("sample", decode=decode)).alias("img"),
                          F.col("label").alias("cls"))
-    write_shards(records, out_path, run_id=run_id)
+    write_shards(records, out_path, run_id=run_id, params=params)
     return read_progress(spark, out_path).filter(F.col("run_id") == run_id)
 
 

@@ -6,24 +6,25 @@ source. keep = 0 ships everything. An empty listing is an error."""
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shardforge import constants as K
+from shardforge.session import reliable_checkpoint, ship_package
+from shardforge.sources.storage import Storage, schemes_of, storage
+from shardforge.sources.tarshards import committed_files
+
 
-def shard_listing(spark: SparkSession, path: str, glob: str = "shards-*.tar",
+def shard_listing(spark: SparkSession, path: str, pattern: str = K.SHARD_NAME,
                   workers: int | None = None) -> DataFrame:
-    """(path, worker, created, length) of the shard files in a folder, from
-    Spark's binaryFile metadata (the content column is never read). With
-    ``workers``, the worker is shard number mod workers (interleaved
-    numbering); otherwise 0."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-             .select("path", F.col("modificationTime").alias("created"), "length"))
-    num = F.regexp_extract("path", r"(\d+)\.[^/.]+$", 1).cast("bigint")
-    worker = (num % F.lit(workers)).cast("bigint") if workers else F.lit(0).cast("bigint")
-    return files.withColumn("worker", worker)
+    """(path, created, length, shard, worker) of the committed shards in a
+    folder of any store, one small row per file. With ``workers``, the worker
+    is shard number mod workers (interleaved numbering); otherwise 0."""
+    store = storage(spark, path)
+    rows = [(store.uri(f.name), f.modified, f.size, f.shard) for f in committed_files(store, pattern)]
+    files = spark.createDataFrame(rows, "path string, created double, length bigint, shard bigint")
+    worker = F.pmod("shard", F.lit(workers)) if workers else F.lit(0)
+    return files.select("path", F.timestamp_seconds("created").alias("created"), "length", "shard", worker.cast("bigint").alias("worker"))
 
 
 def retention_split(listing: DataFrame, keep: int, worker_col: str = "worker",
@@ -49,53 +50,48 @@ def retention_split(listing: DataFrame, keep: int, worker_col: str = "worker",
 
 def publish(listing: DataFrame, dest: str, keep: int) -> DataFrame:
     """Copy every 'ship' file to ``dest`` and return the report (src, dst,
-    bytes, ok) per file. The copy runs now, once, in the executors; the report
-    is written to the checkpoint folder.
-
-    Each attempt copies under a name of its own, checks the length of the
-    renamed file and only then deletes the source, so two attempts of a task
-    can't harm each other's copy. Two sources with the same base name are an
-    error before anything is copied."""
+    bytes, ok) per file. Source and destination may be different stores. The
+    copy runs now, once, in the executors; the report is written to the
+    checkpoint folder, and only then a second pass deletes the sources whose
+    copy has the right length, so no attempt of a task can lose a file that
+    another one still copies. A source that is gone counts as shipped if the
+    destination has its file. Two sources with the same base name are an error
+    before anything is copied."""
+    spark = listing.sparkSession
     split = retention_split(listing, keep)
     base = F.regexp_extract("path", r"([^/]+)$", 1)
     same = split.filter(F.col("action") == "ship").groupBy(base.alias("file")).count().filter("count > 1").limit(5).collect()
     if same:
         raise ValueError(f"several sources would be published under one name: {[r['file'] for r in same]}")
     ships = split.filter(F.col("action") == "ship").select("path", "length")
+    schemes, target = schemes_of(spark), storage(spark, dest)
 
     def copy(batches):
-        import pandas as pd
-        os.makedirs(dest, exist_ok=True)
-        for pdf in batches:
+        import pyarrow as pa
+        for b in batches:
             out = []
-            for src, length in zip(pdf["path"], pdf["length"]):
-                local = src[len("file:"):] if src.startswith("file:") else src
-                dst = os.path.join(dest, os.path.basename(local))
-                tmp = f"{dst}.{uuid.uuid4().hex}.part"
-                ok = False
+            for src, length in zip(b.column("path").to_pylist(), b.column("length").to_pylist()):
+                folder, name = src.rsplit("/", 1)
                 n = 0
                 try:
-                    with open(local, "rb") as fi, open(tmp, "wb") as fo:
-                        while True:
-                            buf = fi.read(1 << 20)
-                            if not buf:
-                                break
-                            fo.write(buf)
-                            n += len(buf)
-                    if n == int(length):
-                        os.replace(tmp, dst)
-                        if os.path.getsize(dst) == int(length):
-                            os.remove(local)
-                            ok = True
-                    else:
-                        os.remove(tmp)
+                    n = Storage(folder, schemes).copy_to(name, target, name)
                 except FileNotFoundError:
-                    # already shipped by an earlier attempt of this task
-                    ok = os.path.exists(dst) and os.path.getsize(dst) == int(length)
-                    n = int(length) if ok else n
-                out.append((src, dst, n, ok))
-            yield pd.DataFrame(out, columns=["src", "dst", "bytes", "ok"])
+                    pass     # shipped by an earlier run
+                there = target.size(name)
+                out.append((src, target.uri(name), length if there == length else n, there == length))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.int64(), pa.bool_()))],
+                                             ["src", "dst", "bytes", "ok"])
+
+    def delete(batches):
+        for b in batches:
+            for src in b.column("src").to_pylist():
+                folder, name = src.rsplit("/", 1)
+                Storage(folder, schemes).delete(name)
+            yield b
 
-    from shardforge.session import reliable_checkpoint, ship_package
-    ship_package(listing.sparkSession)
-    return reliable_checkpoint(ships.mapInPandas(copy, "src string, dst string, bytes long, ok boolean"))
+    ship_package(spark)
+    # few files: one task each
+    n = max(1, min(ships.count(), 1000))
+    report = reliable_checkpoint(ships.repartition(n).mapInArrow(copy, "src string, dst string, bytes bigint, ok boolean"))
+    report.where("ok").select("src").mapInArrow(delete, "src string").write.format("noop").mode("overwrite").save()
+    return report

@@ -1,10 +1,11 @@
 """``imagefolder``: numbered PNG files ``{index:06d}.png`` (F4).
 
 Sink: a Python DataSource writer; each task writes its rows' PNG files into
-the job's temporary folder and renames them itself once all are written, so
-a failed task leaves no visible image and the driver handles no file names.
-A failed job leaves the images of its finished tasks; a rerun writes them
-again under the same names. ``_SUCCESS`` marks a finished write. Source: Spark's ``binaryFile`` reader with a glob,
+a folder of its own and moves them itself once all are written, so a failed
+task leaves no visible image and the driver handles no file names (on stores
+without moves an image is written under its name at once: such files appear
+whole). A failed job leaves the images of its finished tasks; a rerun writes
+them again under the same names. ``_SUCCESS`` marks a finished write. Source: Spark's ``binaryFile`` reader with a glob,
 the index parsed from the file name by ``regexp_extract``, and the PNG
 decoded per Arrow batch.
 
@@ -14,8 +15,7 @@ and for ordinary encoder output."""
 
 from __future__ import annotations
 
-import os
-import shutil
+import re
 import struct
 import uuid
 import zlib
@@ -25,7 +25,9 @@ import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 from shardforge import constants as K
+from shardforge.sources.storage import attempt_name, from_options
 
+_IMAGE, _DONE = re.compile(r"\d+\.png$"), "_SUCCESS"
 _SIG = b"\x89PNG\r\n\x1a\n"
 _COLOR = {1: 0, 3: 2, 4: 6}  # channels -> PNG colour type
 
@@ -102,38 +104,41 @@ class ImageCommit(WriterCommitMessage):
 
 class ImageFolderWriter(DataSourceWriter):
     """Input rows: index (int), h, w, c and pixels (BINARY, H*W*C bytes,
-    row-major HWC)."""
+    row-major HWC). With ``overwrite`` the images of the folder are deleted
+    before the job starts."""
 
     def __init__(self, options, schema: StructType, overwrite: bool):
-        self.path = options.get("path")
+        self.store = from_options(options["path"], options.get("schemes"))
         self.digits = int(options.get("digits", str(K.IMAGE_DIGITS)))
-        self.temp = os.path.join(self.path, f".tmp-{uuid.uuid4().hex}")
-        os.makedirs(self.temp, exist_ok=True)
+        self.job = uuid.uuid4().hex
+        if overwrite:
+            self.store.delete(_DONE)       # first: what follows is no finished folder
+            for f in self.store.list():
+                if _IMAGE.match(f.name):
+                    self.store.delete(f.name)
 
     def write(self, iterator):
-        attempt = os.path.join(self.temp, uuid.uuid4().hex)
-        os.makedirs(attempt)
+        names, moves = [], self.store.can_move
+        folder = attempt_name(self.job, "")
         for row in iterator:
             h, w, c = int(row["h"]), int(row["w"]), int(row["c"])
             px = np.frombuffer(bytes(row["pixels"]), dtype=np.uint8)
             if px.size != h * w * c:
                 raise ValueError(f"index {row['index']}: {px.size} bytes for shape {(h, w, c)}")
             name = f"{int(row['index']):0{self.digits}d}.png"
-            with open(os.path.join(attempt, name), "wb") as fh:
-                fh.write(encode_png(px.reshape(h, w, c)))
-        names = os.listdir(attempt)
-        for name in names:
-            os.replace(os.path.join(attempt, name), os.path.join(self.path, name))
+            self.store.write(folder + name if moves else name, encode_png(px.reshape(h, w, c)))
+            names.append(name)
+        for name in names if moves else ():
+            self.store.move(folder + name, name)
         return ImageCommit(files=len(names))
 
     def commit(self, messages):
         # what is left here comes from attempts that were lost
-        shutil.rmtree(self.temp, ignore_errors=True)
-        with open(os.path.join(self.path, "_SUCCESS"), "w") as fh:
-            fh.write(str(sum(m.files for m in messages if m)))
+        self.store.drop_attempts(self.job)
+        self.store.put(_DONE, str(sum(m.files for m in messages if m)).encode())
 
     def abort(self, messages):
-        shutil.rmtree(self.temp, ignore_errors=True)
+        self.store.drop_attempts(self.job)
 
 
 class ImageFolderDataSource(DataSource):
@@ -147,37 +152,44 @@ class ImageFolderDataSource(DataSource):
 
 def write_image_folder(df, path: str, mode: str = "append") -> None:
     from shardforge.session import register_sources
+    from shardforge.sources.storage import as_option, storage
     register_sources(df.sparkSession)
-    df.select("index", "h", "w", "c", "pixels").write.format("imagefolder").mode(mode).save(path)
+    (df.select("index", "h", "w", "c", "pixels").write.format("imagefolder").mode(mode)
+     .option("schemes", as_option(storage(df.sparkSession, path))).save(path))
 
 
 def read_image_folder(spark, path: str):
-    """(index, h, w, c, pixels BINARY) from ``{index}.png`` files: the
-    listing and the bytes come from ``binaryFile``; decoding runs per Arrow
-    batch; the index is parsed from the name."""
+    """(index, h, w, c, pixels BINARY) from ``{index}.png`` files. Listing and
+    bytes come from ``binaryFile``, or, for a scheme that was registered here,
+    from the storage layer; decoding runs per Arrow batch; the index is parsed
+    from the name."""
     import pyarrow as pa
     from pyspark.sql import functions as F
 
     from shardforge.session import ship_package
+    from shardforge.sources.storage import scheme_of, schemes_of, storage
     ship_package(spark)
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "[0-9]*.png").load(path)
-             .select(F.regexp_extract("path", r"/(\d+)\.png$", 1).cast("bigint").alias("index"), "content"))
+    if scheme_of(path) in dict(schemes_of(spark)):
+        store = storage(spark, path)
+        names = [(f.name,) for f in store.list() if _IMAGE.match(f.name)]
+
+        def load(batches):
+            for b in batches:
+                found = b.column("path").to_pylist()
+                yield pa.RecordBatch.from_arrays([b.column("path"), pa.array([store.read(n) for n in found], pa.binary())], ["path", "content"])
+        listed = spark.createDataFrame(names, "path string")
+        files = listed.repartition(max(1, min(len(names) // 64, 1000))).mapInArrow(load, "path string, content binary")
+    else:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "[0-9]*.png").load(path)
+    files = files.select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("bigint").alias("index"), "content")
 
     def decode(batches):
         from shardforge.sources.imagefolder import decode_png
         for b in batches:
-            idx = b.column("index").to_pylist()
-            hs, ws, cs, pxs = [], [], [], []
-            for data in b.column("content").to_pylist():
-                a = decode_png(data)
-                hs.append(a.shape[0])
-                ws.append(a.shape[1])
-                cs.append(a.shape[2])
-                pxs.append(a.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(idx, pa.int64()), pa.array(hs, pa.int32()), pa.array(ws, pa.int32()),
-                 pa.array(cs, pa.int32()), pa.array(pxs, pa.binary())],
-                names=["index", "h", "w", "c", "pixels"])
+            images = [decode_png(data) for data in b.column("content").to_pylist()]
+            shape = [pa.array([a.shape[k] for a in images], pa.int32()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([b.column("index"), *shape, pa.array([a.tobytes() for a in images], pa.binary())],
+                                             names=["index", "h", "w", "c", "pixels"])
 
     return files.mapInArrow(decode, "index bigint, h int, w int, c int, pixels binary")
 

@@ -6,12 +6,13 @@ Arrow's filesystem API: ``file:`` and plain paths, ``s3://`` (and ``s3a://``),
 ``register_scheme`` (a ``module:function`` that returns an Arrow filesystem and
 the path in it; it must be importable on the executors).
 
-Nothing here renames. An object store has no rename, and a copy of every file
-at the end of a job would double its writes. A task writes under a name that no
-other attempt uses (``unique_name``); the job's commit then writes one small
-record that lists the files that count, and readers take listed files only. A
-lost or repeated attempt leaves an unlisted file, which the next commit of the
-same folder may delete.
+Commits need no rename. An object store has none, and a copy of every file at
+the end of a job would double its writes. A task writes under a name that no
+other attempt uses (``unique_name``, ``attempt_name``); the job's commit then
+writes one small record that lists the files that count, and readers take
+listed files only. Where files can be moved (``can_move``: local and mounted
+folders, HDFS), ``settle`` gives a listed file its plain name as well; elsewhere
+it keeps the name it was written under.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
 
 CONF = "spark.shardforge.fs."
-_NO_FOLDERS = ("s3", "gcs")     # stores without folders of their own
+_MOVES = ("local", "hdfs")       # a move is one cheap, atomic step
+ATTEMPTS = "_attempts"
 BLOCK = 4 << 20
 
 
@@ -78,10 +80,14 @@ class Storage:
         return f"{self.base.rstrip('/')}/{name}"
 
     def open_write(self, name: str):
+        """A stream. Folders are made only when one is missing: in stores
+        that have none this is never the case."""
         fs, path = self.at(name)
-        if fs.type_name not in _NO_FOLDERS:
+        try:
+            return fs.open_output_stream(path, buffer_size=1 << 20)
+        except FileNotFoundError:
             fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        return fs.open_output_stream(path, buffer_size=1 << 20)
+            return fs.open_output_stream(path, buffer_size=1 << 20)
 
     def open_read(self, name: str):
         """A file that can seek."""
@@ -119,13 +125,23 @@ class Storage:
         except FileNotFoundError:
             pass
 
+    def size(self, name: str) -> int:
+        """Bytes of a file, -1 if there is none."""
+        fs, path = self.at(name)
+        info = fs.get_file_info(path)
+        return info.size if info.type == pafs.FileType.File else -1
+
     def copy_to(self, name: str, other: Storage, other_name: str, block: int = BLOCK) -> int:
-        """Stream a file elsewhere; the number of bytes."""
+        """Stream a file elsewhere, where it appears whole; its bytes."""
         total = 0
-        with self.open_read(name) as src, other.open_write(other_name) as dst:
-            while chunk := src.read(block):
-                dst.write(chunk)
-                total += len(chunk)
+        with self.open_read(name) as src:
+            temp = hidden_name(other_name) if other.can_move else other_name
+            with other.open_write(temp) as dst:
+                while chunk := src.read(block):
+                    dst.write(chunk)
+                    total += len(chunk)
+        if temp != other_name:
+            other.move(temp, other_name)
         return total
 
     def blocks(self, name: str, block: int = BLOCK) -> Iterator[bytes]:
@@ -133,6 +149,68 @@ class Storage:
             while chunk := src.read(block):
                 yield chunk
 
+    # commits
+
+    @property
+    def can_move(self) -> bool:
+        fs = self.at("")[0]
+        return (fs.base_fs.type_name if isinstance(fs, pafs.SubTreeFileSystem) else fs.type_name) in _MOVES
+
+    def move(self, name: str, to: str) -> None:
+        fs, path = self.at(name)
+        target = self.at(to)[1]
+        fs.create_dir(target.rsplit("/", 1)[0], recursive=True)
+        fs.move(path, target)
+
+    def settle(self, name: str, plain: str) -> str:
+        """The name under which a committed file is found."""
+        if not self.can_move:
+            return name
+        self.move(name, plain)
+        return plain
+
+    def put(self, name: str, data: bytes) -> None:
+        """A small file that is there whole or not at all."""
+        if not self.can_move:
+            self.write(name, data)      # a store without moves shows a file once it is closed
+            return
+        temp = hidden_name(name)
+        self.write(temp, data)
+        self.move(temp, name)
+
+    def delete_tree(self, folder: str) -> None:
+        """The files below a folder of this store."""
+        if not folder:
+            raise ValueError("delete_tree needs a folder below the base")
+        fs, path = self.at(folder)
+        try:
+            fs.delete_dir(path)
+        except FileNotFoundError:
+            pass
+
+    def drop_attempts(self, job: str, but: set[str] = frozenset()) -> None:
+        """Delete what the attempts of a job left behind, but for the names
+        in ``but`` (committed files that couldn't be moved)."""
+        folder = f"{ATTEMPTS}/{job}"
+        if not any(n.startswith(folder) for n in but):
+            self.delete_tree(folder)
+            if self.can_move and not self.below(ATTEMPTS).list(recursive=True):
+                self.delete_tree(ATTEMPTS)
+            return
+        for f in self.below(folder).list(recursive=True):
+            if f"{folder}/{f.name}" not in but:
+                self.delete(f"{folder}/{f.name}")
+
+    def write_at(self, name: str, offset: int, data: bytes) -> None:
+        """Bytes at a place of an existing file: for local and mounted
+        folders; Arrow's interface has no such call, and stores neither."""
+        fs, path = self.at(name)
+        if fs.type_name != "local":
+            raise ValueError(f"{scheme_of(self.base)}: files can't be written in places")
+        with open(path, "r+b") as f:
+            f.seek(offset)
+            f.write(data)
+
     # records of what counts
 
     def write_record(self, folder: str, records: list[dict], label: str = "commit") -> str:
@@ -156,6 +234,17 @@ def unique_name(stem: str, suffix: str) -> str:
     return f"{stem}-{uuid.uuid4().hex[:12]}{suffix}"
 
 
+def hidden_name(name: str) -> str:
+    """A name beside ``name`` that readers pass over."""
+    folder, _, base = name.rpartition("/")
+    return unique_name(f"{folder}/.{base}" if folder else f".{base}", ".tmp")
+
+
+def attempt_name(job: str, name: str) -> str:
+    """Where one attempt of a task of ``job`` writes the file ``name``."""
+    return f"{ATTEMPTS}/{job}/{uuid.uuid4().hex}/{name}"
+
+
 def register_scheme(spark: SparkSession, scheme: str, factory: str) -> None:
     """``factory``: ``module:function`` from a URI to (Arrow filesystem, path)."""
     spark.conf.set(CONF + scheme.lower(), factory)

@@ -3,42 +3,58 @@ shards (F1, F2).
 
 Writing: each row is one sample ``(shard, key, <ext columns>...)``; every
 column other than ``shard`` and ``key`` becomes a tar member
-``<key>.<column>`` (BINARY as is, other types as UTF-8 text). The caller
-partitions by shard and sorts by key inside partitions (``write_shards``
-does it), so a shard is written by exactly one task.
-
-Commit protocol: a task writes ``.tmp-shards-NNNNN-<attempt id>.tar`` and
-returns its list of temp files; only the driver's ``commit`` renames them to
-``shards-NNNNN.tar`` and appends one progress record per shard to
-``_progress/`` in the same step. ``abort`` removes the temp files it was
-told about, readers ignore ``.tmp-*`` names, and the next commit removes
-stale temp files — so a failed or retried task never leaves a visible shard.
-
-Reading: one input partition per shard file (optionally only the shards
-listed in the ``shards`` option); rows come back long
-``(shard, key, ext, payload)`` by default, or wide when a schema with one
-column per extension is given.
+``<key>.<column>``: BINARY as is, strings, numbers, booleans, decimals, dates
+and timestamps as text that the reader turns back into the same value; other
+types are an error (cast them first). The caller partitions by shard and sorts
+by key inside partitions (``write_shards`` does it), so a shard is written by
+exactly one task. A null key or shard, or one key twice in a shard, is an error.
+
+Commit protocol: a task writes each shard under a name of its own attempt and
+returns name, rows, size and SHA-256 of the file; only the driver's ``commit``
+gives the files their plain names (where the store can move files) and writes
+one progress record per shard to ``_progress/``. On stores without moves the
+record says where the shard lies. Files of failed or repeated attempts are in
+no record, so they never count; they lie below ``_attempts/<job>``, which the
+commit or abort of the job deletes.
+
+Index: behind the end of the archive, where tar readers stop, a shard carries
+the offset of each row. A large shard is cut at row offsets into ranges of
+about ``split_bytes``, each an input partition of its own; a shard without an
+index (from elsewhere) is read by one task. Rows come back long ``(shard, key,
+ext, payload)`` by default, or wide when a schema with one column per
+extension is given.
+
+All files go through ``sources.storage``: any URI that it knows is fine.
 """
 
 from __future__ import annotations
 
+import hashlib
 import io
-import json
-import os
 import re
+import struct
 import tarfile
 import time
 import uuid
 from dataclasses import dataclass
+from datetime import date, datetime, timezone
+from decimal import Decimal
 
+import numpy as np
+from pyspark.sql import types as T
 from pyspark.sql.datasource import (DataSource, DataSourceReader, DataSourceWriter,
                                     InputPartition, WriterCommitMessage)
-from pyspark.sql.types import BinaryType, StringType, StructType
 from shardforge import constants as K
+from shardforge.sources.storage import Storage, attempt_name, from_options
 
 LONG_SCHEMA = "shard bigint, key string, ext string, payload binary"
+PROGRESS = "_progress"
+PROGRESS_SCHEMA = ("run_id string, shard bigint, rows bigint, bytes bigint, committed_at string, "
+                   "file string, size bigint, sha256 string, params string, seq bigint")
 NAME_PATTERN = K.SHARD_NAME
 ROW_MARK = "__row__"   # member of a row whose columns are all null
+INDEX_MAGIC = b"tarindex"
+SPLIT_BYTES = 64 << 20
 
 
 def name_regex(pattern: str) -> re.Pattern:
@@ -63,71 +79,152 @@ def shard_file_name(shard: int, pattern: str = NAME_PATTERN) -> str:
     return pattern % shard
 
 
-def _to_bytes(v) -> bytes:
-    if v is None:
-        return b""
+# --- values ------------------------------------------------------------------
+
+
+def member_bytes(v) -> bytes:
     if isinstance(v, (bytes, bytearray, memoryview)):
         return bytes(v)
+    if isinstance(v, bool):
+        return b"true" if v else b"false"
+    if isinstance(v, datetime):       # a timestamp is written in UTC, one without zone as it is
+        return (v.astimezone(timezone.utc) if v.tzinfo else v).isoformat().encode()
+    if isinstance(v, date):
+        return v.isoformat().encode()
     return str(v).encode("utf-8")
 
 
+def _boolean(s: str) -> bool:
+    if s not in ("true", "false"):
+        raise ValueError(f"tarshards: {s!r} is no boolean")
+    return s == "true"
+
+
+def _timestamp(s: str) -> datetime:
+    t = datetime.fromisoformat(s)
+    return t if t.tzinfo else t.replace(tzinfo=timezone.utc)
+
+
+_READ = {T.StringType: str, T.BooleanType: _boolean, T.ByteType: int, T.ShortType: int, T.IntegerType: int, T.LongType: int,
+         T.FloatType: float, T.DoubleType: float, T.DecimalType: Decimal, T.DateType: date.fromisoformat,
+         T.TimestampType: _timestamp, T.TimestampNTZType: datetime.fromisoformat}
+
+
+def check_types(fields, doing: str) -> None:
+    for f in fields:
+        if not isinstance(f.dataType, T.BinaryType) and type(f.dataType) not in _READ:
+            raise ValueError(f"tarshards: can't {doing} column {f.name} of type {f.dataType.simpleString()}; cast it first")
+
+
+def member_value(data: bytes | None, t):
+    if data is None or isinstance(t, T.BinaryType):
+        return data
+    return _READ[type(t)](data.decode("utf-8"))
+
+
+# --- writing -----------------------------------------------------------------
+
+
+class _Digesting:
+    """A stream that knows its position and digest."""
+
+    def __init__(self, out):
+        self.out, self.pos, self.sha = out, 0, hashlib.sha256()
+
+    def write(self, data) -> int:
+        self.out.write(data)
+        self.sha.update(data)
+        self.pos += len(data)
+        return len(data)
+
+    def tell(self) -> int:
+        return self.pos
+
+
+class ShardFileWriter:
+    """One tar shard, written row by row."""
+
+    def __init__(self, out):
+        self.stream = _Digesting(out)
+        self.tar = tarfile.open(fileobj=self.stream, mode="w", format=tarfile.PAX_FORMAT)
+        self.starts, self.bytes, self.last = [], 0, None
+
+    def add(self, key: str, members: dict[str, bytes]) -> None:
+        name = escape_key(key)
+        if name == self.last:
+            raise ValueError(f"tarshards: the key {key!r} occurs twice in a shard; number repeated rows first")
+        self.last = name
+        self.starts.append(self.stream.pos)
+        # a null is an absent member; a row without members keeps a mark
+        for ext, data in (members or {ROW_MARK: b""}).items():
+            info = tarfile.TarInfo(name=f"{name}.{ext}")
+            info.size = len(data)
+            info.mtime = 0
+            self.tar.addfile(info, io.BytesIO(data))
+            self.tar.members = []        # tarfile would keep every header
+            self.bytes += len(data)
+
+    def close(self) -> None:
+        end = self.stream.pos
+        self.tar.close()
+        self.stream.write(np.array([*self.starts, end], "<i8").tobytes() + struct.pack("<q", len(self.starts) + 1) + INDEX_MAGIC)
+        self.stream.out.close()
+
+
+def read_index(store: Storage, name: str, size: int) -> np.ndarray | None:
+    """Row offsets and the end of the last row; None without an index."""
+    with store.open_read(name) as f:
+        tail = f.read_at(16, max(0, size - 16))
+        if len(tail) < 16 or tail[8:] != INDEX_MAGIC:
+            return None
+        n = struct.unpack("<q", tail[:8])[0]
+        return np.frombuffer(f.read_at(8 * n, size - 16 - 8 * n), "<i8")
+
+
 @dataclass
 class ShardCommit(WriterCommitMessage):
-    files: list  # (shard, temp path, rows, bytes)
+    files: list  # (shard, attempt's name, rows, payload bytes, file size, sha256)
 
 
 class TarShardsWriter(DataSourceWriter):
-    def __init__(self, options, schema: StructType, overwrite: bool):
-        self.path = options.get("path")
-        if not self.path:
+    def __init__(self, options, schema: T.StructType, overwrite: bool):
+        if not options.get("path"):
             raise ValueError("tarshards: a path is required")
+        self.store = from_options(options["path"], options.get("schemes"))
         self.pattern = options.get("pattern", NAME_PATTERN)
         self.run_id = options.get("run_id", "run")
+        self.params = options.get("params")
         self.overwrite = overwrite
-        self.columns = [f.name for f in schema.fields]
+        columns = [f.name for f in schema.fields]
         for need in ("shard", "key"):
-            if need not in self.columns:
+            if need not in columns:
                 raise ValueError(f"tarshards: input needs a '{need}' column")
-        self.members = [c for c in self.columns if c not in ("shard", "key")]
-        self.job = uuid.uuid4().hex   # marks this job's temp files
+        check_types([f for f in schema.fields if f.name != "shard"], "write")
+        self.members = [c for c in columns if c not in ("shard", "key")]
+        self.job = uuid.uuid4().hex
         name_regex(self.pattern)
-        os.makedirs(self.path, exist_ok=True)
 
     def write(self, iterator):
-        attempt = uuid.uuid4().hex
-        files = []
-        cur_shard, tar, fh, tmp, rows, nbytes = None, None, None, None, 0, 0
+        files, shard, writer, name, seen = [], None, None, None, set()
 
         def close():
-            if tar is not None:
-                tar.close()
-                fh.close()
-                files.append((cur_shard, tmp, rows, nbytes))
+            if writer is not None:
+                writer.close()
+                files.append((shard, name, len(writer.starts), writer.bytes, writer.stream.pos, writer.stream.sha.hexdigest()))
 
-        seen = set()
         for row in iterator:
-            shard = int(row["shard"])
-            if shard != cur_shard:
+            if row["shard"] is None or row["key"] is None:
+                raise ValueError("tarshards: null shard or key")
+            if int(row["shard"]) != shard:
                 close()
+                shard = int(row["shard"])
                 if shard in seen:
                     raise ValueError(f"tarshards: rows of shard {shard} are not contiguous in the task; "
                                      "partition by shard and sort by key first")
                 seen.add(shard)
-                cur_shard, rows, nbytes = shard, 0, 0
-                tmp = os.path.join(self.path, f".tmp-{self.job}-{shard_file_name(shard, self.pattern)}-{attempt}")
-                fh = open(tmp, "wb")
-                tar = tarfile.open(fileobj=fh, mode="w", format=tarfile.USTAR_FORMAT)
-            key = escape_key(str(row["key"]))
-            # a null is an absent member; a row without members keeps a mark
-            given = [m for m in self.members if row[m] is not None] or [ROW_MARK]
-            for m in given:
-                data = b"" if m == ROW_MARK else _to_bytes(row[m])
-                info = tarfile.TarInfo(name=f"{key}.{m}")
-                info.size = len(data)
-                info.mtime = 0
-                tar.addfile(info, io.BytesIO(data))
-                nbytes += len(data)
-            rows += 1
+                name = attempt_name(self.job, shard_file_name(shard, self.pattern))
+                writer = ShardFileWriter(self.store.open_write(name))
+            writer.add(str(row["key"]), {m: member_bytes(row[m]) for m in self.members if row[m] is not None})
         close()
         return ShardCommit(files=files)
 
@@ -137,90 +234,119 @@ class TarShardsWriter(DataSourceWriter):
         if len(shards) != len(set(shards)):
             self.abort(messages)
             raise ValueError("tarshards: a shard was written by more than one task")
-        prog_dir = os.path.join(self.path, "_progress")
-        os.makedirs(prog_dir, exist_ok=True)
         stale = []
         if self.overwrite:
             # progress goes first: a stop in between leaves shards that a
             # resume writes again, never records of shards that are gone
-            for name in os.listdir(prog_dir):
-                os.remove(os.path.join(prog_dir, name))
-            mine, new = name_regex(self.pattern), {shard_file_name(s, self.pattern) for s in shards}
-            stale = [x for x in os.listdir(self.path) if mine.match(x) and x not in new]
-        now = time.strftime("%Y-%m-%d %H:%M:%S", time.gmtime())
+            plain = {shard_file_name(s, self.pattern) for s in shards}
+            stale = [f.name for f in committed_files(self.store, self.pattern) if f.name not in plain]
+            self.store.delete_tree(PROGRESS)
+        now, seq = time.strftime("%Y-%m-%d %H:%M:%S", time.gmtime()), time.time_ns()
         records = []
-        for shard, tmp, rows, nbytes in files:
-            os.replace(tmp, os.path.join(self.path, shard_file_name(shard, self.pattern)))
-            records.append({"run_id": self.run_id, "shard": shard, "rows": rows, "bytes": nbytes,
-                            "committed_at": now})
+        for shard, temp, rows, nbytes, size, sha in files:
+            records.append({"run_id": self.run_id, "shard": shard, "rows": rows, "bytes": nbytes, "committed_at": now,
+                            "file": self.store.settle(temp, shard_file_name(shard, self.pattern)), "size": size, "sha256": sha,
+                            "params": self.params, "seq": seq})
         if records:
-            name = os.path.join(prog_dir, f"{self.run_id}-{uuid.uuid4().hex}.json")
-            with open(name + ".tmp", "w") as out:
-                out.write("\n".join(json.dumps(r) for r in records) + "\n")
-            os.replace(name + ".tmp", name)
+            self.store.write_record(PROGRESS, records, self.run_id)
         for name in stale:
-            os.remove(os.path.join(self.path, name))
-        for name in os.listdir(self.path):
-            if name.startswith(f".tmp-{self.job}-"):   # left by this job's failed attempts
-                try:
-                    os.remove(os.path.join(self.path, name))
-                except FileNotFoundError:
-                    pass
+            self.store.delete(name)
+        self.store.drop_attempts(self.job, {r["file"] for r in records})
 
     def abort(self, messages):
-        for m in messages or []:
-            if m is None:
-                continue
-            for _shard, tmp, _rows, _bytes in m.files:
-                try:
-                    os.remove(tmp)
-                except FileNotFoundError:
-                    pass
-
-
-class ShardFile(InputPartition):
-    def __init__(self, shard: int, path: str):
+        self.store.drop_attempts(self.job)
+
+
+# --- reading -----------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class CommittedShard:
+    shard: int
+    name: str       # below the folder
+    size: int
+    modified: float
+
+
+def committed_files(store: Storage, pattern: str = NAME_PATTERN) -> list[CommittedShard]:
+    """The shards of a folder: files with plain names, and on stores without
+    moves those that the records list and that still exist. One small row per
+    shard."""
+    plain = name_regex(pattern)
+    found = {int(m[1]): CommittedShard(int(m[1]), f.name, f.size, f.modified) for f in store.list() if (m := plain.match(f.name))}
+    if not store.can_move:
+        latest = {}
+        for r in store.records(PROGRESS):
+            if r.get("file") and r.get("seq", 0) >= latest.get(r["shard"], {}).get("seq", 0):
+                latest[r["shard"]] = r
+        there = {f.name: f for f in store.list(recursive=True)}
+        for shard, r in latest.items():
+            f = there.get(r["file"])
+            if f is not None and plain.match(r["file"].rsplit("/", 1)[-1]):
+                found[shard] = CommittedShard(shard, f.name, f.size, f.modified)
+    return sorted(found.values(), key=lambda f: f.name)
+
+
+class ShardRange(InputPartition):
+    """Rows of a shard whose headers begin in start..end (end None: all)."""
+
+    def __init__(self, shard: int, name: str, start: int = 0, end: int | None = None):
         super().__init__(shard)
-        self.shard = shard
-        self.path = path
+        self.shard, self.name, self.start, self.end = shard, name, start, end
+
+
+def ranges_of(store: Storage, f: CommittedShard, split_bytes: int) -> list[ShardRange]:
+    """A large shard with an index, cut at rows into about equal ranges."""
+    if f.size <= split_bytes:
+        return [ShardRange(f.shard, f.name)]
+    starts = read_index(store, f.name, f.size)
+    if starts is None:
+        return [ShardRange(f.shard, f.name)]
+    pieces = -(-int(starts[-1]) // split_bytes)
+    wanted = np.arange(pieces) * (int(starts[-1]) / pieces)
+    cuts = np.unique(np.append(starts[np.searchsorted(starts[:-1], wanted)], starts[-1]))
+    return [ShardRange(f.shard, f.name, int(a), int(b)) for a, b in zip(cuts, cuts[1:])]
 
 
 class TarShardsReader(DataSourceReader):
-    def __init__(self, options, schema: StructType):
-        self.path = options.get("path")
+    def __init__(self, options, schema: T.StructType):
+        self.store = from_options(options["path"], options.get("schemes"))
         self.schema = schema
         wanted = options.get("shards")
         self.wanted = None if not wanted else {int(s) for s in wanted.split(",") if s.strip()}
         self.exts = options.get("exts")
         self.exts = None if not self.exts else set(self.exts.split(","))
-        self.file_re = name_regex(options.get("pattern", NAME_PATTERN))
+        self.pattern = options.get("pattern", NAME_PATTERN)
+        self.split_bytes = int(options.get("split_bytes", SPLIT_BYTES))
+        check_types([f for f in schema.fields if f.name != "shard"], "read")
 
     def partitions(self):
         out = []
-        for name in sorted(os.listdir(self.path)):
-            m = self.file_re.match(name)
-            if not m:
-                continue
-            shard = int(m.group(1))
-            if self.wanted is not None and shard not in self.wanted:
-                continue
-            out.append(ShardFile(shard, os.path.join(self.path, name)))
+        for f in committed_files(self.store, self.pattern):
+            if self.wanted is None or f.shard in self.wanted:
+                out += ranges_of(self.store, f, self.split_bytes)
         # without any shard Spark would call read(None)
-        return out or [ShardFile(-1, "")]
+        return out or [ShardRange(-1, "")]
 
-    def read(self, partition: ShardFile):
+    def read(self, partition: ShardRange):
+        if not partition.name:
+            return
         names = [f.name for f in self.schema.fields]
         long_form = names == ["shard", "key", "ext", "payload"]
         types = {f.name: f.dataType for f in self.schema.fields}
-        if not partition.path:
-            return
-        with tarfile.open(partition.path, mode="r") as tar:
-            current_key, record = None, {}
-            for info in tar:
-                if not info.isfile():
-                    continue
-                base = os.path.basename(info.name)
-                if "." not in base:
+
+        def row(key, record):
+            own = {"shard": partition.shard, "key": key}
+            return tuple(own[n] if n in own else member_value(record.get(n), types[n]) for n in names)
+
+        with self.store.open_read(partition.name) as f:
+            f.seek(partition.start)
+            tar = tarfile.open(fileobj=f, mode="r:")
+            current, record = None, {}
+            while (info := tar.next()) is not None and (partition.end is None or info.offset < partition.end):
+                tar.members = []
+                base = info.name.rsplit("/", 1)[-1]
+                if not info.isfile() or "." not in base:
                     continue
                 key, ext = base.split(".", 1)
                 key = unescape_key(key)
@@ -233,35 +359,14 @@ class TarShardsReader(DataSourceReader):
                 if long_form:
                     yield (partition.shard, key, ext, data)
                     continue
-                if key != current_key and current_key is not None:
-                    yield self._row(partition.shard, current_key, record, names, types)
-                    record = {}
-                current_key = key
+                if key != current:
+                    if current is not None:
+                        yield row(current, record)
+                    current, record = key, {}
                 if ext != ROW_MARK:
                     record[ext] = data
-            if not long_form and current_key is not None:
-                yield self._row(partition.shard, current_key, record, names, types)
-
-    @staticmethod
-    def _row(shard, key, record, names, types):
-        out = []
-        for n in names:
-            if n == "shard":
-                out.append(shard)
-            elif n == "key":
-                out.append(key)
-            else:
-                v = record.get(n)
-                t = types[n]
-                if v is None or isinstance(t, BinaryType):
-                    out.append(v)
-                elif isinstance(t, StringType):
-                    out.append(v.decode("utf-8"))
-                elif t.typeName() in ("integer", "long", "short", "byte"):
-                    out.append(int(v.decode("utf-8")))
-                else:
-                    out.append(float(v.decode("utf-8")))
-        return tuple(out)
+            if not long_form and current is not None:
+                yield row(current, record)
 
 
 class TarShardsDataSource(DataSource):
@@ -280,25 +385,35 @@ class TarShardsDataSource(DataSource):
 
 
 def write_shards(df, path: str, run_id: str = "run", mode: str = "append",
-                 num_partitions: int | None = None, grouped: bool = False, pattern: str = NAME_PATTERN) -> None:
+                 num_partitions: int | None = None, grouped: bool = False, pattern: str = NAME_PATTERN,
+                 params: str | None = None) -> None:
     """Partition by shard (so each shard is one task's output), sort by key
     inside partitions and write through the data source. ``grouped=True``
     says every shard's rows already sit together in one partition (shards
-    numbered per partition), so no shuffle is needed."""
+    numbered per partition), so no shuffle is needed. ``params`` goes into the
+    progress records: what the shards were made with."""
     from pyspark.sql import functions as F
 
     from shardforge.session import register_sources
-    register_sources(df.sparkSession)
+    from shardforge.sources.storage import as_option, storage
+    spark = df.sparkSession
+    register_sources(spark)
     if not grouped:
-        n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
         df = df.repartition(n, F.col("shard")).sortWithinPartitions("shard", "key")
-    df.write.format("tarshards").mode(mode).option("run_id", run_id).option("pattern", pattern).save(path)
+    w = df.write.format("tarshards").mode(mode).option("run_id", run_id).option("pattern", pattern)
+    if params is not None:
+        w = w.option("params", params)
+    w.option("schemes", as_option(storage(spark, path))).save(path)
 
 
-def read_shards(spark, path: str, schema: str | None = None, shards=None, exts=None, pattern: str = NAME_PATTERN):
+def read_shards(spark, path: str, schema: str | None = None, shards=None, exts=None, pattern: str = NAME_PATTERN,
+                split_bytes: int = SPLIT_BYTES):
     from shardforge.session import register_sources
+    from shardforge.sources.storage import as_option, storage
     register_sources(spark)
-    r = spark.read.format("tarshards").option("pattern", pattern)
+    r = spark.read.format("tarshards").option("pattern", pattern).option("split_bytes", split_bytes)
+    r = r.option("schemes", as_option(storage(spark, path)))
     if schema:
         r = r.schema(schema)
     if shards is not None:
@@ -309,6 +424,22 @@ def read_shards(spark, path: str, schema: str | None = None, shards=None, exts=N
 
 
 def read_progress(spark, path: str):
-    """The committed progress records of a shard folder."""
-    return spark.read.schema("run_id string, shard bigint, rows bigint, bytes bigint, committed_at string") \
-        .json(os.path.join(path, "_progress"))
+    """The committed progress records of a shard folder, read by one task per
+    record file (a file per commit)."""
+    from shardforge.session import ship_package
+    from shardforge.sources.storage import storage
+    ship_package(spark)
+    store = storage(spark, path).below(PROGRESS)
+    names = [(f.name,) for f in store.list() if f.name.endswith(".json")]
+    if not names:
+        return spark.createDataFrame([], PROGRESS_SCHEMA)
+
+    def load(batches):
+        import pyarrow as pa
+        for b in batches:
+            for name in b.column("name").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(store.read(name).decode().splitlines())], ["line"])
+
+    lines = spark.createDataFrame(names, "name string").repartition(min(len(names), 64)).mapInArrow(load, "line string")
+    from pyspark.sql import functions as F
+    return lines.select(F.from_json("line", PROGRESS_SCHEMA).alias("r")).select("r.*")
