@@ -271,20 +271,22 @@ register("sequence_attention_causal", _positions_sql(True))(_sequence_query(True
 
 
 @register("attention_pool", """
-WITH t AS (SELECT label, vec_id // 50 AS grp, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+WITH t AS (SELECT nullif(label, 3) AS label, nullif(vec_id // 50, 1) AS grp, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 ex AS (SELECT label, grp, j, v[j + 1] AS x FROM t, range(64) r(j)),
 mu AS (SELECT label, grp, list(avg_x ORDER BY j) AS q FROM
         (SELECT label, grp, j, avg(x) AS avg_x FROM ex GROUP BY label, grp, j) GROUP BY label, grp),
 tok AS (SELECT label, grp, v FROM t UNION ALL SELECT label, grp, q AS v FROM mu),
 sc AS (SELECT tok.label, tok.grp, tok.v, list_dot_product(tok.v, mu.q) / 8.0 AS s
-       FROM tok JOIN mu ON tok.label = mu.label AND tok.grp = mu.grp),
+       FROM tok JOIN mu ON tok.label IS NOT DISTINCT FROM mu.label AND tok.grp IS NOT DISTINCT FROM mu.grp),
 w AS (SELECT label, grp, v, exp(s - max(s) OVER (PARTITION BY label, grp)) AS e FROM sc),
 p AS (SELECT label, grp, v, e / sum(e) OVER (PARTITION BY label, grp) AS pr FROM w)
 SELECT label, CAST(grp AS BIGINT) AS grp, CAST(j AS INTEGER) AS j, round(sum(pr * v[j + 1]), 6) AS value
 FROM p, range(64) r(j) GROUP BY label, grp, j""")
 def q_attention_pool(spark, sf):
     from shardforge.operators.features import attention_pool
-    e = _emb(spark, sf).select("label", (F.col("vec_id") / 50).cast("bigint").alias("grp"), "embedding")
+    # one label and one range of ids are null: null groups are pooled too
+    e = _emb(spark, sf).select(F.nullif("label", F.lit(3)).alias("label"),
+                               F.nullif((F.col("vec_id") / 50).cast("bigint"), F.lit(1)).alias("grp"), "embedding")
     p = attention_pool(e, ["label", "grp"], "embedding")
     return _long(p, ["label", "grp"], "pooled")
 
@@ -307,9 +309,8 @@ SELECT direction, row_id, CAST(rank AS INTEGER) AS rank, other_id, round(logit,
 def q_cosine_topk(spark, sf):
     from shardforge.operators.features import cosine_topk
     e = _emb(spark, sf)
-    # the broadcast side is counted and sent in chunks of at most 1,000 rows
-    # (two passes at sf0.1); tests check that any chunk size gives the same top k
-    r = cosine_topk(e, e, "vec_id", "vec_id", "embedding", LOGIT_SCALE, 5, max_broadcast_rows=1000)
+    # blocks of 512 rows: several tiles on this small table
+    r = cosine_topk(e, e, "vec_id", "vec_id", "embedding", LOGIT_SCALE, 5, block_rows=512)
     return r.select("direction", "row_id", "rank", "other_id", F.round("logit", 4).alias("logit"))
 
 

@@ -168,18 +168,22 @@ def perturbed_orders(spark, sf):
 @register("parity", f"""
 WITH b AS (
   SELECT CASE WHEN o_orderkey % 103 = 0 THEN o_orderkey + 10000000 ELSE o_orderkey END AS o_orderkey,
-         CASE WHEN o_orderkey % 97 = 0 THEN o_totalprice + {S.d(1e-4)} ELSE o_totalprice END AS o_totalprice
+         CASE WHEN o_orderkey % 89 = 0 THEN NULL WHEN o_orderkey % 97 = 0 THEN o_totalprice + {S.d(1e-4)} ELSE o_totalprice END AS o_totalprice
   FROM orders WHERE o_orderkey % 101 <> 0),
-j AS (SELECT coalesce(a.o_orderkey, b.o_orderkey) AS k, a.o_totalprice AS va, b.o_totalprice AS vb
+j AS (SELECT coalesce(a.o_orderkey, b.o_orderkey) AS k, a.o_totalprice AS va, b.o_totalprice AS vb,
+             a.o_orderkey IS NOT NULL AS pa, b.o_orderkey IS NOT NULL AS pb
       FROM orders a FULL OUTER JOIN b ON a.o_orderkey = b.o_orderkey)
-SELECT count(CASE WHEN va IS NOT NULL AND vb IS NOT NULL THEN 1 END) AS n_common,
-       count(CASE WHEN vb IS NULL THEN 1 END) AS n_only_a,
-       count(CASE WHEN va IS NULL THEN 1 END) AS n_only_b,
+SELECT count(CASE WHEN pa AND pb THEN 1 END) AS n_common,
+       count(CASE WHEN NOT pb THEN 1 END) AS n_only_a,
+       count(CASE WHEN NOT pa THEN 1 END) AS n_only_b,
        round(max(CASE WHEN va IS NOT NULL AND vb IS NOT NULL THEN abs(va - vb) END), 9) AS max_abs_diff,
-       count(CASE WHEN va IS NOT NULL AND vb IS NOT NULL AND abs(va - vb) >= {S.d(1.5e-6)} THEN 1 END) AS n_beyond,
+       count(CASE WHEN pa AND pb AND (abs(va - vb) >= {S.d(1.5e-6)} OR (va IS NULL) <> (vb IS NULL)) THEN 1 END) AS n_beyond,
        -max(CASE WHEN va IS NOT NULL AND vb IS NOT NULL THEN {{'d': abs(va - vb), 'nk': -k}} END)['nk'] AS worst_key
 FROM j""")
 def q_parity(spark, sf):
     from shardforge.operators.keytable import parity
-    p = parity(table(spark, sf, "orders"), perturbed_orders(spark, sf), ["o_orderkey"], "o_totalprice", 6)
+    b = perturbed_orders(spark, sf)
+    key = F.when(F.col("o_orderkey") > 10000000, F.col("o_orderkey") - 10000000).otherwise(F.col("o_orderkey"))
+    b = b.withColumn("o_totalprice", F.when(key % 89 != 0, F.col("o_totalprice")))      # lost values count as beyond
+    p = parity(table(spark, sf, "orders"), b, ["o_orderkey"], "o_totalprice", 6)
     return p.withColumn("max_abs_diff", F.round("max_abs_diff", 9))

@@ -146,8 +146,8 @@ def q_pack_job(spark, sf):
 
 @register("assign_shards_bytes", """
 WITH RECURSIVE d AS (
-  SELECT doc_id, doc_id % 4 AS worker, CAST(n_chars AS DOUBLE) AS size,
-         row_number() OVER (PARTITION BY doc_id % 4 ORDER BY doc_id) - 1 AS p FROM documents),
+  SELECT doc_id, worker, CAST(n_chars AS DOUBLE) AS size, row_number() OVER (PARTITION BY worker ORDER BY doc_id) - 1 AS p
+  FROM (SELECT *, CASE WHEN doc_id % 7 > 0 THEN doc_id % 4 END AS worker FROM documents)),
 r(worker, p, doc_id, idx, cnt, sz) AS (
   SELECT worker, p, doc_id, 0, 1, size FROM d WHERE p = 0
   UNION ALL
@@ -155,12 +155,13 @@ r(worker, p, doc_id, idx, cnt, sz) AS (
          CASE WHEN r.cnt >= 100 OR r.sz >= 50000 THEN r.idx + 1 ELSE r.idx END,
          CASE WHEN r.cnt >= 100 OR r.sz >= 50000 THEN 1 ELSE r.cnt + 1 END,
          CASE WHEN r.cnt >= 100 OR r.sz >= 50000 THEN d.size ELSE r.sz + d.size END
-  FROM r JOIN d ON d.worker = r.worker AND d.p = r.p + 1)
+  FROM r JOIN d ON d.worker IS NOT DISTINCT FROM r.worker AND d.p = r.p + 1)
 SELECT doc_id, CAST(worker AS BIGINT) AS worker, CAST(p AS BIGINT) AS pos_in_worker,
        CAST(worker + idx * 4 AS BIGINT) AS shard FROM r""")
 def q_assign_shards_bytes(spark, sf):
     from shardforge.operators.shards import assign_shards_bytes
-    d = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 4).alias("worker"), "n_chars")
+    # some records have no worker: they are kept, without a shard
+    d = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 7 > 0, F.col("doc_id") % 4).alias("worker"), "n_chars")
     # chunks of 128 positions so that the chunked roll-over and its
     # resolution across chunks both run on this small table
     return assign_shards_bytes(d, "worker", ["doc_id"], "n_chars", 100, 50000, 4, chunk_rows=128).select(

@@ -299,115 +299,27 @@ def attention_pool(df: DataFrame, group_cols: list[str], vec_col: str, out_col:
     """Attention pooling per group: the query is the group's mean vector,
     the tokens are the mean itself and the group's rows; output is the
     softmax(q.k / sqrt(d))-weighted sum of the tokens. Linear in the group
-    size: two partial aggregations and a max pass, no pairs."""
+    size: two partial aggregations and a max pass, no pairs. Null groups are
+    groups too: the key is a struct, whose nulls are equal."""
     vec = F.col(vec_col).cast("array<double>")
-    base = df.select(*group_cols, vec.alias("vec"))
+    base = df.select(F.struct(*group_cols).alias("_g"), vec.alias("vec"))
     d = dim or len(base.select("vec").first()[0])
-    mean = mean_vectors(base, group_cols, "vec", out="q")
+    mean = mean_vectors(base, ["_g"], "vec", out="q")
     tokens = base.unionByName(mean.withColumnRenamed("q", "vec"))
-    scored = tokens.join(mean, group_cols).withColumn(
+    scored = tokens.join(mean, "_g").withColumn(
         "s", F.aggregate(F.zip_with("vec", "q", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
         / F.lit(math.sqrt(d)))
-    mx = scored.groupBy(*group_cols).agg(F.max("s").alias("_M"))
-    w = scored.join(mx, group_cols).withColumn("_w", F.exp(F.col("s") - F.col("_M")))
+    mx = scored.groupBy("_g").agg(F.max("s").alias("_M"))
+    w = scored.join(mx, "_g").withColumn("_w", F.exp(F.col("s") - F.col("_M")))
     # element d of every token is 1, so its weighted sum is the normaliser
-    long = w.select(*group_cols, "_w", F.posexplode_outer(F.concat("vec", F.array(F.lit(1.0)))).alias("j", "v"))
-    sums = long.groupBy(*group_cols, "j").agg(F.sum(F.col("v") * F.col("_w")).alias("a"))
-    return _normalised_vectors(sums, group_cols, d, out_col)
-
-
-# -- D8 cosine logits ---------------------------------------------------------------
-
-def cosine_topk(a: DataFrame, b: DataFrame, a_id: str, b_id: str, vec_col: str, logit_scale: float,
-                k: int, max_broadcast_rows: int = 100_000, tile_values: int = 1 << 22) -> DataFrame:
-    """Scaled cosine similarity exp(logit_scale) * a.b / (|a||b|) between
-    every row of ``a`` and every row of ``b``, reduced to the top ``k`` per
-    row in both directions: rows (direction, row_id, rank, other_id, logit),
-    direction "a2b" or "b2a"; ties by the smaller other id.
-
-    ``b`` (the class / prompt side) is broadcast in chunks of at most
-    ``max_broadcast_rows`` (counted first, so the broadcast size is checked);
-    a larger ``b`` runs as several chunks — still exact — and each chunk is
-    one pass over ``a`` with a NumPy matmul per Arrow batch: each ``a`` row
-    keeps its top k, and each ``b`` row keeps a running top k over the whole
-    partition, so the shuffle carries k rows per ``b`` row per partition.
-    The final top k is a row_number window whose partial limit runs before
-    the shuffle. A zero vector has cosine 0 with every other."""
-    import pyarrow as pa
+    long = w.select("_g", "_w", F.posexplode_outer(F.concat("vec", F.array(F.lit(1.0)))).alias("j", "v"))
+    sums = long.groupBy("_g", "j").agg(F.sum(F.col("v") * F.col("_w")).alias("a"))
+    return _normalised_vectors(sums, ["_g"], d, out_col).select("_g.*", out_col)
 
-    def unit(x):
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        return x / np.where(norm == 0.0, 1.0, norm)
 
-    from shardforge.session import ship_package
-    spark = a.sparkSession
-    ship_package(spark)
-    scale = math.exp(logit_scale)
-    nb = b.count()
-    n_chunks = max(1, -(-nb // max_broadcast_rows))
-    bsel = b.select(F.col(b_id).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    from shardforge.session import ensure_parallelism
-    asel = ensure_parallelism(
-        a.select(F.col(a_id).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")))
-    results = []
-    if n_chunks > 1:
-        # exact chunk bound: consecutive positions of b, written once since
-        # every chunk pass reads them
-        from shardforge.operators.positions import global_positions
-        bsel = global_positions(bsel, ["id"], "_bp")
-    for c in range(n_chunks):
-        chunk = bsel if n_chunks == 1 else bsel.filter(
-            F.floor(F.col("_bp") / F.lit(max_broadcast_rows)) == c).select("id", "vec")
-        rows = chunk.collect()  # at most max_broadcast_rows rows
-        if not rows:
-            continue
-        ids = np.array([r["id"] for r in rows], dtype=np.int64)
-        mat = np.array([r["vec"] for r in rows], dtype=np.float64)
-        mat = unit(mat)
-        bc = spark.sparkContext.broadcast((ids, mat))
-
-        def run(batches, bc=bc):
-            bids, bm = bc.value
-            nbc = len(bids)
-            # running top k per b row over the whole partition (b -> a)
-            best_l = np.full((k, nbc), -np.inf)
-            best_i = np.full((k, nbc), np.iinfo(np.int64).max, dtype=np.int64)
-            # a few rows at a time, so that a tile holds at most tile_values
-            # logits whatever the sizes of the batch and the chunk
-            step = max(1, tile_values // max(nbc, 1))
-            for batch in (whole.slice(lo, step) for whole in batches for lo in range(0, whole.num_rows, step)):
-                from shardforge.functions.arrowbatch import to_matrix
-                aid = batch.column("id").to_numpy()
-                logits = scale * (unit(to_matrix(batch.column("vec"))) @ bm.T)
-                kk = min(k, nbc)
-                # a -> b: top k of each row (ties: smaller id first)
-                order = np.lexsort((np.broadcast_to(bids, logits.shape), -logits), axis=1)[:, :kk]
-                rows = np.repeat(np.arange(len(aid)), kk)
-                cols = order.ravel()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(["a2b"] * len(rows), pa.string()), pa.array(aid[rows], pa.int64()),
-                     pa.array(bids[cols], pa.int64()), pa.array(logits[rows, cols], pa.float64())],
-                    names=["direction", "row_id", "other_id", "logit"])
-                # b -> a: merge this batch into the running top k
-                cand_l = np.vstack([best_l, logits])
-                cand_i = np.vstack([best_i, np.broadcast_to(aid[:, None], logits.shape)])
-                o = np.lexsort((cand_i, -cand_l), axis=0)[:k, :]
-                best_l = np.take_along_axis(cand_l, o, axis=0)
-                best_i = np.take_along_axis(cand_i, o, axis=0)
-            valid = np.isfinite(best_l)
-            r_idx, c_idx = np.nonzero(valid)
-            if len(r_idx):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(["b2a"] * len(r_idx), pa.string()), pa.array(bids[c_idx], pa.int64()),
-                     pa.array(best_i[r_idx, c_idx], pa.int64()), pa.array(best_l[r_idx, c_idx], pa.float64())],
-                    names=["direction", "row_id", "other_id", "logit"])
-
-        results.append(asel.mapInArrow(run, "direction string, row_id bigint, other_id bigint, logit double"))
-    cand = results[0]
-    for r in results[1:]:
-        cand = cand.unionByName(r)
-    w = Window.partitionBy("direction", "row_id").orderBy(F.col("logit").desc(), F.col("other_id"))
-    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+# -- D8: all-pairs cosine similarity lives in operators/similarity.py ----------------
+
+from shardforge.operators.similarity import cosine_topk  # noqa: E402, F401
 
 
 # -- D9 feature extraction -------------------------------------------------------------

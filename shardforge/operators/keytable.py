@@ -194,8 +194,8 @@ def parity(a: DataFrame, b: DataFrame, keys: list[str], value_col: str, decimals
            b_value_col: str | None = None, shape_col: str | None = None) -> DataFrame:
     """One summary row: common / one-sided key counts, max absolute
     difference, how many differ by 1.5 * 10^-decimals or more (the
-    almost-equal criterion), the worst key (largest difference, smallest key
-    on ties) and, with ``shape_col``, how many common keys differ in shape.
+    almost-equal criterion; NULL against a number always does, NULL against
+    NULL never), the worst key (largest difference, smallest key on ties) and, with ``shape_col``, how many common keys differ in shape.
     One full outer join on the key and one aggregation."""
     if len(keys) != 1:
         a = a.withColumn("_k", F.struct(*keys))
@@ -218,7 +218,7 @@ def parity(a: DataFrame, b: DataFrame, keys: list[str], value_col: str, decimals
         F.count(F.when(F.col("_pb").isNull(), F.lit(1))).alias("n_only_a"),
         F.count(F.when(F.col("_pa").isNull(), F.lit(1))).alias("n_only_b"),
         F.max(F.when(both, diff)).alias("max_abs_diff"),
-        F.count(F.when(both & (diff >= F.lit(thr)), F.lit(1))).alias("n_beyond"),
+        F.count(F.when(both & ((diff >= F.lit(thr)) | (F.col("_va").isNull() != F.col("_vb").isNull())), F.lit(1))).alias("n_beyond"),
         worst.alias("_worst"),
     ]
     if shape_col:

@@ -62,6 +62,9 @@ def _next_starts(sizes, max_count: int, max_bytes: float):
 def assign_shards_bytes(df: DataFrame, worker_col: str, order_cols: list[str], size_col: str,
                         max_count: int, max_bytes: float, n_workers: int, start: int | None = None,
                         chunk_rows: int = 1 << 20, out_col: str = "shard") -> DataFrame:
+    """Byte mode. Workers are numbers; the records of a null worker are kept
+    and numbered like any other's, but as there is no first shard for them
+    their shard is null."""
     import pandas as pd
 
     from shardforge.session import reliable_checkpoint, ship_package
@@ -72,7 +75,9 @@ def assign_shards_bytes(df: DataFrame, worker_col: str, order_cols: list[str], s
     # positions feed several jobs below (chunk table, rounds, labelling):
     # write them once rather than re-sorting the data for each job
     pos = positions_in_group(df, [worker_col], order_cols, "_pos")
-    light = pos.select(F.col(worker_col).alias("_w"), "_pos", F.col(size_col).cast("double").alias("_s"))
+    # workers as text that is never null, so that joins keep every row
+    pos = pos.withColumn("_w", F.coalesce(F.concat(F.lit("="), F.col(worker_col).cast("string")), F.lit("-")))
+    light = pos.select("_w", "_pos", F.col(size_col).cast("double").alias("_s"))
     light = light.withColumn("_c", F.floor(F.col("_pos") / F.lit(C)).cast("bigint"))
     sizes_per_worker = light.groupBy("_w").agg(F.count(F.lit(1)).alias("_n"))
     halo = (light.filter((F.col("_c") > 0) & (F.pmod(F.col("_pos"), F.lit(C)) < F.lit(M)))
@@ -83,7 +88,7 @@ def assign_shards_bytes(df: DataFrame, worker_col: str, order_cols: list[str], s
     def phase_a(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
         pdf = pdf.sort_values("_pos")
-        w = int(pdf["_w"].iloc[0])
+        w = pdf["_w"].iloc[0]
         c = int(pdf["_c"].iloc[0])
         n_total = int(pdf["_n"].iloc[0])
         p = pdf["_pos"].to_numpy()
@@ -106,7 +111,7 @@ def assign_shards_bytes(df: DataFrame, worker_col: str, order_cols: list[str], s
         return pd.DataFrame({"_w": w, "_c": c, "e": p[first], "x": exit_[first], "k": cnt[first]})
 
     cand = reliable_checkpoint(grouped.groupBy("_w", "_c").applyInPandas(
-        phase_a, "_w long, _c long, e long, x long, k long"))
+        phase_a, "_w string, _c long, e long, x long, k long"))
 
     # ---- phase B: pointer doubling from (chunk 0, entry 0). ``jump`` maps
     # (chunk c, entry e) to the entry x of chunk c + step (-1 once the
@@ -164,8 +169,8 @@ def assign_shards_bytes(df: DataFrame, worker_col: str, order_cols: list[str], s
         return pd.DataFrame({"_w": pdf["_w"].iloc[0], "_pos": p[:in_chunk], "_idx": idx})
 
     labelled = grouped.drop("_n").join(entries, ["_w", "_c"]).groupBy("_w", "_c").applyInPandas(
-        phase_c, "_w long, _pos long, _idx long")
+        phase_c, "_w string, _pos long, _idx long")
     first = F.col(worker_col) if start is None else F.lit(start) + F.col(worker_col)
-    out = pos.join(labelled.withColumnRenamed("_w", worker_col), [worker_col, "_pos"])
+    out = pos.join(labelled, ["_w", "_pos"])
     return (out.withColumn(out_col, (first + F.col("_idx") * F.lit(n_workers)).cast("bigint"))
-            .withColumn("pos_in_worker", F.col("_pos")).drop("_pos", "_idx"))
+            .withColumn("pos_in_worker", F.col("_pos")).drop("_pos", "_idx", "_w"))

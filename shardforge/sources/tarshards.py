@@ -19,8 +19,8 @@ commit or abort of the job deletes.
 
 Index: behind the end of the archive, where tar readers stop, a shard carries
 the offset of each row. A large shard is cut at row offsets into ranges of
-about ``split_bytes``, each an input partition of its own; a shard without an
-index (from elsewhere) is read by one task. Rows come back long ``(shard, key,
+about ``split_bytes``, each an input partition of its own; small shards share a
+task; a shard without an index (from elsewhere) is read by one task. Rows come back long ``(shard, key,
 ext, payload)`` by default, or wide when a schema with one column per
 extension is given.
 
@@ -55,6 +55,7 @@ NAME_PATTERN = K.SHARD_NAME
 ROW_MARK = "__row__"   # member of a row whose columns are all null
 INDEX_MAGIC = b"tarindex"
 SPLIT_BYTES = 64 << 20
+OPEN_BYTES = 256 << 10
 
 
 def name_regex(pattern: str) -> re.Pattern:
@@ -287,25 +288,50 @@ def committed_files(store: Storage, pattern: str = NAME_PATTERN) -> list[Committ
     return sorted(found.values(), key=lambda f: f.name)
 
 
-class ShardRange(InputPartition):
+@dataclass(frozen=True)
+class ShardRange:
     """Rows of a shard whose headers begin in start..end (end None: all)."""
+    shard: int
+    name: str
+    size: int
+    start: int = 0
+    end: int | None = None
+
 
-    def __init__(self, shard: int, name: str, start: int = 0, end: int | None = None):
-        super().__init__(shard)
-        self.shard, self.name, self.start, self.end = shard, name, start, end
+class ShardRanges(InputPartition):
+    """One task's share: a range of a large shard, or several small shards."""
+
+    def __init__(self, ranges: list):
+        super().__init__(len(ranges))
+        self.ranges = ranges
+
+
+def dealt(ranges: list, most: int, cores: int) -> list:
+    """Consecutive ranges put together up to a task's share of all bytes, at
+    most ``most``; a file counts some bytes more for its opening."""
+    weight = [r.size + OPEN_BYTES for r in ranges]
+    share = min(most, max(OPEN_BYTES, sum(weight) // max(1, cores)))
+    out, filled = [], share
+    for r, w in zip(ranges, weight):
+        if filled + w > share:
+            out.append([])
+            filled = 0
+        out[-1].append(r)
+        filled += w
+    return [ShardRanges(x) for x in out]
 
 
 def ranges_of(store: Storage, f: CommittedShard, split_bytes: int) -> list[ShardRange]:
     """A large shard with an index, cut at rows into about equal ranges."""
     if f.size <= split_bytes:
-        return [ShardRange(f.shard, f.name)]
+        return [ShardRange(f.shard, f.name, f.size)]
     starts = read_index(store, f.name, f.size)
     if starts is None:
-        return [ShardRange(f.shard, f.name)]
+        return [ShardRange(f.shard, f.name, f.size)]
     pieces = -(-int(starts[-1]) // split_bytes)
     wanted = np.arange(pieces) * (int(starts[-1]) / pieces)
     cuts = np.unique(np.append(starts[np.searchsorted(starts[:-1], wanted)], starts[-1]))
-    return [ShardRange(f.shard, f.name, int(a), int(b)) for a, b in zip(cuts, cuts[1:])]
+    return [ShardRange(f.shard, f.name, int(b - a), int(a), int(b)) for a, b in zip(cuts, cuts[1:])]
 
 
 class TarShardsReader(DataSourceReader):
@@ -318,6 +344,7 @@ class TarShardsReader(DataSourceReader):
         self.exts = None if not self.exts else set(self.exts.split(","))
         self.pattern = options.get("pattern", NAME_PATTERN)
         self.split_bytes = int(options.get("split_bytes", SPLIT_BYTES))
+        self.cores = int(options.get("cores", 1))
         check_types([f for f in schema.fields if f.name != "shard"], "read")
 
     def partitions(self):
@@ -326,11 +353,13 @@ class TarShardsReader(DataSourceReader):
             if self.wanted is None or f.shard in self.wanted:
                 out += ranges_of(self.store, f, self.split_bytes)
         # without any shard Spark would call read(None)
-        return out or [ShardRange(-1, "")]
+        return dealt(out, self.split_bytes, self.cores) or [ShardRanges([])]
+
+    def read(self, partition: ShardRanges):
+        for r in partition.ranges:
+            yield from self._read_range(r)
 
-    def read(self, partition: ShardRange):
-        if not partition.name:
-            return
+    def _read_range(self, partition: ShardRange):
         names = [f.name for f in self.schema.fields]
         long_form = names == ["shard", "key", "ext", "payload"]
         types = {f.name: f.dataType for f in self.schema.fields}
@@ -413,6 +442,7 @@ def read_shards(spark, path: str, schema: str | None = None, shards=None, exts=N
     from shardforge.sources.storage import as_option, storage
     register_sources(spark)
     r = spark.read.format("tarshards").option("pattern", pattern).option("split_bytes", split_bytes)
+    r = r.option("cores", spark.sparkContext.defaultParallelism)
     r = r.option("schemes", as_option(storage(spark, path)))
     if schema:
         r = r.schema(schema)

@@ -145,6 +145,6 @@ def test_cosine_topk_tiles_and_zero_vectors(spark):
     b = [(100 + i, [float(x) for x in rng.normal(size=3)]) for i in range(7)] + [(107, [0.0, 0.0, 0.0])]
     da, db = spark.createDataFrame(a, "i long, v array<double>"), spark.createDataFrame(b, "j long, v array<double>")
     got = [sorted((r["direction"], r["row_id"], r["rank"], r["other_id"], round(r["logit"], 9))
-                  for r in cosine_topk(da, db, "i", "j", "v", 0.0, 3, tile_values=t).collect()) for t in (1, 20, 1 << 22)]
+                  for r in cosine_topk(da, db, "i", "j", "v", 0.0, 3, block_rows=t).collect()) for t in (1, 3, 1 << 22)]
     assert got[0] == got[1] == got[2] and len(got[0]) == 3 * (len(a) + len(b))
     assert all(x[4] == 0.0 for x in got[0] if x[1] in (40, 107))

@@ -175,8 +175,8 @@ def test_stream_replay_rewrites_same_shards(spark, tmp_path):
 def test_cosine_topk_chunking_is_exact(spark):
     from shardforge.operators.features import cosine_topk
     e = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
-    one = cosine_topk(e, e, "vec_id", "vec_id", "embedding", 2.0, 4, max_broadcast_rows=100000)
-    many = cosine_topk(e, e, "vec_id", "vec_id", "embedding", 2.0, 4, max_broadcast_rows=37)
+    one = cosine_topk(e, e, "vec_id", "vec_id", "embedding", 2.0, 4, block_rows=100000)
+    many = cosine_topk(e, e, "vec_id", "vec_id", "embedding", 2.0, 4, block_rows=37)
 
     def rows(df):
         return sorted((r["direction"], r["row_id"], r["rank"], r["other_id"], round(r["logit"], 9))

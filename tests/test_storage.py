@@ -246,3 +246,29 @@ def test_idle_shards_are_closed_by_a_timer(spark, tmp_path):
         q.stop()
     sizes = {r["shard"]: r["count"] for r in read_shards(spark, out, "shard bigint, key string, type string").groupBy("shard").count().collect()}
     assert sum(sizes.values()) == 100 and max(sizes.values()) == 30
+
+
+def test_tiles_are_skipped_and_the_result_is_exact(spark):
+    """Clustered vectors: most tiles can't matter, and the top k equals all pairs."""
+    from shardforge.operators.similarity import cosine_tiles
+    rng = np.random.default_rng(4)
+    centres = np.eye(16) * 10
+    x = np.concatenate([c + rng.normal(size=(40, 16)) * 0.3 for c in centres])
+    rng.shuffle(x)
+    ids = np.arange(len(x)) * 7
+    df = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in zip(ids, x)], "i long, v array<double>")
+    df = df.unionByName(spark.createDataFrame([(1, None), (None, [1.0] * 16)], "i long, v array<double>"))
+    some = df.where("i % 2 = 0")
+    got = cosine_tiles(df, some, "i", "i", "v", 0.0, 4, block_rows=32)
+    assert got.tiles > 500 and got.computed < got.tiles * 0.5
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    logits = u @ u[ids % 2 == 0].T
+    other = ids[ids % 2 == 0]
+    want = {("a2b", int(i)): [int(v) for v in other[np.lexsort((other, -np.round(r, 12)))[:4]]] for i, r in zip(ids, logits)}
+    want |= {("b2a", int(i)): [int(v) for v in ids[np.lexsort((ids, -np.round(r, 12)))[:4]]] for i, r in zip(other, logits.T)}
+    have = {}
+    for r in got.rows.orderBy("rank").collect():
+        have.setdefault((r["direction"], r["row_id"]), []).append(r["other_id"])
+    assert have == want
+    assert cosine_tiles(df.limit(0), some, "i", "i", "v", 0.0, 4).rows.count() == 0
+    assert cosine_tiles(df, some.limit(0), "i", "i", "v", 0.0, 4).rows.count() == 0
