@@ -21,10 +21,13 @@ trees are therefore grown inside cells that an exact argument provides:
 * Stars. One member of each cell (by hash order) is compared with the others,
   by counts first and then by full sets; links found so far are contracted to components.
 * Trees. Cells whose members still lie in several components are searched with
-  an R-tree of count vectors each: leaves whose boxes can't reach the overlap
-  are skipped, then point pairs, then pairs that are connected already. Cells
-  of many members are cut into tiles that meet pairwise in different tasks.
-* Every surviving pair is verified on the full sets; links are contracted.
+  an R-tree of count vectors each, from the root down: pairs of boxes that can't
+  reach the overlap, or below which everything is connected, are left out, and
+  so are point pairs. Pairs that survive are verified on the full sets at once,
+  inside the task, and only links that join two components leave it: fewer than
+  the members. Cells of many members are cut into tiles; first each tile is
+  searched by itself, and when these links are contracted, tiles of cells that
+  are still open meet pairwise in different tasks.
 
 Equal sets are one node from the start, so groups of copies cost one row per
 map batch. Sets are read again, for the nodes in shared cells only. Shingles
@@ -50,7 +53,7 @@ from shardforge.llm.common import prepared, stored, text_or_empty, written
 from shardforge.llm.components import connected_components
 from shardforge.llm.textarrays import U, chain, mix, salt, slices, string_array, word_hashes
 
-GROUPS, LEAF, TILE = 512, 32, 1024
+GROUPS, LEAF, FAN, TILE, TILE_BYTES = 512, 32, 8, 1024, 16 << 20
 FULL = 255   # a count of 255 stands for any larger one
 GOLD = U(0x9E3779B97F4A7C15)
 
@@ -215,10 +218,7 @@ def _verify(percent: int) -> Callable:
             ok = []
             for x, y in zip(batch.column("ta"), batch.column("tb")):
                 p, q = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.searchsorted(q, p)
-                both = int((q[np.minimum(at, len(q) - 1)] == p).sum())
+                both = overlap(p, q)
                 ok.append(100 * both >= percent * (len(p) + len(q) - both))
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
@@ -247,55 +247,118 @@ def _within(percent: int) -> Callable:
     return run
 
 
-def close_pairs(n: np.ndarray, vec: np.ndarray, comp: np.ndarray, tile: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of one cell (or tile pair) whose summed coordinate minima
-    allow a link and that aren't connected yet. Points are packed into leaves
-    by size and then by count, and leaves are compared by their boxes first."""
-    slab = max(1, int(np.sqrt(len(n) / LEAF)))
-    by_size = np.lexsort((vec[:, 0], n))
-    rank = np.empty(len(n), np.int64)
-    rank[by_size] = np.arange(len(n)) * slab // len(n)
-    order = np.lexsort((vec[:, 1], vec[:, 0], rank))
-    leaves = [order[i:i + LEAF] for i in range(0, len(order), LEAF)]
-    top = np.array([vec[x].max(axis=0) for x in leaves])
-    least, most = np.array([n[x].min() for x in leaves]), np.array([n[x].max() for x in leaves])
-    for i, a in enumerate(leaves):
-        reach = overlap_bound(top[i:], top[i], most[i])
-        may = ((100 + percent) * reach >= percent * (least[i:] + least[i])) & \
-              (100 * most[i:] >= percent * least[i]) & (100 * most[i] >= percent * least[i:])
-        for k in np.flatnonzero(may) + i:
-            b = leaves[k]
-            bound = overlap_bound(vec[a][:, None, :], vec[b][None, :, :], most[i])
-            ok = (100 + percent) * bound >= percent * (n[a][:, None] + n[b][None, :])
-            ok &= comp[a][:, None] != comp[b][None, :]
-            if tile.any():   # two tiles: only pairs across
-                ok &= tile[a][:, None] != tile[b][None, :]
-            if k == i:
-                ok = np.triu(ok, 1)
-            x, y = np.nonzero(ok)
-            if len(x):
-                yield a[x], b[y]
+class CountTree:
+    """R-tree over count vectors: leaves of up to LEAF points, sorted by size
+    and then by counts, and levels of FAN boxes each above them, up to one
+    root. A box keeps the largest count of each coordinate and the least and
+    largest set size below it."""
+
+    def __init__(self, n: np.ndarray, vec: np.ndarray):
+        slab = max(1, int(np.sqrt(len(n) / LEAF)))
+        by_size = np.lexsort((vec[:, 0], n))
+        rank = np.empty(len(n), np.int64)
+        rank[by_size] = np.arange(len(n)) * slab // len(n)
+        self.n, self.vec = n, vec
+        self.order = np.lexsort((vec[:, 1], vec[:, 0], rank))
+        cuts = np.append(np.arange(0, len(n), LEAF), len(n))
+        leaves = [self.order[i:j] for i, j in zip(cuts, cuts[1:])]
+        self.levels = [(np.array([vec[x].max(axis=0) for x in leaves]), np.array([n[x].min() for x in leaves]),
+                        np.array([n[x].max() for x in leaves]), cuts)]
+        while len(self.levels[-1][0]) > 1:
+            top, least, most, cuts = self.levels[-1]
+            at = np.arange(0, len(top), FAN)
+            self.levels.append((np.maximum.reduceat(top, at, axis=0), np.minimum.reduceat(least, at), np.maximum.reduceat(most, at),
+                                np.append(cuts[:-1][at], len(n))))
+
+    def members(self, level: int, i: int) -> np.ndarray:
+        cuts = self.levels[level][3]
+        return self.order[cuts[i]:cuts[i + 1]]
+
+    def leaf_pairs(self, percent: int, apart: Callable[[np.ndarray, np.ndarray], bool]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of leaves that may hold a link, from the root down. A pair of
+        boxes is left out when their bound can't reach the overlap, or when
+        ``apart`` says that nothing is left to link between them. A box with
+        itself comes first, so that neighbours are linked early."""
+        stack = [(len(self.levels) - 1, 0, 0)]
+        while stack:
+            level, i, j = stack.pop()
+            if not apart(self.members(level, i), self.members(level, j)):
+                continue
+            if not level:
+                yield self.members(0, i), self.members(0, j)
+                continue
+            top, least, most, _ = self.levels[level - 1]
+            below = [np.arange(k * FAN, min((k + 1) * FAN, len(top))) for k in (i, j)]
+            for x in below[0][::-1]:
+                ys = below[1] if i != j else below[1][below[1] >= x]
+                reach = overlap_bound(top[ys], top[x], np.maximum(most[ys], most[x]))
+                may = ((100 + percent) * reach >= percent * (least[ys] + least[x])) & \
+                      (100 * most[ys] >= percent * least[x]) & (100 * most[x] >= percent * least[ys])
+                near = ys[may]
+                stack += [(level - 1, int(x), int(y)) for y in near[near != x][::-1]]
+                if x in near:
+                    stack.append((level - 1, int(x), int(x)))
+
+
+def overlap(p: np.ndarray, q: np.ndarray) -> int:
+    if len(p) > len(q):
+        p, q = q, p
+    at = np.searchsorted(q, p)
+    return int((q[np.minimum(at, len(q) - 1)] == p).sum())
+
+
+def tile_links(n: np.ndarray, vec: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: Callable[[int], np.ndarray],
+               percent: int) -> Iterator[tuple[int, int]]:
+    """Links of one cell (or of two tiles of it) that join two components:
+    pairs come from the tree, their summed coordinate minima must allow a link,
+    and the full sets decide. What is connected already isn't compared, so at
+    most one link less than members comes out."""
+    root = np.unique(comp, return_inverse=True)[1]
+    tree, across = CountTree(n, vec), bool(side.any())
+
+    def apart(a: np.ndarray, b: np.ndarray) -> bool:
+        if across and len(sa := np.unique(side[a])) == 1 and len(sb := np.unique(side[b])) == 1 and sa[0] == sb[0]:
+            return False
+        first = root[a[0]]
+        return bool((root[a] != first).any() or (root[b] != first).any())
+
+    for a, b in tree.leaf_pairs(percent, apart):
+        bound = overlap_bound(vec[a][:, None, :], vec[b][None, :, :], np.minimum(n[a][:, None], n[b][None, :]))
+        ok = (100 + percent) * bound >= percent * (n[a][:, None] + n[b][None, :])
+        ok &= root[a][:, None] != root[b][None, :]
+        if across:   # two tiles: only pairs across
+            ok &= side[a][:, None] != side[b][None, :]
+        if a[0] == b[0]:
+            ok = np.triu(ok, 1)
+        for x, y in zip(*np.nonzero(ok)):
+            i, j = int(a[x]), int(b[y])
+            if root[i] == root[j]:
+                continue
+            both = overlap(sets(i), sets(j))
+            if 100 * both >= percent * (int(n[i]) + int(n[j]) - both):
+                root[root == root[j]] = root[i]
+                yield i, j
 
 
 def _search(percent: int) -> Callable:
-    """From rows sorted by (cell, lo, hi): candidate pairs of each run."""
+    """From rows sorted by (cell, lo, hi): verified links of each run."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
 
         def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
             key = np.stack([t[c].to_numpy() for c in ("cell", "lo", "hi")])
             first = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
-            sid, n, comp, tile = (t[c].to_numpy() for c in ("sid", "n", "comp", "side"))
+            sid, n, comp, side = (t[c].to_numpy() for c in ("sid", "n", "comp", "side"))
             vec = np.frombuffer(b"".join(t["vec"].to_pylist()), np.uint8).reshape(-1, GROUPS)
-            got_a, got_b = [], []
+            tokens = t["tokens"]
+            got = []
             for lo, hi in zip(first, np.append(first[1:], len(sid))):
-                for x, y in close_pairs(n[lo:hi], vec[lo:hi], comp[lo:hi], tile[lo:hi], percent):
-                    p, q = sid[lo + x], sid[lo + y]
-                    got_a.append(np.minimum(p, q))
-                    got_b.append(np.maximum(p, q))
-            if got_a:
-                ab = np.unique(np.stack([np.concatenate(got_a), np.concatenate(got_b)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1])], names=["a", "b"])
+                for x, y in tile_links(n[lo:hi], vec[lo:hi], comp[lo:hi], side[lo:hi],
+                                       lambda i, lo=lo: np.frombuffer(tokens[int(lo) + i].as_buffer(), U), percent):
+                    got.append((min(sid[lo + x], sid[lo + y]), max(sid[lo + x], sid[lo + y])))
+            if got:
+                a, b = zip(*got)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -309,7 +372,7 @@ def _search(percent: int) -> Callable:
                 continue
             cut = int(ends[-1]) + 1
             yield from pairs(t.slice(0, cut).combine_chunks())
-            rest = t.slice(cut).combine_chunks()
+            rest = t.slice(cut)
         if rest is not None and rest.num_rows:
             yield from pairs(rest.combine_chunks())
     return run
@@ -349,23 +412,45 @@ def links(docs: DataFrame, measured: DataFrame, percent: int, width: int) -> Dat
     points = stored(sets.select("sid", "n", "vec").dropDuplicates(["sid"]), "points")
     near = stored(_bounded(stars, points, percent), "stars")
     first = written(connected_components(_verified(near, sets, percent)))
-    placed = members.join(first.withColumnRenamed("node", "sid"), "sid", "left").select("cell", "m", "sid", F.coalesce("comp", "sid").alias("comp"))
+    known = first
+    for across in (False, True):
+        known = _contracted(known, _tree_links(members, sets, known, percent, across))
+    return known
+
+
+def _tree_links(members: DataFrame, sets: DataFrame, known: DataFrame, percent: int, across: bool) -> DataFrame:
+    """Links found by the trees in cells whose members aren't all connected:
+    inside each tile of a cell, or between two tiles of one."""
+    size = sets.select("sid", "n", "vec", "tokens").dropDuplicates(["sid"])
+    placed = (members.join(known.withColumnRenamed("node", "sid"), "sid", "left")
+              .select("cell", "m", "sid", F.coalesce("comp", "sid").alias("comp")))
     open_cells = placed.groupBy("cell").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q").select("cell")
-    tiled = (placed.join(open_cells, "cell").join(points, "sid")
-             .withColumn("tiles", F.ceil(F.col("m") / TILE).cast("int"))
-             .withColumn("t", F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-             .select("cell", F.least("t", "other").alias("lo"), F.greatest("t", "other").alias("hi"), "sid", "n", "comp",
-                     F.when(F.col("t") > F.col("other"), 1).otherwise(0).alias("side"), "vec"))
-    found = (tiled.repartition("cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi")
-             .mapInArrow(_search(percent), "a bigint, b bigint").distinct())
-    more = _verified(found, sets, percent)
-    named = first.withColumnsRenamed({"node": "k"})
+    placed = placed.join(open_cells, "cell")
+    largest = placed.join(sets.select("sid", "n"), "sid").groupBy("cell").agg(F.max("n").alias("n"), F.max("m").alias("m"))
+    # a tile has a bounded number of members and of bytes
+    tiles = largest.select("cell", F.greatest(F.ceil(F.col("m") / TILE), F.ceil(F.col("m") * F.col("n") * 8 / TILE_BYTES)).cast("int").alias("tiles"))
+    if across:
+        tiles = tiles.where("tiles > 1")
+    tiled = placed.join(tiles, "cell").withColumn("t", F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("int"))
+    if across:
+        tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where("t <> other")
+    else:
+        tiled = tiled.withColumn("other", F.col("t"))
+    tiled = tiled.select("cell", F.least("t", "other").alias("lo"), F.greatest("t", "other").alias("hi"), "sid", "comp",
+                         F.when(F.col("t") > F.col("other"), 1).otherwise(0).alias("side"))
+    rows = tiled.join(size, "sid").select("cell", "lo", "hi", "sid", "n", "comp", "side", "vec", "tokens")
+    return (rows.repartition("cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi")
+            .mapInArrow(_search(percent), "a bigint, b bigint"))
+
+
+def _contracted(known: DataFrame, more: DataFrame) -> DataFrame:
+    """Components (node, comp) after more links between nodes."""
+    named = known.withColumnsRenamed({"node": "k"})
     a_side = more.join(named.withColumnRenamed("comp", "ca"), F.col("a") == F.col("k"), "left").select(F.coalesce("ca", "a").alias("a"), "b")
     both = a_side.join(named.withColumnRenamed("comp", "cb"), F.col("b") == F.col("k"), "left").select("a", F.coalesce("cb", "b").alias("b"))
-    second = connected_components(both).withColumnsRenamed({"node": "k", "comp": "c2"})
-    merged = first.join(second, F.col("comp") == F.col("k"), "left").select("node", F.coalesce("c2", "comp").alias("comp"))
-    alone = second.join(first.select(F.col("node").alias("f")), F.col("k") == F.col("f"), "left_anti").select(F.col("k").alias("node"), F.col("c2").alias("comp"))
+    joined = connected_components(both).withColumnsRenamed({"node": "k", "comp": "c2"})
+    merged = known.join(joined, F.col("comp") == F.col("k"), "left").select("node", F.coalesce("c2", "comp").alias("comp"))
+    alone = joined.join(known.select(F.col("node").alias("f")), F.col("k") == F.col("f"), "left_anti").select(F.col("k").alias("node"), F.col("c2").alias("comp"))
     return written(merged.unionByName(alone))
 
 

@@ -297,19 +297,64 @@ def test_every_linked_pair_shares_a_cell():
                 assert set(cells[ids == 1]) & set(cells[ids == 2])
 
 
-def test_close_pairs_bound_loses_nothing():
-    rng = np.random.default_rng(2)
-    base = rng.integers(0, 2**63, 300).astype(np.uint64)
-    sets = [np.unique(np.concatenate([base[rng.random(300) > 0.06], rng.integers(0, 2**63, 8).astype(np.uint64)])) for _ in range(150)]
-    vec = np.array([np.bincount((jaccard.mix(s) % jaccard.U(jaccard.GROUPS)).astype(np.int64), minlength=jaccard.GROUPS) for s in sets]).astype(np.uint8)
-    n = np.array([len(s) for s in sets])
-    found = {tuple(sorted(p)) for x, y in jaccard.close_pairs(n, vec, np.arange(150), np.zeros(150, int), 85) for p in zip(x.tolist(), y.tolist())}
-    for x in range(150):
-        for y in range(x):
-            both = len(np.intersect1d(sets[x], sets[y]))
-            if 100 * both >= 85 * (n[x] + n[y] - both):
-                assert (y, x) in found
+def near_sets(rng, groups, size, edits):
+    """Sets in groups: each group is one random set with up to ``edits`` changed members."""
+    out = []
+    for _ in range(groups):
+        base = rng.integers(0, 2**63, size).astype(np.uint64)
+        for _ in range(40):
+            x = base.copy()
+            k = int(rng.integers(0, edits + 1))
+            x[rng.choice(size, k, replace=False)] = rng.integers(0, 2**63, k).astype(np.uint64)
+            out.append(np.unique(x))
+    return out
+
 
+def count_vectors(sets):
+    return np.array([np.minimum(np.bincount((jaccard.mix(s ^ jaccard.U(77)) % jaccard.U(jaccard.GROUPS)).astype(np.int64), minlength=jaccard.GROUPS), 255)
+                     for s in sets]).astype(np.uint8)
+
+
+@pytest.mark.parametrize("across", [False, True])
+def test_tree_links_connect_what_all_pairs_connect(across):
+    """The tree loses no component, and never puts out more links than it needs."""
+    rng = np.random.default_rng(3)
+    sets = near_sets(rng, 12, 120, 14)
+    n, vec = np.array([len(s) for s in sets]), count_vectors(sets)
+    side = rng.integers(0, 2, len(sets)) if across else np.zeros(len(sets), np.int64)
+    comp = np.arange(len(sets))
+    links = list(jaccard.tile_links(n, vec, comp, side, lambda i: sets[i], 85))
+    root = np.arange(len(sets))
+    merges = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 85 * (n[i] + n[j] - both) and (not across or side[i] != side[j]) and root[i] != root[j]:
+                root[root == root[j]] = root[i]
+                merges += 1
+    got = np.arange(len(sets))
+    for i, j in links:
+        assert got[i] != got[j] and (not across or side[i] != side[j])
+        got[got == got[j]] = got[i]
+    assert len(links) == merges < len(sets)
+    pairs = {(int(x), int(y)) for x, y in zip(root, got)}
+    assert len({x for x, _ in pairs}) == len({y for _, y in pairs}) == len(pairs)
+    assert len(jaccard.CountTree(n, vec).levels) >= 3      # leaves, boxes of leaves, a root
+
+
+def test_search_output_is_linear_in_the_members(spark):
+    """A group whose members link in a chain of neighbours: the rows that
+    leave the search stay below the members."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for k in range(300):
+        w = list(words)
+        for at in rng.choice(400, 12, replace=False):
+            w[at] = f"x{k}_{at}"
+        rows.append((k, " ".join(w), "en", "s", 0))
+    got = {tuple(r) for r in jaccard.jaccard_components(frame(spark, rows)).collect()}
+    assert Counter(got) == brute_components(rows, 85, 4)
 
 def test_tiles_find_the_same(spark, rows, monkeypatch):
     monkeypatch.setattr(jaccard, "TILE", 3)
