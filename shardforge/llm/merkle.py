@@ -47,6 +47,7 @@ from shardforge.operators.positions import global_positions
 
 ARITY = 8
 EVERY = 4
+PARTS_A_TASK = 1 << 18
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 NODE = "part string, n bigint, pos bigint, digest binary"
@@ -261,8 +262,10 @@ def build_manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, part_col:
     nodes = placed.withColumn("slice", F.expr(f"at div {span}")).join(sizes, ["part", "slice"]).select(
         "part", "n", (F.col("at") - F.col("first")).alias("pos"), F.lit(None).cast("string").alias("name"), "digest", "row", "candidate")
     rows = raise_tree(nodes, every)
-    subroots = global_positions(written(rows.tops()), ["part"], "pos")
-    named = subroots.select(F.lit("").alias("part"), F.lit(subroots.count()).cast("bigint").alias("n"), "pos",
+    tops = written(rows.tops())
+    n_parts = tops.count()
+    subroots = global_positions(tops, ["part"], "pos", num_partitions=1 + n_parts // PARTS_A_TASK)
+    named = subroots.select(F.lit("").alias("part"), F.lit(n_parts).cast("bigint").alias("n"), "pos",
                             F.col("part").alias("name"), "digest")
     return Manifest(rows, raise_tree(named, every))
 
