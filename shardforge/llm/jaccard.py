@@ -23,8 +23,8 @@ trees are therefore grown inside cells that an exact argument provides:
 * Trees. Cells whose members still lie in several components are searched with
   an R-tree of count vectors each, from the root down: pairs of boxes that can't
   reach the overlap, or below which everything is connected, are left out, and
-  so are point pairs. Pairs that survive are verified on the full sets at once,
-  inside the task, and only links that join two components leave it: fewer than
+  so are point pairs. Members with a surviving pair get their full sets, and
+  the tree is gone through again with pairs verified at once, inside the task, and only links that join two components leave it: fewer than
   the members. Cells of many members are cut into tiles; first each tile is
   searched by itself, and when these links are contracted, tiles of cells that
   are still open meet pairwise in different tasks.
@@ -307,6 +307,42 @@ def overlap(p: np.ndarray, q: np.ndarray) -> int:
     return int((q[np.minimum(at, len(q) - 1)] == p).sum())
 
 
+def _apart(root: np.ndarray, side: np.ndarray) -> Callable[[np.ndarray, np.ndarray], bool]:
+    """Whether two boxes can hold a pair of different components (and sides)."""
+    across = bool(side.any())
+
+    def may(a: np.ndarray, b: np.ndarray) -> bool:
+        if across and (side[a] == side[a[0]]).all() and (side[b] == side[a[0]]).all():
+            return False
+        first = root[a[0]]
+        return bool((root[a] != first).any() or (root[b] != first).any())
+    return may
+
+
+def _leaf_bounds(n, vec, root, side, a, b, percent: int) -> np.ndarray:
+    """Point pairs of two leaves whose summed coordinate minima allow a link
+    between components (and sides, if there are two)."""
+    bound = overlap_bound(vec[a][:, None, :], vec[b][None, :, :], np.minimum(n[a][:, None], n[b][None, :]))
+    ok = (100 + percent) * bound >= percent * (n[a][:, None] + n[b][None, :])
+    ok &= root[a][:, None] != root[b][None, :]
+    if side.any():   # two tiles: only pairs across
+        ok &= side[a][:, None] != side[b][None, :]
+    return np.triu(ok, 1) if a[0] == b[0] else ok
+
+
+def tile_candidates(n: np.ndarray, vec: np.ndarray, comp: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
+    """Which points of a cell (or of two tiles of it) have a partner that the
+    bounds allow; the others need no sets."""
+    mark = np.zeros(len(n), bool)
+    for a, b in CountTree(n, vec).leaf_pairs(percent, _apart(comp, side)):
+        if mark[a].all() and mark[b].all():
+            continue
+        ok = _leaf_bounds(n, vec, comp, side, a, b, percent)
+        mark[a] |= ok.any(axis=1)
+        mark[b] |= ok.any(axis=0)
+    return mark
+
+
 def tile_links(n: np.ndarray, vec: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: Callable[[int], np.ndarray],
                percent: int) -> Iterator[tuple[int, int]]:
     """Links of one cell (or of two tiles of it) that join two components:
@@ -314,23 +350,8 @@ def tile_links(n: np.ndarray, vec: np.ndarray, comp: np.ndarray, side: np.ndarra
     and the full sets decide. What is connected already isn't compared, so at
     most one link less than members comes out."""
     root = np.unique(comp, return_inverse=True)[1]
-    tree, across = CountTree(n, vec), bool(side.any())
-
-    def apart(a: np.ndarray, b: np.ndarray) -> bool:
-        if across and len(sa := np.unique(side[a])) == 1 and len(sb := np.unique(side[b])) == 1 and sa[0] == sb[0]:
-            return False
-        first = root[a[0]]
-        return bool((root[a] != first).any() or (root[b] != first).any())
-
-    for a, b in tree.leaf_pairs(percent, apart):
-        bound = overlap_bound(vec[a][:, None, :], vec[b][None, :, :], np.minimum(n[a][:, None], n[b][None, :]))
-        ok = (100 + percent) * bound >= percent * (n[a][:, None] + n[b][None, :])
-        ok &= root[a][:, None] != root[b][None, :]
-        if across:   # two tiles: only pairs across
-            ok &= side[a][:, None] != side[b][None, :]
-        if a[0] == b[0]:
-            ok = np.triu(ok, 1)
-        for x, y in zip(*np.nonzero(ok)):
+    for a, b in CountTree(n, vec).leaf_pairs(percent, _apart(root, side)):
+        for x, y in zip(*np.nonzero(_leaf_bounds(n, vec, root, side, a, b, percent))):
             i, j = int(a[x]), int(b[y])
             if root[i] == root[j]:
                 continue
@@ -340,25 +361,18 @@ def tile_links(n: np.ndarray, vec: np.ndarray, comp: np.ndarray, side: np.ndarra
                 yield i, j
 
 
-def _search(percent: int) -> Callable:
-    """From rows sorted by (cell, lo, hi): verified links of each run."""
+def _tiles(work: Callable) -> Callable:
+    """A task over rows sorted by (cell, lo, hi): ``work(table, first, end,
+    columns)`` for the runs of whole tiles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
 
-        def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        def whole(t: pa.Table) -> Iterator[pa.RecordBatch]:
             key = np.stack([t[c].to_numpy() for c in ("cell", "lo", "hi")])
             first = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
-            sid, n, comp, side = (t[c].to_numpy() for c in ("sid", "n", "comp", "side"))
+            cols = [t[c].to_numpy() for c in ("n", "comp", "side")]
             vec = np.frombuffer(b"".join(t["vec"].to_pylist()), np.uint8).reshape(-1, GROUPS)
-            tokens = t["tokens"]
-            got = []
-            for lo, hi in zip(first, np.append(first[1:], len(sid))):
-                for x, y in tile_links(n[lo:hi], vec[lo:hi], comp[lo:hi], side[lo:hi],
-                                       lambda i, lo=lo: np.frombuffer(tokens[int(lo) + i].as_buffer(), U), percent):
-                    got.append((min(sid[lo + x], sid[lo + y]), max(sid[lo + x], sid[lo + y])))
-            if got:
-                a, b = zip(*got)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield from work(t, zip(first.tolist(), np.append(first[1:], t.num_rows).tolist()), cols[0], vec, cols[1], cols[2])
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -371,13 +385,37 @@ def _search(percent: int) -> Callable:
                 rest = t
                 continue
             cut = int(ends[-1]) + 1
-            yield from pairs(t.slice(0, cut).combine_chunks())
+            yield from whole(t.slice(0, cut).combine_chunks())
             rest = t.slice(cut)
         if rest is not None and rest.num_rows:
-            yield from pairs(rest.combine_chunks())
+            yield from whole(rest.combine_chunks())
     return run
 
 
+def _candidates(percent: int) -> Callable:
+    """The rows that have a candidate partner in their tile."""
+    def work(t, runs, n, vec, comp, side):
+        mark = np.zeros(t.num_rows, bool)
+        for lo, hi in runs:
+            mark[lo:hi] = tile_candidates(n[lo:hi], vec[lo:hi], comp[lo:hi], side[lo:hi], percent)
+        yield from t.filter(pa.array(mark)).to_batches()
+    return _tiles(work)
+
+
+def _search(percent: int) -> Callable:
+    """Verified links of each tile."""
+    def work(t, runs, n, vec, comp, side):
+        sid, tokens, got = t["sid"].to_numpy(), t["tokens"], []
+        for lo, hi in runs:
+            for x, y in tile_links(n[lo:hi], vec[lo:hi], comp[lo:hi], side[lo:hi],
+                                   lambda i, lo=lo: np.frombuffer(tokens[lo + i].as_buffer(), U), percent):
+                got.append((min(sid[lo + x], sid[lo + y]), max(sid[lo + x], sid[lo + y])))
+        if got:
+            a, b = zip(*got)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    return _tiles(work)
+
+
 # --- the join ----------------------------------------------------------------
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -414,19 +452,18 @@ def links(docs: DataFrame, measured: DataFrame, percent: int, width: int) -> Dat
     first = written(connected_components(_verified(near, sets, percent)))
     known = first
     for across in (False, True):
-        known = _contracted(known, _tree_links(members, sets, known, percent, across))
+        known = _contracted(known, _tree_links(members, points, sets, known, percent, across))
     return known
 
 
-def _tree_links(members: DataFrame, sets: DataFrame, known: DataFrame, percent: int, across: bool) -> DataFrame:
+def _tree_links(members: DataFrame, points: DataFrame, sets: DataFrame, known: DataFrame, percent: int, across: bool) -> DataFrame:
     """Links found by the trees in cells whose members aren't all connected:
     inside each tile of a cell, or between two tiles of one."""
-    size = sets.select("sid", "n", "vec", "tokens").dropDuplicates(["sid"])
     placed = (members.join(known.withColumnRenamed("node", "sid"), "sid", "left")
               .select("cell", "m", "sid", F.coalesce("comp", "sid").alias("comp")))
     open_cells = placed.groupBy("cell").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q").select("cell")
     placed = placed.join(open_cells, "cell")
-    largest = placed.join(sets.select("sid", "n"), "sid").groupBy("cell").agg(F.max("n").alias("n"), F.max("m").alias("m"))
+    largest = placed.join(points.select("sid", "n"), "sid").groupBy("cell").agg(F.max("n").alias("n"), F.max("m").alias("m"))
     # a tile has a bounded number of members and of bytes
     tiles = largest.select("cell", F.greatest(F.ceil(F.col("m") / TILE), F.ceil(F.col("m") * F.col("n") * 8 / TILE_BYTES)).cast("int").alias("tiles"))
     if across:
@@ -438,9 +475,12 @@ def _tree_links(members: DataFrame, sets: DataFrame, known: DataFrame, percent:
         tiled = tiled.withColumn("other", F.col("t"))
     tiled = tiled.select("cell", F.least("t", "other").alias("lo"), F.greatest("t", "other").alias("hi"), "sid", "comp",
                          F.when(F.col("t") > F.col("other"), 1).otherwise(0).alias("side"))
-    rows = tiled.join(size, "sid").select("cell", "lo", "hi", "sid", "n", "comp", "side", "vec", "tokens")
-    return (rows.repartition("cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi")
-            .mapInArrow(_search(percent), "a bigint, b bigint"))
+    key = ["cell", "lo", "hi"]
+    rows = tiled.join(points, "sid").select(*key, "sid", "n", "comp", "side", "vec")
+    some = rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(_candidates(percent), rows.schema)
+    # only these rows need their sets
+    full = some.join(sets.select("sid", "tokens").dropDuplicates(["sid"]), "sid").select(*rows.columns, "tokens")
+    return full.repartition(*key).sortWithinPartitions(*key).mapInArrow(_search(percent), "a bigint, b bigint")
 
 
 def _contracted(known: DataFrame, more: DataFrame) -> DataFrame:
