@@ -76,6 +76,29 @@ def q_seeded_normal(spark, sf):
     return z.select("o_orderkey", F.posexplode_outer("z").alias("j", "z")).select("o_orderkey", "j", r6(F.col("z")).alias("z"))
 
 
+LATENT = 4 * 32 * 32
+
+
+@register("counter_normals", f"""
+WITH b AS ({S.counter_normal_pairs(SEED, 'latent', 'c_custkey', 'm', f'(SELECT c_custkey, m FROM customer, range({LATENT // 2}) r(m))')})
+SELECT c_custkey, CAST({LATENT} AS INTEGER) AS n, round(any_value(z0) FILTER (m = 0), 6) AS z_first, round(any_value(z1) FILTER (m = 1023), 6) AS z_2047,
+       round(any_value(z1) FILTER (m = {LATENT // 2 - 1}), 6) AS z_last, round(sum(z0 + z1), 4) AS total, round(sum(z0 * z0 + z1 * z1), 4) AS squares
+FROM b GROUP BY c_custkey""")
+def q_counter_normals(spark, sf):
+    """A3 at the reference's latent size: a 4 x 32 x 32 latent of every
+    customer, and the same sequence read from its middle on."""
+    from shardforge.functions.counter import counter_normals
+    from shardforge.session import ensure_parallelism
+    c = ensure_parallelism(table(spark, sf, "customer").select("c_custkey"))
+    z = counter_normals(c, SEED, "latent", "c_custkey", LATENT, "z")
+    z = counter_normals(z, SEED, "latent", "c_custkey", 1, "mid", start=2047)
+
+    def added(f):
+        return F.round(F.aggregate("z", F.lit(0.0), lambda s, v: s + f(v)), 4)
+    return z.select("c_custkey", F.size("z").alias("n"), r6(F.get("z", F.lit(0))).alias("z_first"), r6(F.get("mid", F.lit(0))).alias("z_2047"),
+                    r6(F.get("z", F.lit(LATENT - 1))).alias("z_last"), added(lambda v: v).alias("total"), added(lambda v: v * v).alias("squares"))
+
+
 @register("seeded_trunc_normal", f"""
 SELECT c_custkey,
        round({S.trunc_normal(SEED, 'trunc', 'c_custkey')}, 6) AS v,
@@ -212,24 +235,29 @@ def q_guidance_combine(spark, sf):
     return d.select("vec_id", F.posexplode_outer("d").alias("j", "d")).select("vec_id", "j", r6(F.col("d")).alias("d"))
 
 
-def _sample_batch_sql(n: int = 20, dim: int = 8, cfg: float = 1.8) -> str:
+def _sample_batch_sql(n: int = 20, dim: int = 8, cfg: float = 1.8, counter: bool = False) -> str:
     t = _t_sql("step", n)
     tn = _t_sql("step + 1", n)
     guided = f"(round({t}, 9) >= 0.0 AND round({t}, 9) <= {S.d(0.7)})"
     dc = _drift_sql(_VC, "x", t)
     du = _drift_sql(_VU, "x", t)
     d = f"(CASE WHEN {guided} THEN {du} + {cfg} * ({dc} - {du}) ELSE {dc} END)"
-    eps = S.normal(SEED, "noise", "sample_id", f"(step * {dim} + e)")
+    eps, noise, join = S.normal(SEED, "noise", "sample_id", f"(step * {dim} + e)"), "", ""
+    if counter:
+        pairs = S.counter_normal_pairs(SEED, "noise", "vec_id", "m", f"(SELECT vec_id, m FROM embeddings, range({dim * (n - 1) // 2}) r(m))")
+        noise = (f"pairs AS ({pairs}), eps AS MATERIALIZED (SELECT vec_id, 2 * m AS i, z0 AS z FROM pairs "
+                 "UNION ALL SELECT vec_id, 2 * m + 1, z1 FROM pairs), ")
+        eps, join = "z", f" JOIN eps ON eps.vec_id = sample_id AND eps.i = step * {dim} + e"
     step_sql = f"x + {d} * ({tn} - {t}) + sqrt(2.0 * {t}) * sqrt(abs({tn} - {t})) * {eps}"
     tf = S.d(0.04)
     dcf = _drift_sql(_VC, "x", tf)
     duf = _drift_sql(_VU, "x", tf)
     final = f"x + (0.0 - {tf}) * ({duf} + {cfg} * ({dcf} - {duf}))"
     return f"""
-WITH RECURSIVE traj(sample_id, label, e, step, x) AS (
+WITH RECURSIVE {noise}traj(sample_id, label, e, step, x) AS (
   SELECT vec_id, label, CAST(e AS INTEGER), 0, CAST(embedding[e + 1] AS DOUBLE) FROM embeddings, range({dim}) r(e)
   UNION ALL
-  SELECT sample_id, label, e, step + 1, {step_sql} FROM traj WHERE step < {n - 1}
+  SELECT sample_id, label, e, step + 1, {step_sql} FROM traj{join} WHERE step < {n - 1}
 )
 SELECT sample_id, e, round({final}, 6) AS x FROM traj WHERE step = {n - 1}"""
 
@@ -257,6 +285,28 @@ def q_sample_batch_arrow(spark, sf):
             .select("sample_id", "e", r6(F.col("x")).alias("x")))
 
 
+def _affine_weights(x, t, y, w):
+    """The affine model with its numbers as weights."""
+    import numpy as np
+    cond = (w["cond_slope"] * y.astype(np.float64))[:, None] * x + w["cond_shift"]
+    return np.where((y == w["null_class"])[:, None], w["null_slope"] * x, cond)
+
+
+@register("sample_batch_weights", _sample_batch_sql(dim=64, counter=True))
+def q_sample_batch_weights(spark, sf):
+    """B4 with a model whose weights are a broadcast, and counter-based noise."""
+    import numpy as np
+
+    from shardforge import constants as K
+    from shardforge.operators.trajectory import sample_batch_arrow
+    e = table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("sample_id"), "label", F.col("embedding").cast("array<double>").alias("latent"))
+    weights = {"cond_slope": np.float64(0.1), "cond_shift": np.float64(0.05), "null_slope": np.float64(0.5), "null_class": np.int64(K.NULL_CLASS)}
+    s = sample_batch_arrow(e, _affine_weights, num_steps=20, seed=SEED, noise="counter", weights=weights)
+    return (s.select("sample_id", F.posexplode_outer("sample").alias("e", "x"))
+            .select("sample_id", "e", r6(F.col("x")).alias("x")))
+
+
 # --------------------------------------------------------------------------
 # F8. resume
 # --------------------------------------------------------------------------

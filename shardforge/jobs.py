@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from shardforge import constants as K
 from shardforge.functions.arrays import pixels_to_binary, quantise
+from shardforge.functions.counter import counter_normals
 from shardforge.functions.rng import seeded_normal, seeded_randint
 from shardforge.operators.trajectory import np_affine_velocity, sample_batch_arrow
 from shardforge.plans.plan import assign_plan, resume_plan
@@ -25,12 +26,15 @@ from shardforge.plans.plan import assign_plan, resume_plan
 
 def _sampled(ids: DataFrame, seed: int, latent_dim: int, num_classes: int, num_steps: int, velocity_np,
              noise: str) -> DataFrame:
-    """Labels, latents and samples of every ``sample_id``. Philox noise is
-    keyed by (seed, sample id): reproducible, partition-free and fast for large
-    latents ("hashed" reproduces the Column path exactly)."""
+    """Labels, latents and samples of every ``sample_id``. Latents and noise
+    are keyed by (seed, sample id): counter-based, all rows of a batch at once
+    ("hashed" reproduces the Column path exactly)."""
     sid = F.col("sample_id")
-    samples = (ids.withColumn("label", seeded_randint(seed, "label", sid, 0, num_classes))
-               .withColumn("latent", seeded_normal(seed, "latent", sid, latent_dim)))
+    samples = ids.withColumn("label", seeded_randint(seed, "label", sid, 0, num_classes))
+    if noise == "counter":
+        samples = counter_normals(samples, seed, "latent", "sample_id", latent_dim, "latent")
+    else:
+        samples = samples.withColumn("latent", seeded_normal(seed, "latent", sid, latent_dim))
     return sample_batch_arrow(samples, velocity_np or np_affine_velocity(), num_steps=num_steps, seed=seed,
                               noise=noise)
 
@@ -80,11 +84,11 @@ def generate_shards(spark: SparkSession, ids: DataFrame, out_path: str, *, seed:
                     batch: int = K.BATCH_PER_DEVICE, workers: int = 4, per_shard: int = K.ROWS_PER_SHARD,
                     latent_dim: int = 64, num_classes: int = K.LABEL_HIGH, num_steps: int = 20,
                     velocity_np=None, decode=None, run_id: str = "run", resume: bool = True,
-                    shard_filter=None, noise: str = "philox") -> DataFrame:
+                    shard_filter=None, noise: str = "counter") -> DataFrame:
     """Write the shards of the samples in ``ids`` (column ``sample_id``) and
     return the committed progress records of this run. ``shard_filter``
     restricts the plan (for example to the shards of one stage of a larger
-    run); ``noise`` is "philox" (default) or "hashed".
+    run); ``noise`` is "counter" (default), "philox" or "hashed".
 
     The progress records carry a digest of what the shards were made with and
     one of each file. A resumed run takes a shard as done only if its newest
@@ -112,7 +116,7 @@ def generate_shards(spark: SparkSession, ids: DataFrame, out_path: str, *, seed:
 
 def generate_pack(spark: SparkSession, ids: DataFrame, num: int, path: str, shape: tuple, *, seed: int = 0,
                   num_classes: int = K.LABEL_HIGH, num_steps: int = 20, velocity_np=None, decode=None,
-                  noise: str = "philox", rows_per_part: int | None = None) -> DataFrame:
+                  noise: str = "counter", rows_per_part: int | None = None) -> DataFrame:
     """The samples ``sample_id`` = 0..num-1 as one ordered uint8 pack of
     ``shape`` (H, W, C): plan, sample, quantise and pack, each sample computed
     once. Returns the manifest; incomplete packs are an error."""

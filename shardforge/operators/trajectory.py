@@ -24,6 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shardforge.functions.counter import normals
 from shardforge.functions.rng import normal_block
 from shardforge.functions.vectors import let
 from shardforge.plans.schedule import guided_flag, schedule_array, t_at
@@ -160,6 +161,8 @@ def sample_batch(df: DataFrame, velocity: VelocityFn, latent_col: str = "latent"
 # Arrow / NumPy path
 # --------------------------------------------------------------------------
 
+MAX_WEIGHT_BYTES = 2 << 30
+
 def np_hashed_normals(seed, stream: str, keys: np.ndarray, idx: np.ndarray) -> np.ndarray:
     """The same seeded normal stream as ``normal_block``, computed in the
     Python task: result[r, k] = normal(seed, stream, keys[r], idx[k]) with
@@ -211,15 +214,38 @@ def sample_batch_arrow(df: DataFrame, velocity_np, latent_col: str = "latent",
                        final_guidance: str = "always", seed: int = 0, null_class: int = K.NULL_CLASS,
                        t0: float = K.T_START, t1: float = K.T_END, noise: str = "hashed",
                        out_col: str = "sample", batch_rows: int = 1024,
-                       noise_key: str = "sample") -> DataFrame:
+                       noise_key: str = "sample", precision: str = "double", weights: dict | None = None,
+                       max_weight_bytes: int = MAX_WEIGHT_BYTES) -> DataFrame:
     """Same trajectory with a NumPy velocity callable ``velocity_np(x, t, y)``
     (x: (rows, dim) float64, y: (rows,) int) applied per Arrow batch.
 
     ``noise="hashed"`` reproduces the Column path exactly (md5 per element,
-    fine for small latents); ``noise="philox"`` draws from NumPy Philox keyed
-    by (seed, sample_id) — a different stream, much faster for large latents."""
+    fine for small latents); ``noise="counter"`` draws all rows of a batch at
+    once from ``functions.counter`` (element i * dim + e of the sample's
+    sequence at step i), for large latents; ``noise="philox"`` has a NumPy
+    generator for each (seed, sample_id). Each is a stream of its own.
+    ``precision="float"`` rounds the state to float32 after every step, as the
+    Column path does.
+
+    ``weights`` (named arrays) go to the executors as one broadcast, unpacked
+    once in each worker, and ``velocity_np(x, t, y, weights)`` gets them; they
+    are no part of the tasks' closure. Their size is checked first."""
     from shardforge.session import ensure_parallelism, ship_package
     ship_package(df.sparkSession)
+    if noise not in ("hashed", "counter", "philox") or precision not in ("double", "float"):
+        raise ValueError(f"noise {noise!r} or precision {precision!r} is unknown")
+    model = velocity_np
+    if weights is not None:
+        size = sum(np.asarray(w).nbytes for w in weights.values())
+        if size > max_weight_bytes:
+            raise ValueError(f"weights of {size} bytes are more than max_weight_bytes ({max_weight_bytes})")
+        sent = df.sparkSession.sparkContext.broadcast({k: np.asarray(w) for k, w in weights.items()})
+
+        def model(x, t, y):
+            return velocity_np(x, t, y, sent.value)
+
+    def rounded(x):
+        return x.astype(np.float32).astype(np.float64) if precision == "float" else x
     df = ensure_parallelism(df)
     grid = schedule_array(num_steps, t0, t1)
     n = num_steps
@@ -242,7 +268,7 @@ def sample_batch_arrow(df: DataFrame, velocity_np, latent_col: str = "latent",
         if noise_key == "shared":
             keys = np.zeros_like(keys)
         ys = batch.column(label_col).to_numpy().astype(np.int64)
-        x = to_matrix(batch.column(latent_col))
+        x = rounded(to_matrix(batch.column(latent_col)))
         dim = x.shape[1]
         rngs = None
         if noise == "philox":
@@ -252,25 +278,27 @@ def sample_batch_arrow(df: DataFrame, velocity_np, latent_col: str = "latent",
             t, tn = grid[i], grid[i + 1]
             dt = tn - t
             if guided(t):
-                dc = np_drift(velocity_np(x, t, ys), x, t, path)
-                du = np_drift(velocity_np(x, t, null), x, t, path)
+                dc = np_drift(model(x, t, ys), x, t, path)
+                du = np_drift(model(x, t, null), x, t, path)
                 d = du + cfg * (dc - du)
             else:
-                d = np_drift(velocity_np(x, t, ys), x, t, path)
+                d = np_drift(model(x, t, ys), x, t, path)
             if noise == "philox":
                 eps = np.stack([g.standard_normal(dim) for g in rngs])
+            elif noise == "counter":
+                eps = normals(seed, "noise", keys, i * dim, dim)
             else:
                 eps = np_hashed_normals(seed, "noise", keys, np.arange(dim) + i * dim)
-            x = x + d * dt + math.sqrt(2.0 * t) * eps * math.sqrt(abs(dt))
+            x = rounded(x + d * dt + math.sqrt(2.0 * t) * eps * math.sqrt(abs(dt)))
         t = grid[n - 1]
         dt = grid[n] - t
         if final_guidance == "always" or guided(t):
-            dc = np_drift(velocity_np(x, t, ys), x, t, path)
-            du = np_drift(velocity_np(x, t, null), x, t, path)
+            dc = np_drift(model(x, t, ys), x, t, path)
+            du = np_drift(model(x, t, null), x, t, path)
             d = du + cfg * (dc - du)
         else:
-            d = np_drift(velocity_np(x, t, ys), x, t, path)
-        x = x + dt * d
+            d = np_drift(model(x, t, ys), x, t, path)
+        x = rounded(x + dt * d)
         yield batch.append_column(out_col, from_matrix(x))
 
     from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 
+from shardforge.functions.counter import philox_sql, stream_key
 from shardforge.functions.rng import (ACKLAM_A, ACKLAM_B, ACKLAM_C, ACKLAM_D,
                                       ACKLAM_P_LOW, TWO_POW_52, trunc_normal_bounds)
 
@@ -55,6 +56,17 @@ def inv_norm_cdf(p: str) -> str:
             f"WHEN {p} > {d(1 - ACKLAM_P_LOW)} THEN {upper} ELSE {centre} END)")
 
 
+def counter_normal_pairs(seed, stream: str, key: str, block: str, source: str) -> str:
+    """SELECT of ``source``'s columns with z0 and z1, elements 2 * block and
+    2 * block + 1 of the counter-based sequence of row key ``key``."""
+    def uniform(a: str, b: str) -> str:
+        return f"((({a} >> 5) * {d(1 << 26)} + ({b} >> 6) + 0.5) / {d(1 << 53)})"
+    words = philox_sql(block, key, stream_key(seed, stream), source)
+    u1, u2 = uniform("w0", "w1"), uniform("w2", "w3")
+    th = f"({d(2 * math.pi)} * {u2})"
+    return (f"SELECT * EXCLUDE (w0, w1, w2, w3), sqrt(-2.0 * ln({u1})) * cos({th}) AS z0, sqrt(-2.0 * ln({u1})) * sin({th}) AS z1 FROM ({words})")
+
+
 def trunc_normal(seed, stream: str, key: str, mean=0.0, std=1.0, a=-2.0, b=2.0) -> str:
     lo, hi, _ = trunc_normal_bounds(mean, std, a, b)
     p = f"({d(lo)} + {u(seed, stream, key)} * {d(hi - lo)})"
