@@ -477,7 +477,12 @@ def _tree_links(members: DataFrame, points: DataFrame, sets: DataFrame, known: D
                          F.when(F.col("t") > F.col("other"), 1).otherwise(0).alias("side"))
     key = ["cell", "lo", "hi"]
     rows = tiled.join(points, "sid").select(*key, "sid", "n", "comp", "side", "vec")
-    some = rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(_candidates(percent), rows.schema)
+    some = stored(rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(_candidates(percent), rows.schema), "candidates")
+    # a pair that doesn't link may share many cells: tiles that are left with
+    # the same members are searched once
+    tile = some.groupBy(*key).agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("sid", "side")).alias("x"), F.bit_xor(F.xxhash64("side", "sid")).alias("y"))
+    once = tile.groupBy("k", "x", "y").agg(F.min(F.struct(*key)).alias("t")).select("t.*")
+    some = some.join(once, key)
     # only these rows need their sets
     full = some.join(sets.select("sid", "tokens").dropDuplicates(["sid"]), "sid").select(*rows.columns, "tokens")
     return full.repartition(*key).sortWithinPartitions(*key).mapInArrow(_search(percent), "a bigint, b bigint")
