@@ -1,55 +1,57 @@
 """Line dedup with content-defined chunks of lines.
 
-A text is cut into units: lines, and sentences inside a line (the cut follows
-a newline, or a full stop, question or exclamation mark and a space), so that
-the units joined are the text again. Units are hashed, and a rolling hash over
-the two unit hashes around each gap decides whether the gap is a chunk
-boundary. As the decision looks at the two neighbours only, a passage that was
-moved or embedded elsewhere gets the same boundaries again, wherever it
-starts. Two complementary choices are used (even and odd rolling hashes): a
-unit that stands alone in one chunking lies inside a longer chunk of the other.
-
-This is ``line_dedup``. A chunk beside foreign text hangs on that text, so
-parts of an embedded passage stay, and a passage of one unit stays whole;
-``passage_dedup`` has no such gaps.
-
-Chunks of at least two units are compared over the whole table:
-
-1. chunk hashes that occur once are dropped (partial aggregation, no texts);
-2. for the others the chunk texts are compared byte by byte (grouped by the
-   text itself), blanks around units aside; chunks under ``min_chars``
-   characters are left alone;
-3. the first occurrence, by (id, text hash, position), stays; the units of all
-   others are taken out of their documents.
-
-Since every removal points to an earlier occurrence, each removed unit still
-stands somewhere. All steps are DataFrame functions. A hot chunk is one row
-per map task in the aggregations, and its occurrences meet the one surviving
-row in a join that the adaptive skew join can split.
+A text is cut into lines: at newlines, behind sentence ends, and, where such a
+line is long, further at gaps between words that the words beside them choose.
+The lines joined are the text again. A rolling hash over two neighbouring line
+hashes belongs to each gap between lines; a gap whose hash is not above the
+next one's is a boundary, and the two lines at a boundary are a chunk. Whether
+a gap is one hangs on three lines only, so a passage that was moved or put into
+foreign text gets the same boundaries again, but for its last gap, and any
+repeated run of a few lines holds one.
+
+Over the whole table:
+
+1. Chunk hashes that occur more than once are found by partial aggregation and
+   brought back to their documents. Between the boundaries beside a repeated
+   chunk, and only there, every two neighbouring lines count from now on.
+2. Neighbouring lines with an earlier place, by (id, text hash, position),
+   cover their two lines. Lines that are covered, and lines at the earlier
+   places, are compared byte by byte (blanks around a line aside): all texts of
+   one line hash must be equal, else nothing that holds this hash is removed.
+3. Each run of covered lines goes as a whole, if it is a passage: at least
+   ``min_chars`` characters, and two whole lines or sentences or ``min_tokens``
+   words. These two say what counts as a passage; with 0 every repeated run of
+   two lines goes. Each removed line stands at an earlier place too.
+
+The texts move once, into a table bucketed by document; every later step reads
+it in place, and only hashes, positions and the texts of repeated lines move. A
+hot chunk is one row per map task in the aggregations, and its places meet one
+row in joins that the adaptive skew join can split. All steps are DataFrame
+functions.
 
 Defined results: null or empty text is returned as it is; rows repeated with
 the same id and text are one document for the comparison and get the same
-result; a null id sorts first; an empty table gives an empty result. Columns
-other than the text pass through unchanged.
-"""
+result; a null id sorts first; an empty table gives an empty result. Other
+columns pass through; columns of the input named ``_n_units`` or ``_removed``
+are replaced by the result's."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shardforge.functions.vectors import let
-from shardforge.llm.common import ROW, field, held, stored, text_or_empty
+from shardforge.llm.common import held, text_or_empty, written
+from shardforge.session import checkpoint_dir, estimated_bytes
 
-CUTS = r"(?<=\n)|(?<=[.!?] )"
 BLANK = " \n\t\r"
+# a line ends with a newline, or with a sentence mark and a space
+LINE = r"(?s).*?(?:\n|[.!?] |\z)"
 # a token ends after blanks, or is one character of a script without blanks
-TOKENS = r"(?<=[ \t]|[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\uFFFF\x{10000}-\x{10FFFF}])(?=\S)"
-LONG = 8
-
-
-def units_of(text: Column) -> Column:
-    return F.filter(F.split(text, CUTS, -1), lambda u: u != "")
+TOKENS = r"(?<=[ \t]|[฀-໿က-႟ក-៿⺀-￿\x{10000}-\x{10FFFF}])(?=\S)"
+LONG_BYTES, LONG = 160, 8
 
 
 def _bare(u: Column) -> Column:
@@ -60,86 +62,10 @@ def _span(arr: Column, s: Column, e: Column) -> Column:
     return F.slice(arr, s + 1, e - s)
 
 
-def _chunks(odd: int) -> Column:
-    """(s, e) of the chunks with two units or more, from the gap hashes g."""
-    n = F.size("h")
-    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("g", i - 1).bitwiseAND(F.lit(1)) == odd))
-    return F.transform(F.array(starts), lambda a: F.filter(
-        F.zip_with(a, F.concat(F.slice(a, 2, F.size(a)), F.array(n)), lambda s, e: F.struct(s.alias("s"), e.alias("e"))),
-        lambda x: x["e"] - x["s"] > 1))[0]
-
-
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rest = [c for c in docs.columns if c != text_col]
-    text = text_or_empty(F.col(f"`{text_col}`"))
-    return docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in rest]).alias(ROW), F.col(f"`{text_col}`").cast("string").alias("_text"),
-        F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(-(1 << 63))).alias("_id"), F.xxhash64(text).alias("_th"))
-
-
-def chunk_table(keyed: DataFrame) -> DataFrame:
-    """_id, _th, chunks (s, e, ch) of every document with a chunk."""
-    a = held(keyed.select("_id", "_th", "_text").where("_text is not null"), "u", units_of(F.col("_text")))
-    a = held(a.where(F.size("u") > 1), "h", F.transform("u", lambda u: F.xxhash64(_bare(u))))
-    n = F.size("h")
-    a = held(a.select("_id", "_th", "h"), "g", F.zip_with(F.slice("h", 1, n - 1), F.slice("h", 2, n - 1), lambda x, y: F.xxhash64(x, y)))
-    a = held(a, "c", F.concat(_chunks(0), _chunks(1)))
-    return a.select("_id", "_th", F.transform("c", lambda x: F.struct(
-        x["s"].alias("s"), x["e"].alias("e"), F.xxhash64(_span(F.col("h"), x["s"], x["e"])).alias("ch"))).alias("chunks"))
-
-
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 50) -> DataFrame:
-    """_id, _th, s, e: the chunks to take out of each document."""
-    keyed = _keyed(docs, id_col, text_col)
-    per_doc = stored(chunk_table(keyed), "chunks")
-    # a document repeated as a row counts once
-    rows = per_doc.select("_id", "_th", F.explode("chunks").alias("x")).select("_id", "_th", "x.s", "x.e", "x.ch")
-    often = rows.groupBy("ch").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ch")
-    listed = (rows.join(often, "ch").groupBy("_id", "_th")
-              .agg(F.collect_set(F.struct("s", "e", "ch")).alias("chunks")))
-    texts = held(keyed.select("_id", "_th", "_text").join(listed, ["_id", "_th"]).dropDuplicates(["_id", "_th"]),
-                 "u", units_of(F.col("_text")))
-    # the chunk texts are cut out before the rows are multiplied, so that no
-    # row carries its whole document along
-    cut = F.transform("chunks", lambda x: F.struct(
-        x["s"].alias("s"), x["e"].alias("e"), x["ch"].alias("ch"),
-        F.array_join(F.transform(_span(F.col("u"), x["s"], x["e"]), _bare), "\n").alias("chunk")))
-    found = (texts.select("_id", "_th", F.explode_outer(cut).alias("x")).select("_id", "_th", "x.s", "x.e", "x.ch", "x.chunk")
-             .where(F.length("chunk") >= min_chars))
-    found = stored(found, "chunk-texts")
-    first = (found.groupBy("ch", "chunk").agg(F.min(F.struct("_id", "_th", "s")).alias("w"), F.count(F.lit(1)).alias("n"))
-             .where("n > 1").select(F.col("ch").alias("w_ch"), F.col("chunk").alias("w_chunk"), "w"))
-    # written first: with a plain exchange on either side of the join, a hot
-    # chunk's occurrences can be split over tasks
-    first = stored(first, "first-chunks")
-    return (found.join(first, (F.col("ch") == F.col("w_ch")) & (F.col("chunk") == F.col("w_chunk")))
-            .where(F.struct("_id", "_th", "s") != F.col("w")).select("_id", "_th", "s", "e"))
-
-
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 50) -> DataFrame:
-    """Each row as given, its text without repeated chunks, plus n_units,
-    n_removed and removed (unit positions)."""
-    gone = (repeated_chunks(docs, id_col, text_col, min_chars).groupBy("_id", "_th")
-            .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("s"), F.col("e") - 1))))).alias("removed")))
-    j = _keyed(docs, id_col, text_col).join(gone, ["_id", "_th"], "left")
-    j = held(j, "u", units_of(F.coalesce(F.col("_text"), F.lit(""))))
-    rest = F.array_except(F.when(F.size("u") > 0, F.sequence(F.lit(0), F.size("u") - 1)), F.col("removed"))
-    text = F.when(F.col("removed").isNull(), F.col("_text")).otherwise(
-        F.array_join(F.transform(rest, lambda i: F.get("u", i)), ""))
-    cols = [text.alias("_out") if c == text_col else field(c).alias(c) for c in docs.columns]
-    out = j.select(*cols, F.size("u").cast("bigint").alias("_n_units"),
-                   F.coalesce("removed", F.array().cast("array<int>")).alias("_removed"))
-    return out.withColumnRenamed("_out", text_col)
-
-
-# --- passages --------------------------------------------------------------------
-
-
 def _pieces(unit: Column) -> Column:
-    """A unit of more than LONG tokens, cut at the gaps whose hash of the
-    tokens beside them is the least of five in a row. The smallest hash of a
-    stretch always cuts, so periodic text is cut too; pieces have about five
-    tokens."""
+    """A long line, cut at the gaps whose hash of the tokens beside them is
+    the least of five in a row. The smallest hash of a stretch always cuts, so
+    periodic text is cut too; pieces have about five tokens."""
     def cut(t):
         n = F.size(t)
         top = F.lit((1 << 63) - 1)
@@ -151,72 +77,119 @@ def _pieces(unit: Column) -> Column:
                 b, F.concat(F.slice(b, 2, F.size(b)), F.array(n)), lambda s, e: F.array_join(_span(t, s, e), "")))
         gaps = F.zip_with(F.slice(t, 1, n - 1), F.slice(t, 2, n - 1), lambda x, y: F.xxhash64(_bare(x), _bare(y)))
         return F.when(n <= LONG, F.array(unit)).otherwise(let(gaps, by_hash))
-    return F.when(F.length(unit) <= LONG, F.array(unit)).otherwise(let(F.split(unit, TOKENS, -1), cut))
+    return F.when(F.octet_length(unit) <= LONG_BYTES, F.array(unit)).otherwise(let(F.split(unit, TOKENS, -1), cut))
 
 
 def fine_units(text: Column) -> Column:
-    """Units, the long ones cut further between words."""
-    return F.flatten(F.transform(units_of(text), _pieces))
+    """The lines of a text, the long ones cut further between words."""
+    lines = F.filter(F.regexp_extract_all(text, F.lit(LINE), F.lit(0)), lambda u: u != "")
+    return let(lines, lambda u: F.when(F.exists(u, lambda x: F.octet_length(x) > LONG_BYTES), F.flatten(F.transform(u, _pieces))).otherwise(u))
+
+
+# --- tables ------------------------------------------------------------------
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = text_or_empty(F.col(f"`{text_col}`"))
+    rest = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns) if c != text_col]
+    return docs.select(
+        *rest, F.col(f"`{text_col}`").cast("string").alias("_text"),
+        F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(-(1 << 63))).alias("_id"), F.xxhash64(text).alias("_th"))
+
+
+def bucketed(df: DataFrame, keys: list[str], bucket_bytes: int = 64 << 20) -> DataFrame:
+    """``df`` as a table of the shared folder that is bucketed by ``keys``:
+    joins and groups by them read it without a shuffle."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), estimated_bytes(df) // bucket_bytes)
+    name = f"line_dedup_{uuid.uuid4().hex[:12]}"
+    (df.repartition(n, *keys).write.bucketBy(n, *keys).option("compression", "zstd")
+     .option("path", f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}").saveAsTable(name))
+    return spark.table(name)
 
 
-def pair_table(keyed: DataFrame) -> DataFrame:
-    """_id, _th, n (units), g: a hash for each two neighbouring units."""
-    a = held(keyed.select("_id", "_th", "_text").where("_text is not null"), "h",
+def _hashes(texts: DataFrame, *keep: str) -> DataFrame:
+    """h (hash of each line) and g (rolling hash of each gap)."""
+    a = held(texts.select("_id", "_th", "_text", *keep).where("_text is not null"), "h",
              F.transform(fine_units(F.col("_text")), lambda u: F.xxhash64(_bare(u))))
     n = F.size("h")
-    return a.select("_id", "_th", n.alias("n"),
-                    F.when(n > 1, F.zip_with(F.slice("h", 1, n - 1), F.slice("h", 2, n - 1), lambda x, y: F.xxhash64(x, y))).alias("g"))
-
-
-def later_pairs(keyed: DataFrame, per_doc: DataFrame) -> DataFrame:
-    """_id, _th, s: neighbouring units s and s + 1 that stand, byte for byte,
-    at an earlier place too."""
-    often = (per_doc.select(F.explode("g").alias("ch")).groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
-             .where("n > 1").select("ch"))
-    rows = per_doc.select("_id", "_th", F.posexplode("g").alias("s", "ch"))
-    listed = rows.join(often, "ch").groupBy("_id", "_th").agg(F.collect_set(F.struct("s", "ch")).alias("pairs"))
-    texts = held(keyed.select("_id", "_th", "_text").join(listed, ["_id", "_th"]).dropDuplicates(["_id", "_th"]),
-                 "u", fine_units(F.col("_text")))
-    # the pair texts are cut out before the rows are multiplied, as above
-    cut = F.transform("pairs", lambda x: F.struct(
-        x["s"].alias("s"), x["ch"].alias("ch"),
-        F.concat(_bare(F.get("u", x["s"])), F.lit("\n"), _bare(F.get("u", x["s"] + 1))).alias("pair")))
-    found = stored(texts.select("_id", "_th", F.explode_outer(cut).alias("x")).select("_id", "_th", "x.s", "x.ch", "x.pair"), "pair-texts")
-    first = (found.groupBy("ch", "pair").agg(F.min(F.struct("_id", "_th", "s")).alias("w"), F.count(F.lit(1)).alias("n"))
-             .where("n > 1").select(F.col("ch").alias("w_ch"), F.col("pair").alias("w_pair"), "w"))
-    first = stored(first, "first-pairs")  # written first, as above
-    return (found.join(first, (F.col("ch") == F.col("w_ch")) & (F.col("pair") == F.col("w_pair")))
-            .where(F.struct("_id", "_th", "s") != F.col("w")).select("_id", "_th", "s"))
+    a = a.select("_id", "_th", "h", *keep).where(n > 1)
+    return held(a, "g", F.zip_with(F.slice("h", 1, n - 1), F.slice("h", 2, n - 1), lambda x, y: F.xxhash64(x, y)))
+
+
+def boundaries(g: Column) -> Column:
+    """The gaps whose hash isn't above the next one's (the last gap is one)."""
+    return F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda i: F.get(g, i) <= F.coalesce(F.get(g, i + 1), F.lit((1 << 63) - 1)))
+
+
+def chunk_rows(texts: DataFrame) -> DataFrame:
+    """_id, _th, ch, at, lo, hi: each chunk with the boundaries beside it (or
+    the first and last gap)."""
+    a = _hashes(texts)
+    a = held(a.select("_id", "_th", "g"), "b", boundaries(F.col("g")))
+    c = F.transform("b", lambda x, i: F.struct(
+        x.alias("at"), F.coalesce(F.get("b", i - 1), F.lit(0)).alias("lo"), F.coalesce(F.get("b", i + 1), x).alias("hi"), F.get("g", x).alias("ch")))
+    return a.select("_id", "_th", F.explode(c).alias("x")).select("_id", "_th", "x.ch", "x.lo", "x.hi")
+
+
+def pair_rows(texts: DataFrame, chunks: DataFrame) -> DataFrame:
+    """_id, _th, s, ch, a, b: all neighbouring lines s, s + 1 (hashes a, b) in
+    the ranges of gaps (lo, hi) that ``chunks`` lists for a document."""
+    a = _hashes(texts.join(chunks, ["_id", "_th"]), "ranges")
+    gaps = F.array_distinct(F.flatten(F.transform("ranges", lambda r: F.sequence(r["lo"], r["hi"]))))
+    rows = F.transform(gaps, lambda s: F.struct(s.alias("s"), F.get("g", s).alias("ch"), F.get("h", s).alias("a"), F.get("h", s + 1).alias("b")))
+    return a.select("_id", "_th", F.explode(rows).alias("x")).select("_id", "_th", "x.*").distinct()
+
+
+def later_pairs(texts: DataFrame) -> DataFrame:
+    """_id, _th, at: the pairs of each document that stand at an earlier place
+    too, before the comparison of bytes; first: the earlier places."""
+    chunks = chunk_rows(texts)
+    often = chunks.groupBy("ch").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ch")
+    listed = chunks.join(often, "ch").groupBy("_id", "_th").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    pairs = pair_rows(texts, written(listed))
+    place = F.struct("_id", "_th", "s")
+    first = (pairs.groupBy("ch").agg(F.min(place).alias("w"), F.max(place).alias("z"), F.min("a").alias("a0"), F.max("a").alias("a1"),
+                                     F.min("b").alias("b0"), F.max("b").alias("b1"))
+             .where("w <> z and a0 = a1 and b0 = b1").select("ch", "w"))
+    first = written(first)
+    later = pairs.join(first, "ch").where(place != F.col("w")).groupBy("_id", "_th").agg(F.collect_set("s").alias("at"))
+    here = first.select("w.*").groupBy("_id", "_th").agg(F.collect_set("s").alias("from"))
+    return written(later.join(here, ["_id", "_th"], "full_outer"))
+
+
+def unequal_lines(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """Line hashes that stand for different texts among the given places."""
+    both = F.concat(F.coalesce("at", F.array().cast("array<int>")), F.coalesce("from", F.array().cast("array<int>")))
+    a = texts.where("_text is not null").join(found.select("_id", "_th", both.alias("at")), ["_id", "_th"])
+    a = held(a.select("_text", "at"), "u", F.transform(fine_units(F.col("_text")), _bare))
+    lines = F.array_distinct(F.flatten(F.transform("at", lambda s: F.array(F.get("u", s), F.get("u", s + 1)))))
+    rows = a.select(F.explode(lines).alias("line"))
+    return (rows.groupBy(F.xxhash64("line").alias("h")).agg(F.min("line").alias("x"), F.max("line").alias("y")).where("x <> y").select("h"))
 
 
 def _counts(u: Column, run: Column, min_chars: int, min_tokens: int) -> Column:
-    """Whether the run of units (s, e) is long enough to go: two whole lines
-    or sentences, or min_tokens words."""
+    """Whether the run of lines (s, e) is a passage."""
     text = F.array_join(_span(u, run["s"], run["e"]), "")
     edges = F.size(F.filter(F.sequence(run["s"], run["e"]), lambda i: (i == 0) | (i == F.size(u)) | F.get(u, i - 1).rlike(r"(\n|[.!?] )\z")))
     return (F.length(text) >= min_chars) & ((edges > 2) | (F.size(F.split(text, TOKENS, -1)) >= min_tokens))
 
 
-def passage_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 50,
-                  min_tokens: int = 25) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 50, min_tokens: int = 25) -> DataFrame:
     """Each row as given, its text without repeated passages, plus _n_units
-    and _removed (positions in fine_units).
-
-    Every two neighbouring fine units are an anchor. Anchors that occur more
-    than once are compared byte by byte; those with an earlier place, by (id,
-    text hash, position), cover their two units, and each run of covered units
-    goes as a whole if it has ``min_chars`` characters and holds two whole
-    lines or sentences, or ``min_tokens`` tokens. A passage of over 50 words
-    that was put inside a foreign line so keeps only its outermost pieces.
-    Each removed unit stands at an earlier place too. Null ids, null texts
-    and repeated rows as above."""
-    keyed = _keyed(docs, id_col, text_col)
-    per_doc = stored(pair_table(keyed), "pairs")
-    later = later_pairs(keyed, per_doc).groupBy("_id", "_th").agg(F.collect_set("s").alias("at"))
-    info = per_doc.groupBy("_id", "_th").agg(F.max("n").alias("n")).join(later, ["_id", "_th"], "left")
-    j = keyed.join(info, ["_id", "_th"], "left")
-    j = held(j, "u", F.when(F.col("at").isNotNull(), fine_units(F.col("_text"))))
-    j = held(j, "cover", F.array_sort(F.array_union("at", F.transform("at", lambda s: s + 1))))
+    and _removed (positions in ``fine_units``)."""
+    texts = bucketed(_keyed(docs, id_col, text_col), ["_id", "_th"])
+    found = later_pairs(texts)
+    bad = unequal_lines(texts, found).agg(F.collect_list("h").alias("bad"))     # hash collisions: a handful at most
+    bad = set(bad.first()["bad"])
+    at = found.where("at is not null").select("_id", "_th", "at")
+    j = texts.join(at, ["_id", "_th"], "left")
+    j = held(j, "u", fine_units(F.coalesce("_text", F.lit(""))))
+    s = F.col("at")
+    if bad:
+        wrong = F.array(*[F.lit(h) for h in sorted(bad)])
+        s = F.filter(s, lambda i: ~F.array_contains(wrong, F.xxhash64(_bare(F.get("u", i)))) & ~F.array_contains(wrong, F.xxhash64(_bare(F.get("u", i + 1)))))
+    j = held(j, "cover", F.array_sort(F.array_union(s, F.transform(s, lambda i: i + 1))))
     begins = F.filter("cover", lambda x, i: F.coalesce(F.get("cover", i - 1), F.lit(-9)) != x - 1)
     ends = F.filter("cover", lambda x, i: F.coalesce(F.get("cover", i + 1), F.lit(-9)) != x + 1)
     runs = F.zip_with(begins, ends, lambda s, e: F.struct(s.alias("s"), (e + 1).alias("e")))
@@ -225,7 +198,7 @@ def passage_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rest = F.array_except(F.sequence(F.lit(0), F.size("u") - 1), F.col("removed"))
     text = F.when(F.coalesce(F.size("removed"), F.lit(0)) <= 0, F.col("_text")).otherwise(
         F.array_join(F.transform(rest, lambda i: F.get("u", i)), ""))
-    cols = [text.alias("_out") if c == text_col else field(c).alias(c) for c in docs.columns]
-    out = j.select(*cols, F.coalesce("n", F.lit(0)).cast("bigint").alias("_n_units"),
-                   F.coalesce("removed", F.array().cast("array<int>")).alias("_removed"))
-    return out.withColumnRenamed("_out", text_col)
+    new = {"_n_units": F.when(F.col("_text").isNotNull(), F.size("u")).otherwise(0).cast("bigint"),
+           "_removed": F.coalesce("removed", F.array().cast("array<int>"))}
+    cols = [(text if c == text_col else F.col(f"_c{i}")).alias(c) for i, c in enumerate(docs.columns) if c not in new]
+    return j.select(*cols, *[v.alias(c) for c, v in new.items()])

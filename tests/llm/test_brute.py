@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -180,52 +181,112 @@ def test_rolling_hash_in_cuts_equals_whole(monkeypatch):
 
 # --- line dedup -------------------------------------------------------------------
 
-def brute_lines(spark, rows, min_chars):
-    """The same rule on lists; only the unit hash is taken from Spark."""
-    import re
-    units = {}
-    for i, t, *_ in rows:
-        if t is not None:
-            units[(i, t)] = [u for u in re.split(r"(?<=\n)|(?<=[.!?] )", t) if u]
-    bare = sorted({u.strip(" \n\t\r") for us in units.values() for u in us})
-    h = {r[0]: r[1] for r in spark.createDataFrame([(b,) for b in bare], "x string").select("x", F.xxhash64("x")).collect()}
-    pairs = sorted({(h[a.strip(" \n\t\r")], h[b.strip(" \n\t\r")]) for us in units.values() for a, b in zip(us, us[1:])})
-    g = {(r[0], r[1]): r[2] for r in spark.createDataFrame(pairs, "a long, b long").select("a", "b", F.xxhash64("a", "b")).collect()}
-    th = {r[0]: r[1] for r in spark.createDataFrame([(t,) for _, t in units], "x string").distinct().select("x", F.xxhash64("x")).collect()}
+BLANK = " \n\t\r"
+TOKENS = re.compile(r"(?<=[ \t\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\U0010FFFF])(?=\S)")
+
+
+def is_passage(us, s, e, min_chars, min_tokens):
+    whole = sum(k in (0, len(us)) or re.search(r"(\n|[.!?] )\Z", us[k - 1]) is not None for k in range(s, e + 1)) > 2
+    return len("".join(us[s:e])) >= min_chars and (whole or len(TOKENS.split("".join(us[s:e]))) >= min_tokens)
+
+
+def brute_lines(spark, rows, min_chars=50, min_tokens=25):
+    """The rule on lists; the cut of long lines and the hashes of lines, gaps
+    and texts are taken from Spark, texts are compared themselves."""
+    texts = sorted({t for _, t, *_ in rows if t is not None})
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    df = df.select("x", F.xxhash64("x").alias("th"), linededup.fine_units(F.col("x")).alias("u"))
+    df = df.withColumn("h", F.transform("u", lambda u: F.xxhash64(F.btrim(u, F.lit(BLANK)))))
+    g = F.transform(F.sequence(F.lit(1), F.size("h") - 1), lambda i: F.xxhash64(F.get("h", i - 1), F.get("h", i)))
+    of = {r["x"]: (r["th"], r["u"], r["g"]) for r in df.select("x", "th", "u", F.when(F.size("h") > 1, g).alias("g")).collect()}
+    for t, (_, us, _) in of.items():
+        assert "".join(us) == t
+        cut = [u for u in re.split(r"(?<=\n)|(?<=[.!?] )", t) if u]
+        if all(len(u.encode()) <= linededup.LONG_BYTES for u in cut):
+            assert us == cut
+    pair = {}
+    for t, (_, us, g) in of.items():
+        pair[t] = [(a.strip(BLANK), b.strip(BLANK)) for a, b in zip(us, us[1:])]
+    bounds = {t: [k for k in range(len(g or [])) if k + 1 == len(g) or g[k] <= g[k + 1]] for t, (_, _, g) in of.items()}
+    times = Counter(pair[t][k] for _, t, *_ in rows if t is not None for k in bounds[t])
+    docs = {(i, t) for i, t, *_ in rows if t is not None}
     at = defaultdict(list)
-    for (i, t), us in units.items():
-        b = [u.strip(" \n\t\r") for u in us]
-        for odd in (0, 1):
-            cuts = [0] + [k for k in range(1, len(b)) if g[(h[b[k - 1]], h[b[k]])] & 1 == odd] + [len(b)]
-            for s, e in zip(cuts, cuts[1:]):
-                chunk = "\n".join(b[s:e])
-                if e - s > 1 and len(chunk) >= min_chars:
-                    at[chunk].append((i if i is not None else -(1 << 63), th[t], s, e, (i, t)))
-    gone = defaultdict(set)
+    for i, t in docs:
+        near, b = set(), bounds[t]
+        for n, k in enumerate(b):
+            if times[pair[t][k]] > 1:
+                near |= set(range(b[n - 1] if n else 0, (b[n + 1] if n + 1 < len(b) else k) + 1))
+        for k in near:
+            at[pair[t][k]].append((i if i is not None else -(1 << 63), of[t][0], k, (i, t)))
+    cover = defaultdict(set)
     for occ in at.values():
-        for o in sorted(occ)[1:]:
-            gone[o[4]].update(range(o[2], o[3]))
-    return {k: "".join(u for j, u in enumerate(us) if j not in gone[k]) for k, us in units.items()}
+        for o in sorted(occ, key=lambda o: o[:3])[1:]:
+            cover[o[3]] |= {o[2], o[2] + 1}
+    out = {}
+    for i, t in docs:
+        us, gone, k = of[t][1], set(), 0
+        while k < len(us):
+            e = k
+            while e in cover[i, t]:
+                e += 1
+            if e > k and is_passage(us, k, e, min_chars, min_tokens):
+                gone |= set(range(k, e))
+            k = max(e, k + 1)
+        out[i, t] = "".join(u for j, u in enumerate(us) if j not in gone)
+    return out
 
 
 def test_line_dedup(spark, rows):
-    want = brute_lines(spark, rows, 50)
     df = frame(spark, rows)
-    out = linededup.line_dedup(df)
-    assert out.columns == df.columns + ["_n_units", "_removed"]
-    got = out.select("doc_id", "text", "n_chars", "lang").collect()
-    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((i, want[(i, t)] if t is not None else None) for i, t, *_ in rows)
-    changed = sum(want[(i, t)] != t for i, t, *_ in rows if t is not None)
-    assert 10 < changed < len(rows) // 2
+    for limits in ((50, 25), (0, 0)):
+        want = brute_lines(spark, rows, *limits)
+        out = linededup.line_dedup(df, min_chars=limits[0], min_tokens=limits[1])
+        assert out.columns == df.columns + ["_n_units", "_removed"]
+        got = out.select("doc_id", "text", "n_chars", "lang").collect()
+        assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((i, want[(i, t)] if t is not None else None) for i, t, *_ in rows)
+        changed = sum(want[(i, t)] != t for i, t, *_ in rows if t is not None)
+        assert 10 < changed < len(rows) // 2 or limits == (0, 0)
     assert linededup.line_dedup(empty(spark)).count() == 0
 
 
+def test_line_dedup_columns_of_its_own_names(spark, rows):
+    """_out passes through, _n_units and _removed of the input are replaced."""
+    df = frame(spark, rows).select("*", *[F.lit("x").alias(c) for c in ("_out", "_removed", "_n_units", "_text", "_c0", "at", "cover")])
+    out = linededup.line_dedup(df)
+    assert out.columns == [c for c in df.columns if c not in ("_removed", "_n_units")] + ["_n_units", "_removed"]
+    plain = linededup.line_dedup(frame(spark, rows))
+    assert Counter(map(str, out.select("doc_id", "text", "_removed").collect())) == Counter(map(str, plain.select("doc_id", "text", "_removed").collect()))
+    assert {r["_out"] for r in out.collect()} == {"x"}
+
+
 def test_line_dedup_catches_a_moved_passage(spark):
-    """A passage of eight lines keeps only its first copy, but for its edges."""
+    """A passage of eight lines keeps only its first copy."""
     rows = corpus(seed=4)
     out = linededup.line_dedup(frame(spark, rows)).select("doc_id", "text", "_n_units", "_removed").collect()
     with_passage = [r for r in out if r["doc_id"] is not None and r["doc_id"] < 80 and r["doc_id"] % 5 == 0]
-    assert sum(len(r["_removed"]) for r in with_passage) >= 4 * (len(with_passage) - 1)
+    assert sum(len(r["_removed"]) for r in with_passage) >= 8 * (len(with_passage) - 1)
+
+
+def test_a_hot_chunk_and_hash_collisions(spark, monkeypatch):
+    """A third of all rows share a passage; lines with equal hashes and other
+    bytes are left alone."""
+    rng = np.random.default_rng(4)
+    def line(k):
+        return " ".join(f"w{x}" for x in rng.integers(0, 10**6, k)) + ".\n"
+    passage = "".join(line(9) for _ in range(7))
+    rows = [(i, line(8) + (passage if i % 3 == 0 else line(9)) + line(7), "en", "s", None) for i in range(600)]
+    out = {r["doc_id"]: r["text"] for r in linededup.line_dedup(frame(spark, rows)).select("doc_id", "text").collect()}
+    assert out[0] == rows[0][1] and all(passage[:-1] not in out[i] and len(out[i]) < len(rows[i][1]) - 300 for i in range(3, 600, 3))
+    assert all(out[i] == rows[i][1] for i in range(600) if i % 3)
+    texts = linededup.bucketed(linededup._keyed(frame(spark, rows), "doc_id", "text"), ["_id", "_th"])
+    found = linededup.later_pairs(texts)
+    assert linededup.unequal_lines(texts, found).count() == 0
+    from pyspark.sql import DataFrame
+    h = spark.createDataFrame([(passage.split("\n")[3],)], "x string").select(F.xxhash64("x").alias("h"))
+    assert isinstance(h, DataFrame)
+    monkeypatch.setattr(linededup, "unequal_lines", lambda *_: h)
+    out = {r["doc_id"]: r["text"] for r in linededup.line_dedup(frame(spark, rows)).select("doc_id", "text").collect()}
+    assert all(passage.split("\n")[3] in out[i] and passage.split("\n")[0] not in out[i] for i in range(3, 600, 3))
 
 
 # --- Jaccard ---------------------------------------------------------------------

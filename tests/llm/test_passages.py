@@ -1,50 +1,13 @@
 """Repeated passages inside foreign text (op6)."""
 
 import random
-import re
-from collections import defaultdict
-
-from pyspark.sql import functions as F
 
 from shardforge.llm import linededup
-from tests.llm.util import VOCAB, corpus, empty, frame, sentence
-
-BLANK = " \n\t\r"
-TOKENS = re.compile(r"(?<=[ \t\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\U0010FFFF])(?=\S)")
-
-
-def brute_passages(spark, rows, min_chars, counts):
-    """The rule on lists; only the units and the text hash are taken from Spark."""
-    texts = sorted({t for _, t, *_ in rows if t is not None})
-    df = spark.createDataFrame([(t,) for t in texts], "x string")
-    of = {r[0]: (r[1], r[2]) for r in df.select("x", linededup.fine_units(F.col("x")), F.xxhash64("x")).collect()}
-    assert all("".join(us) == t for t, (us, _) in of.items())
-    at = defaultdict(list)
-    docs = {(i, t) for i, t, *_ in rows if t is not None}
-    for i, t in docs:
-        us, th = of[t]
-        for s, (a, b) in enumerate(zip(us, us[1:])):
-            at[a.strip(BLANK), b.strip(BLANK)].append((i if i is not None else -(1 << 63), th, s, (i, t)))
-    cover = defaultdict(set)
-    for occ in at.values():
-        for o in sorted(occ, key=lambda o: o[:3])[1:]:
-            cover[o[3]] |= {o[2], o[2] + 1}
-    out = {}
-    for i, t in docs:
-        us, gone, k = of[t][0], set(), 0
-        while k < len(us):
-            e = k
-            while e in cover[i, t]:
-                e += 1
-            if e > k and len("".join(us[k:e])) >= min_chars and counts(us, k, e):
-                gone |= set(range(k, e))
-            k = max(e, k + 1)
-        out[i, t] = "".join(u for j, u in enumerate(us) if j not in gone)
-    return out
+from tests.llm.util import VOCAB, frame, sentence
 
 
 def cleaned(spark, rows):
-    out = linededup.passage_dedup(frame(spark, rows)).select("doc_id", "text").collect()
+    out = linededup.line_dedup(frame(spark, rows)).select("doc_id", "text").collect()
     return {r["doc_id"]: r["text"] for r in out}
 
 
@@ -116,21 +79,3 @@ def test_one_unit_passages(spark):
     # the beat repeats inside itself, so its first beats stay
     assert "la di da" in out[200] and "la di" not in out[201]
     assert all(out[300 + c] == rows[-2 + c][1] for c in (0, 1))
-
-
-def test_by_brute_force(spark):
-    rows = corpus()
-    df = frame(spark, rows)
-    out = linededup.passage_dedup(df)
-    assert out.columns == df.columns + ["_n_units", "_removed"]
-    got = out.select("doc_id", "text", "_n_units", "_removed").collect()
-    assert len(got) == len(rows)
-
-    def counts(us, s, e):
-        whole = sum(k in (0, len(us)) or re.search(r"(\n|[.!?] )\Z", us[k - 1]) is not None for k in range(s, e + 1)) > 2
-        return whole or len(TOKENS.split("".join(us[s:e]))) >= 25
-    want = brute_passages(spark, rows, 50, counts)
-    assert sorted(((r[0] or -1, r[1] or "") for r in got)) == sorted((i or -1, want[i, t] if t is not None else "") for i, t, *_ in rows)
-    assert [r for r in got if r["text"] is None and r["doc_id"] != 3000] == []
-    assert 10 < sum(want[i, t] != t for i, t, *_ in rows if t is not None) < len(rows) // 2
-    assert linededup.passage_dedup(empty(spark)).count() == 0

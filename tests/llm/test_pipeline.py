@@ -28,7 +28,7 @@ def test_stages_by_brute_force(spark):
     assert Counter(first) <= Counter(rows)
     assert {3000, 3001, 3002} & {r[0] for r in first} == set() and len(first) >= len(rows) - 6
 
-    want = brute_lines(spark, first, 50)
+    want = brute_lines(spark, first)
     second = rows_of(stage["line_dedup"](spark, frame(spark, first), SF_SMALL))
     expect = [(i, want[(i, t)]) for i, t, *_ in first if want[(i, t)].strip()]
     assert Counter((r[0], r[1]) for r in second) == Counter(expect)
