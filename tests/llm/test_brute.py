@@ -264,7 +264,7 @@ def test_line_dedup_catches_a_moved_passage(spark):
     rows = corpus(seed=4)
     out = linededup.line_dedup(frame(spark, rows)).select("doc_id", "text", "_n_units", "_removed").collect()
     with_passage = [r for r in out if r["doc_id"] is not None and r["doc_id"] < 80 and r["doc_id"] % 5 == 0]
-    assert sum(len(r["_removed"]) for r in with_passage) >= 8 * (len(with_passage) - 1)
+    assert sum(len(r["_removed"]) for r in with_passage) >= 8 * (len(with_passage) - 3)     # the first document is there three times
 
 
 def test_a_hot_chunk_and_hash_collisions(spark, monkeypatch):
