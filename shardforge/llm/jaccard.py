@@ -23,11 +23,13 @@ trees are therefore grown inside cells that an exact argument provides:
 * Trees. Cells whose members still lie in several components are searched with
   an R-tree of count vectors each, from the root down: pairs of boxes that can't
   reach the overlap, or below which everything is connected, are left out, and
-  so are point pairs. Members with a surviving pair get their full sets, and
-  the tree is gone through again with pairs verified at once, inside the task, and only links that join two components leave it: fewer than
-  the members. Cells of many members are cut into tiles; first each tile is
-  searched by itself, and when these links are contracted, tiles of cells that
-  are still open meet pairwise in different tasks.
+  so are point pairs. What survives joins points into groups of candidates; a
+  task puts out fewer edges than it has points.
+* Verification. Each group gets its full sets once and a tree of its own, whose
+  surviving pairs are verified at once, inside the task; only links that join
+  two components leave it. Cells and groups of many members, or many bytes, are
+  cut into tiles; first each tile is searched by itself, and when its edges are
+  contracted, the tiles that are still open meet pairwise in different tasks.
 
 Equal sets are one node from the start, so groups of copies cost one row per
 map batch. Sets are read again, for the nodes in shared cells only. Shingles
@@ -330,17 +332,19 @@ def _leaf_bounds(n, vec, root, side, a, b, percent: int) -> np.ndarray:
     return np.triu(ok, 1) if a[0] == b[0] else ok
 
 
-def tile_candidates(n: np.ndarray, vec: np.ndarray, comp: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
-    """Which points of a cell (or of two tiles of it) have a partner that the
-    bounds allow; the others need no sets."""
-    mark = np.zeros(len(n), bool)
-    for a, b in CountTree(n, vec).leaf_pairs(percent, _apart(comp, side)):
-        if mark[a].all() and mark[b].all():
-            continue
-        ok = _leaf_bounds(n, vec, comp, side, a, b, percent)
-        mark[a] |= ok.any(axis=1)
-        mark[b] |= ok.any(axis=0)
-    return mark
+def tile_forest(n: np.ndarray, vec: np.ndarray, comp: np.ndarray, group: np.ndarray, side: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Edges that join the points of a cell (or of two tiles of it) into groups
+    of candidates: pairs of different components that the bounds allow, as far
+    as their groups differ; at most one edge less than points."""
+    root = np.unique(group, return_inverse=True)[1]
+    by_comp, by_root = _apart(comp, side), _apart(root, side)
+    for a, b in CountTree(n, vec).leaf_pairs(percent, lambda a, b: by_root(a, b) and by_comp(a, b)):
+        ok = _leaf_bounds(n, vec, comp, side, a, b, percent) & (root[a][:, None] != root[b][None, :])
+        for x, y in zip(*np.nonzero(ok)):
+            i, j = int(a[x]), int(b[y])
+            if root[i] != root[j]:
+                root[root == root[j]] = root[i]
+                yield i, j
 
 
 def tile_links(n: np.ndarray, vec: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: Callable[[int], np.ndarray],
@@ -392,23 +396,13 @@ def _tiles(work: Callable) -> Callable:
     return run
 
 
-def _candidates(percent: int) -> Callable:
-    """The rows that have a candidate partner in their tile."""
-    def work(t, runs, n, vec, comp, side):
-        mark = np.zeros(t.num_rows, bool)
-        for lo, hi in runs:
-            mark[lo:hi] = tile_candidates(n[lo:hi], vec[lo:hi], comp[lo:hi], side[lo:hi], percent)
-        yield from t.filter(pa.array(mark)).to_batches()
-    return _tiles(work)
-
-
-def _search(percent: int) -> Callable:
-    """Verified links of each tile."""
+def _edges(found: Callable) -> Callable:
+    """A task that puts out pairs of set ids; ``found(table, slice, columns)``
+    gives pairs of places of one tile."""
     def work(t, runs, n, vec, comp, side):
-        sid, tokens, got = t["sid"].to_numpy(), t["tokens"], []
+        sid, got = t["sid"].to_numpy(), []
         for lo, hi in runs:
-            for x, y in tile_links(n[lo:hi], vec[lo:hi], comp[lo:hi], side[lo:hi],
-                                   lambda i, lo=lo: np.frombuffer(tokens[lo + i].as_buffer(), U), percent):
+            for x, y in found(t, slice(lo, hi), n[lo:hi], vec[lo:hi], comp[lo:hi], side[lo:hi]):
                 got.append((min(sid[lo + x], sid[lo + y]), max(sid[lo + x], sid[lo + y])))
         if got:
             a, b = zip(*got)
@@ -416,6 +410,19 @@ def _search(percent: int) -> Callable:
     return _tiles(work)
 
 
+def _gather(percent: int) -> Callable:
+    """Edges of groups of candidates."""
+    return _edges(lambda t, at, n, vec, comp, side: tile_forest(n, vec, comp, t["grp"].to_numpy()[at], side, percent))
+
+
+def _search(percent: int) -> Callable:
+    """Verified links of each tile."""
+    def found(t, at, n, vec, comp, side):
+        tokens = t["tokens"]
+        return tile_links(n, vec, comp, side, lambda i: np.frombuffer(tokens[at.start + i].as_buffer(), U), percent)
+    return _edges(found)
+
+
 # --- the join ----------------------------------------------------------------
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -450,42 +457,62 @@ def links(docs: DataFrame, measured: DataFrame, percent: int, width: int) -> Dat
     points = stored(sets.select("sid", "n", "vec").dropDuplicates(["sid"]), "points")
     near = stored(_bounded(stars, points, percent), "stars")
     first = written(connected_components(_verified(near, sets, percent)))
+    # groups of candidates from the cells, then links from the groups: a pair
+    # may share many cells, but lies in one group
+    groups = first.limit(0)
+    for across in (False, True):
+        groups = _contracted(groups, _from_cells(members, points, first, groups, percent, across))
     known = first
     for across in (False, True):
-        known = _contracted(known, _tree_links(members, points, sets, known, percent, across))
+        known = _contracted(known, _from_groups(groups, sets, known, percent, across))
     return known
 
 
-def _tree_links(members: DataFrame, points: DataFrame, sets: DataFrame, known: DataFrame, percent: int, across: bool) -> DataFrame:
-    """Links found by the trees in cells whose members aren't all connected:
-    inside each tile of a cell, or between two tiles of one."""
-    placed = (members.join(known.withColumnRenamed("node", "sid"), "sid", "left")
-              .select("cell", "m", "sid", F.coalesce("comp", "sid").alias("comp")))
-    open_cells = placed.groupBy("cell").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q").select("cell")
-    placed = placed.join(open_cells, "cell")
-    largest = placed.join(points.select("sid", "n"), "sid").groupBy("cell").agg(F.max("n").alias("n"), F.max("m").alias("m"))
-    # a tile has a bounded number of members and of bytes
-    tiles = largest.select("cell", F.greatest(F.ceil(F.col("m") / TILE), F.ceil(F.col("m") * F.col("n") * 8 / TILE_BYTES)).cast("int").alias("tiles"))
+def _tiled(rows: DataFrame, across: bool) -> DataFrame:
+    """Rows (cell, n, sid, ...) dealt to tiles of a bounded number of members
+    and bytes: each tile by itself, or every two tiles of a cell."""
+    tiles = (rows.groupBy("cell").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("m"))
+             .select("cell", F.greatest(F.ceil(F.col("m") / TILE), F.ceil(F.col("m") * F.col("n") * 8 / TILE_BYTES)).cast("int").alias("tiles")))
     if across:
         tiles = tiles.where("tiles > 1")
-    tiled = placed.join(tiles, "cell").withColumn("t", F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("int"))
+    out = rows.join(tiles, "cell").withColumn("t", F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("int"))
     if across:
-        tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where("t <> other")
+        out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where("t <> other")
     else:
-        tiled = tiled.withColumn("other", F.col("t"))
-    tiled = tiled.select("cell", F.least("t", "other").alias("lo"), F.greatest("t", "other").alias("hi"), "sid", "comp",
-                         F.when(F.col("t") > F.col("other"), 1).otherwise(0).alias("side"))
+        out = out.withColumn("other", F.col("t"))
+    return out.withColumns({"lo": F.least("t", "other"), "hi": F.greatest("t", "other"),
+                            "side": F.when(F.col("t") > F.col("other"), 1).otherwise(0)}).drop("t", "other", "tiles")
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """The rows of cells whose members lie in several components."""
+    several = rows.groupBy("cell").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q").select("cell")
+    return rows.join(several, "cell")
+
+
+def _dealt(tiled: DataFrame) -> DataFrame:
     key = ["cell", "lo", "hi"]
-    rows = tiled.join(points, "sid").select(*key, "sid", "n", "comp", "side", "vec")
-    some = stored(rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(_candidates(percent), rows.schema), "candidates")
-    # a pair that doesn't link may share many cells: tiles that are left with
-    # the same members are searched once
-    tile = some.groupBy(*key).agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("sid", "side")).alias("x"), F.bit_xor(F.xxhash64("side", "sid")).alias("y"))
-    once = tile.groupBy("k", "x", "y").agg(F.min(F.struct(*key)).alias("t")).select("t.*")
-    some = some.join(once, key)
-    # only these rows need their sets
-    full = some.join(sets.select("sid", "tokens").dropDuplicates(["sid"]), "sid").select(*rows.columns, "tokens")
-    return full.repartition(*key).sortWithinPartitions(*key).mapInArrow(_search(percent), "a bigint, b bigint")
+    return tiled.repartition(*key).sortWithinPartitions(*key)
+
+
+def _named(known: DataFrame, name: str) -> DataFrame:
+    return known.select(F.col("node").alias("sid"), F.col("comp").alias(name))
+
+
+def _from_cells(members: DataFrame, points: DataFrame, known: DataFrame, groups: DataFrame, percent: int, across: bool) -> DataFrame:
+    rows = (members.select("cell", "sid").join(_named(known, "comp"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid")))
+    rows = _open(rows).join(points.select("sid", "n"), "sid")
+    tiled = _tiled(rows, across).join(_named(groups, "grp"), "sid", "left").withColumn("grp", F.coalesce("grp", "sid"))
+    tiled = tiled.join(points.select("sid", "vec"), "sid").select("cell", "lo", "hi", "sid", "n", "comp", "grp", "side", "vec")
+    return _dealt(tiled).mapInArrow(_gather(percent), "a bigint, b bigint").distinct()
+
+
+def _from_groups(groups: DataFrame, sets: DataFrame, known: DataFrame, percent: int, across: bool) -> DataFrame:
+    size = sets.select("sid", "n", "vec", "tokens").dropDuplicates(["sid"])
+    rows = _named(groups, "cell").join(_named(known, "comp"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    rows = _open(rows).join(sets.select("sid", "n").dropDuplicates(["sid"]), "sid")
+    tiled = _tiled(rows, across).drop("n").join(size, "sid").select("cell", "lo", "hi", "sid", "n", "comp", "side", "vec", "tokens")
+    return _dealt(tiled).mapInArrow(_search(percent), "a bigint, b bigint")
 
 
 def _contracted(known: DataFrame, more: DataFrame) -> DataFrame:

@@ -401,6 +401,13 @@ def test_tree_links_connect_what_all_pairs_connect(across):
     pairs = {(int(x), int(y)) for x, y in zip(root, got)}
     assert len({x for x, _ in pairs}) == len({y for _, y in pairs}) == len(pairs)
     assert len(jaccard.CountTree(n, vec).levels) >= 3      # leaves, boxes of leaves, a root
+    # the groups of candidates hold every link, with fewer edges than points
+    edges = list(jaccard.tile_forest(n, vec, comp, comp, side, 85))
+    grp = np.arange(len(sets))
+    for i, j in edges:
+        assert grp[i] != grp[j]
+        grp[grp == grp[j]] = grp[i]
+    assert len(edges) < len(sets) and all(grp[i] == grp[j] for i, j in links)
 
 
 def test_search_output_is_linear_in_the_members(spark):
