@@ -3,9 +3,10 @@
 A rolling hash over the last seven bytes of the UTF-8 text triggers a chunk
 end wherever it equals block - 1 modulo the block size; every chunk adds one
 of 64 characters, chosen by the chunk's own hash, to the signature. The block
-size is the least 3 * 2^k that lets 64 chunks of that size cover the text, and
-the signature for twice the block size is kept too, so that texts whose sizes
-differ by a factor of two share a block size. What follows the 63rd chunk end
+size is the least 3 * 2^k that lets 64 chunks of that size cover the text; it
+is halved while the signature has fewer than 32 characters, as in repetitive
+texts with few different windows. The signature for twice the block size is kept
+too, so that texts whose sizes differ by a factor of two share a block size. What follows the 63rd chunk end
 is one last chunk. The fingerprint is ``block:signature:signature of 2 * block``.
 
 Likeness of two fingerprints is 1 - d / (length sum) of the signatures at an
@@ -81,7 +82,11 @@ def fingerprint(text: str) -> str:
     for lo in range(0, len(data), CUT):
         back = max(0, lo - WINDOW + 1)
         roll[lo:lo + CUT] = rolling(data[back:lo + CUT])[lo - back:]
-    return f"{block}:{signature(data, roll, block)}:{signature(data, roll, 2 * block)}"
+    own, double = signature(data, roll, block), signature(data, roll, 2 * block)
+    while block > MIN_BLOCK and len(own) < SIG // 2:
+        block //= 2
+        own, double = signature(data, roll, block), own
+    return f"{block}:{own}:{double}"
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -192,9 +197,11 @@ def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: st
     # one first and one last row for each partition: the last is paired with
     # the first of the next partition, the last of all with the first of all
     ends = done.where("part is not null").select("doc_id", "fingerprint", "part", "place", "text")
-    by_place = Window.orderBy("part", "place")
-    pairs = ends.select(
-        "*", F.coalesce(F.lead("text").over(by_place), F.first("text").over(by_place)).alias("donor"),
-        F.coalesce(F.lead("fingerprint").over(by_place), F.first("fingerprint").over(by_place)).alias("donor_print"),
-    ).where("place = 1").select("doc_id", "text", "fingerprint", "donor", "donor_print")
+    by_part = Window.orderBy("part")
+    # the window sees part numbers only; the texts come by a join on them
+    following = ends.where("place = 0").select("part").select(
+        "part", F.coalesce(F.lead("part").over(by_part), F.first("part").over(by_part)).alias("next_part"))
+    donors = ends.where("place = 0").select(F.col("part").alias("next_part"), F.col("text").alias("donor"), F.col("fingerprint").alias("donor_print"))
+    pairs = (ends.where("place = 1").select("part", "doc_id", "text", "fingerprint").join(following, "part").join(donors, "next_part")
+             .select("doc_id", "text", "fingerprint", "donor", "donor_print"))
     return closed.unionByName(pairs.mapInArrow(_close, COLS))

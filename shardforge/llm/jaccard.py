@@ -156,7 +156,7 @@ def _measure(width: int) -> Callable:
             for lo, part in slices(string_array(batch.column(1))):
                 for i, s in enumerate(shingle_sets(part, width)):
                     n[lo + i], sid[lo + i] = len(s), set_id(s)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sid)], names=["doc_id", "n", "sid"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sid), batch.column(2)], names=["doc_id", "n", "sid", "th"])
     return run
 
 
@@ -526,15 +526,35 @@ def _contracted(known: DataFrame, more: DataFrame) -> DataFrame:
     return written(merged.unionByName(alone))
 
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5) -> DataFrame:
+    """id and text hash (xxhash64, null text as empty) of the document that
+    stays of each component: the smallest id, then the smallest hash. A null id
+    is the smallest; documents without words stay."""
+    rows = _components(docs, id_col, text_col, percent, width)
+    place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.col("th").alias("text_hash"))
+    some = rows.where("comp is not null").groupBy("comp").agg(F.min(place).alias("w")).select("w.*")
+    return some.unionByName(rows.where("comp is null").select(place.alias("w")).select("w.*").distinct())
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
+    rows = _components(docs, id_col, text_col, percent, width)
+    some = rows.where("comp is not null").select("doc_id", "n_shingles", "comp")
+    lowest = some.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    return (some.join(written(lowest), "comp").select("doc_id", "n_shingles", "component_id")
+            .unionByName(rows.where("comp is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))))
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, percent: int, width: int) -> DataFrame:
+    """doc_id, th (text hash), n_shingles, comp (null without shingles) of
+    every row, written once."""
     prepared(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
-    measured = stored(rows.select("doc_id", text_or_empty(F.col("_text")).alias("text"))
-                      .mapInArrow(_measure(width), "doc_id bigint, n bigint, sid bigint"), "measured")
+    text = text_or_empty(F.col("_text"))
+    measured = stored(rows.select("doc_id", text.alias("text"), F.xxhash64(text).alias("th"))
+                      .mapInArrow(_measure(width), "doc_id bigint, n bigint, sid bigint, th bigint"), "measured")
     linked = links(rows, measured.where("n > 0"), percent, width)
     some = (measured.where("n > 0").join(linked.withColumnRenamed("node", "sid"), "sid", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "sid").alias("comp")))
-    lowest = some.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    return (written(some).join(written(lowest), "comp").select("doc_id", "n_shingles", "component_id")
-            .unionByName(measured.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))))
+            .select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("comp", "sid").alias("comp")))
+    none = measured.where("n = 0").select("doc_id", "th", F.col("n").alias("n_shingles"), F.lit(None).cast("bigint").alias("comp"))
+    return written(some.unionByName(none))

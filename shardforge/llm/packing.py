@@ -41,10 +41,13 @@ def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity
     order: list[tuple[int, int]] = []   # (room, bin), ascending
     cluster_bits: list[int] = []
     source_bits: list[list[int]] = []   # per bin, one bitmap per piece allowed of a source
-    out = []
+    out, last = [], None
     for size, source, cluster in zip(sizes, sources, clusters):
         s, c = 1 << source, (1 << cluster) if cluster >= 0 else 0
-        i = bisect_left(order, (size, -1))
+        # a piece like the one before it (equal rows follow each other) can't
+        # use what that one passed over, nor the bin that it took
+        start = last[1] if last is not None and last[0] == (size, source, cluster) else (size, -1)
+        i = bisect_left(order, start)
         while i < len(order):
             b = order[i][1]
             if not cluster_bits[b] & c and not source_bits[b][-1] & s:
@@ -52,8 +55,10 @@ def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity
             i += 1
         if i < len(order):
             room, b = order.pop(i)
+            last = ((size, source, cluster), (room, b)) if c else None
         else:
             room, b = capacity, len(cluster_bits)
+            last = ((size, source, cluster), (capacity, b + 1)) if c else None
             cluster_bits.append(0)
             source_bits.append([0] * per_source)
         cluster_bits[b] |= c
@@ -77,7 +82,8 @@ def pack_group(key, t: pa.Table, capacity: int, per_source: int) -> pa.Table:
     codes = t["source"].combine_chunks().dictionary_encode()
     source = codes.indices.fill_null(len(codes.dictionary)).to_numpy(zero_copy_only=False)
     _, cluster, times = np.unique(digest.astype(str), return_inverse=True, return_counts=True)
-    order = np.lexsort((digest.astype(str), ids, -rest))
+    # copies of one source follow each other
+    order = np.lexsort((ids, source, digest.astype(str), -rest))
     order = order[rest[order] > 0]
     # a cluster of one piece can't conflict and needs no bit
     shared = np.flatnonzero(times > 1)
@@ -116,6 +122,10 @@ def best_fit_packing(docs: DataFrame, id_col: str = "doc_id", source_col: str =
     text = text_or_empty(F.col(text_col))
     digest = F.md5(text.cast("binary"))
     small = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-                        word_count(text).alias("n_words"), digest.alias("cluster"),
-                        F.pmod(F.xxhash64(F.col(id_col), digest), F.lit(groups)).alias("grp"))
+                        word_count(text).alias("n_words"), digest.alias("cluster"))
+    # equal rows are merged and numbered, so that they don't all meet in one group
+    kind = ["doc_id", "source", "n_words", "cluster"]
+    small = (small.groupBy(*kind).agg(F.count(F.lit(1)).alias("times"))
+             .select(*kind, F.explode(F.sequence(F.lit(1).cast("bigint"), "times")).alias("copy")))
+    small = small.select(*kind, F.pmod(F.xxhash64("doc_id", "cluster", "copy"), F.lit(groups)).alias("grp"))
     return small.groupBy("grp").applyInArrow(lambda key, t: pack_group(key, t, capacity, per_source), SCHEMA)

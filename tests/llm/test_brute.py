@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shardforge.llm import chat, exact_dedup, fingerprints, jaccard, linededup, lm, mixing, packing
 from shardforge.llm.components import connected_components
-from tests.llm.util import corpus, empty, frame, words
+from tests.llm.util import corpus, empty, frame, sentence, words
 
 
 @pytest.fixture(scope="module")
@@ -159,6 +160,91 @@ def test_fingerprints(spark, rows):
     assert fingerprints.likeness(fingerprints.fingerprint(rows[1][1]), fingerprints.fingerprint(rows[1][1] + " more")) > 0.7
 
 
+def slow_print(text):
+    """The fingerprint with Python integers only, byte by byte."""
+    mask, data = (1 << 64) - 1, text.encode("utf-8", "replace")
+
+    def mixed(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & mask
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+    byte = [mixed((b + 1) * 0x9E3779B97F4A7C15 & mask) for b in range(256)]
+    roll = []
+    for at in range(len(data)):
+        window = data[max(0, at - 6):at + 1]
+        roll.append(mixed(sum(byte[b] << k for k, b in enumerate(reversed(window))) & mask) >> 20 & 0xFFFFFFFF)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+    def signature(block):
+        out, start = "", 0
+        for at, r in enumerate(roll):
+            last = at + 1 == len(data)
+            if last or (r % block == block - 1 and len(out) < 63):
+                out += letters[hashlib.blake2b(data[start:at + 1], digest_size=4).digest()[0] & 63]
+                start = at + 1
+        return out
+    block = 3
+    while block * 64 < len(data):
+        block *= 2
+    while block > 3 and len(signature(block)) < 32:
+        block //= 2
+    return f"{block}:{signature(block)}:{signature(2 * block)}"
+
+
+def slow_likeness(x, y):
+    def edit(a, b):      # insertions and deletions
+        row = list(range(len(b) + 1))
+        for i, p in enumerate(a):
+            nxt = [i + 1]
+            for j, q in enumerate(b):
+                nxt.append(row[j] if p == q else 1 + min(row[j + 1], nxt[j]))
+            row = nxt
+        return row[-1]
+
+    def pair(a, b):
+        n = min(4, len(a), len(b))
+        if not n or not {a[i:i + n] for i in range(len(a) - n + 1)} & {b[i:i + n] for i in range(len(b) - n + 1)}:
+            return 0.0
+        return 1 - edit(a, b) / (len(a) + len(b))
+    if x == y:
+        return 1.0
+    at = [dict(zip((int(v.split(":")[0]), 2 * int(v.split(":")[0])), v.split(":")[1:])) for v in (x, y)]
+    return max([pair(at[0][b], at[1][b]) for b in at[0] if b in at[1]], default=0.0)
+
+
+def test_fingerprints_by_an_independent_version(spark, rows):
+    some = [r for r in rows if r[1] is None or len(r[1]) < 6000]
+    line = sentence(random.Random(1), 9)
+    some += [(9000 + k, "\n".join([line] * n), "en", "s", None) for k, n in enumerate((2, 50, 300))]
+    prints = {t or "": slow_print(t or "") for _, t, *_ in some}
+    got = fingerprints.fingerprint_neighbours(frame(spark, some), part_chars=3000).collect()
+    order = sorted(some, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""), reverse=True)
+    want = []
+    for (i, t, *_), (_, nxt, *_) in zip(order, order[1:] + order[:1]):
+        t, nxt = t or "", nxt or ""
+        n = len(t) // 2
+        new = slow_print(t[:len(t) - n] + nxt[:n])
+        want.append((i, prints[t], new, round(slow_likeness(prints[t], new), 9), round(slow_likeness(prints[t], prints[nxt]), 9)))
+    assert Counter(want) == Counter((r["doc_id"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got)
+
+
+def test_repetitive_texts_keep_a_signature():
+    """A repeated line of many different windows has a signature worth comparing."""
+    rng = random.Random(2)
+    short = [len(fingerprints.fingerprint("\n".join([sentence(rng, 12)] * n)).split(":")[1]) for n in (50, 500) for _ in range(30)]
+    assert sum(x < 20 for x in short) <= 2
+
+
+def test_equal_rows_pack_in_linear_time():
+    """20,000 equal pieces conflict with each other: a bin each, without a walk over all bins."""
+    import time
+    t0 = time.time()
+    bins = packing.best_fit([3] * 20000 + [2] * 20000, [0] * 40000, [0] * 20000 + [1] * 20000, 2048, 4)
+    assert len(set(bins[:20000])) == 20000 and set(bins[20000:]) == set(bins[:20000]) and time.time() - t0 < 5
+
+
 def test_common_subsequence():
     def slow(a, b):
         d = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]

@@ -1,5 +1,6 @@
 """The pipeline's stages, each against a brute-force version of its decision."""
 
+import random
 from collections import Counter
 
 import corpus_pipeline as cp
@@ -58,3 +59,14 @@ def test_run_equals_its_stages(spark):
     ran = cp.run(spark, SF_SMALL)
     assert Counter(map(tuple, ran.collect())) == Counter(map(tuple, out.collect()))
     assert ran.select("doc_id").distinct().count() > 100
+
+
+def test_near_duplicates_with_repeated_ids(spark):
+    """One id with two texts: a near copy of another document goes, the other text stays."""
+    rng = random.Random(7)
+    a, b = (" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(60)) for _ in range(2))
+    rows = [(3, a, "en", "s", 1), (5, a + " tail", "en", "s", 1), (5, b, "en", "s", 1), (5, b, "en", "s", 1), (3, a + " end", "en", "s", 1),
+            (7, None, "en", "s", 0), (7, "", "en", "s", 0)]
+    out = [(r[0], r[1]) for r in rows_of(dict(cp.STAGES)["near_duplicates"](spark, frame(spark, rows), SF_SMALL))]
+    kept = [r for r in out if r[1]]
+    assert len(out) == 3 and sorted(i for i, _ in kept) == [3, 5] and (5, b) in kept and kept != [(5, a + " tail")]
