@@ -25,8 +25,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines are taken out; a document of which nothing
-    stays goes. n_chars follows the text."""
+    """Repeated passages are taken out; a document of which nothing stays
+    goes. n_chars follows the text."""
     out = linededup.line_dedup(docs)
     emptied = (F.size("_removed") > 0) & (F.length(F.btrim("text", F.lit(linededup.BLANK))) == 0)
     n = F.when(F.size("_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
@@ -35,14 +35,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of documents with a Jaccard similarity of 0.8 on
-    five-word shingles, the one with the smallest id stays. Rows repeated with
-    the same id and text count once."""
+    five-word shingles, the one with the smallest id stays (of equal ids, the
+    one with the smallest text hash). Rows repeated with the same id and text
+    count once."""
     low = F.lit(-(1 << 63))
-    found = jaccard.jaccard_components(docs, percent=80, width=5)
-    keep = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.coalesce("doc_id", low).alias("_id")).distinct())
+    keep = jaccard.representatives(docs, percent=80, width=5).select(F.col("id").alias("_id"), F.col("text_hash").alias("_th"))
     keyed = docs.select(*COLUMNS, F.coalesce("doc_id", low).alias("_id"), F.xxhash64(text_or_empty(F.col("text"))).alias("_th"))
-    return keyed.join(keep, "_id").dropDuplicates(["_id", "_th"]).select(*COLUMNS)
+    return keyed.join(keep, ["_id", "_th"]).dropDuplicates(["_id", "_th"]).select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
