@@ -23,8 +23,8 @@ Over the whole table:
    words. These two say what counts as a passage; with 0 every repeated run of
    two lines goes. Each removed line stands at an earlier place too.
 
-The texts move once, into a table bucketed by document; every later step reads
-it in place, and only hashes, positions and the texts of repeated lines move. A
+The texts move once, into a table bucketed by document, and so are their line
+hashes; every later step reads them in place, and only hashes, positions and the texts of repeated lines move. A
 hot chunk is one row per map task in the aggregations, and its places meet one
 row in joins that the adaptive skew join can split. All steps are DataFrame
 functions.
@@ -48,7 +48,10 @@ from shardforge.session import checkpoint_dir, estimated_bytes
 
 BLANK = " \n\t\r"
 # a line ends with a newline, or with a sentence mark and a space
-LINE = r"(?s).*?(?:\n|[.!?] |\z)"
+LINE = r"[^\n.!?]*+(?:[.!?]++(?![ \n])[^\n.!?]*+)*+(?:[.!?]*+(?:\n|(?<=[.!?]) )|[.!?]*+\z)"
+# words whose last letter and next first letter are of this class part a long line
+ODD = "[acegikmoqsuwyACEGIKMOQSUWY13579]"
+PART = rf"(?s).*?(?:{ODD}[,;:]? (?={ODD})|\z)"
 # a token ends after blanks, or is one character of a script without blanks
 TOKENS = r"(?<=[ \t]|[฀-໿က-႟ក-៿⺀-￿\x{10000}-\x{10FFFF}])(?=\S)"
 LONG_BYTES, LONG = 160, 8
@@ -62,8 +65,23 @@ def _span(arr: Column, s: Column, e: Column) -> Column:
     return F.slice(arr, s + 1, e - s)
 
 
+def _long(unit: Column) -> Column:
+    return F.octet_length(unit) > LONG_BYTES
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    return F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda u: u != "")
+
+
+def _parts(unit: Column) -> Column:
+    """A long line, cut where letters of one class meet across a blank (pieces
+    of about five words), and what is still long by hashes."""
+    return F.when(~_long(unit), F.array(unit)).otherwise(let(_matches(unit, PART), lambda u: F.when(
+        F.exists(u, _long), F.flatten(F.transform(u, _pieces))).otherwise(u)))
+
+
 def _pieces(unit: Column) -> Column:
-    """A long line, cut at the gaps whose hash of the tokens beside them is
+    """A long piece, cut at the gaps whose hash of the tokens beside them is
     the least of five in a row. The smallest hash of a stretch always cuts, so
     periodic text is cut too; pieces have about five tokens."""
     def cut(t):
@@ -77,13 +95,12 @@ def _pieces(unit: Column) -> Column:
                 b, F.concat(F.slice(b, 2, F.size(b)), F.array(n)), lambda s, e: F.array_join(_span(t, s, e), "")))
         gaps = F.zip_with(F.slice(t, 1, n - 1), F.slice(t, 2, n - 1), lambda x, y: F.xxhash64(_bare(x), _bare(y)))
         return F.when(n <= LONG, F.array(unit)).otherwise(let(gaps, by_hash))
-    return F.when(F.octet_length(unit) <= LONG_BYTES, F.array(unit)).otherwise(let(F.split(unit, TOKENS, -1), cut))
+    return F.when(~_long(unit), F.array(unit)).otherwise(let(F.split(unit, TOKENS, -1), cut))
 
 
 def fine_units(text: Column) -> Column:
     """The lines of a text, the long ones cut further between words."""
-    lines = F.filter(F.regexp_extract_all(text, F.lit(LINE), F.lit(0)), lambda u: u != "")
-    return let(lines, lambda u: F.when(F.exists(u, lambda x: F.octet_length(x) > LONG_BYTES), F.flatten(F.transform(u, _pieces))).otherwise(u))
+    return let(_matches(text, LINE), lambda u: F.when(F.exists(u, _long), F.flatten(F.transform(u, _parts))).otherwise(u))
 
 
 # --- tables ------------------------------------------------------------------
@@ -97,24 +114,40 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(-(1 << 63))).alias("_id"), F.xxhash64(text).alias("_th"))
 
 
-def bucketed(df: DataFrame, keys: list[str], bucket_bytes: int = 64 << 20) -> DataFrame:
-    """``df`` as a table of the shared folder that is bucketed by ``keys``:
-    joins and groups by them read it without a shuffle."""
+KEYS = ["_id", "_th"]
+
+
+def bucketed(df: DataFrame, n: int) -> DataFrame:
+    """``df`` as a table of the shared folder in ``n`` buckets of documents:
+    joins and groups by document read it without a shuffle."""
     spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), estimated_bytes(df) // bucket_bytes)
     name = f"line_dedup_{uuid.uuid4().hex[:12]}"
-    (df.repartition(n, *keys).write.bucketBy(n, *keys).option("compression", "zstd")
+    (df.write.bucketBy(n, *KEYS).option("compression", "zstd")
      .option("path", f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}").saveAsTable(name))
     return spark.table(name)
 
 
-def _hashes(texts: DataFrame, *keep: str) -> DataFrame:
-    """h (hash of each line) and g (rolling hash of each gap)."""
-    a = held(texts.select("_id", "_th", "_text", *keep).where("_text is not null"), "h",
-             F.transform(fine_units(F.col("_text")), lambda u: F.xxhash64(_bare(u))))
+def tables(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int = 64 << 20) -> tuple[DataFrame, DataFrame]:
+    """The texts, and the hashes of their lines, in equal buckets. The texts
+    move once; their hashes are written where they lie."""
+    keyed = _keyed(docs, id_col, text_col)
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), estimated_bytes(keyed) // bucket_bytes)
+    texts = bucketed(keyed.repartition(n, *KEYS), n)
+    return texts, bucketed(line_hashes(texts), n)
+
+
+def line_hashes(texts: DataFrame) -> DataFrame:
+    """_id, _th, h (hash of each line) of the texts with two lines or more."""
+    h = F.transform(fine_units(F.col("_text")), lambda u: F.xxhash64(_bare(u)))
+    a = texts.select("_id", "_th", "_text").where("_text is not null").select("_id", "_th", h.alias("h"))
+    return a.where(F.size("h") > 1)
+
+
+def _gaps(hashes: DataFrame, *keep: str) -> DataFrame:
+    """h and g, the rolling hash of each gap."""
     n = F.size("h")
-    a = a.select("_id", "_th", "h", *keep).where(n > 1)
-    return held(a, "g", F.zip_with(F.slice("h", 1, n - 1), F.slice("h", 2, n - 1), lambda x, y: F.xxhash64(x, y)))
+    return held(hashes.select("_id", "_th", "h", *keep), "g",
+                F.zip_with(F.slice("h", 1, n - 1), F.slice("h", 2, n - 1), lambda x, y: F.xxhash64(x, y)))
 
 
 def boundaries(g: Column) -> Column:
@@ -122,32 +155,32 @@ def boundaries(g: Column) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda i: F.get(g, i) <= F.coalesce(F.get(g, i + 1), F.lit((1 << 63) - 1)))
 
 
-def chunk_rows(texts: DataFrame) -> DataFrame:
+def chunk_rows(hashes: DataFrame) -> DataFrame:
     """_id, _th, ch, at, lo, hi: each chunk with the boundaries beside it (or
     the first and last gap)."""
-    a = _hashes(texts)
+    a = _gaps(hashes)
     a = held(a.select("_id", "_th", "g"), "b", boundaries(F.col("g")))
     c = F.transform("b", lambda x, i: F.struct(
         x.alias("at"), F.coalesce(F.get("b", i - 1), F.lit(0)).alias("lo"), F.coalesce(F.get("b", i + 1), x).alias("hi"), F.get("g", x).alias("ch")))
     return a.select("_id", "_th", F.explode(c).alias("x")).select("_id", "_th", "x.ch", "x.lo", "x.hi")
 
 
-def pair_rows(texts: DataFrame, chunks: DataFrame) -> DataFrame:
+def pair_rows(hashes: DataFrame, chunks: DataFrame) -> DataFrame:
     """_id, _th, s, ch, a, b: all neighbouring lines s, s + 1 (hashes a, b) in
     the ranges of gaps (lo, hi) that ``chunks`` lists for a document."""
-    a = _hashes(texts.join(chunks, ["_id", "_th"]), "ranges")
+    a = _gaps(hashes.join(chunks, KEYS), "ranges")
     gaps = F.array_distinct(F.flatten(F.transform("ranges", lambda r: F.sequence(r["lo"], r["hi"]))))
     rows = F.transform(gaps, lambda s: F.struct(s.alias("s"), F.get("g", s).alias("ch"), F.get("h", s).alias("a"), F.get("h", s + 1).alias("b")))
     return a.select("_id", "_th", F.explode(rows).alias("x")).select("_id", "_th", "x.*").distinct()
 
 
-def later_pairs(texts: DataFrame) -> DataFrame:
+def later_pairs(hashes: DataFrame) -> DataFrame:
     """_id, _th, at: the pairs of each document that stand at an earlier place
     too, before the comparison of bytes; first: the earlier places."""
-    chunks = chunk_rows(texts)
+    chunks = chunk_rows(hashes)
     often = chunks.groupBy("ch").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ch")
     listed = chunks.join(often, "ch").groupBy("_id", "_th").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
-    pairs = pair_rows(texts, written(listed))
+    pairs = pair_rows(hashes, written(listed))
     place = F.struct("_id", "_th", "s")
     first = (pairs.groupBy("ch").agg(F.min(place).alias("w"), F.max(place).alias("z"), F.min("a").alias("a0"), F.max("a").alias("a1"),
                                      F.min("b").alias("b0"), F.max("b").alias("b1"))
@@ -178,8 +211,8 @@ def _counts(u: Column, run: Column, min_chars: int, min_tokens: int) -> Column:
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 50, min_tokens: int = 25) -> DataFrame:
     """Each row as given, its text without repeated passages, plus _n_units
     and _removed (positions in ``fine_units``)."""
-    texts = bucketed(_keyed(docs, id_col, text_col), ["_id", "_th"])
-    found = later_pairs(texts)
+    texts, hashes = tables(docs, id_col, text_col)
+    found = later_pairs(hashes)
     bad = unequal_lines(texts, found).agg(F.collect_list("h").alias("bad"))     # hash collisions: a handful at most
     bad = set(bad.first()["bad"])
     at = found.where("at is not null").select("_id", "_th", "at")

@@ -364,8 +364,8 @@ def test_a_hot_chunk_and_hash_collisions(spark, monkeypatch):
     out = {r["doc_id"]: r["text"] for r in linededup.line_dedup(frame(spark, rows)).select("doc_id", "text").collect()}
     assert out[0] == rows[0][1] and all(passage[:-1] not in out[i] and len(out[i]) < len(rows[i][1]) - 300 for i in range(3, 600, 3))
     assert all(out[i] == rows[i][1] for i in range(600) if i % 3)
-    texts = linededup.bucketed(linededup._keyed(frame(spark, rows), "doc_id", "text"), ["_id", "_th"])
-    found = linededup.later_pairs(texts)
+    texts, hashes = linededup.tables(frame(spark, rows), "doc_id", "text")
+    found = linededup.later_pairs(hashes)
     assert linededup.unequal_lines(texts, found).count() == 0
     from pyspark.sql import DataFrame
     h = spark.createDataFrame([(passage.split("\n")[3],)], "x string").select(F.xxhash64("x").alias("h"))
