@@ -52,4 +52,4 @@ def test_python_normal_twins_agree(key, j):
     from shardforge.operators.trajectory import np_hashed_normals
     a = py_normal(0, "noise", key, j)
     b = np_hashed_normals(0, "noise", np.array([key]), np.array([j]))[0, 0]
-    assert a == b
+    assert abs(a - b) <= 1e-14 * max(1.0, abs(a))     # two libraries' cosines may differ in the last place
