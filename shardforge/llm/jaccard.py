@@ -459,25 +459,38 @@ def links(docs: DataFrame, measured: DataFrame, percent: int, width: int) -> Dat
     first = written(connected_components(_verified(near, sets, percent)))
     # groups of candidates from the cells, then links from the groups: a pair
     # may share many cells, but lies in one group
+    rows = members.select("cell", "sid").join(_named(first, "comp"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    cells = _with_tiles(stored(_open(rows).join(points.select("sid", "n"), "sid"), "open-cells"))
     groups = first.limit(0)
     for across in (False, True):
-        groups = _contracted(groups, _from_cells(members, points, first, groups, percent, across))
+        if not across or _cut(cells):
+            groups = _contracted(groups, _from_cells(cells, points, groups, percent, across))
     known = first
+    sized = _with_tiles(stored(_named(groups, "cell").join(points.select("sid", "n"), "sid"), "groups"))
     for across in (False, True):
-        known = _contracted(known, _from_groups(groups, sets, known, percent, across))
+        if not across or _cut(sized):
+            known = _contracted(known, _from_groups(sized, sets, known, percent, across))
     return known
 
 
-def _tiled(rows: DataFrame, across: bool) -> DataFrame:
-    """Rows (cell, n, sid, ...) dealt to tiles of a bounded number of members
-    and bytes: each tile by itself, or every two tiles of a cell."""
+def _with_tiles(rows: DataFrame) -> DataFrame:
+    """Rows (cell, n, sid, ...) with the number of tiles of their cell, so that
+    a tile has a bounded number of members and bytes."""
     tiles = (rows.groupBy("cell").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("m"))
              .select("cell", F.greatest(F.ceil(F.col("m") / TILE), F.ceil(F.col("m") * F.col("n") * 8 / TILE_BYTES)).cast("int").alias("tiles")))
+    return stored(rows.join(tiles, "cell"), "tiles")
+
+
+def _cut(rows: DataFrame) -> bool:
+    """Whether some cell has several tiles, which then must meet."""
+    return not rows.where("tiles > 1").isEmpty()
+
+
+def _tiled(rows: DataFrame, across: bool) -> DataFrame:
+    """Rows dealt to their tiles: each tile by itself, or every two of a cell."""
+    out = rows.withColumn("t", F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("int"))
     if across:
-        tiles = tiles.where("tiles > 1")
-    out = rows.join(tiles, "cell").withColumn("t", F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("int"))
-    if across:
-        out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where("t <> other")
+        out = out.where("tiles > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where("t <> other")
     else:
         out = out.withColumn("other", F.col("t"))
     return out.withColumns({"lo": F.least("t", "other"), "hi": F.greatest("t", "other"),
@@ -499,19 +512,16 @@ def _named(known: DataFrame, name: str) -> DataFrame:
     return known.select(F.col("node").alias("sid"), F.col("comp").alias(name))
 
 
-def _from_cells(members: DataFrame, points: DataFrame, known: DataFrame, groups: DataFrame, percent: int, across: bool) -> DataFrame:
-    rows = (members.select("cell", "sid").join(_named(known, "comp"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid")))
-    rows = _open(rows).join(points.select("sid", "n"), "sid")
-    tiled = _tiled(rows, across).join(_named(groups, "grp"), "sid", "left").withColumn("grp", F.coalesce("grp", "sid"))
+def _from_cells(cells: DataFrame, points: DataFrame, groups: DataFrame, percent: int, across: bool) -> DataFrame:
+    tiled = _tiled(cells, across).join(_named(groups, "grp"), "sid", "left").withColumn("grp", F.coalesce("grp", "sid"))
     tiled = tiled.join(points.select("sid", "vec"), "sid").select("cell", "lo", "hi", "sid", "n", "comp", "grp", "side", "vec")
     return _dealt(tiled).mapInArrow(_gather(percent), "a bigint, b bigint").distinct()
 
 
 def _from_groups(groups: DataFrame, sets: DataFrame, known: DataFrame, percent: int, across: bool) -> DataFrame:
-    size = sets.select("sid", "n", "vec", "tokens").dropDuplicates(["sid"])
-    rows = _named(groups, "cell").join(_named(known, "comp"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    rows = _open(rows).join(sets.select("sid", "n").dropDuplicates(["sid"]), "sid")
-    tiled = _tiled(rows, across).drop("n").join(size, "sid").select("cell", "lo", "hi", "sid", "n", "comp", "side", "vec", "tokens")
+    size = sets.select("sid", "vec", "tokens").dropDuplicates(["sid"])
+    rows = groups.join(_named(known, "comp"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    tiled = _tiled(_open(rows), across).join(size, "sid").select("cell", "lo", "hi", "sid", "n", "comp", "side", "vec", "tokens")
     return _dealt(tiled).mapInArrow(_search(percent), "a bigint, b bigint")
 
 
