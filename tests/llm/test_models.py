@@ -15,7 +15,7 @@ from tools.check_oracle import digest
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_matches_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     df = queries.QUERIES[name](spark, SF_SMALL)
     rows = [tuple(r) for r in df.collect()]
