@@ -1,23 +1,28 @@
 """All-pairs cosine similarity with top-k (D8), blocked on both sides.
 
-Rows are scaled to length 1 and numbered by (nearest pivot, id), so that
-consecutive rows point in similar directions; up to ``block_rows`` of them with
-one pivot are a block, stored as one row with its matrix, its centroid and the radius around
-it. A tile is a block of each side. For unit vectors a and b with centroids p
-and q and radii r and s
-
-    a.b <= p.q + r|q| + s|p| + rs
-
-bounds everything in a tile. Each block first meets the blocks of the other
-side with the highest bounds. From this every row has a k-th best value so far,
-and a tile whose bound is below the least of them on both sides can't change
-any result: it is skipped. The other tiles are computed in tasks of their own,
-as one matrix product, and only values that reach the block's least k-th value
-leave a task.
+Rows are sorted by (nearest pivot, id), so that consecutive rows point in
+similar directions; up to ``block_rows`` of them with one pivot are a block,
+stored once, as one row with its matrix (in the width that the column has) and,
+for the rows scaled to length 1, the centroid and the radius around it. A tile
+is a block of each side. For unit vectors a and b with centroids p and q and
+radii r and s
+
+    |a.b - p.q| <= r|q| + s|p| + rs
+
+bounds everything in a tile from both sides. The highest lower bound of a block
+over the other side's blocks of k rows or more is a value that each of its rows
+reaches k times; a tile whose upper bound is below that can't change any result
+and is skipped.
+
+The other tiles are pairs of a Cartesian product of the two tables of blocks,
+which reads the written blocks again for each part of the other side and
+shuffles none. A task has the pairs of one part of a side with the whole other
+side, and keeps the best k values of each of its rows as the tiles go by; tiles
+below a block's least k-th value so far aren't computed. So what is written
+grows with the input and k, and only the work with its square.
 
 No block is collected or broadcast; what the driver sees is the pivots (a
-fixed number) and the number of blocks of each side. Metadata pairs are made
-from block numbers with ``explode(sequence)`` and an equi-join.
+fixed number) and one bound of each block (16 bytes for ``block_rows`` rows).
 """
 
 from __future__ import annotations
@@ -29,19 +34,20 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardforge.operators.positions import global_positions
-from shardforge.session import reliable_checkpoint, ship_package
+from shardforge.session import batch_rows, estimated_bytes, reliable_checkpoint, ship_package
 
 PIVOTS = 64
 SLACK = 1e-9     # rounding of bounds and products
+PART_BYTES = 32 << 20
+META = ["n", "centroid", "radius", "norm"]
 BLOCK = "block bigint, n bigint, ids binary, mat binary, centroid array<double>, radius double, norm double"
-CANDIDATE = "direction string, row_id bigint, block bigint, other_id bigint, logit double"
+BEST = "row_id bigint, other_id bigint, logit double"
 
 
 @dataclass
 class TopK:
     """rows: direction, row_id, rank, other_id, logit; how many tiles there
-    are and how many were computed."""
+    are and how many could matter by their bounds."""
     rows: DataFrame
     tiles: int
     computed: int
@@ -58,8 +64,9 @@ def _pivots(df: DataFrame) -> np.ndarray:
     return _unit(np.array([r["vec"] for r in rows], np.float64)) if rows else np.zeros((0, 0))
 
 
-def _blocks(df: DataFrame, pivots: np.ndarray, block_rows: int) -> DataFrame:
+def _blocks(df: DataFrame, pivots: np.ndarray, block_rows: int, width: str) -> DataFrame:
     import pyarrow as pa
+    from pyspark import TaskContext
 
     from shardforge.functions.arrowbatch import to_matrix
 
@@ -67,79 +74,137 @@ def _blocks(df: DataFrame, pivots: np.ndarray, block_rows: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            x = _unit(to_matrix(b.column("vec")))
+            x = to_matrix(b.column("vec"), np.dtype(width))
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(np.argmax(x @ pivots.T, axis=1).astype(np.int32)), pa.array([r.tobytes() for r in x], pa.binary())],
+                [b.column("id"), pa.array(np.argmax(_unit(x.astype(np.float64)) @ pivots.T, axis=1).astype(np.int32)),
+                 pa.array([r.tobytes() for r in x], pa.binary())],
                 ["id", "pivot", "vec"])
 
-    def pack(t):
-        t = t.sort_by("pos")
-        mat = np.frombuffer(b"".join(t["vec"].to_pylist()), np.float64).reshape(t.num_rows, -1)
-        centre = mat.mean(axis=0)
-        radius = float(np.linalg.norm(mat - centre, axis=1).max())
-        return pa.table({"block": [t["block"][0].as_py()], "n": [t.num_rows], "ids": [t["id"].to_numpy().astype("<i8").tobytes()],
-                         "mat": [mat.tobytes()], "centroid": pa.array([centre.tolist()], pa.list_(pa.float64())), "radius": [radius],
-                         "norm": [float(np.linalg.norm(centre))]})
-
-    near_rows = df.mapInArrow(near, "id bigint, pivot int, vec binary")
-    placed = global_positions(near_rows, ["pivot", "id", "vec"], "pos")
-    # a block has rows of one pivot only; the pivots are a fixed number
-    first, base = [], 0
-    for r in sorted(placed.groupBy("pivot").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r["pivot"]):
-        first.append((r["pivot"], r["pos"], base))
-        base += -(-r["n"] // block_rows)
-    starts = df.sparkSession.createDataFrame(first, "pivot int, first bigint, base bigint")
-    block = F.col("base") + F.expr(f"(pos - first) div {block_rows}")
-    placed = placed.join(F.broadcast(starts), "pivot").select("id", "vec", "pos", block.alias("block"))
-    return reliable_checkpoint(placed.groupBy("block").applyInArrow(pack, BLOCK))
-
-
-def _best(ids: np.ndarray, logits: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    def pack(batches):
+        number, ids, vecs, of = TaskContext.get().partitionId() << 33, [], [], None
+
+        def block():
+            mat = np.frombuffer(b"".join(vecs), width).reshape(len(vecs), -1)
+            x = _unit(mat.astype(np.float64))
+            centre = x.mean(axis=0)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([number]), pa.array([len(ids)]), pa.array([np.array(ids, "<i8").tobytes()]), pa.array([mat.tobytes()]),
+                 pa.array([centre.tolist()], pa.list_(pa.float64())), pa.array([float(np.linalg.norm(x - centre, axis=1).max())]),
+                 pa.array([float(np.linalg.norm(centre))])], ["block", "n", "ids", "mat", "centroid", "radius", "norm"])
+        for b in batches:
+            for i, p, v in zip(*(b.column(c).to_pylist() for c in ("id", "pivot", "vec"))):
+                if ids and (p != of or len(ids) == block_rows):
+                    yield block()
+                    number, ids, vecs = number + 1, [], []
+                of = p
+                ids.append(i)
+                vecs.append(v)
+        if ids:
+            yield block()
+
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, estimated_bytes(df) // PART_BYTES)
+    order = ["pivot", "id", "vec"]
+    near_rows = df.mapInArrow(near, "id bigint, pivot int, vec binary").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return reliable_checkpoint(near_rows.mapInArrow(pack, BLOCK))
+
+
+def _best(ids: np.ndarray, logits: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the k largest values of each row, ties by the smaller
-    id, of values not below ``least``."""
+    id."""
     k = min(k, logits.shape[1])
     kth = -np.partition(-logits, k - 1, axis=1)[:, k - 1:k]
-    rows, cols = np.nonzero(logits >= np.maximum(kth, least))
+    return _first(*np.nonzero(logits >= kth), ids, logits, k)
+
+
+def _first(rows, cols, ids: np.ndarray, logits: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((ids[cols], -logits[rows, cols], rows))
     rows, cols = rows[order], cols[order]
-    first = np.searchsorted(rows, rows)
-    keep = np.arange(len(rows)) - first < k
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
     return rows[keep], cols[keep]
 
 
-def _tile_values(tiles: DataFrame, a: DataFrame, b: DataFrame, scale: float, k: int) -> DataFrame:
-    """The candidates of the tiles (block_a, block_b, least_a, least_b)."""
+class _Running:
+    """The best k values of each row of a block so far, best first."""
+
+    def __init__(self, ids: np.ndarray, k: int):
+        self.ids, self.k = ids, k
+        self.value, self.other = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.least = -np.inf
+
+    def add(self, ids: np.ndarray, logits: np.ndarray) -> None:
+        kth, last = self.value[:, -1], self.other[:, -1]
+        rows, cols = np.nonzero(logits >= kth[:, None])
+        better = (logits[rows, cols] > kth[rows]) | (ids[cols] < last[rows])
+        rows, cols = rows[better], cols[better]
+        if not len(rows):
+            return
+        if len(rows) > 4 * self.value.size:
+            rows, cols = _best(ids, logits, self.k)
+        # the few rows that change, with what they have and what is new
+        own, at = np.unique(rows, return_inverse=True)
+        row = np.concatenate([np.repeat(np.arange(len(own)), self.k), at])
+        value = np.concatenate([self.value[own].ravel(), logits[rows, cols]])
+        other = np.concatenate([self.other[own].ravel(), ids[cols]])
+        order = np.lexsort((other, -value, row))
+        row = row[order]
+        order = order[np.arange(len(row)) - np.searchsorted(row, row) < self.k]
+        self.value[own], self.other[own] = value[order].reshape(-1, self.k), other[order].reshape(-1, self.k)
+        self.least = self.value[:, -1].min()
+
+
+def _bounds(scale: float) -> tuple:
+    """Lower and upper bound of the tile of the blocks x and y, as columns."""
+    dot = F.aggregate(F.zip_with("x_centroid", "y_centroid", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    off = F.col("x_radius") * F.col("y_norm") + F.col("y_radius") * F.col("x_norm") + F.col("x_radius") * F.col("y_radius")
+    return scale * (dot - off - F.lit(SLACK)), scale * (F.least(dot + off, F.lit(1.0)) + F.lit(SLACK))
+
+
+def _side(blocks: DataFrame, name: str) -> DataFrame:
+    return blocks.select(*[F.col(c).alias(f"{name}_{c}") for c in blocks.columns])
+
+
+def _one_way(x: DataFrame, y: DataFrame, x_meta: DataFrame, y_meta: DataFrame, scale: float, k: int, block_bytes: int) -> tuple[DataFrame, int]:
+    """row_id, rank, other_id, logit of the best k of y for each row of x, and
+    the number of tiles that could matter."""
     import pyarrow as pa
-
-    def run(left, right):
-        x, y = left.to_pylist()[0], right.to_pylist()[0]
-        ids = [np.frombuffer(s["ids"], "<i8") for s in (x, y)]
-        mats = [np.frombuffer(s["mat"], np.float64).reshape(s["n"], -1) for s in (x, y)]
-        logits = scale * (mats[0] @ mats[1].T)
-        out = []
-        for name, own, other, block, values, least in (("a2b", ids[0], ids[1], x["block_a"], logits, x["least_a"]),
-                                                       ("b2a", ids[1], ids[0], x["block_b"], logits.T, x["least_b"])):
-            rows, cols = _best(other, values, k, least)
-            out.append(pa.table({"direction": pa.array([name] * len(rows), pa.string()), "row_id": own[rows],
-                                 "block": pa.array(np.full(len(rows), block, np.int64)), "other_id": other[cols], "logit": values[rows, cols]}))
-        return pa.concat_tables(out)
-
-    payload = ["n", "ids", "mat"]
-    left = tiles.join(a.select(F.col("block").alias("block_a"), *payload), "block_a").groupBy("block_a", "block_b")
-    right = (tiles.select(F.col("block_a").alias("ra"), F.col("block_b").alias("rb"))
-             .join(b.select(F.col("block").alias("rb"), *payload), "rb").groupBy("ra", "rb"))
-    return left.cogroup(right).applyInArrow(run, CANDIDATE)
-
-
-def _least_kth(found: DataFrame, blocks: DataFrame, direction: str, k: int, names: tuple[str, str]) -> DataFrame:
-    """Per block the least k-th value of its rows so far; -inf while a row has
-    fewer than k."""
+    lower, upper = _bounds(scale)
+    pairs = _side(x_meta, "x").join(_side(y_meta, "y").hint("shuffle_replicate_nl"))
+    least = pairs.where(F.col("y_n") >= k).groupBy("x_block").agg(F.max(lower).alias("least"))
+    least = reliable_checkpoint(_side(x_meta, "x").select("x_block").join(least, "x_block", "left").select(
+        "x_block", F.coalesce("least", F.lit(float("-inf"))).alias("least")))
+    matter = upper >= F.col("least")
+    computed = (_side(x_meta, "x").join(F.broadcast(least), "x_block").join(_side(y_meta, "y").hint("shuffle_replicate_nl"), matter)).count()
+
+    def run(batches):
+        held, of, mat = {}, None, None
+        for batch in batches:
+            cols = [batch.column(c) for c in ("x_block", "x_ids", "x_mat", "x_n", "y_ids", "y_mat", "y_n", "upper", "width")]
+            for i in range(batch.num_rows):
+                xb, x_ids, x_mat, x_n, y_ids, y_mat, y_n, up, width = (c[i] for c in cols)
+                block, width = xb.as_py(), width.as_py()
+                if block not in held:
+                    held[block] = _Running(np.frombuffer(x_ids.as_buffer(), "<i8").copy(), k)
+                best = held[block]
+                if up.as_py() < best.least - SLACK * scale:
+                    continue
+                if block != of:
+                    of, mat = block, _unit(np.frombuffer(x_mat.as_buffer(), width).reshape(x_n.as_py(), -1).astype(np.float64))
+                other = _unit(np.frombuffer(y_mat.as_buffer(), width).reshape(y_n.as_py(), -1).astype(np.float64))
+                best.add(np.frombuffer(y_ids.as_buffer(), "<i8"), scale * (mat @ other.T))
+        for best in held.values():
+            rows, at = np.nonzero(best.value > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(best.ids[rows]), pa.array(best.other[rows, at]), pa.array(best.value[rows, at])],
+                                             ["row_id", "other_id", "logit"])
+
+    parts = x.rdd.getNumPartitions()
+    tiles = (_side(x, "x").join(F.broadcast(least), "x_block").join(_side(y, "y").hint("shuffle_replicate_nl"), matter)
+             .select("x_block", "x_ids", "x_mat", "x_n", "y_ids", "y_mat", "y_n", upper.alias("upper"), F.col("x_width").alias("width")))
+    # the parts of a Cartesian product lie one row of parts behind the other:
+    # each task gets one part of x and all of y
+    with batch_rows(x.sparkSession, 2 * block_bytes):
+        found = reliable_checkpoint(tiles.coalesce(parts).mapInArrow(run, BEST))
     w = Window.partitionBy("row_id").orderBy(F.col("logit").desc(), "other_id")
-    kth = (found.where(F.col("direction") == direction).withColumn("rank", F.row_number().over(w)).where(F.col("rank") == k)
-           .groupBy("block").agg(F.min("logit").alias("least"), F.count(F.lit(1)).alias("rows")))
-    least = F.when(F.col("rows") >= F.col("n"), F.col("least")).otherwise(float("-inf"))
-    return blocks.select("block", "n").join(kth, "block", "left").select(
-        F.col("block").alias(names[0]), F.coalesce(least, F.lit(float("-inf"))).alias(names[1]))
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k), computed
 
 
 def cosine_tiles(a: DataFrame, b: DataFrame, a_id: str, b_id: str, vec_col: str, logit_scale: float, k: int,
@@ -148,45 +213,30 @@ def cosine_tiles(a: DataFrame, b: DataFrame, a_id: str, b_id: str, vec_col: str,
     spark = a.sparkSession
     ship_package(spark)
     scale = math.exp(logit_scale)
-    sides = [d.select(F.col(i).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where("id is not null and vec is not null")
+    same = a is b and a_id == b_id
+    floats = all(d.schema[vec_col].dataType.simpleString() == "array<float>" for d in (a, b))
+    kind, width = ("array<float>", "<f4") if floats else ("array<double>", "<f8")
+    sides = [d.select(F.col(i).cast("bigint").alias("id"), F.col(vec_col).cast(kind).alias("vec")).where("id is not null and vec is not null")
              for d, i in ((a, a_id), (b, b_id))]
     pivots = _pivots(sides[1])
     empty = spark.createDataFrame([], "direction string, row_id bigint, rank int, other_id bigint, logit double")
     if not len(pivots):
         return TopK(empty, 0, 0)
-    left, right = (_blocks(d, pivots, block_rows) for d in sides)
-    n_left, n_right = left.count(), right.count()
+    left = _blocks(sides[0], pivots, block_rows, width)
+    right = left if same else _blocks(sides[1], pivots, block_rows, width)
+    metas = [reliable_checkpoint(d.select("block", *META).coalesce(spark.sparkContext.defaultParallelism)) for d in ([left] if same else [left, right])]
+    n_left, n_right = metas[0].count(), metas[-1].count()
     if not n_left:
         return TopK(empty, 0, 0)
-    meta = ["centroid", "radius", "norm"]
-    pairs = (left.select(F.col("block").alias("block_a"), *[F.col(c).alias(f"{c}_a") for c in meta],
-                         F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_right - 1).cast("bigint"))).alias("block_b"))
-             .join(right.select(F.col("block").alias("block_b"), *[F.col(c).alias(f"{c}_b") for c in meta]), "block_b"))
-    dot = F.aggregate(F.zip_with("centroid_a", "centroid_b", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-    bound = dot + F.col("radius_a") * F.col("norm_b") + F.col("radius_b") * F.col("norm_a") + F.col("radius_a") * F.col("radius_b")
-    pairs = pairs.select("block_a", "block_b", (scale * F.least(bound, F.lit(1.0)) + SLACK * scale).alias("bound"))
-    # first the most promising tiles of every block: enough rows for k values
-    # and one tile more, as the last block may be short
-    first = -(-k // block_rows) + 1
-    rank_a = F.row_number().over(Window.partitionBy("block_a").orderBy(F.col("bound").desc(), "block_b"))
-    rank_b = F.row_number().over(Window.partitionBy("block_b").orderBy(F.col("bound").desc(), "block_a"))
-    pairs = reliable_checkpoint(pairs.withColumns({"first": (rank_a <= first) | (rank_b <= first)}))
-    low = F.lit(float("-inf"))
-    start = pairs.where("first").select("block_a", "block_b", low.alias("least_a"), low.alias("least_b"))
-    found = _tile_values(start, left, right, scale, k)
-    computed = pairs.where("first").count()
-    if computed < n_left * n_right:
-        found = reliable_checkpoint(found)
-        rest = (pairs.where("not first").join(_least_kth(found, left, "a2b", k, ("block_a", "least_a")), "block_a")
-                .join(_least_kth(found, right, "b2a", k, ("block_b", "least_b")), "block_b")
-                .where("bound >= least_a or bound >= least_b").select("block_a", "block_b", "least_a", "least_b"))
-        rest = reliable_checkpoint(rest)
-        computed += rest.count()
-        slack = F.lit(SLACK * scale)
-        rest = rest.withColumns({"least_a": F.col("least_a") - slack, "least_b": F.col("least_b") - slack})
-        found = found.unionByName(_tile_values(rest, left, right, scale, k))
-    w = Window.partitionBy("direction", "row_id").orderBy(F.col("logit").desc(), "other_id")
-    rows = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    block_bytes = block_rows * (pivots.shape[1] * int(width[-1]) + 8)
+    left, right = (d.withColumn("width", F.lit(width)) for d in (left, right))
+    rows, computed = _one_way(left, right, metas[0], metas[-1], scale, k, block_bytes)
+    if same:
+        rows = rows.withColumn("direction", F.explode(F.array(F.lit("a2b"), F.lit("b2a"))))
+    else:
+        back, more = _one_way(right, left, metas[-1], metas[0], scale, k, block_bytes)
+        rows = rows.withColumn("direction", F.lit("a2b")).unionByName(back.withColumn("direction", F.lit("b2a")))
+        computed = max(computed, more)
     return TopK(rows.select("direction", "row_id", "rank", "other_id", "logit"), n_left * n_right, computed)
 
 

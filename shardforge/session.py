@@ -9,6 +9,7 @@ import tempfile
 import threading
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -130,6 +131,21 @@ def estimated_bytes(df: DataFrame) -> int:
     return size if size < 1 << 60 else 0
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, row_bytes: int, batch_bytes: int = 16 << 20):
+    """Jobs run inside hand Python workers Arrow batches of about
+    ``batch_bytes``, where rows of ``row_bytes`` are so large that the
+    session's number of rows a batch is too many. No result depends on it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(key))
+    most = max(1, batch_bytes // max(1, row_bytes))
+    spark.conf.set(key, str(min(before, most) if before > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, str(before))
+
+
 def reliable_checkpoint(df: DataFrame, persist_first: bool = False) -> DataFrame:
     """Cut lineage with a reliable checkpoint in ``spark.checkpoint.dir``.
 

@@ -272,3 +272,22 @@ def test_tiles_are_skipped_and_the_result_is_exact(spark):
     assert have == want
     assert cosine_tiles(df.limit(0), some, "i", "i", "v", 0.0, 4).rows.count() == 0
     assert cosine_tiles(df, some.limit(0), "i", "i", "v", 0.0, 4).rows.count() == 0
+
+
+def test_similarity_writes_no_more_than_rows_and_results(spark):
+    """Four times the rows have sixteen times the tiles; what is written in
+    between must not follow the tiles."""
+    from shardforge.operators.similarity import cosine_topk
+    from shardforge.session import checkpoint_dir
+
+    def written():
+        top = checkpoint_dir(spark).removeprefix("file:")
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(top) for f in names)
+    rng = np.random.default_rng(8)
+    sizes = []
+    for n in (300, 1200):
+        df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(n, 8)))], "i long, v array<double>")
+        before = written()
+        assert cosine_topk(df, df, "i", "i", "v", 0.0, 3, block_rows=4).count() == 6 * n
+        sizes.append(written() - before)
+    assert sizes[1] < 6 * sizes[0]
