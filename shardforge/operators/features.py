@@ -154,38 +154,46 @@ def dense_score(df: DataFrame, vec_col: str, layers: list[tuple[np.ndarray, np.n
 
 # -- D7 group attention ------------------------------------------------------------
 
+OUT_ROWS = 4096     # partial states that leave a task at once
+
+
 def _block_partials(pairs: DataFrame, d: int, causal: bool) -> DataFrame:
     """For each (query block, key block) pair, the partial softmax state of
     every query: running max m, sum l and weighted value sum acc."""
     import pyarrow as pa
     scale = 1.0 / math.sqrt(d)
 
+    def items(col):
+        """Offsets of the blocks, and id, pos and vec of all their rows."""
+        from shardforge.functions.arrowbatch import to_matrix
+        at, rows = col.offsets.to_numpy(), col.values
+        return (at, *[rows.field(c).to_numpy() for c in ("id", "pos")], to_matrix(rows.field("vec")))
+
     def run(batches):
+        from shardforge.functions.arrowbatch import from_matrix
         for batch in batches:
-            cols = batch.select(["q_items", "k_items"]).to_pydict()
-            out_g, out_q, out_m, out_acc = [], [], [], []
-            for row, (q_items, k_items) in enumerate(zip(cols["q_items"], cols["k_items"])):
-                qid = np.array([it["id"] for it in q_items], dtype=np.int64)
-                qpos = np.array([it["pos"] for it in q_items], dtype=np.int64)
-                qv = np.array([it["vec"] for it in q_items], dtype=np.float64)
-                kpos = np.array([it["pos"] for it in k_items], dtype=np.int64)
-                kv = np.array([it["vec"] for it in k_items], dtype=np.float64)
-                s = (qv @ kv.T) * scale
+            if not batch.num_rows:
+                continue
+            (q_at, q_id, q_pos, q_vec), (k_at, _, k_pos, k_vec) = items(batch.column("q_items")), items(batch.column("k_items"))
+            out, size = [], 0
+            for row in range(batch.num_rows):
+                q, k = slice(q_at[row], q_at[row + 1]), slice(k_at[row], k_at[row + 1])
+                kv = k_vec[k]
+                s = (q_vec[q] @ kv.T) * scale
                 if causal:
-                    s = np.where(kpos[None, :] <= qpos[:, None], s, -np.inf)
+                    s = np.where(k_pos[k][None, :] <= q_pos[q][:, None], s, -np.inf)
                 m = s.max(axis=1)
                 has = np.isfinite(m)
                 e = np.where(has[:, None], np.exp(s - np.where(has, m, 0.0)[:, None]), 0.0)
-                l = e.sum(axis=1)
-                acc = e @ kv
-                for r in np.nonzero(has)[0]:
-                    out_g.append(row)
-                    out_q.append(int(qid[r]))
-                    out_m.append(float(m[r]))
-                    out_acc.append(list(acc[r]) + [float(l[r])])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_g").take(pa.array(out_g, pa.int64())), pa.array(out_q, pa.int64()), pa.array(out_m, pa.float64()),
-                 pa.array(out_acc, pa.list_(pa.float64()))], names=["_g", "q_id", "m", "acc"])
+                acc = np.column_stack([e @ kv, e.sum(axis=1)])
+                out.append((np.full(int(has.sum()), row), q_id[q][has], m[has], acc[has]))
+                size += len(acc)
+                if size >= OUT_ROWS or row == batch.num_rows - 1:
+                    g, ids, ms, accs = (np.concatenate(c) for c in zip(*out))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("_g").take(pa.array(g, pa.int64())), pa.array(ids), pa.array(ms), from_matrix(accs)],
+                        names=["_g", "q_id", "m", "acc"])
+                    out, size = [], 0
 
     return pairs.mapInArrow(run, f"_g {pairs.schema['_g'].dataType.simpleString()}, q_id bigint, m double, acc array<double>")
 
@@ -205,7 +213,8 @@ def group_attention(df: DataFrame, group_cols: list[str], id_col: str, pos_col:
     NumPy task computes the partial softmax state per query, and the parts
     are merged per query with the log-sum-exp rule in two partial
     aggregations. The work is quadratic in the group size, as attention
-    is; the tasks stay bounded by the block size."""
+    is; the tasks stay bounded by the block size: they read blocks as Arrow
+    buffers, in batches of about 16 MB, and hand on their states in small ones."""
     from shardforge.session import ship_package
     spark = df.sparkSession
     ship_package(spark)
@@ -231,8 +240,9 @@ def group_attention(df: DataFrame, group_cols: list[str], id_col: str, pos_col:
     pairs = qside.join(kside, ["_g", "qb", "kb"]).select("_g", "q_items", "k_items")
     # the partial states feed both the max pass and the weighted sums: write
     # them once instead of running the NumPy stage twice
-    from shardforge.session import reliable_checkpoint
-    parts = reliable_checkpoint(_block_partials(pairs, d, causal))
+    from shardforge.session import batch_rows, reliable_checkpoint
+    with batch_rows(spark, 2 * block_rows * (8 * d + 32)):
+        parts = reliable_checkpoint(_block_partials(pairs, d, causal))
     # an id is a position inside its group, so the group is part of every key
     mx = parts.groupBy("_g", "q_id").agg(F.max("m").alias("_M"))
     weighted = parts.join(mx, ["_g", "q_id"]).withColumn("_w", F.exp(F.col("m") - F.col("_M")))
