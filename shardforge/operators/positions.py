@@ -23,16 +23,19 @@ from pyspark.sql import functions as F
 from shardforge.session import estimated_bytes, reliable_checkpoint
 
 
+FEW_GROUPS = 1 << 14     # first positions of so many groups are broadcast
+
+
 def global_positions(df: DataFrame, order_cols: list[str], out_col: str = "position",
                      num_partitions: int | None = None) -> DataFrame:
     """0-based position of every row in the order of ``order_cols`` (which
     should be unique, a total order). The numbered rows are written once to
     ``spark.checkpoint.dir``; counts and positions both read them there."""
     spark = df.sparkSession
-    # parts of about 256 MB by the optimiser's size estimate, and never fewer
+    # parts of about 64 MB by the optimiser's size estimate, and never fewer
     # than the shuffle width; independent of the cluster at hand
     n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                              estimated_bytes(df) // (256 << 20))
+                              estimated_bytes(df) // (64 << 20))
     tagged = (df.repartitionByRange(n, *order_cols)
               .sortWithinPartitions(*order_cols)
               .withColumn("_pid", F.spark_partition_id())
@@ -50,13 +53,27 @@ def global_positions(df: DataFrame, order_cols: list[str], out_col: str = "posit
 def positions_in_group(df: DataFrame, group_cols: list[str], order_cols: list[str],
                        out_col: str = "pos_in_group", num_partitions: int | None = None) -> DataFrame:
     """0-based position inside each group in the given order; skew-safe
-    (the group offset is one aggregate row per group). Null groups count as
-    a group."""
+    (the group offset is one aggregate row per group; those of few or of
+    large groups, a bounded number, are broadcast, so that no task reads a
+    group's rows). Null groups count as a group."""
     g = global_positions(df, group_cols + order_cols, "_gpos", num_partitions)
     g = g.withColumn("_gkey", F.struct(*group_cols))
-    first = g.groupBy("_gkey").agg(F.min("_gpos").alias("_gfirst"))
-    return (g.join(first, "_gkey")
-            .withColumn(out_col, F.col("_gpos") - F.col("_gfirst"))
+    first = reliable_checkpoint(g.groupBy("_gkey").agg(F.min("_gpos").alias("_gfirst"), F.count(F.lit(1)).alias("_gsize")))
+    # a join by few groups would bring each group's rows to one task
+    few = first.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
+    small = first.select("_gkey", "_gfirst")
+    if few:
+        g = g.join(F.broadcast(small), "_gkey")
+    else:
+        # the large groups are few, too: at most that many have so many rows
+        n_rows = first.agg(F.sum("_gsize")).first()[0]
+        large = F.col("_gsize") > n_rows // FEW_GROUPS
+        held = F.broadcast(first.where(large).select("_gkey", F.col("_gfirst").alias("_glarge")))
+        g = g.join(held, "_gkey", "left")
+        whole = g.where("_glarge is not null").withColumnRenamed("_glarge", "_gfirst")
+        rest = g.where("_glarge is null").drop("_glarge").join(small, "_gkey")
+        g = whole.unionByName(rest)
+    return (g.withColumn(out_col, F.col("_gpos") - F.col("_gfirst"))
             .drop("_gpos", "_gfirst", "_gkey"))
 
 

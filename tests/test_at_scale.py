@@ -148,3 +148,50 @@ def test_cosine_topk_tiles_and_zero_vectors(spark):
                   for r in cosine_topk(da, db, "i", "j", "v", 0.0, 3, block_rows=t).collect()) for t in (1, 3, 1 << 22)]
     assert got[0] == got[1] == got[2] and len(got[0]) == 3 * (len(a) + len(b))
     assert all(x[4] == 0.0 for x in got[0] if x[1] in (40, 107))
+
+
+@pytest.mark.parametrize("causal", [False, True])
+def test_attention_tasks_hold_buffers_not_objects(causal):
+    """A batch of blocks is read in place, and partial states leave in small batches."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from shardforge.operators import features
+
+    class Pairs:
+        schema = {"_g": type("F", (), {"dataType": type("T", (), {"simpleString": staticmethod(lambda: "int")})})}
+
+        def mapInArrow(self, run, schema):
+            return run
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(600, 16, 32))
+    item = pa.list_(pa.struct([("id", pa.int64()), ("pos", pa.int64()), ("vec", pa.list_(pa.float64()))]))
+    items = pa.array([[{"id": i, "pos": i, "vec": v.tolist()} for i, v in enumerate(block)] for block in x], item)
+    batch = pa.record_batch([pa.array(range(600), pa.int32()), items, items], ["_g", "q_items", "k_items"])
+    run = features._block_partials(Pairs(), 32, causal)
+    tracemalloc.start()
+    try:
+        sizes = [b.num_rows for b in run([batch])]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(sizes) == 600 * 16 and max(sizes) < 600 * 16
+    assert peak < batch.nbytes
+
+
+def test_few_groups_are_numbered_without_moving_rows_by_group(spark, big):
+    from shardforge.operators.shards import assign_shards_count
+    plan = assign_shards_count(big, "worker", ["k", "id"], 100, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_gkey" not in plan
+
+
+@pytest.mark.parametrize("few", [1, 3, 100])
+def test_positions_in_many_large_and_null_groups(spark, monkeypatch, few):
+    from shardforge.operators import positions
+    monkeypatch.setattr(positions, "FEW_GROUPS", few)
+    data = [(None if g == 3 else g, i) for g in range(7) for i in range(50 if g == 5 else 4)]
+    df = spark.createDataFrame(data, "g int, i int")
+    got = positions.positions_in_group(df, ["g"], ["i"], "p")
+    assert got.columns == ["g", "i", "p"]
+    assert sorted((-1 if r["g"] is None else r["g"], r["i"], r["p"]) for r in got.collect()) == sorted((-1 if g is None else g, i, i) for g, i in data)
