@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardforge.session import checkpoint_dir, ship_package, table
+from shardforge.session import checkpoint_dir, ship_package, shuffles_freed, table
 
 # A word is a run of code points other than space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,9 +44,11 @@ def held(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 def written(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the shared checkpoint folder and go on from
-    the files: lineage is cut and a lost executor costs no recomputation."""
+    the files: lineage is cut and a lost executor costs no recomputation. The
+    shuffles behind the files go at once."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with shuffles_freed(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)     # planned anew: the setting counts when a DataFrame is made
 
 
 def prepared(spark: SparkSession) -> None:
@@ -61,8 +63,10 @@ def bucket_of(col: Column, mod: int) -> Column:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a Parquet table in the shared checkpoint folder and
-    read back; compressed, so better than a checkpoint for larger tables."""
+    read back; compressed, so better than a checkpoint for larger tables. The
+    shuffles behind the files go at once."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    with shuffles_freed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

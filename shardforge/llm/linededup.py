@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from shardforge.functions.vectors import let
 from shardforge.llm.common import held, text_or_empty, written
-from shardforge.session import checkpoint_dir, estimated_bytes
+from shardforge.session import checkpoint_dir, estimated_bytes, shuffles_freed
 
 BLANK = " \n\t\r"
 # a line ends with a newline, or with a sentence mark and a space
@@ -86,11 +86,12 @@ def _pieces(unit: Column) -> Column:
     periodic text is cut too; pieces have about five tokens."""
     def cut(t):
         n = F.size(t)
-        top = F.lit((1 << 63) - 1)
 
         def by_hash(g):
-            least = [lambda i, d=d: F.get(g, i) <= F.coalesce(F.get(g, i + d), top) for d in (-1, 1, -2, 2)]
-            low = F.filter(F.sequence(F.lit(0), n - 2), lambda i: least[0](i) & least[1](i) & least[2](i) & least[3](i))
+            def least(i):
+                first = F.greatest(i - 2, F.lit(0))
+                return F.get(g, i) == F.array_min(F.slice(g, first + 1, i + 3 - first))
+            low = F.filter(F.sequence(F.lit(0), n - 2), least)
             return let(F.concat(F.array(F.lit(0)), F.transform(low, lambda i: i + 1)), lambda b: F.zip_with(
                 b, F.concat(F.slice(b, 2, F.size(b)), F.array(n)), lambda s, e: F.array_join(_span(t, s, e), "")))
         gaps = F.zip_with(F.slice(t, 1, n - 1), F.slice(t, 2, n - 1), lambda x, y: F.xxhash64(_bare(x), _bare(y)))
@@ -122,32 +123,32 @@ def bucketed(df: DataFrame, n: int) -> DataFrame:
     joins and groups by document read it without a shuffle."""
     spark = df.sparkSession
     name = f"line_dedup_{uuid.uuid4().hex[:12]}"
-    (df.write.bucketBy(n, *KEYS).option("compression", "zstd")
-     .option("path", f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}").saveAsTable(name))
+    with shuffles_freed(spark):
+        (df.write.bucketBy(n, *KEYS).option("compression", "zstd")
+         .option("path", f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}").saveAsTable(name))
     return spark.table(name)
 
 
 def tables(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int = 64 << 20) -> tuple[DataFrame, DataFrame]:
-    """The texts, and the hashes of their lines, in equal buckets. The texts
-    move once; their hashes are written where they lie."""
+    """The lines of each text (u) and their hashes, in buckets. The texts move
+    once and are cut once; ``_text`` stays where its lines don't give it back
+    (bytes that aren't UTF-8)."""
     keyed = _keyed(docs, id_col, text_col)
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), estimated_bytes(keyed) // bucket_bytes)
-    texts = bucketed(keyed.repartition(n, *KEYS), n)
-    return texts, bucketed(line_hashes(texts), n)
+    cut = held(keyed.repartition(n, *KEYS), "u", fine_units(F.col("_text")))
+    odd = F.when(F.array_join("u", "") != F.col("_text"), F.col("_text"))
+    hashed = held(cut.withColumn("_text", odd), "h", F.transform("u", lambda u: F.xxhash64(_bare(u))))
+    texts = bucketed(hashed.withColumn("b", F.when(F.size("h") > 1, let(_gaps(F.col("h")), boundaries))), n)
+    return texts.drop("h", "b"), texts.select("_id", "_th", "h", "b").where(F.size("h") > 1)
 
 
-def line_hashes(texts: DataFrame) -> DataFrame:
-    """_id, _th, h (hash of each line) of the texts with two lines or more."""
-    h = F.transform(fine_units(F.col("_text")), lambda u: F.xxhash64(_bare(u)))
-    a = texts.select("_id", "_th", "_text").where("_text is not null").select("_id", "_th", h.alias("h"))
-    return a.where(F.size("h") > 1)
+def _gap(h: Column, i: Column) -> Column:
+    """The rolling hash of the gap behind line ``i``."""
+    return F.xxhash64(F.get(h, i), F.get(h, i + 1))
 
 
-def _gaps(hashes: DataFrame, *keep: str) -> DataFrame:
-    """h and g, the rolling hash of each gap."""
-    n = F.size("h")
-    return held(hashes.select("_id", "_th", "h", *keep), "g",
-                F.zip_with(F.slice("h", 1, n - 1), F.slice("h", 2, n - 1), lambda x, y: F.xxhash64(x, y)))
+def _gaps(h: Column) -> Column:
+    return F.zip_with(F.slice(h, 1, F.size(h) - 1), F.slice(h, 2, F.size(h) - 1), lambda x, y: F.xxhash64(x, y))
 
 
 def boundaries(g: Column) -> Column:
@@ -156,22 +157,22 @@ def boundaries(g: Column) -> Column:
 
 
 def chunk_rows(hashes: DataFrame) -> DataFrame:
-    """_id, _th, ch, at, lo, hi: each chunk with the boundaries beside it (or
-    the first and last gap)."""
-    a = _gaps(hashes)
-    a = held(a.select("_id", "_th", "g"), "b", boundaries(F.col("g")))
+    """_id, _th, ch, lo, hi: each chunk with the boundaries beside it (or the
+    first and last gap)."""
+    h = F.col("h")
     c = F.transform("b", lambda x, i: F.struct(
-        x.alias("at"), F.coalesce(F.get("b", i - 1), F.lit(0)).alias("lo"), F.coalesce(F.get("b", i + 1), x).alias("hi"), F.get("g", x).alias("ch")))
-    return a.select("_id", "_th", F.explode(c).alias("x")).select("_id", "_th", "x.ch", "x.lo", "x.hi")
+        F.coalesce(F.get("b", i - 1), F.lit(0)).alias("lo"), F.coalesce(F.get("b", i + 1), x).alias("hi"), _gap(h, x).alias("ch")))
+    return hashes.select("_id", "_th", F.explode(c).alias("x")).select("_id", "_th", "x.ch", "x.lo", "x.hi")
 
 
 def pair_rows(hashes: DataFrame, chunks: DataFrame) -> DataFrame:
     """_id, _th, s, ch, a, b: all neighbouring lines s, s + 1 (hashes a, b) in
-    the ranges of gaps (lo, hi) that ``chunks`` lists for a document."""
-    a = _gaps(hashes.join(chunks, KEYS), "ranges")
+    the ranges of gaps (lo, hi) that ``chunks`` lists for a document; repeated
+    documents repeat them."""
+    h = F.col("h")
     gaps = F.array_distinct(F.flatten(F.transform("ranges", lambda r: F.sequence(r["lo"], r["hi"]))))
-    rows = F.transform(gaps, lambda s: F.struct(s.alias("s"), F.get("g", s).alias("ch"), F.get("h", s).alias("a"), F.get("h", s + 1).alias("b")))
-    return a.select("_id", "_th", F.explode(rows).alias("x")).select("_id", "_th", "x.*").distinct()
+    rows = F.transform(gaps, lambda s: F.struct(s.alias("s"), _gap(h, s).alias("ch"), F.get(h, s).alias("a"), F.get(h, s + 1).alias("b")))
+    return hashes.join(chunks, KEYS).select("_id", "_th", F.explode(rows).alias("x")).select("_id", "_th", "x.*")
 
 
 def later_pairs(hashes: DataFrame) -> DataFrame:
@@ -194,10 +195,9 @@ def later_pairs(hashes: DataFrame) -> DataFrame:
 def unequal_lines(texts: DataFrame, found: DataFrame) -> DataFrame:
     """Line hashes that stand for different texts among the given places."""
     both = F.concat(F.coalesce("at", F.array().cast("array<int>")), F.coalesce("from", F.array().cast("array<int>")))
-    a = texts.where("_text is not null").join(found.select("_id", "_th", both.alias("at")), ["_id", "_th"])
-    a = held(a.select("_text", "at"), "u", F.transform(fine_units(F.col("_text")), _bare))
+    a = texts.where("u is not null").select("_id", "_th", "u").join(found.select("_id", "_th", both.alias("at")), ["_id", "_th"])
     lines = F.array_distinct(F.flatten(F.transform("at", lambda s: F.array(F.get("u", s), F.get("u", s + 1)))))
-    rows = a.select(F.explode(lines).alias("line"))
+    rows = a.select(F.explode(lines).alias("line")).select(_bare(F.col("line")).alias("line"))
     return (rows.groupBy(F.xxhash64("line").alias("h")).agg(F.min("line").alias("x"), F.max("line").alias("y")).where("x <> y").select("h"))
 
 
@@ -217,7 +217,6 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bad = set(bad.first()["bad"])
     at = found.where("at is not null").select("_id", "_th", "at")
     j = texts.join(at, ["_id", "_th"], "left")
-    j = held(j, "u", fine_units(F.coalesce("_text", F.lit(""))))
     s = F.col("at")
     if bad:
         wrong = F.array(*[F.lit(h) for h in sorted(bad)])
@@ -229,9 +228,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = F.filter(runs, lambda r: _counts(F.col("u"), r, min_chars, min_tokens))
     j = held(j, "removed", F.flatten(F.transform(runs, lambda r: F.sequence(r["s"], r["e"] - 1))))
     rest = F.array_except(F.sequence(F.lit(0), F.size("u") - 1), F.col("removed"))
-    text = F.when(F.coalesce(F.size("removed"), F.lit(0)) <= 0, F.col("_text")).otherwise(
+    text = F.when(F.coalesce(F.size("removed"), F.lit(0)) <= 0, F.coalesce("_text", F.array_join("u", ""))).otherwise(
         F.array_join(F.transform(rest, lambda i: F.get("u", i)), ""))
-    new = {"_n_units": F.when(F.col("_text").isNotNull(), F.size("u")).otherwise(0).cast("bigint"),
+    new = {"_n_units": F.when(F.col("u").isNotNull(), F.size("u")).otherwise(0).cast("bigint"),
            "_removed": F.coalesce("removed", F.array().cast("array<int>"))}
     cols = [(text if c == text_col else F.col(f"_c{i}")).alias(c) for i, c in enumerate(docs.columns) if c not in new]
     return j.select(*cols, *[v.alias(c) for c, v in new.items()])

@@ -146,6 +146,21 @@ def batch_rows(spark: SparkSession, row_bytes: int, batch_bytes: int = 16 << 20)
         spark.conf.set(key, str(before))
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Shuffle files of the queries run inside are removed when the query ends
+    and not when the driver next happens to collect garbage, so that steps that
+    end in files of their own don't add up on the executors' disks. A lost file
+    is computed again as ever; no result depends on it."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def reliable_checkpoint(df: DataFrame, persist_first: bool = False) -> DataFrame:
     """Cut lineage with a reliable checkpoint in ``spark.checkpoint.dir``.
 
