@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardforge.llm.common import ROW, boxed, field, held, prepared, text_or_empty, written
+from shardforge.llm.common import ROW, boxed, field, held, prepared, stored, text_or_empty, written
 from shardforge.llm.textarrays import LOWER, U, mix, raw_bytes, slices, string_array
 
 BUCKETS = 1 << 14
@@ -167,7 +167,7 @@ def identify(rows: DataFrame, labelled: DataFrame, per_lang: int = 500, buckets:
                    .groupBy("dkey").agg(F.sum("dn").alias("dn"), *[F.sum(f"d{i}").alias(f"d{i}") for i in range(n)]), "dkey", "left")
              .select(F.col("host").alias("h_host"), "dkey", "hn", F.array(*[F.col(f"s{i}") for i in range(n)]).alias("hs"),
                      F.array(*by_domain).alias("dp")))
-    hosts = written(hosts)
+    hosts = stored(hosts, "hosts")     # with its size known, a small table is broadcast and the texts stay where they are
     joined = (base.withColumn("b_dkey", F.coalesce("domain", F.lit("")))
               .join(hosts, (F.col("host") == F.col("h_host")) & (F.col("b_dkey") == F.col("dkey")), "left"))
     # the row's own posterior is taken out of its host's sums
