@@ -51,14 +51,19 @@ BLANK = " \n\t\r"
 LINE = r"[^\n.!?]*+(?:[.!?]++(?![ \n])[^\n.!?]*+)*+(?:[.!?]*+(?:\n|(?<=[.!?]) )|[.!?]*+\z)"
 # words whose last letter and next first letter are of this class part a long line
 ODD = "[acegikmoqsuwyACEGIKMOQSUWY13579]"
-PART = rf"(?s).*?(?:{ODD}[,;:]? (?={ODD})|\z)"
+PART = rf"[^ ]*+(?: (?!(?={ODD})(?<={ODD}[,;:]? ))[^ ]*+)*+(?: |\z)"
 # a token ends after blanks, or is one character of a script without blanks
-TOKENS = r"(?<=[ \t]|[฀-໿က-႟ក-៿⺀-￿\x{10000}-\x{10FFFF}])(?=\S)"
+TOKEN_END = r"[ \t฀-໿က-႟ក-៿⺀-￿\x{10000}-\x{10FFFF}]"
+TOKENS = rf"(?:[^{TOKEN_END[1:]}++|{TOKEN_END}(?!\S))*+(?:{TOKEN_END}(?=\S)|\z)"
 LONG_BYTES, LONG = 160, 8
 
 
 def _bare(u: Column) -> Column:
-    return F.btrim(u, F.lit(BLANK))
+    """Without blanks around it. Spark's ``btrim`` with characters is slow, so
+    it is left to texts that need more than spaces cut off behind."""
+    r = F.rtrim(u)
+    other = (F.ascii(u) <= 32) | r.endswith("\n") | r.endswith("\t") | r.endswith("\r")
+    return F.when(other, F.btrim(u, F.lit(BLANK))).otherwise(r)
 
 
 def _span(arr: Column, s: Column, e: Column) -> Column:
@@ -70,7 +75,7 @@ def _long(unit: Column) -> Column:
 
 
 def _matches(text: Column, pattern: str) -> Column:
-    return F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda u: u != "")
+    return F.array_remove(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), "")
 
 
 def _parts(unit: Column) -> Column:
@@ -89,14 +94,14 @@ def _pieces(unit: Column) -> Column:
 
         def by_hash(g):
             def least(i):
-                first = F.greatest(i - 2, F.lit(0))
-                return F.get(g, i) == F.array_min(F.slice(g, first + 1, i + 3 - first))
+                x = F.get(g, i)
+                less = [F.coalesce(F.get(g, i + k) < x, F.lit(False)) for k in (-1, 1, -2, 2)]
+                return ~(less[0] | less[1] | less[2] | less[3])
             low = F.filter(F.sequence(F.lit(0), n - 2), least)
             return let(F.concat(F.array(F.lit(0)), F.transform(low, lambda i: i + 1)), lambda b: F.zip_with(
                 b, F.concat(F.slice(b, 2, F.size(b)), F.array(n)), lambda s, e: F.array_join(_span(t, s, e), "")))
-        gaps = F.zip_with(F.slice(t, 1, n - 1), F.slice(t, 2, n - 1), lambda x, y: F.xxhash64(_bare(x), _bare(y)))
-        return F.when(n <= LONG, F.array(unit)).otherwise(let(gaps, by_hash))
-    return F.when(~_long(unit), F.array(unit)).otherwise(let(F.split(unit, TOKENS, -1), cut))
+        return F.when(n <= LONG, F.array(unit)).otherwise(let(let(F.transform(t, _bare), _gaps), by_hash))
+    return F.when(~_long(unit), F.array(unit)).otherwise(let(_matches(unit, TOKENS), cut))
 
 
 def fine_units(text: Column) -> Column:
@@ -124,7 +129,9 @@ def bucketed(df: DataFrame, n: int) -> DataFrame:
     spark = df.sparkSession
     name = f"line_dedup_{uuid.uuid4().hex[:12]}"
     with shuffles_freed(spark):
+        # lines and hashes hardly repeat, so Parquet's dictionaries of them cost time only
         (df.write.bucketBy(n, *KEYS).option("compression", "zstd")
+         .options(**{f"parquet.enable.dictionary#{c}.list.element": "false" for c in ("u", "h")})
          .option("path", f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}").saveAsTable(name))
     return spark.table(name)
 
@@ -157,55 +164,73 @@ def boundaries(g: Column) -> Column:
 
 
 def chunk_rows(hashes: DataFrame) -> DataFrame:
-    """_id, _th, ch, lo, hi: each chunk with the boundaries beside it (or the
-    first and last gap)."""
-    h = F.col("h")
-    c = F.transform("b", lambda x, i: F.struct(
-        F.coalesce(F.get("b", i - 1), F.lit(0)).alias("lo"), F.coalesce(F.get("b", i + 1), x).alias("hi"), _gap(h, x).alias("ch")))
-    return hashes.select("_id", "_th", F.explode(c).alias("x")).select("_id", "_th", "x.ch", "x.lo", "x.hi")
-
-
-def pair_rows(hashes: DataFrame, chunks: DataFrame) -> DataFrame:
-    """_id, _th, s, ch, a, b: all neighbouring lines s, s + 1 (hashes a, b) in
-    the ranges of gaps (lo, hi) that ``chunks`` lists for a document; repeated
-    documents repeat them."""
-    h = F.col("h")
-    gaps = F.array_distinct(F.flatten(F.transform("ranges", lambda r: F.sequence(r["lo"], r["hi"]))))
-    rows = F.transform(gaps, lambda s: F.struct(s.alias("s"), _gap(h, s).alias("ch"), F.get(h, s).alias("a"), F.get(h, s + 1).alias("b")))
-    return hashes.join(chunks, KEYS).select("_id", "_th", F.explode(rows).alias("x")).select("_id", "_th", "x.*")
+    """_id, _th, i, ch: each chunk, at boundary ``i``."""
+    rows = hashes.select("_id", "_th", "h", F.posexplode("b").alias("i", "s"))
+    return rows.select("_id", "_th", "i", _gap(F.col("h"), F.col("s")).alias("ch"))
+
+
+def numbered(listed: DataFrame, hashes: DataFrame) -> tuple[DataFrame, int]:
+    """``listed`` and a number ``doc`` of each document, ascending with (id,
+    text hash); the number of bits to leave for positions behind it."""
+    rows = listed.repartitionByRange(*KEYS).sortWithinPartitions(*KEYS)
+    rows = written(rows.withColumn("doc", F.monotonically_increasing_id()))     # partition, then 33 bits
+    part, row = F.shiftright("doc", 33), F.col("doc").bitwiseAND((1 << 33) - 1)
+    top = rows.agg(F.max(part).alias("part"), F.max(row).alias("row")).first()
+    bits = (hashes.agg(F.max(F.element_at("b", -1)).alias("s")).first()["s"] or 0).bit_length()
+    of_row = (top["row"] or 0).bit_length()
+    if (top["part"] or 0).bit_length() + of_row + bits > 63:
+        raise ValueError("places of lines need more than 63 bits")
+    return rows.withColumn("doc", F.shiftleft(part, of_row) + row), bits
+
+
+def pair_rows(hashes: DataFrame, chunks: DataFrame, bits: int) -> DataFrame:
+    """place (doc and s), ch, a, b: all neighbouring lines s, s + 1 (hashes a,
+    b) between the boundaries beside the chunks ``found`` that ``chunks`` lists
+    for a document (or the first and last gap); repeated documents repeat them."""
+    b, h, s = F.col("b"), F.col("h"), F.col("s")
+    near = F.transform("found", lambda i: F.sequence(F.coalesce(F.get(b, i - 1), F.lit(0)), F.coalesce(F.get(b, i + 1), F.get(b, i))))
+    rows = hashes.join(chunks.hint("shuffle_hash"), KEYS).select("doc", "h", F.array_distinct(F.flatten(near)).alias("near"))
+    rows = rows.select("doc", "h", F.explode("near").alias("s"))
+    return rows.select((F.shiftleft("doc", bits) + s).alias("place"), _gap(h, s).alias("ch"), F.get(h, s).alias("a"), F.get(h, s + 1).alias("b"))
 
 
 def later_pairs(hashes: DataFrame) -> DataFrame:
     """_id, _th, at: the pairs of each document that stand at an earlier place
-    too, before the comparison of bytes; first: the earlier places."""
+    too, before the comparison of bytes; from: the earlier places. A place is
+    one number, so that Spark aggregates it by hash instead of sorting."""
     chunks = chunk_rows(hashes)
     often = chunks.groupBy("ch").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ch")
-    listed = chunks.join(often, "ch").groupBy("_id", "_th").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
-    pairs = pair_rows(hashes, written(listed))
-    place = F.struct("_id", "_th", "s")
-    first = (pairs.groupBy("ch").agg(F.min(place).alias("w"), F.max(place).alias("z"), F.min("a").alias("a0"), F.max("a").alias("a1"),
+    listed, bits = numbered(chunks.join(often.hint("shuffle_hash"), "ch").groupBy(*KEYS).agg(F.collect_set("i").alias("found")), hashes)
+    pairs = pair_rows(hashes, listed, bits)
+    first = (pairs.groupBy("ch").agg(F.min("place").alias("w"), F.max("place").alias("z"), F.min("a").alias("a0"), F.max("a").alias("a1"),
                                      F.min("b").alias("b0"), F.max("b").alias("b1"))
              .where("w <> z and a0 = a1 and b0 = b1").select("ch", "w"))
     first = written(first)
-    later = pairs.join(first, "ch").where(place != F.col("w")).groupBy("_id", "_th").agg(F.collect_set("s").alias("at"))
-    here = first.select("w.*").groupBy("_id", "_th").agg(F.collect_set("s").alias("from"))
-    return written(later.join(here, ["_id", "_th"], "full_outer"))
+    s, own = F.col("place").bitwiseAND((1 << bits) - 1).cast("int"), F.col("place") == F.col("w")
+    places = (pairs.select("place", "ch").join(first.hint("shuffle_hash"), "ch").groupBy(F.shiftright("place", bits).alias("doc"))
+              .agg(F.collect_set(F.when(~own, s)).alias("at"), F.collect_set(F.when(own, s)).alias("from")))
+    return written(listed.select("doc", *KEYS).join(places, "doc").select(*KEYS, "at", "from"))
 
 
 def unequal_lines(texts: DataFrame, found: DataFrame) -> DataFrame:
     """Line hashes that stand for different texts among the given places."""
-    both = F.concat(F.coalesce("at", F.array().cast("array<int>")), F.coalesce("from", F.array().cast("array<int>")))
-    a = texts.where("u is not null").select("_id", "_th", "u").join(found.select("_id", "_th", both.alias("at")), ["_id", "_th"])
-    lines = F.array_distinct(F.flatten(F.transform("at", lambda s: F.array(F.get("u", s), F.get("u", s + 1)))))
-    rows = a.select(F.explode(lines).alias("line")).select(_bare(F.col("line")).alias("line"))
-    return (rows.groupBy(F.xxhash64("line").alias("h")).agg(F.min("line").alias("x"), F.max("line").alias("y")).where("x <> y").select("h"))
+    places = found.select(*KEYS, F.concat("at", "from").alias("at")).hint("shuffle_hash")
+    a = texts.where("u is not null").select("_id", "_th", "u").join(places, KEYS)
+    a = a.select("u", F.array_union("at", F.transform("at", lambda s: s + 1)).alias("at"))
+    line = _bare(F.get("u", F.col("s")))
+    rows = a.select("u", F.explode("at").alias("s")).select(F.xxhash64(line).alias("h"), line.alias("line")).distinct()
+    return rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+
+
+def _ends(unit: Column) -> Column:
+    return unit.endswith("\n") | unit.endswith(". ") | unit.endswith("! ") | unit.endswith("? ")
 
 
 def _counts(u: Column, run: Column, min_chars: int, min_tokens: int) -> Column:
     """Whether the run of lines (s, e) is a passage."""
     text = F.array_join(_span(u, run["s"], run["e"]), "")
-    edges = F.size(F.filter(F.sequence(run["s"], run["e"]), lambda i: (i == 0) | (i == F.size(u)) | F.get(u, i - 1).rlike(r"(\n|[.!?] )\z")))
-    return (F.length(text) >= min_chars) & ((edges > 2) | (F.size(F.split(text, TOKENS, -1)) >= min_tokens))
+    edges = F.size(F.filter(F.sequence(run["s"], run["e"]), lambda i: (i == 0) | (i == F.size(u)) | _ends(F.get(u, i - 1))))
+    return (F.length(text) >= min_chars) & ((edges > 2) | (F.size(_matches(text, TOKENS)) >= min_tokens))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 50, min_tokens: int = 25) -> DataFrame:
@@ -215,13 +240,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = later_pairs(hashes)
     bad = unequal_lines(texts, found).agg(F.collect_list("h").alias("bad"))     # hash collisions: a handful at most
     bad = set(bad.first()["bad"])
-    at = found.where("at is not null").select("_id", "_th", "at")
-    j = texts.join(at, ["_id", "_th"], "left")
+    at = found.where(F.size("at") > 0).select(*KEYS, "at")
+    j = texts.join(at.hint("shuffle_hash"), KEYS, "left")
     s = F.col("at")
     if bad:
         wrong = F.array(*[F.lit(h) for h in sorted(bad)])
         s = F.filter(s, lambda i: ~F.array_contains(wrong, F.xxhash64(_bare(F.get("u", i)))) & ~F.array_contains(wrong, F.xxhash64(_bare(F.get("u", i + 1)))))
-    j = held(j, "cover", F.array_sort(F.array_union(s, F.transform(s, lambda i: i + 1))))
+    j = held(j, "cover", F.sort_array(F.array_union(s, F.transform(s, lambda i: i + 1))))
     begins = F.filter("cover", lambda x, i: F.coalesce(F.get("cover", i - 1), F.lit(-9)) != x - 1)
     ends = F.filter("cover", lambda x, i: F.coalesce(F.get("cover", i + 1), F.lit(-9)) != x + 1)
     runs = F.zip_with(begins, ends, lambda s, e: F.struct(s.alias("s"), (e + 1).alias("e")))

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from shardforge.llm import linededup
 from tests.llm.util import VOCAB, frame, sentence
 
@@ -79,3 +81,50 @@ def test_one_unit_passages(spark):
     # the beat repeats inside itself, so its first beats stay
     assert "la di da" in out[200] and "la di" not in out[201]
     assert all(out[300 + c] == rows[-2 + c][1] for c in (0, 1))
+
+
+def test_cuts_equal_the_plain_patterns(spark):
+    """Parts, tokens and bare lines against the patterns as one would say them."""
+    rng = random.Random(11)
+    odd = linededup.ODD
+    alphabet = "aabceAB13,;: \t\n\r.!? é漢😀ไ　\x0b"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 80))) for _ in range(4000)]
+    texts += ["", " ", "a ", "\t", "a\n", "a\n ", "a \t", "\na", "a a", "a, a", "a,, a", "  a a", ", a", "漢字 a", "x\r\n", "a\x0b "]
+    x = F.col("x")
+    plain_parts = F.filter(F.regexp_extract_all("x", F.lit(rf"(?s).*?(?:{odd}[,;:]? (?={odd})|\z)"), F.lit(0)), lambda u: u != "")
+    df = spark.createDataFrame([(t,) for t in texts], "x string").select(
+        "x", linededup._matches(x, linededup.PART).alias("parts"), plain_parts.alias("plain_parts"),
+        linededup._matches(x, linededup.TOKENS).alias("tokens"),
+        F.filter(F.split("x", rf"(?<={linededup.TOKEN_END})(?=\S)", -1), lambda u: u != "").alias("plain_tokens"),
+        linededup._bare(x).alias("bare"), F.btrim("x", F.lit(linededup.BLANK)).alias("plain_bare"))
+    for r in df.collect():
+        assert r["parts"] == r["plain_parts"] and r["tokens"] == r["plain_tokens"] and r["bare"] == r["plain_bare"], r["x"]
+
+
+def test_places_and_texts_are_not_sorted(spark):
+    """Places are aggregated as numbers, by hash; texts aren't sorted for the
+    comparison of bytes, which keeps one row of each line."""
+    rng = random.Random(12)
+    passage = "\n".join(sentence(rng) for _ in range(9))
+    rows = [(i, f"{sentence(rng)}\n{passage}\n{sentence(rng)}", "en", "s", None) for i in range(40)]
+    texts, hashes = linededup.tables(frame(spark, rows), "doc_id", "text")
+    found = linededup.later_pairs(hashes)
+    plan = linededup.unequal_lines(texts, found)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "SortMergeJoin" not in plan and "HashAggregate" in plan
+    chunks, bits = linededup.numbered(linededup.chunk_rows(hashes).groupBy("_id", "_th").agg(F.collect_set("i").alias("found")), hashes)
+    pairs = linededup.pair_rows(hashes, chunks, bits)
+    assert {t for c, t in pairs.dtypes} == {"bigint"}
+    last = pairs.agg(F.max("place")).first()[0]
+    assert last >> bits == chunks.agg(F.max("doc")).first()[0] and pairs.select("place").distinct().count() == pairs.count()
+
+
+def test_repeated_and_null_ids_keep_the_first_place(spark):
+    """Of equal ids, the first is told by the text's hash, then by position."""
+    rng = random.Random(13)
+    passage = "\n".join(sentence(rng) for _ in range(9)) + "\n"
+    texts = [sentence(rng) + "\n" + passage + sentence(rng) + "\n" + passage for _ in range(4)]
+    rows = [(i, t, "en", "s", None) for i in (None, 7) for t in texts + texts[:1]]
+    out = linededup.line_dedup(frame(spark, rows)).select("doc_id", "text").collect()
+    assert len(out) == len(rows)
+    kept = {(r["doc_id"], r["text"]) for r in out if passage[:-1] in r["text"]}
+    assert len(kept) == 1 and next(iter(kept))[0] is None and next(iter(kept))[1].count(passage[:-1]) == 1
