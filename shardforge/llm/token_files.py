@@ -48,6 +48,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from hashlib import sha256
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +59,7 @@ from pyspark.sql import functions as F
 
 from shardforge.llm.common import prepared, text_or_empty, written
 from shardforge.llm.exact_dedup import PerfectHash
-from shardforge.llm.textarrays import slices, string_array
+from shardforge.llm.textarrays import raw_bytes, slices, string_array
 from shardforge.session import estimated_bytes
 from shardforge.sources.storage import Storage, storage, unique_name
 
@@ -149,27 +150,28 @@ class WordEncoder:
         pieces = cut.flatten().dictionary_encode()
         listed = pieces.dictionary
         letters = pc.match_substring_regex(listed, r"^\p{L}+$").to_numpy(zero_copy_only=False)
-        names = listed.to_pylist()
-        if len(self.at) + len(names) > self.remember:
+        names = listed.to_numpy(zero_copy_only=False).tolist()
+        known = np.fromiter(map(self.at.get, names, repeat(-1)), np.int64, len(names))
+        if len(self.at) + int((known < 0).sum()) > self.remember:
             self._forget()
-        new = np.array([x not in self.at for x in names], bool)
-        self._learn_letters([names[i] for i in np.flatnonzero(new & letters)])
-        self._learn_others([names[i] for i in np.flatnonzero(new & ~letters)])
-        ends, pool = np.array(self.ends), np.append(np.array(self.pool, np.uint32), np.uint32(self.end))
-        number = np.fromiter(map(self.at.__getitem__, names), np.int64, len(names))
-        # first id and number of ids of each piece; the end id is one more
-        # word, of one more piece, behind each document's words
-        first, size = np.append(ends[number], len(pool) - 1), np.append(ends[number + 1] - ends[number], 1)
-        piece = np.append(pieces.indices.to_numpy().astype(np.int64), len(names))
-        piece_at = np.append(cut.offsets.to_numpy().astype(np.int64), len(piece))
-        word = np.insert(words.indices.to_numpy().astype(np.int64), at[1:] - at[0], len(piece_at) - 2)
-        order = piece[_runs(piece_at[word], piece_at[word + 1] - piece_at[word])]
-        tokens = np.concatenate([[0], np.cumsum(size[piece])])           # ids up to each piece of the words
-        per_word = tokens[piece_at[1:]] - tokens[piece_at[:-1]]
-        ids = pool[_runs(first[order], size[order])]
-        ends_of = np.cumsum(per_word[word])
-        last = np.cumsum(np.diff(at) + 1) - 1                  # the end ids among the words
-        return ids, np.concatenate([[0], ends_of[last]]) if n else np.zeros(1, np.int64)
+            known[:] = -1
+        for learn, which in ((self._learn_letters, letters), (self._learn_others, ~letters)):
+            new = np.flatnonzero((known < 0) & which)
+            known[new] = len(self.at) + np.arange(len(new))
+            learn([names[i] for i in new])
+        ends, pool = np.array(self.ends), np.array(self.pool, np.uint32)
+        # the ids of each distinct word, then of the end, which is one more
+        # word behind each document's words
+        piece, piece_at = pieces.indices.to_numpy(), cut.offsets.to_numpy()
+        first, size = ends[known][piece], (ends[known + 1] - ends[known])[piece]
+        of_words = np.append(pool[_runs(first, size)], np.uint32(self.end))
+        word_at = np.append(np.concatenate([[0], np.cumsum(size)])[piece_at], len(of_words))
+        word = np.insert(words.indices.to_numpy(), at[1:] - at[0], len(word_at) - 2)
+        # the bytes of the words' ids, copied word by word
+        spelt = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(word_at) - 1, [None, pa.py_buffer(4 * word_at), pa.py_buffer(of_words)])
+        raw, _ = raw_bytes(spelt.take(pa.array(word)))
+        ends_of = np.concatenate([[0], np.cumsum(np.diff(word_at)[word])])
+        return raw.view(np.uint32), ends_of[np.concatenate([[0], np.cumsum(np.diff(at) + 1)])]
 
 
 def _runs(first: np.ndarray, count: np.ndarray) -> np.ndarray:

@@ -99,3 +99,16 @@ def test_empty(spark, tmp_path):
     only_null = frame(spark, [(None, None, None, None, None)])
     files = token_files.write_token_files(only_null, str(tmp_path / "one"), PATH, 2)
     assert [(r["id"], r["start"], r["n_tokens"]) for r in token_files.read_by_key(files, only_null).collect()] == [(None, 0, 1)]
+
+
+def test_known_pieces_are_not_encoded_again():
+    """Pieces that are remembered don't count against the bound once more."""
+    rng = random.Random(2)
+    texts = pa.array([" ".join("".join(rng.choice("bcdfgh") for _ in range(9)) for _ in range(40))] * 3, pa.large_string())
+    enc = token_files.WordEncoder(PATH, 2, remember=50)
+    first = enc.encode(texts)
+    learned = []
+    enc._learn = lambda pieces, *_: learned.extend(pieces)
+    again = enc.encode(texts)
+    assert not learned and all((a == b).all() for a, b in zip(first, again))
+    assert [first[0][a:b].tolist() for a, b in zip(first[1], first[1][1:])] == whole(texts.to_pylist())
