@@ -175,8 +175,9 @@ def numbered(listed: DataFrame, hashes: DataFrame) -> tuple[DataFrame, int]:
     rows = listed.repartitionByRange(*KEYS).sortWithinPartitions(*KEYS)
     rows = written(rows.withColumn("doc", F.monotonically_increasing_id()))     # partition, then 33 bits
     part, row = F.shiftright("doc", 33), F.col("doc").bitwiseAND((1 << 33) - 1)
-    top = rows.agg(F.max(part).alias("part"), F.max(row).alias("row")).first()
-    bits = (hashes.agg(F.max(F.element_at("b", -1)).alias("s")).first()["s"] or 0).bit_length()
+    with shuffles_freed(rows.sparkSession):
+        top = rows.agg(F.max(part).alias("part"), F.max(row).alias("row")).first()
+        bits = (hashes.agg(F.max(F.element_at("b", -1)).alias("s")).first()["s"] or 0).bit_length()
     of_row = (top["row"] or 0).bit_length()
     if (top["part"] or 0).bit_length() + of_row + bits > 63:
         raise ValueError("places of lines need more than 63 bits")
