@@ -66,6 +66,24 @@ def _bare(u: Column) -> Column:
     return F.when(other, F.btrim(u, F.lit(BLANK))).otherwise(r)
 
 
+def _bare_unit(u: Column) -> Column:
+    """``_bare`` of a line of ``fine_units`` without tabs and carriage returns:
+    a newline is its last character. Lambdas compute what they name each time
+    they name it, so one cut instead of four counts."""
+    return F.when((u < "!") | u.endswith("\n"), F.btrim(u, F.lit(BLANK))).otherwise(F.rtrim(u))
+
+
+def _blanks(text: Column) -> Column:
+    """Whether a text holds blanks that ``_bare_unit`` doesn't know."""
+    return F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\r"))
+
+
+def _bound(value: Column, fn) -> Column:
+    """``let`` for arrays of lines: ``transform`` copies each line of a result,
+    ``aggregate`` doesn't."""
+    return F.aggregate(F.array(value), F.array().cast("array<string>"), lambda _, v: fn(v))
+
+
 def _span(arr: Column, s: Column, e: Column) -> Column:
     return F.slice(arr, s + 1, e - s)
 
@@ -75,14 +93,13 @@ def _long(unit: Column) -> Column:
 
 
 def _matches(text: Column, pattern: str) -> Column:
-    return F.array_remove(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), "")
+    return F.regexp_extract_all(text, F.lit(rf"(?!\z){pattern}"), F.lit(0))     # no empty match at the end
 
 
 def _parts(unit: Column) -> Column:
     """A long line, cut where letters of one class meet across a blank (pieces
-    of about five words), and what is still long by hashes."""
-    return F.when(~_long(unit), F.array(unit)).otherwise(let(_matches(unit, PART), lambda u: F.when(
-        F.exists(u, _long), F.flatten(F.transform(u, _pieces))).otherwise(u)))
+    of about five words)."""
+    return F.when(~_long(unit), F.array(unit)).otherwise(_matches(unit, PART))
 
 
 def _pieces(unit: Column) -> Column:
@@ -93,20 +110,23 @@ def _pieces(unit: Column) -> Column:
         n = F.size(t)
 
         def by_hash(g):
-            def least(i):
-                x = F.get(g, i)
+            def behind_least(x, i):
                 less = [F.coalesce(F.get(g, i + k) < x, F.lit(False)) for k in (-1, 1, -2, 2)]
-                return ~(less[0] | less[1] | less[2] | less[3])
-            low = F.filter(F.sequence(F.lit(0), n - 2), least)
-            return let(F.concat(F.array(F.lit(0)), F.transform(low, lambda i: i + 1)), lambda b: F.zip_with(
+                return F.when(~(less[0] | less[1] | less[2] | less[3]), i + 1)
+            low = F.array_compact(F.transform(g, behind_least))
+            return _bound(F.concat(F.array(F.lit(0)), low), lambda b: F.zip_with(
                 b, F.concat(F.slice(b, 2, F.size(b)), F.array(n)), lambda s, e: F.array_join(_span(t, s, e), "")))
-        return F.when(n <= LONG, F.array(unit)).otherwise(let(let(F.transform(t, _bare), _gaps), by_hash))
-    return F.when(~_long(unit), F.array(unit)).otherwise(let(_matches(unit, TOKENS), cut))
+        bare = F.when(_blanks(unit), F.transform(t, _bare)).otherwise(F.transform(t, _bare_unit))
+        return F.when(n <= LONG, F.array(unit)).otherwise(_bound(let(bare, _gaps), by_hash))
+    return F.when(~_long(unit), F.array(unit)).otherwise(_bound(_matches(unit, TOKENS), cut))
 
 
 def fine_units(text: Column) -> Column:
-    """The lines of a text, the long ones cut further between words."""
-    return let(_matches(text, LINE), lambda u: F.when(F.exists(u, _long), F.flatten(F.transform(u, _parts))).otherwise(u))
+    """The lines of a text, the long ones cut further between words, and what
+    is still long by hashes."""
+    def finer(units, cut):
+        return _bound(units, lambda u: F.when(F.exists(u, _long), cut(u)).otherwise(u))
+    return finer(_matches(text, LINE), lambda u: finer(F.flatten(F.transform(u, _parts)), lambda p: F.flatten(F.transform(p, _pieces))))
 
 
 # --- tables ------------------------------------------------------------------
@@ -129,8 +149,9 @@ def bucketed(df: DataFrame, n: int) -> DataFrame:
     spark = df.sparkSession
     name = f"line_dedup_{uuid.uuid4().hex[:12]}"
     with shuffles_freed(spark):
-        # lines and hashes hardly repeat, so Parquet's dictionaries of them cost time only
-        (df.write.bucketBy(n, *KEYS).option("compression", "zstd")
+        # lines and hashes hardly repeat, so Parquet's dictionaries of them cost time only; zstd's level 1 takes half
+        # the time of its usual one and leaves an eighth more
+        (df.write.bucketBy(n, *KEYS).option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1")
          .options(**{f"parquet.enable.dictionary#{c}.list.element": "false" for c in ("u", "h")})
          .option("path", f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}").saveAsTable(name))
     return spark.table(name)
@@ -144,7 +165,8 @@ def tables(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int = 64 <
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), estimated_bytes(keyed) // bucket_bytes)
     cut = held(keyed.repartition(n, *KEYS), "u", fine_units(F.col("_text")))
     odd = F.when(F.array_join("u", "") != F.col("_text"), F.col("_text"))
-    hashed = held(cut.withColumn("_text", odd), "h", F.transform("u", lambda u: F.xxhash64(_bare(u))))
+    hashed = held(cut, "h", F.when(_blanks(F.col("_text")), F.transform("u", lambda u: F.xxhash64(_bare(u)))).otherwise(
+        F.transform("u", lambda u: F.xxhash64(_bare_unit(u))))).withColumn("_text", odd)
     texts = bucketed(hashed.withColumn("b", F.when(F.size("h") > 1, let(_gaps(F.col("h")), boundaries))), n)
     return texts.drop("h", "b"), texts.select("_id", "_th", "h", "b").where(F.size("h") > 1)
 
@@ -155,7 +177,7 @@ def _gap(h: Column, i: Column) -> Column:
 
 
 def _gaps(h: Column) -> Column:
-    return F.zip_with(F.slice(h, 1, F.size(h) - 1), F.slice(h, 2, F.size(h) - 1), lambda x, y: F.xxhash64(x, y))
+    return F.transform(F.slice(h, 1, F.size(h) - 1), lambda x, i: F.xxhash64(x, F.get(h, i + 1)))
 
 
 def boundaries(g: Column) -> Column:
@@ -172,7 +194,7 @@ def chunk_rows(hashes: DataFrame) -> DataFrame:
 def numbered(listed: DataFrame, hashes: DataFrame) -> tuple[DataFrame, int]:
     """``listed`` and a number ``doc`` of each document, ascending with (id,
     text hash); the number of bits to leave for positions behind it."""
-    rows = listed.repartitionByRange(*KEYS).sortWithinPartitions(*KEYS)
+    rows = listed.withColumn("found", F.sort_array("found")).repartitionByRange(*KEYS).sortWithinPartitions(*KEYS)
     rows = written(rows.withColumn("doc", F.monotonically_increasing_id()))     # partition, then 33 bits
     part, row = F.shiftright("doc", 33), F.col("doc").bitwiseAND((1 << 33) - 1)
     with shuffles_freed(rows.sparkSession):
@@ -187,17 +209,21 @@ def numbered(listed: DataFrame, hashes: DataFrame) -> tuple[DataFrame, int]:
 def pair_rows(hashes: DataFrame, chunks: DataFrame, bits: int) -> DataFrame:
     """place (doc and s), ch, a, b: all neighbouring lines s, s + 1 (hashes a,
     b) between the boundaries beside the chunks ``found`` that ``chunks`` lists
-    for a document (or the first and last gap); repeated documents repeat them."""
-    b, h, s = F.col("b"), F.col("h"), F.col("s")
-    near = F.transform("found", lambda i: F.sequence(F.coalesce(F.get(b, i - 1), F.lit(0)), F.coalesce(F.get(b, i + 1), F.get(b, i))))
-    rows = hashes.join(chunks.hint("shuffle_hash"), KEYS).select("doc", "h", F.array_distinct(F.flatten(near)).alias("near"))
-    rows = rows.select("doc", "h", F.explode("near").alias("s"))
+    for a document, in ascending order (or the first and last gap); repeated
+    documents repeat them. Each stretch begins behind the one before. All of it
+    is generated code; outer explodes spare a filter that computes them again."""
+    b, h, s, k, i = F.col("b"), F.col("h"), F.col("s"), F.col("k"), F.col("i")
+    rows = hashes.join(chunks.hint("shuffle_hash"), KEYS).select("doc", "h", "b", "found", F.posexplode_outer("found").alias("k", "i"))
+    last = F.when(k > 0, F.get(b, F.get("found", k - 1) + 1)).otherwise(-1)
+    rows = rows.select("doc", "h", F.greatest(F.when(i > 0, F.get(b, i - 1)).otherwise(0), last + 1).alias("start"),
+                       F.coalesce(F.get(b, i + 1), F.get(b, i)).alias("end")).where("start <= end")
+    rows = rows.select("doc", "h", F.explode_outer(F.sequence("start", "end")).alias("s"))
     return rows.select((F.shiftleft("doc", bits) + s).alias("place"), _gap(h, s).alias("ch"), F.get(h, s).alias("a"), F.get(h, s + 1).alias("b"))
 
 
 def later_pairs(hashes: DataFrame) -> DataFrame:
     """_id, _th, at: the pairs of each document that stand at an earlier place
-    too, before the comparison of bytes; from: the earlier places. A place is
+    too, ascending, before the comparison of bytes; from: the earlier places. A place is
     one number, so that Spark aggregates it by hash instead of sorting."""
     chunks = chunk_rows(hashes)
     often = chunks.groupBy("ch").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ch")
@@ -209,17 +235,18 @@ def later_pairs(hashes: DataFrame) -> DataFrame:
     first = written(first)
     s, own = F.col("place").bitwiseAND((1 << bits) - 1).cast("int"), F.col("place") == F.col("w")
     places = (pairs.select("place", "ch").join(first.hint("shuffle_hash"), "ch").groupBy(F.shiftright("place", bits).alias("doc"))
-              .agg(F.collect_set(F.when(~own, s)).alias("at"), F.collect_set(F.when(own, s)).alias("from")))
+              .agg(F.sort_array(F.collect_set(F.when(~own, s))).alias("at"), F.collect_set(F.when(own, s)).alias("from")))
     return written(listed.select("doc", *KEYS).join(places, "doc").select(*KEYS, "at", "from"))
 
 
 def unequal_lines(texts: DataFrame, found: DataFrame) -> DataFrame:
     """Line hashes that stand for different texts among the given places."""
-    places = found.select(*KEYS, F.concat("at", "from").alias("at")).hint("shuffle_hash")
+    places = found.select(*KEYS, F.sort_array(F.concat("at", "from")).alias("at")).hint("shuffle_hash")
     a = texts.where("u is not null").select("_id", "_th", "u").join(places, KEYS)
-    a = a.select("u", F.array_union("at", F.transform("at", lambda s: s + 1)).alias("at"))
+    a = a.select("u", "at", F.posexplode_outer("at").alias("k", "p"))
+    both = F.col("p") + F.when(F.get("at", F.col("k") + 1) == F.col("p") + 1, 0).otherwise(1)     # the next place has its second line
     line = _bare(F.get("u", F.col("s")))
-    rows = a.select("u", F.explode("at").alias("s")).select(F.xxhash64(line).alias("h"), line.alias("line")).distinct()
+    rows = a.select("u", F.explode_outer(F.sequence("p", both)).alias("s")).select(F.xxhash64(line).alias("h"), line.alias("line")).distinct()
     return rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
 
 
@@ -230,7 +257,8 @@ def _ends(unit: Column) -> Column:
 def _counts(u: Column, run: Column, min_chars: int, min_tokens: int) -> Column:
     """Whether the run of lines (s, e) is a passage."""
     text = F.array_join(_span(u, run["s"], run["e"]), "")
-    edges = F.size(F.filter(F.sequence(run["s"], run["e"]), lambda i: (i == 0) | (i == F.size(u)) | _ends(F.get(u, i - 1))))
+    ends = F.size(F.filter(F.slice(u, F.greatest(run["s"], F.lit(1)), run["e"] - F.greatest(run["s"] - 1, F.lit(0))), _ends))
+    edges = ends + (run["s"] == 0).cast("int") + ((run["e"] == F.size(u)) & ~_ends(F.get(u, run["e"] - 1))).cast("int")
     return (F.length(text) >= min_chars) & ((edges > 2) | (F.size(_matches(text, TOKENS)) >= min_tokens))
 
 
@@ -247,16 +275,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if bad:
         wrong = F.array(*[F.lit(h) for h in sorted(bad)])
         s = F.filter(s, lambda i: ~F.array_contains(wrong, F.xxhash64(_bare(F.get("u", i)))) & ~F.array_contains(wrong, F.xxhash64(_bare(F.get("u", i + 1)))))
-    j = held(j, "cover", F.sort_array(F.array_union(s, F.transform(s, lambda i: i + 1))))
-    begins = F.filter("cover", lambda x, i: F.coalesce(F.get("cover", i - 1), F.lit(-9)) != x - 1)
-    ends = F.filter("cover", lambda x, i: F.coalesce(F.get("cover", i + 1), F.lit(-9)) != x + 1)
-    runs = F.zip_with(begins, ends, lambda s, e: F.struct(s.alias("s"), (e + 1).alias("e")))
-    runs = F.filter(runs, lambda r: _counts(F.col("u"), r, min_chars, min_tokens))
-    j = held(j, "removed", F.flatten(F.transform(runs, lambda r: F.sequence(r["s"], r["e"] - 1))))
-    rest = F.array_except(F.sequence(F.lit(0), F.size("u") - 1), F.col("removed"))
-    text = F.when(F.coalesce(F.size("removed"), F.lit(0)) <= 0, F.coalesce("_text", F.array_join("u", ""))).otherwise(
-        F.array_join(F.transform(rest, lambda i: F.get("u", i)), ""))
+    begins = F.filter(s, lambda x, i: F.coalesce(F.get(s, i - 1) < x - 2, F.lit(True)))
+    ends = F.filter(s, lambda x, i: F.coalesce(F.get(s, i + 1) > x + 2, F.lit(True)))
+    runs = F.zip_with(begins, ends, lambda s, e: F.struct(s.alias("s"), (e + 2).alias("e")))
+    j = held(j, "runs", F.filter(runs, lambda r: _counts(F.col("u"), r, min_chars, min_tokens)))
+    before = F.transform("runs", lambda r, i: let(F.coalesce(F.get("runs", i - 1)["e"], F.lit(0)), lambda e: F.array_join(_span(F.col("u"), e, r["s"]), "")))
+    behind = F.array_join(_span(F.col("u"), F.get("runs", F.size("runs") - 1)["e"], F.size("u")), "")
+    text = F.when(F.coalesce(F.size("runs"), F.lit(0)) <= 0, F.coalesce("_text", F.array_join("u", ""))).otherwise(
+        F.concat(F.array_join(before, ""), behind))
+    removed = F.flatten(F.transform("runs", lambda r: F.sequence(r["s"], r["e"] - 1)))
     new = {"_n_units": F.when(F.col("u").isNotNull(), F.size("u")).otherwise(0).cast("bigint"),
-           "_removed": F.coalesce("removed", F.array().cast("array<int>"))}
+           "_removed": F.coalesce(removed, F.array().cast("array<int>"))}
     cols = [(text if c == text_col else F.col(f"_c{i}")).alias(c) for i, c in enumerate(docs.columns) if c not in new]
     return j.select(*cols, *[v.alias(c) for c, v in new.items()])

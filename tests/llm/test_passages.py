@@ -128,3 +128,53 @@ def test_repeated_and_null_ids_keep_the_first_place(spark):
     assert len(out) == len(rows)
     kept = {(r["doc_id"], r["text"]) for r in out if passage[:-1] in r["text"]}
     assert len(kept) == 1 and next(iter(kept))[0] is None and next(iter(kept))[1].count(passage[:-1]) == 1
+
+
+def test_pairs_come_from_generated_code(spark):
+    """The pairs beside repeated chunks, and the lines compared byte by byte,
+    hold no lambda and no set of positions, which Spark would interpret, and
+    are computed once: no filter in front of an explode repeats them."""
+    rng = random.Random(14)
+    passage = "\n".join(sentence(rng) for _ in range(9))
+    rows = [(i, f"{sentence(rng)}\n{passage}\n{sentence(rng)}", "en", "s", None) for i in range(40)]
+    texts, hashes = linededup.tables(frame(spark, rows), "doc_id", "text")
+    chunks, bits = linededup.numbered(linededup.chunk_rows(hashes).groupBy("_id", "_th").agg(F.collect_set("i").alias("found")), hashes)
+    pairs = linededup.pair_rows(hashes, chunks, bits)
+    lines = linededup.unequal_lines(texts, linededup.later_pairs(hashes))
+    for df in (pairs, lines):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in ("lambda", "array_distinct", "array_union") if x in plan], plan
+
+
+def test_pairs_beside_any_chunks(spark):
+    """Stretches beside listed chunks, merged in order, are the set of all."""
+    rng = random.Random(15)
+    rows = [(i, "\n".join(sentence(rng) for _ in range(rng.randint(2, 40))), "en", "s", None) for i in range(60)]
+    _, hashes = linededup.tables(frame(spark, rows), "doc_id", "text")
+    some = F.filter(F.sequence(F.lit(0), F.size("b") - 1), lambda i: (F.xxhash64("_th", i) % 3) != 0)
+    listed = hashes.select("_id", "_th", F.reverse(some).alias("found")).where(F.size("found") > 0)
+    chunks, bits = linededup.numbered(listed, hashes)
+    got = sorted(r["place"] for r in linededup.pair_rows(hashes, chunks, bits).collect())
+    want = []
+    for r in hashes.join(chunks, ["_id", "_th"]).collect():
+        near, b = set(), r["b"]
+        for k in r["found"]:
+            near |= set(range(b[k - 1] if k else 0, (b[k + 1] if k + 1 < len(b) else b[k]) + 1))
+        want += [(r["doc"] << bits) + s for s in near]
+    assert got == sorted(want) and len(got) > 100
+
+
+def test_hashes_of_lines_with_any_blanks(spark):
+    """Lines with tabs, carriage returns and leading blanks are hashed bare, as
+    are the tokens of long ones; the lines give the text back."""
+    rng = random.Random(16)
+    rows = [(i, "".join(rng.choice(["ab", "c", "Z9", " ", " ", "  ", "\n", ". ", "\n "] + ["\t", "\r", "\r\n"] * (i % 2)) for _ in range(300)), "en", "s", None)
+            for i in range(60)] + [(90, "x " * 400, "en", "s", None), (91, "x\t" * 400, "en", "s", None), (92, "", "en", "s", None)]
+    given = {r[0]: r[1] for r in rows}
+    texts, hashes = linededup.tables(frame(spark, rows), "doc_id", "text")
+    of = {r["_id"]: r["h"] for r in hashes.collect()}
+    plain = texts.select("_id", F.array_join("u", "").alias("t"), F.transform("u", lambda u: F.xxhash64(F.btrim(u, F.lit(linededup.BLANK)))).alias("h"))
+    for r in plain.collect():
+        assert r["t"] == given[r["_id"]]
+        assert r["_id"] not in of or of[r["_id"]] == r["h"]
+    assert len(of) > 60
