@@ -98,6 +98,8 @@ def q_retention_split(spark, sf):
 @register("stream_shards", """
 SELECT lpad(CAST(event_id AS VARCHAR), 10, '0') AS key, event_type AS type, value FROM events""")
 def q_stream_shards(spark, sf):
+    """Records of a few bytes: plain shards would take 2,068 bytes for each."""
+    from shardforge.constants import SHARD_NAME_GZ
     from shardforge.sources.tarshards import read_shards
     from shardforge.streaming.stream_shards import stream_shards
     schema = table(spark, sf, "events").schema
@@ -105,9 +107,9 @@ def q_stream_shards(spark, sf):
     out = scratch_path(spark, "stream-shards")
     keyed = stream.withColumn("key", F.format_string("%010d", "event_id"))
     q = stream_shards(keyed, out, out + "-checkpoint", per_shard=1000, key_col="key",
-                      member_cols={"type": "event_type", "value": F.col("value").cast("string")})
+                      member_cols={"type": "event_type", "value": F.col("value").cast("string")}, pattern=SHARD_NAME_GZ)
     q.awaitTermination()
-    back = read_shards(spark, out, "shard bigint, key string, type string, value double")
+    back = read_shards(spark, out, "shard bigint, key string, type string, value double", pattern=SHARD_NAME_GZ)
     return back.select("key", "type", "value")
 
 

@@ -26,6 +26,7 @@ MAX_SHARD_BYTES = 3e10
 KEEP_FILES_RUNNING = 3            # newest files held back while running
 KEEP_FILES_FINAL = 0              # at the end everything ships
 SHARD_NAME = "shards-%05d.tar"
+SHARD_NAME_GZ = SHARD_NAME + ".gz"   # not the reference's: for records of short values
 KEY_FORMAT = "%010d"
 IMAGE_DIGITS = 6                  # {index:06d}.png
 

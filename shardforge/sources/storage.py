@@ -81,13 +81,14 @@ class Storage:
 
     def open_write(self, name: str):
         """A stream. Folders are made only when one is missing: in stores
-        that have none this is never the case."""
+        that have none this is never the case. Bytes are written as they are;
+        Arrow itself would compress what is named ``.gz``."""
         fs, path = self.at(name)
         try:
-            return fs.open_output_stream(path, buffer_size=1 << 20)
+            return fs.open_output_stream(path, compression=None, buffer_size=1 << 20)
         except FileNotFoundError:
             fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-            return fs.open_output_stream(path, buffer_size=1 << 20)
+            return fs.open_output_stream(path, compression=None, buffer_size=1 << 20)
 
     def open_read(self, name: str):
         """A file that can seek."""

@@ -24,11 +24,19 @@ task; a shard without an index (from elsewhere) is read by one task. Rows come b
 ext, payload)`` by default, or wide when a schema with one column per
 extension is given.
 
+Compression: a member takes at least 1,024 bytes of the archive, so a shard of
+short values is nearly all headers and padding. With a pattern that ends in
+``.gz`` (as with webdataset's writer) shards are written through gzip, in
+blocks of whole rows, each a gzip member; the index then has the blocks'
+offsets in the file, so a large shard is cut as well, at blocks. Reading goes by
+a file's first bytes, not its name.
+
 All files go through ``sources.storage``: any URI that it knows is fine.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import io
 import re
@@ -36,6 +44,7 @@ import struct
 import tarfile
 import time
 import uuid
+import zlib
 from dataclasses import dataclass
 from datetime import date, datetime, timezone
 from decimal import Decimal
@@ -56,6 +65,13 @@ ROW_MARK = "__row__"   # member of a row whose columns are all null
 INDEX_MAGIC = b"tarindex"
 SPLIT_BYTES = 64 << 20
 OPEN_BYTES = 256 << 10
+GZIP_MAGIC = b"\x1f\x8b"
+GZIP_BLOCK = 1 << 20     # bytes of the archive in a block; a longer row is a block
+GZIP_LEVEL = 1           # headers and padding shrink as well at the fastest level
+GZIP_SHRINK = 16         # how much more work than its size a compressed shard counts for a task
+# the last gzip member of a shard is empty, its extra field says where the index lies
+GZIP_TAIL = GZIP_MAGIC + b"\x08\x04" + bytes(5) + b"\xff\x0c\x00SI\x08\x00"
+GZIP_EMPTY = b"\x03\x00" + bytes(8)
 
 
 def name_regex(pattern: str) -> re.Pattern:
@@ -142,20 +158,49 @@ class _Digesting:
         return self.pos
 
 
+class _Blocks:
+    """Compresses what it gets into gzip members, a new one after each ``cut``."""
+
+    def __init__(self, out):
+        self.out, self.pos, self.filled, self.zip = out, 0, 0, None
+
+    def write(self, data) -> int:
+        if self.zip is None:
+            self.zip = zlib.compressobj(GZIP_LEVEL, zlib.DEFLATED, 16 + zlib.MAX_WBITS)
+        if packed := self.zip.compress(data):
+            self.out.write(packed)
+        self.filled += len(data)
+        self.pos += len(data)
+        return len(data)
+
+    def tell(self) -> int:
+        return self.pos
+
+    def cut(self) -> None:
+        if self.zip is not None:
+            self.out.write(self.zip.flush())
+            self.zip, self.filled = None, 0
+
+
 class ShardFileWriter:
     """One tar shard, written row by row."""
 
-    def __init__(self, out):
+    def __init__(self, out, compress: bool = False):
         self.stream = _Digesting(out)
-        self.tar = tarfile.open(fileobj=self.stream, mode="w", format=tarfile.PAX_FORMAT)
-        self.starts, self.bytes, self.last = [], 0, None
+        self.blocks = _Blocks(self.stream) if compress else None
+        self.tar = tarfile.open(fileobj=self.blocks or self.stream, mode="w", format=tarfile.PAX_FORMAT)
+        self.starts, self.rows, self.bytes, self.last = [], 0, 0, None
 
     def add(self, key: str, members: dict[str, bytes]) -> None:
         name = escape_key(key)
         if name == self.last:
             raise ValueError(f"tarshards: the key {key!r} occurs twice in a shard; number repeated rows first")
         self.last = name
-        self.starts.append(self.stream.pos)
+        self.rows += 1
+        if self.blocks is not None and self.blocks.filled >= GZIP_BLOCK:
+            self.blocks.cut()
+        if self.blocks is None or self.blocks.zip is None:
+            self.starts.append(self.stream.pos)
         # a null is an absent member; a row without members keeps a mark
         for ext, data in (members or {ROW_MARK: b""}).items():
             info = tarfile.TarInfo(name=f"{name}.{ext}")
@@ -166,16 +211,32 @@ class ShardFileWriter:
             self.bytes += len(data)
 
     def close(self) -> None:
+        if self.blocks is not None:
+            self.blocks.cut()
         end = self.stream.pos
         self.tar.close()
-        self.stream.write(np.array([*self.starts, end], "<i8").tobytes() + struct.pack("<q", len(self.starts) + 1) + INDEX_MAGIC)
+        index = np.array([*self.starts, end], "<i8").tobytes()
+        if self.blocks is None:
+            self.stream.write(index + struct.pack("<q", len(self.starts) + 1) + INDEX_MAGIC)
+        else:
+            self.blocks.cut()
+            at = self.stream.pos
+            self.blocks.write(index)
+            self.blocks.cut()
+            self.stream.write(GZIP_TAIL + struct.pack("<q", at) + GZIP_EMPTY)
         self.stream.out.close()
 
 
 def read_index(store: Storage, name: str, size: int) -> np.ndarray | None:
-    """Row offsets and the end of the last row; None without an index."""
+    """Row offsets and the end of the last row, of a compressed shard those of
+    its blocks; None without an index."""
     with store.open_read(name) as f:
-        tail = f.read_at(16, max(0, size - 16))
+        packed_tail = len(GZIP_TAIL) + 8 + len(GZIP_EMPTY)
+        tail = f.read_at(packed_tail, max(0, size - packed_tail))
+        if len(tail) == packed_tail and tail.startswith(GZIP_TAIL) and tail.endswith(GZIP_EMPTY):
+            at = struct.unpack_from("<q", tail, len(GZIP_TAIL))[0]
+            return np.frombuffer(zlib.decompress(f.read_at(size - packed_tail - at, at), 16 + zlib.MAX_WBITS), "<i8")
+        tail = tail[-16:]
         if len(tail) < 16 or tail[8:] != INDEX_MAGIC:
             return None
         n = struct.unpack("<q", tail[:8])[0]
@@ -211,7 +272,7 @@ class TarShardsWriter(DataSourceWriter):
         def close():
             if writer is not None:
                 writer.close()
-                files.append((shard, name, len(writer.starts), writer.bytes, writer.stream.pos, writer.stream.sha.hexdigest()))
+                files.append((shard, name, writer.rows, writer.bytes, writer.stream.pos, writer.stream.sha.hexdigest()))
 
         for row in iterator:
             if row["shard"] is None or row["key"] is None:
@@ -224,7 +285,7 @@ class TarShardsWriter(DataSourceWriter):
                                      "partition by shard and sort by key first")
                 seen.add(shard)
                 name = attempt_name(self.job, shard_file_name(shard, self.pattern))
-                writer = ShardFileWriter(self.store.open_write(name))
+                writer = ShardFileWriter(self.store.open_write(name), self.pattern.endswith(".gz"))
             writer.add(str(row["key"]), {m: member_bytes(row[m]) for m in self.members if row[m] is not None})
         close()
         return ShardCommit(files=files)
@@ -290,7 +351,9 @@ def committed_files(store: Storage, pattern: str = NAME_PATTERN) -> list[Committ
 
 @dataclass(frozen=True)
 class ShardRange:
-    """Rows of a shard whose headers begin in start..end (end None: all)."""
+    """Rows of a shard whose headers begin in start..end (end None: all); of a
+    compressed shard the rows of the blocks that lie there. ``size`` is for
+    sharing out the work."""
     shard: int
     name: str
     size: int
@@ -323,15 +386,27 @@ def dealt(ranges: list, most: int, cores: int) -> list:
 
 def ranges_of(store: Storage, f: CommittedShard, split_bytes: int) -> list[ShardRange]:
     """A large shard with an index, cut at rows into about equal ranges."""
-    if f.size <= split_bytes:
-        return [ShardRange(f.shard, f.name, f.size)]
+    times = GZIP_SHRINK if f.name.endswith(".gz") else 1
+    whole = [ShardRange(f.shard, f.name, f.size * times)]
+    if f.size * times <= split_bytes:
+        return whole
     starts = read_index(store, f.name, f.size)
     if starts is None:
-        return [ShardRange(f.shard, f.name, f.size)]
-    pieces = -(-int(starts[-1]) // split_bytes)
+        return whole
+    pieces = -(-int(starts[-1]) * times // split_bytes)
     wanted = np.arange(pieces) * (int(starts[-1]) / pieces)
     cuts = np.unique(np.append(starts[np.searchsorted(starts[:-1], wanted)], starts[-1]))
-    return [ShardRange(f.shard, f.name, int(b - a), int(a), int(b)) for a, b in zip(cuts, cuts[1:])]
+    return [ShardRange(f.shard, f.name, int(b - a) * times, int(a), int(b)) for a, b in zip(cuts, cuts[1:])]
+
+
+class _Until:
+    """A file that ends at ``end`` (None: where it ends)."""
+
+    def __init__(self, f, end: int | None):
+        self.f, self.end = f, end
+
+    def read(self, n: int) -> bytes:
+        return self.f.read(n if self.end is None else max(0, min(n, self.end - self.f.tell())))
 
 
 class TarShardsReader(DataSourceReader):
@@ -369,10 +444,15 @@ class TarShardsReader(DataSourceReader):
             return tuple(own[n] if n in own else member_value(record.get(n), types[n]) for n in names)
 
         with self.store.open_read(partition.name) as f:
+            packed = f.read_at(2, partition.start) == GZIP_MAGIC
             f.seek(partition.start)
-            tar = tarfile.open(fileobj=f, mode="r:")
+            end = None if packed else partition.end
+            if packed:
+                tar = tarfile.open(fileobj=gzip.GzipFile(fileobj=_Until(f, partition.end), mode="rb"), mode="r|")
+            else:
+                tar = tarfile.open(fileobj=f, mode="r:")
             current, record = None, {}
-            while (info := tar.next()) is not None and (partition.end is None or info.offset < partition.end):
+            while (info := tar.next()) is not None and (end is None or info.offset < end):
                 tar.members = []
                 base = info.name.rsplit("/", 1)[-1]
                 if not info.isfile() or "." not in base:

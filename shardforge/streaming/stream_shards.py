@@ -29,7 +29,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from shardforge.operators.positions import positions_in_group
 from shardforge.sources.storage import storage
-from shardforge.sources.tarshards import write_shards
+from shardforge.sources.tarshards import NAME_PATTERN, write_shards
 
 EPOCH_BITS = 32  # shard numbers of an epoch: its number above 32 bits of its own
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -116,7 +116,7 @@ def _unpacked(rows: DataFrame, members: T.StructType) -> DataFrame:
 
 
 def flush_open_shards(spark: SparkSession, out_path: str, checkpoint: str, writers: int = 8,
-                      run_id: str = "stream") -> None:
+                      run_id: str = "stream", pattern: str = NAME_PATTERN) -> None:
     """Write the unfinished shard of every writer, after the query stopped,
     from the newest committed version of its state. When the stream goes on
     later, the shard is filled up and written again under the same number."""
@@ -130,19 +130,22 @@ def flush_open_shards(spark: SparkSession, out_path: str, checkpoint: str, write
     done = state("done").select(F.col("key._writer").alias("_writer"), F.col("value.shards").alias("_done"))
     rows = state("open").select(F.col("key._writer").alias("_writer"), F.col("list_element.key").alias("key"), F.col("list_element.row").alias("row"))
     shard = F.col("_writer") + F.col("_done") * F.lit(writers)
-    write_shards(_unpacked(rows.join(done, "_writer").withColumn("shard", shard), T.StructType.fromJson(layout["members"])), out_path, run_id=f"{run_id}-flush")
+    write_shards(_unpacked(rows.join(done, "_writer").withColumn("shard", shard), T.StructType.fromJson(layout["members"])), out_path, run_id=f"{run_id}-flush", pattern=pattern)
 
 
 def stream_shards(stream: DataFrame, out_path: str, checkpoint: str, per_shard: int,
                   key_col: str, member_cols: dict[str, object], available_now: bool = True,
                   run_id: str = "stream", writers: int = 8, keep_open: bool = False,
-                  writer: Column | None = None, flush_after: float | None = None):
+                  writer: Column | None = None, flush_after: float | None = None, pattern: str = NAME_PATTERN):
     """Start the query. ``member_cols`` maps tar extensions to columns or
     expressions; ``writers`` is part of the shard numbering and must stay the
     same for one stream. With ``keep_open`` all shards are full until
     ``flush_open_shards`` or, with ``flush_after`` (seconds), until a writer
     got no rows for that long; ``writer`` (an expression over key and members,
     0..writers-1) then chooses the writer, by default a hash of the key.
+    ``pattern`` names the files; with one that ends in ``.gz`` they are
+    compressed, which records of short values need (a member of a few bytes
+    takes 1,024 in a plain shard). It must stay the same for one stream, too.
     Returns the StreamingQuery."""
     from shardforge.session import ship_package
     spark = stream.sparkSession
@@ -170,7 +173,8 @@ def stream_shards(stream: DataFrame, out_path: str, checkpoint: str, per_shard:
             return
         else:
             batch = shard_batch(batch, epoch, per_shard, writers)
-        write_shards(batch.select("shard", "key", *members), out_path, run_id=f"{run_id}-{epoch}")
+        write_shards(batch.select("shard", "key", *members), out_path, run_id=f"{run_id}-{epoch}",
+                     pattern=pattern)
 
     w = out.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 second" if flush_after is not None else "10 seconds")
